@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from framelane.plans import q_evaluate, q_frames  # noqa: F401
+from framelane.plans import q_evaluate, q_frames, q_trajectory  # noqa: F401
 from framelane.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
