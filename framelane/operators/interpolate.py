@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framelane.functions import geometry as G
 from framelane.operators import dedup
 from framelane.operators.ordered import neighbours, next_known, previous_known, scan, total
+from framelane.session import cut
 
 BOX = ("x", "y", "w", "h")
 
@@ -45,38 +46,56 @@ def pieces(
     """
     out = neighbours(knots, key, order, [order, *values], back=1, ahead=2)
     t = F.col(order).cast("double")
-    tp, t1, t2 = (F.col(f"{order}_{s}").cast("double") for s in ("lag1", "lead1", "lead2"))
-    hp, h0, h1 = t - tp, t1 - t, t2 - t1
+    # Staged projections: secants, slopes, coefficients. Each is used several times in the next stage.
+    secants = {
+        "_hp": t - F.col(f"{order}_lag1"),
+        "_h0": F.col(f"{order}_lead1") - t,
+        "_h1": F.col(f"{order}_lead2") - F.col(f"{order}_lead1"),
+    }
+    out = out.withColumns({n: c.cast("double") for n, c in secants.items()})
+    hp, h0, h1 = F.col("_hp"), F.col("_h0"), F.col("_h1")
+    out = out.withColumns(
+        {
+            n: c
+            for v in values
+            for n, c in (
+                (f"_a_{v}", (F.col(v) - F.col(f"{v}_lag1")) / hp),
+                (f"_m_{v}", (F.col(f"{v}_lead1") - F.col(v)) / h0),
+                (f"_z_{v}", (F.col(f"{v}_lead2") - F.col(f"{v}_lead1")) / h1),
+            )
+        }
+    )
     coef = []
-    for v in values:
-        y = F.col(v)
-        m_prev, m, m_next = (
-            (y - F.col(f"{v}_lag1")) / hp,
-            (F.col(f"{v}_lead1") - y) / h0,
-            (F.col(f"{v}_lead2") - F.col(f"{v}_lead1")) / h1,
-        )
-        if kind == "linear":
-            coef += [y.alias(f"{v}_y"), m.alias(f"{v}_d"), F.lit(0.0).alias(f"{v}_c"), F.lit(0.0).alias(f"{v}_b")]
-            continue
-        left = (
-            F.when(tp.isNotNull(), _inner_slope(hp, h0, m_prev, m))
-            .when(t2.isNotNull(), _end_slope(h0, h1, m, m_next))
-            .otherwise(m)
-        )
-        right = (
-            F.when(t2.isNotNull(), _inner_slope(h0, h1, m, m_next))
-            .when(tp.isNotNull(), _end_slope(h0, hp, m, m_prev))
-            .otherwise(m)
-        )
-        bend = (left + right - m * 2) / h0
-        coef += [
-            y.alias(f"{v}_y"),
-            left.alias(f"{v}_d"),
-            ((m - left) / h0 - bend).alias(f"{v}_c"),
-            (bend / h0).alias(f"{v}_b"),
-        ]
-    piece = F.struct(t.alias("t0"), t1.alias("t1"), *coef)
-    return out.select(*knots.columns, F.when(t1.isNotNull(), piece).alias("piece"))
+    if kind == "linear":
+        zero = F.lit(0.0)
+        for v in values:
+            coef += [F.col(v).alias(f"{v}_y"), F.col(f"_m_{v}").alias(f"{v}_d"), zero.alias(f"{v}_c"), zero.alias(f"{v}_b")]
+    else:
+        slopes = {}
+        for v in values:
+            m_prev, m, m_next = F.col(f"_a_{v}"), F.col(f"_m_{v}"), F.col(f"_z_{v}")
+            slopes[f"_l_{v}"] = (
+                F.when(hp.isNotNull(), _inner_slope(hp, h0, m_prev, m))
+                .when(h1.isNotNull(), _end_slope(h0, h1, m, m_next))
+                .otherwise(m)
+            )
+            slopes[f"_r_{v}"] = (
+                F.when(h1.isNotNull(), _inner_slope(h0, h1, m, m_next))
+                .when(hp.isNotNull(), _end_slope(h0, hp, m, m_prev))
+                .otherwise(m)
+            )
+        out = out.withColumns(slopes)
+        for v in values:
+            m, left = F.col(f"_m_{v}"), F.col(f"_l_{v}")
+            bend = (left + F.col(f"_r_{v}") - m * 2) / h0
+            coef += [
+                F.col(v).alias(f"{v}_y"),
+                left.alias(f"{v}_d"),
+                ((m - left) / h0 - bend).alias(f"{v}_c"),
+                (bend / h0).alias(f"{v}_b"),
+            ]
+    piece = F.struct(t.alias("t0"), (t + h0).alias("t1"), *coef)
+    return out.select(*knots.columns, F.when(h0.isNotNull(), piece).alias("piece"))
 
 
 def at(piece: Column, v: str, t: Column) -> Column:
@@ -201,7 +220,7 @@ def repair(
         q = queries.select(*on).distinct().withColumn("asked", F.lit(True))
         rows = best.join(q, on, "full_outer")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("anchor", "asked")})
-    rows = rows.where(F.col("anchor") | F.col("asked"))
+    rows = cut(rows.where(F.col("anchor") | F.col("asked")))
     out = fill(rows, key, BOX, F.col("anchor")).where("asked")
     ok = G.valid_box(*[F.col(c) for c in BOX], min_wh)
     usable = (F.col("knots") >= max(1, int(min_known))) & ok
@@ -243,7 +262,7 @@ def fill_with_backoff(known: DataFrame, queries: DataFrame, key: Sequence[str])
     on = [*key, "frame_index"]
     k = known.select(*on, *BOX, F.col("score")).withColumn("known", F.lit(True))
     q = queries.select(*on).distinct().withColumn("asked", F.lit(True))
-    rows = k.join(q, on, "full_outer").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = cut(k.join(q, on, "full_outer").withColumn("known", F.coalesce("known", F.lit(False))))
     # With two knots PCHIP is the straight line, clipped outside; a flat end is the same clip.
     out = fill(rows, key, BOX, F.col("known")).where((F.col("knots") > 0) & (F.col("known") | F.col("asked")))
     return out.select(

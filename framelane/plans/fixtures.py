@@ -188,17 +188,17 @@ def pchip_sql(prefix: str, knots: str, queries: str, vals: tuple[str, ...], orde
     cols, secs, slopes, evals = [], [], [], []
     for v in vals:
         cols += [f"lag({v}) OVER w AS {v}p", f"lead({v}) OVER w AS {v}1", f"lead({v}, 2) OVER w AS {v}2"]
-        secs += [f"({v} - {v}p) / hp AS {v}_a", f"({v}1 - {v}) / h0 AS {v}_m", f"({v}2 - {v}1) / h1 AS {v}_z"]
+        secs += [f"({v} - {v}p) / gap_p AS {v}_a", f"({v}1 - {v}) / gap_0 AS {v}_m", f"({v}2 - {v}1) / gap_1 AS {v}_z"]
         slopes += [
-            f"CASE WHEN hp IS NOT NULL THEN {_slope_inner('hp', 'h0', f'{v}_a', f'{v}_m')} WHEN h1 IS NOT NULL "
-            f"THEN {_slope_end('h0', 'h1', f'{v}_m', f'{v}_z')} ELSE {v}_m END AS {v}_d0",
-            f"CASE WHEN h1 IS NOT NULL THEN {_slope_inner('h0', 'h1', f'{v}_m', f'{v}_z')} WHEN hp IS NOT NULL "
-            f"THEN {_slope_end('h0', 'hp', f'{v}_m', f'{v}_a')} ELSE {v}_m END AS {v}_d1",
+            f"CASE WHEN gap_p IS NOT NULL THEN {_slope_inner('gap_p', 'gap_0', f'{v}_a', f'{v}_m')} WHEN gap_1 IS NOT NULL "
+            f"THEN {_slope_end('gap_0', 'gap_1', f'{v}_m', f'{v}_z')} ELSE {v}_m END AS {v}_d0",
+            f"CASE WHEN gap_1 IS NOT NULL THEN {_slope_inner('gap_0', 'gap_1', f'{v}_m', f'{v}_z')} WHEN gap_p IS NOT NULL "
+            f"THEN {_slope_end('gap_0', 'gap_p', f'{v}_m', f'{v}_a')} ELSE {v}_m END AS {v}_d1",
         ]
         u = "u"
         herm = (
-            f"(2*{u}*{u}*{u} - 3*{u}*{u} + 1) * pc.{v} + ({u}*{u}*{u} - 2*{u}*{u} + {u}) * pc.h0 * pc.{v}_d0 + "
-            f"(3*{u}*{u} - 2*{u}*{u}*{u}) * pc.{v}1 + ({u}*{u}*{u} - {u}*{u}) * pc.h0 * pc.{v}_d1"
+            f"(2*{u}*{u}*{u} - 3*{u}*{u} + 1) * pc.{v} + ({u}*{u}*{u} - 2*{u}*{u} + {u}) * pc.gap_0 * pc.{v}_d0 + "
+            f"(3*{u}*{u} - 2*{u}*{u}*{u}) * pc.{v}1 + ({u}*{u}*{u} - {u}*{u}) * pc.gap_0 * pc.{v}_d1"
         )
         evals.append(
             f"CASE WHEN nk IS NULL THEN 0 WHEN nk = 1 THEN lo_{v} ELSE greatest(lo_{v}, least(hi_{v}, {herm})) END AS {v}"
@@ -209,12 +209,12 @@ def pchip_sql(prefix: str, knots: str, queries: str, vals: tuple[str, ...], orde
     return f"""{prefix}_1 AS (SELECT video_id, {t} AS t, lag({t}) OVER w AS tp, lead({t}) OVER w AS t1,
     lead({t}, 2) OVER w AS t2, {', '.join(vals)}, {', '.join(cols)} FROM {knots}
     WINDOW w AS (PARTITION BY video_id ORDER BY {order})),
-  {prefix}_2 AS (SELECT *, t - tp AS hp, t1 - t AS h0, t2 - t1 AS h1 FROM {prefix}_1),
+  {prefix}_2 AS (SELECT *, t - tp AS gap_p, t1 - t AS gap_0, t2 - t1 AS gap_1 FROM {prefix}_1),
   {prefix}_3 AS (SELECT *, {', '.join(secs)} FROM {prefix}_2 WHERE t1 IS NOT NULL),
   {prefix}_4 AS (SELECT *, {', '.join(slopes)} FROM {prefix}_3),
   {prefix}_r AS (SELECT video_id, count(*) AS nk, min({t}) AS tf, {lohi} FROM {knots} GROUP BY video_id),
   {prefix}_q AS (SELECT q.video_id, q.{order}, greatest(CAST(q.{order} AS DOUBLE), tf) AS tq, nk, {los}
     FROM {queries} q LEFT JOIN {prefix}_r USING (video_id)),
   {prefix} AS (SELECT video_id, {order}, nk, {', '.join(evals)} FROM (
-    SELECT z.*, pc, (CAST(z.{order} AS DOUBLE) - pc.t) / pc.h0 AS u FROM {prefix}_q z
+    SELECT z.*, pc, (CAST(z.{order} AS DOUBLE) - pc.t) / pc.gap_0 AS u FROM {prefix}_q z
     ASOF LEFT JOIN {prefix}_4 pc ON z.video_id = pc.video_id AND z.tq >= pc.t))"""

@@ -20,12 +20,12 @@ from framelane.plans.fixtures import (
     pchip_sql,
     preds,
 )
-from framelane.plans.registry import pick, query
+from framelane.plans.registry import TIE, pick, query
 
 FRAME = ["video_id", "frame_index"]
 BOX = ("x", "y", "w", "h")
 _W = "(PARTITION BY video_id ORDER BY frame_index)"
-_R = ", ".join(f"round({c}, 6) AS {c}" for c in BOX)
+_R = ", ".join(f"round({c} + {TIE}, 6) AS {c}" for c in BOX)
 
 
 def first(spark, sf):
@@ -192,12 +192,12 @@ _NULLED = "nz AS (SELECT * FROM pf WHERE score IS NULL OR score < 0.3), kz AS (S
     "pchip_fill_nulls",
     "T1 T5 T16",
     f"""WITH {PREDS}, {FIRST}, {_NULLED}, {pchip_sql('f', 'kz', 'nz', ('x',))}
-    SELECT video_id, frame_index, round(x, 6) AS x FROM f UNION ALL
-    SELECT video_id, frame_index, round(x, 6) AS x FROM kz""",
+    SELECT video_id, frame_index, round(x + {TIE}, 6) AS x FROM f UNION ALL
+    SELECT video_id, frame_index, round(x + {TIE}, 6) AS x FROM kz""",
 )
 def _(spark, sf):
     df = first(spark, sf).withColumn("x", F.when(F.col("score") >= 0.3, F.col("x")))
-    return pick(I.fill_nulls(df, KEY, "x"), *FRAME, "x")
+    return pick(I.fill_nulls(df, KEY, "x"), *FRAME, "x", tie=TIE)
 
 
 @query(
@@ -226,11 +226,11 @@ def _(spark, sf):
     {pchip_sql('f', 'pd', 'q', BOX)}
     SELECT video_id, frame_index, {_R}, CAST(NULL AS DOUBLE) AS score, true AS is_fallback,
       'interpolated_pchip' AS bbox_source FROM f
-    UNION ALL SELECT video_id, frame_index, {_R}, round(score, 6), is_fallback, 'detector' FROM pd""",
+    UNION ALL SELECT video_id, frame_index, {_R}, round(score + {TIE}, 6), is_fallback, 'detector' FROM pd""",
 )
 def _(spark, sf):
     out = I.fill_gaps(preds(spark, sf), KEY, max_gap=4)
-    return pick(out, *out.columns)
+    return pick(out, *out.columns, tie=TIE)
 
 
 _ANCHORS = f"""a AS (SELECT * FROM pb WHERE NOT is_fallback AND score >= {{thr}}),
@@ -243,16 +243,16 @@ _ANCHORS = f"""a AS (SELECT * FROM pb WHERE NOT is_fallback AND score >= {{thr}}
     "T20 D3 P5 P6 P22 J10",
     f"""WITH {PREDS}, {GT}, {BEST}, {_ANCHORS.format(thr=0.9)}, {pchip_sql('f', 'a', 'q', BOX)},
     ok AS (SELECT *, coalesce(nk, 0) >= 3 AND w >= 2 AND h >= 2 AS ok FROM f)
-    SELECT o.video_id, o.frame_index, {', '.join(f'round(CASE WHEN ok THEN o.{c} ELSE 0 END, 6) AS {c}' for c in BOX)},
-      round(pb.score, 6) AS score, true AS is_fallback,
+    SELECT o.video_id, o.frame_index, {', '.join(f'round({TIE} + CASE WHEN ok THEN o.{c} ELSE 0 END, 6) AS {c}' for c in BOX)},
+      round(pb.score + {TIE}, 6) AS score, true AS is_fallback,
       CASE WHEN ok THEN 'interpolated_pchip' ELSE 'missing' END AS bbox_source
     FROM ok o LEFT JOIN pb USING (video_id, frame_index)
-    UNION ALL SELECT video_id, frame_index, {_R}, round(score, 6), false, 'detector' FROM a
+    UNION ALL SELECT video_id, frame_index, {_R}, round(score + {TIE}, 6), false, 'detector' FROM a
       WHERE (video_id, frame_index) IN (SELECT (video_id, frame_index) FROM q0)""",
 )
 def _(spark, sf):
     out = I.repair(preds(spark, sf), gt(spark, sf), KEY, confidence_threshold=0.9)
-    return pick(out, *out.columns)
+    return pick(out, *out.columns, tie=TIE)
 
 
 @query(
@@ -261,14 +261,14 @@ def _(spark, sf):
     f"""WITH {PREDS}, {GT}, {GT1}, q0 AS (SELECT DISTINCT video_id, frame_index FROM preds),
     q AS (SELECT * FROM q0 WHERE (video_id, frame_index) NOT IN (SELECT (video_id, frame_index) FROM g1)),
     {pchip_sql('f', 'g1', 'q', BOX)}, ok AS (SELECT *, coalesce(nk, 0) >= 3 AS ok FROM f)
-    SELECT video_id, frame_index, {', '.join(f'round(CASE WHEN ok THEN {c} ELSE 0 END, 6) AS {c}' for c in BOX)},
+    SELECT video_id, frame_index, {', '.join(f'round({TIE} + CASE WHEN ok THEN {c} ELSE 0 END, 6) AS {c}' for c in BOX)},
       CASE WHEN ok THEN 'ground_truth_interpolated_pchip' ELSE 'ground_truth_missing' END AS bbox_source FROM ok
     UNION ALL SELECT video_id, frame_index, {_R}, 'ground_truth' FROM g1
       WHERE (video_id, frame_index) IN (SELECT (video_id, frame_index) FROM q0)""",
 )
 def _(spark, sf):
     out = I.ground_truth_trajectory(gt(spark, sf), preds(spark, sf), KEY)
-    return pick(out, *FRAME, *BOX, "bbox_source")
+    return pick(out, *FRAME, *BOX, "bbox_source", tie=TIE)
 
 
 @query(
@@ -283,4 +283,4 @@ def _(spark, sf):
     best = D.most_confident(preds(spark, sf), FRAME)
     known = best.where(~F.col("is_fallback") & (F.col("score") >= 0.97))
     out = I.fill_with_backoff(known, gt(spark, sf), KEY)
-    return pick(out, *FRAME, *BOX, "bbox_source")
+    return pick(out, *FRAME, *BOX, "bbox_source", tie=TIE)

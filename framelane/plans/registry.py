@@ -33,7 +33,14 @@ def r6(c: Column | str, places: int = 6) -> Column:
     return F.round(c.cast("double"), places)
 
 
-def pick(df: DataFrame, *cols: str) -> DataFrame:
+# Interpolation of two-decimal data often lands on ...5 in the seventh place, where the last bit
+# decides; queries and SQL then both round a value moved by this much.
+TIE = 3e-8
+
+
+def pick(df: DataFrame, *cols: str, tie: float = 0.0) -> DataFrame:
     """Project; doubles are rounded to 6 places."""
     kinds = dict(df.dtypes)
-    return df.select(*[r6(c).alias(c) if kinds[c] == "double" else F.col(c) for c in cols])
+    return df.select(
+        *[r6(F.col(c) + tie if tie else c).alias(c) if kinds[c] == "double" else F.col(c) for c in cols]
+    )
