@@ -233,6 +233,19 @@ def adaptive_savgol(
     return out.select(*[F.col(c) if c in (*key, *cols) else F.col(f"_rest.{c}").alias(c) for c in df.columns])
 
 
+def to_channels(df: DataFrame, key: Sequence[str], cols: Sequence[str], order: str = FRAME) -> DataFrame:
+    """Long form (key, order, channel, v): every column goes through the filters in one pass."""
+    return df.unpivot([*key, order], list(cols), "channel", "v")
+
+
+def from_channels(long: DataFrame, key: Sequence[str], cols: Sequence[str], order: str = FRAME) -> DataFrame:
+    return long.groupBy(*key, order).agg(*[F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in cols])
+
+
+def _put_back(df: DataFrame, new: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    return df.drop(*cols).join(new, [*key, FRAME]).select(*df.columns)
+
+
 def smooth_center(
     df: DataFrame,
     key: Sequence[str],
@@ -244,14 +257,16 @@ def smooth_center(
     **hampel_args,
 ) -> DataFrame:
     """Outliers out, gaps filled, smoothed; trajectories of at most two rows stay as they are."""
-    raw = [F.col(c).alias(f"_raw_{c}") for c in cols]
-    rows = df.select("*", *raw)
-    out = hampel_then_fill(rows, key, cols, seen, skip_hampel=skip_hampel, **hampel_args)
-    out = out.drop(*[f"{c}{s}" for c in cols for s in ("_marked", "_outlier")])
-    out = scan(adaptive_savgol(out, key, cols, window, polyorder), key, FRAME, total("_n", F.count(F.lit(1))))
+    rows = df if seen is None else df.withColumns({c: F.when(seen, F.col(c)) for c in cols})
+    by = [*key, "channel"]
+    long = hampel_then_fill(to_channels(rows, key, cols), by, ["v"], None, skip_hampel=skip_hampel, **hampel_args)
+    long = cut(long.select(*by, FRAME, "v"))
+    long = adaptive_savgol(long, by, ["v"], window, polyorder)
+    new = from_channels(long, key, cols).select(*key, FRAME, *[F.col(c).alias(f"_s_{c}") for c in cols])
+    out = scan(df, key, FRAME, total("_n", F.count(F.lit(1)))).join(new, [*key, FRAME])
     return out.select(
         *[
-            F.when(F.col("_n") > 2, F.col(c)).otherwise(F.col(f"_raw_{c}")).alias(c) if c in cols else F.col(c)
+            F.when(F.col("_n") > 2, F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
             for c in df.columns
         ]
     )
@@ -265,18 +280,23 @@ SIZE = ("w", "h")
 
 
 def size_none(df, key, seen=None, **_):
-    for c in SIZE:
-        df = fill_nulls(df, key, c)
-    return df
+    by = [*key, "channel"]
+    return _put_back(df, from_channels(fill_nulls(to_channels(df, key, SIZE), by, "v"), key, SIZE), key, SIZE)
+
+
+def _smooth_sizes(long, key, window, polyorder):
+    out = adaptive_savgol(long, [*key, "channel"], ["v"], window, polyorder)
+    return from_channels(_at_least_one(out, ["v"]), key, SIZE)
 
 
 def size_independent(df, key, seen=None, skip_hampel=False, window=7, polyorder=2, macro_ratio=0.15, micro_half=5):
     """Hampel and smoothing of width and height on their own; the observation mask plays no part here."""
-    out = df
+    by = [*key, "channel"]
+    long = to_channels(df, key, SIZE)
     if not skip_hampel:
-        out = two_scale_hampel(df, key, SIZE, macro_ratio, micro_half=micro_half)
-        out = cut(out.select(*[F.col(f"{c}_clean").alias(c) if c in SIZE else F.col(c) for c in df.columns]))
-    return _at_least_one(adaptive_savgol(out, key, SIZE, window, polyorder), SIZE)
+        long = two_scale_hampel(long, by, ["v"], macro_ratio, micro_half=micro_half)
+        long = cut(long.select(*by, FRAME, F.col("v_clean").alias("v")))
+    return _put_back(df, _smooth_sizes(long, key, window, polyorder), key, SIZE)
 
 
 def size_fixed(df, key, seen=None, percentile=95.0, **_):
@@ -299,20 +319,23 @@ def size_area_limit(df, key, seen=None, max_change=0.20, window=7, polyorder=2,
     prev = cut(scan(prev, key, FRAME, total("_calm", F.count_if("_ok"))))
     enough = F.col("_calm") >= 3
     few = prev.where(~enough).select(*df.columns)
-    most = prev.where(enough).select(
-        *[F.when(F.col("_ok"), F.col(c)).alias(c) if c in SIZE else F.col(c) for c in df.columns]
-    )
-    for c in SIZE:
-        most = fill_nulls(most, key, c)
-    most = _at_least_one(adaptive_savgol(most, key, SIZE, window, polyorder), SIZE)
+    most = prev.where(enough)
+    calm = most.select(*[F.when(F.col("_ok"), F.col(c)).alias(c) if c in SIZE else F.col(c) for c in df.columns])
+    long = cut(fill_nulls(to_channels(calm, key, SIZE), [*key, "channel"], "v"))
+    most = _put_back(most.select(*df.columns), _smooth_sizes(long, key, window, polyorder), key, SIZE)
     return most.unionByName(
         size_independent(few, key, skip_hampel=skip_hampel, window=window, polyorder=polyorder)
     )
 
 
 def size_hampel_only(df, key, seen=None, skip_hampel=False, macro_ratio=0.15, micro_half=5, **_):
-    out = hampel_then_fill(df, key, SIZE, seen, skip_hampel=skip_hampel, macro_ratio=macro_ratio, micro_half=micro_half)
-    return _at_least_one(out, SIZE).select(*df.columns)
+    rows = df if seen is None else df.withColumns({c: F.when(seen, F.col(c)) for c in SIZE})
+    by = [*key, "channel"]
+    long = hampel_then_fill(
+        to_channels(rows, key, SIZE), by, ["v"], None, skip_hampel=skip_hampel,
+        macro_ratio=macro_ratio, micro_half=micro_half,
+    )
+    return _put_back(df, from_channels(_at_least_one(long, ["v"]), key, SIZE), key, SIZE)
 
 
 SIZE_RULES = {

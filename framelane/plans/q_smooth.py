@@ -184,3 +184,142 @@ def _(spark, sf):
 def _(spark, sf):
     out = S.adaptive_savgol(first(spark, sf).select(*FRAME, "x", "y"), KEY, ["x", "y"])
     return pick(out, *out.columns, tie=TIE)
+
+
+def two_scale_pair(p: str, src: str, micro: int) -> str:
+    return f"""{p}_i AS (SELECT *, {_POS} FROM {src}), {two_scale_sql(f'{p}_w', f'{p}_i', 'w', micro)},
+    {two_scale_sql(f'{p}_h', f'{p}_i', 'h', micro)},
+    {p} AS (SELECT i.video_id, i.frame_index, a.w, b.h FROM {p}_i i JOIN {p}_w a USING (video_id, i) JOIN {p}_h b USING (video_id, i))"""
+
+
+def center_sql(p: str, src: str) -> str:
+    return f"""{filled_sql(f'{p}_x', src, 'cx')}, {filled_sql(f'{p}_y', src, 'cy')},
+    {p}_j AS (SELECT video_id, frame_index, cx, cy FROM {p}_x JOIN {p}_y USING (video_id, frame_index)),
+    {adaptive_sql(f'{p}_o', f'{p}_j', ('cx', 'cy'))},
+    {p} AS (SELECT r.video_id, r.frame_index, CASE WHEN n > 2 THEN o.cx ELSE r.cx END AS cx, CASE WHEN n > 2 THEN o.cy ELSE r.cy END AS cy
+      FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM {src}) r JOIN {p}_o o USING (video_id, frame_index))"""
+
+
+def _r(*cols: str) -> str:
+    return ", ".join(f"round({c} + {TIE}, 6) AS {c.split('.')[-1]}" for c in cols)
+
+
+@query(
+    "smooth_center",
+    "T12",
+    f"WITH {PREDS}, {FIRST}, {CEN}, {center_sql('c', 'cn')} SELECT video_id, frame_index, {_r('cx', 'cy')} FROM c",
+)
+def _(spark, sf):
+    out = S.smooth_center(centers(spark, sf).select(*FRAME, "cx", "cy"), KEY)
+    return pick(out, *out.columns, tie=TIE)
+
+
+@query(
+    "size_independent",
+    "T13",
+    f"""WITH {PREDS}, {FIRST}, {CEN}, sz AS (SELECT video_id, frame_index, w, h FROM cn), {two_scale_pair('p', 'sz', 5)},
+    {adaptive_sql('o', 'p', ('w', 'h'))}
+    SELECT video_id, frame_index, round(greatest(w, 1) + {TIE}, 6) AS w, round(greatest(h, 1) + {TIE}, 6) AS h FROM o""",
+)
+def _(spark, sf):
+    out = S.size_independent(centers(spark, sf).select(*FRAME, "w", "h"), KEY)
+    return pick(out, *out.columns, tie=TIE)
+
+
+@query(
+    "size_fixed_percentile",
+    "T14",
+    f"""WITH {PREDS}, {FIRST} SELECT video_id, frame_index, round(greatest(quantile_cont(w, 0.95) OVER p, 1), 6) AS w,
+      round(greatest(quantile_cont(h, 0.95) OVER p, 1), 6) AS h FROM pf WINDOW p AS (PARTITION BY video_id)""",
+)
+def _(spark, sf):
+    out = S.size_fixed(centers(spark, sf).select(*FRAME, "w", "h"), KEY)
+    return pick(out, *out.columns)
+
+
+_AREA = f"""ar AS (SELECT video_id, frame_index, w, h, coalesce(abs(w * h - lag(w * h) OVER v) / (lag(w * h) OVER v + 1e-9) > 0.2, false) AS bad
+    FROM cn WINDOW v AS (PARTITION BY video_id ORDER BY frame_index)),
+  ac AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY video_id) AS calm FROM ar),
+  ak AS (SELECT video_id, frame_index, w, h FROM ac WHERE calm >= 3 AND NOT bad),
+  az AS (SELECT video_id, frame_index FROM ac WHERE calm >= 3 AND bad), {pchip_sql('af', 'ak', 'az', ('w', 'h'))},
+  am AS (SELECT video_id, frame_index, w, h FROM af UNION ALL SELECT video_id, frame_index, w, h FROM ak),
+  {adaptive_sql('ao', 'am', ('w', 'h'))},
+  fw AS (SELECT video_id, frame_index, w, h FROM ac WHERE calm < 3), {two_scale_pair('fp', 'fw', 5)},
+  {adaptive_sql('fo', 'fp', ('w', 'h'))}"""
+
+
+@query(
+    "size_area_limit",
+    "T15",
+    f"""WITH {PREDS}, {FIRST}, {CEN}, {_AREA}
+    SELECT video_id, frame_index, round(greatest(w, 1) + {TIE}, 6) AS w, round(greatest(h, 1) + {TIE}, 6) AS h
+    FROM (SELECT * FROM ao UNION ALL SELECT * FROM fo)""",
+)
+def _(spark, sf):
+    out = S.size_area_limit(centers(spark, sf).select(*FRAME, "w", "h"), KEY)
+    return pick(out, *FRAME, "w", "h", tie=TIE)
+
+
+def size_hampel_sql(p: str) -> str:
+    return f"""{filled_sql(f'{p}w', 'cn', 'w', 5)}, {filled_sql(f'{p}h', 'cn', 'h', 5)},
+    {p} AS (SELECT video_id, frame_index, greatest(w, 1) AS w, greatest(h, 1) AS h FROM {p}w JOIN {p}h USING (video_id, frame_index))"""
+
+
+@query(
+    "size_hampel_only",
+    "T17",
+    f"WITH {PREDS}, {FIRST}, {CEN}, {size_hampel_sql('z')} SELECT video_id, frame_index, {_r('w', 'h')} FROM z",
+)
+def _(spark, sf):
+    out = S.size_hampel_only(centers(spark, sf).select(*FRAME, "w", "h"), KEY)
+    return pick(out, *out.columns, tie=TIE)
+
+
+@query(
+    "filter_detections",
+    "T18 T12 T17",
+    f"""WITH {PREDS}, {FIRST}, {CEN}, {center_sql('c', 'cn')}, {size_hampel_sql('z')},
+    j AS (SELECT c.video_id, c.frame_index, NOT is_fallback AS a, {', '.join(f'CASE WHEN NOT is_fallback THEN 0.3 * cn.{v} + 0.7 * {t}.{v} ELSE {t}.{v} END AS {v}' for v, t in (('cx', 'c'), ('cy', 'c'), ('w', 'z'), ('h', 'z')))}
+      FROM c JOIN z USING (video_id, frame_index) JOIN cn USING (video_id, frame_index))
+    SELECT video_id, frame_index, {_r('cx', 'cy', 'w', 'h')} FROM j""",
+)
+def _(spark, sf):
+    out = S.filter_detections(
+        centers(spark, sf), KEY, "hampel_only", anchor=~F.col("is_fallback"), anchor_keep=0.3
+    )
+    return pick(out, *FRAME, "cx", "cy", "w", "h", tie=TIE)
+
+
+_GCEN = "gc AS (SELECT video_id, frame_index, x + w / 2 AS cx, y + h / 2 AS cy, w, h FROM g1)"
+
+
+@query(
+    "dense_smoothed_annotations",
+    "T23 J10",
+    f"""WITH {GT}, {GT1}, {_GCEN}, ok AS (SELECT video_id, min(frame_index) AS a, max(frame_index) AS b FROM g1 GROUP BY 1 HAVING count(*) >= 4),
+    sp AS (SELECT video_id, CAST(unnest(range(a, b + 1)) AS INTEGER) AS frame_index FROM ok),
+    mi AS (SELECT * FROM sp ANTI JOIN gc USING (video_id, frame_index)), kn AS (SELECT * FROM gc SEMI JOIN ok USING (video_id)),
+    {pchip_sql('f', 'kn', 'mi', ('cx', 'cy', 'w', 'h'))},
+    u AS (SELECT video_id, frame_index, cx, cy, greatest(w, 1) AS w, greatest(h, 1) AS h FROM f UNION ALL SELECT video_id, frame_index, cx, cy, w, h FROM kn),
+    s0 AS (SELECT *, {_POS} FROM u), s AS (SELECT *, {window_sql('n', '5')} AS wl FROM s0), {poly_sql('o', 's', ('cx', 'cy', 'w', 'h'))},
+    r AS (SELECT s.video_id, s.frame_index, o.cx, o.cy, greatest(o.w, 1) AS w, greatest(o.h, 1) AS h FROM o JOIN s USING (video_id, i))
+    SELECT video_id, frame_index, round(cx - w / 2 + {TIE}, 6) AS x, round(cy - h / 2 + {TIE}, 6) AS y, {_r('w', 'h')} FROM r""",
+)
+def _(spark, sf):
+    out = S.dense_smoothed(gt(spark, sf), KEY)
+    return pick(out, *out.columns, tie=TIE)
+
+
+@query(
+    "gaussian_smoothing",
+    "T25",
+    f"""WITH {PREDS}, {FIRST}, s AS (SELECT video_id, frame_index, x, y, {_POS} FROM pf),
+    k AS (SELECT o, exp(-0.5 * (o / 1.25) * (o / 1.25)) AS k FROM range(-4, 5) t(o)),
+    kk AS (SELECT o, k / (SELECT sum(k) FROM k) AS k FROM k),
+    w AS (SELECT a.video_id, a.frame_index, sum(kk.k * b.x) AS x, sum(kk.k * b.y) AS y FROM s a, kk, s b
+      WHERE b.video_id = a.video_id AND b.i = least(greatest(a.i + o, 0), a.n - 1) AND a.n >= 3 GROUP BY 1, 2)
+    SELECT video_id, frame_index, {_r('x', 'y')} FROM w UNION ALL SELECT video_id, frame_index, {_r('x', 'y')} FROM s WHERE n < 3""",
+)
+def _(spark, sf):
+    out = S.gaussian(first(spark, sf).select(*FRAME, "x", "y"), KEY, ["x", "y"])
+    return pick(out, *out.columns, tie=TIE)
