@@ -176,7 +176,10 @@ def reverse_pooled(
         rows = rows.withColumn("reversed", F.lit(True))
     else:
         pooled = auc(rows, experiment).select(*experiment, "auc")
-        rows = rows.join(F.broadcast(pooled), list(experiment)) if experiment else rows.crossJoin(F.broadcast(pooled))
+        if experiment:
+            rows = rows.join(pooled, list(experiment))
+        else:
+            rows = rows.withColumn("auc", F.lit(pooled.first()["auc"]).cast("double"))
         rows = rows.withColumn("reversed", F.coalesce(F.col("auc") < 0.5, F.lit(False))).drop("auc")
     rows = rows.join(thresholds.select(*experiment, fold, "threshold"), [*experiment, fold], "left")
     p = G.unit_clip(F.when(F.col("reversed"), F.lit(1.0) - F.col("prob")).otherwise(F.col("prob")))

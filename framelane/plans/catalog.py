@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from framelane.plans import q_classify, q_evaluate, q_frames, q_smooth, q_trajectory  # noqa: F401
+from framelane.plans import q_associate, q_classify, q_confidence, q_evaluate, q_frames, q_smooth, q_trajectory  # noqa: F401
 from framelane.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
