@@ -292,7 +292,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = rows(spark, sf).withColumn("flat", F.col("w") / (F.col("h") + 1e-9))
-    long = df.select(*FRAME, "cx", "flat").unpivot(FRAME, ["cx", "flat"], "channel", "value")
+    pairs = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in ("cx", "flat")])
+    long = df.select(*FRAME, F.inline(pairs))
     return pick(X.channel_zscore(long), *FRAME, "channel", "value")
 
 

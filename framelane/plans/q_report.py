@@ -31,8 +31,11 @@ from framelane.session import cut
 FRAME = ["video_id", "frame_index"]
 BOX = ("x", "y", "w", "h")
 
-_FM = f"""fm AS (SELECT modality, fold, unnest([{{metric: 'accuracy', value: avg(CASE WHEN label_true = label_pred THEN 1.0::DOUBLE ELSE 0 END)}},
-    {{metric: 'prob', value: max(prob)}}, {{metric: 'prob_mean', value: avg(prob)}}, {{metric: 'prob_std', value: stddev_pop(prob)}}], recursive := true) FROM clf GROUP BY ALL)"""
+_ACC = "avg(CASE WHEN label_true = label_pred THEN 1.0::DOUBLE ELSE 0 END)"
+_FM = "fm AS (" + " UNION ALL ".join(
+    f"SELECT modality, fold, '{n}' AS metric, {e} AS value FROM clf GROUP BY ALL"
+    for n, e in (("accuracy", _ACC), ("prob", "max(prob)"), ("prob_mean", "avg(prob)"), ("prob_std", "stddev_pop(prob)"))
+) + ")"
 
 
 @query(
