@@ -126,3 +126,51 @@ def expand_box(
     x0 = F.greatest(d(0), center_x(x, w) - nw / d(2))
     y0 = F.greatest(d(0), center_y(y, h) - nh / d(2))
     return x0, y0, F.least(nw, img_w - x0), F.least(nh, img_h - y0)
+
+
+def choose_roi(gt_box: Column, seg_box: Column, pred_box: Column, pad: float, img_w: float, img_h: float) -> Column:
+    """Padded region of the first box that exists (annotation mask, segmentation, prediction), else the whole image.
+
+    Boxes are structs x, y, w, h; a region of at most one pixel becomes the whole image too.
+    """
+    whole = F.struct(*[d(v).alias(n) for n, v in zip("xywh", (0.0, 0.0, img_w, img_h))])
+    b = F.coalesce(gt_box, seg_box, pred_box, whole)
+    x, y, w, h = expand_box(b["x"], b["y"], b["w"], b["h"], pad, d(img_w), d(img_h))
+    roi = F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+    return F.when((w <= 1) | (h <= 1), whole).otherwise(roi)
+
+
+def project_to_roi(box: Sequence[Column], roi: Column) -> Column:
+    """Corners of a box inside a region, clipped to it; null when less than a pixel is left."""
+    x, y, w, h = box
+
+    def clip(v: Column, size: Column) -> Column:
+        return F.greatest(d(0), F.least(v, size - d(1)))
+
+    x0, x1 = clip(x - roi["x"], roi["w"]), clip(x - roi["x"] + w, roi["w"])
+    y0, y1 = clip(y - roi["y"], roi["h"]), clip(y - roi["y"] + h, roi["h"])
+    ok = (x1 - x0 >= 1) & (y1 - y0 >= 1) & (roi["w"] > 1) & (roi["h"] > 1)
+    return F.when(ok, F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
+# Other names of the weight sources.
+WEIGHT_NAMES = {
+    "score": "detection_score",
+    "det_score": "detection_score",
+    "detector_score": "detection_score",
+    "conf": "confidence",
+    "iou": "iou_pred",
+    "iou_predicted": "iou_pred",
+}
+
+
+def sample_weight(source: str) -> Column:
+    """Weight of a frame (columns score, confidence, components, seg_score) by source, with fall-backs, never negative."""
+    name = (source or "").strip().lower()
+    name = WEIGHT_NAMES.get(name, name)
+    comp = F.col("components")
+    own = {
+        "iou_pred": [comp["iou_pred"], comp["iou"], comp["pred_iou"], F.col("seg_score")],
+        "confidence": [F.col("confidence")],
+    }.get(name, [F.col("score")])
+    return F.greatest(d(0), F.coalesce(*own, F.col("score"), F.col("confidence"), d(0)))
