@@ -168,3 +168,94 @@ def poly_smooth(
             for a, l, f, s, m, w, p in zip(v, lo, first, stop, n, wl, po)
         ]
     )
+
+
+def _spline_moments(t: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Second derivatives of the interpolating cubic spline whose first two and last two pieces are one cubic."""
+    h, d = np.diff(t), np.diff(y) / np.diff(t)
+    n = len(t)
+    a, rhs = np.zeros((n, n)), np.zeros(n)
+    i = np.arange(1, n - 1)
+    a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+    rhs[1:-1] = 6 * np.diff(d)
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    return np.linalg.solve(a, rhs)
+
+
+# A spline forgets a border condition by at least a factor 2 per knot.
+SPLINE_REACH = 64
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in "dcb"]))
+def spline_pieces(t: pd.Series, y: pd.Series, lo: pd.Series, first: pd.Series, stop: pd.Series) -> pd.DataFrame:
+    """Polynomial of the interval after each core knot (linear below four knots)."""
+    out = {c: [] for c in "dcb"}
+    for tt, yy, l, f, s in zip(t, y, lo, first, stop):
+        tt, yy = np.asarray(tt, dtype=float), np.asarray(yy, dtype=float)
+        h, d = np.diff(tt), np.diff(yy) / np.diff(tt)
+        m = _spline_moments(tt, yy) if len(tt) >= 4 else np.zeros(len(tt))
+        coef = {"d": d - h * (2 * m[:-1] + m[1:]) / 6, "c": m[:-1] / 2, "b": np.diff(m) / (6 * h)}
+        for c in "dcb":
+            # the last knot of a trajectory has no piece
+            out[c].append(np.append(coef[c], 0.0)[f - l : s - l])
+    return pd.DataFrame(out)
+
+
+def local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, core: range, r: int, n: int, mean: float) -> np.ndarray:
+    """Locally weighted line at each core row: tricube weights over the ``r`` nearest rows times ``robust``."""
+    out = np.empty(len(core))
+    for k, i in enumerate(core):
+        dist = np.abs(x - x[i])
+        h = np.partition(dist, min(r, len(x)) - 1)[min(r, len(x)) - 1]
+        h = h if h > 1e-12 else max(float(dist.max()), 1.0)
+        w = (1.0 - np.clip(dist / h, 0.0, 1.0) ** 3) ** 3 * robust
+        if np.count_nonzero(w > 1e-12) < 2:
+            out[k] = mean
+            continue
+        u = x - x[i]
+        s0, s1, s2 = w.sum(), (w * u).sum(), (w * u * u).sum()
+        b0, b1 = (w * y).sum(), (w * u * y).sum()
+        det = s0 * s2 - s1 * s1
+        out[k] = (s2 * b0 - s1 * b1) / det if det > 1e-14 * s0 * s2 else b0 / s0
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def lowess_pass(
+    x: pd.Series, y: pd.Series, w: pd.Series, lo: pd.Series, first: pd.Series, stop: pd.Series, n: pd.Series,
+    r: pd.Series, mean: pd.Series,
+) -> pd.Series:
+    return pd.Series(
+        [
+            local_lines(np.asarray(a, float), np.asarray(b, float), np.asarray(c, float), range(f - l, s - l), k, m, mu)
+            for a, b, c, l, f, s, m, k, mu in zip(x, y, w, lo, first, stop, n, r, mean)
+        ]
+    )
+
+
+# Weight 4 on trusted rows damps a border condition by more than 5 per row.
+TRUST_REACH = 40
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def trusted_positions(
+    v: pd.Series, move: pd.Series, steps: pd.Series, anchor: pd.Series, lo: pd.Series, first: pd.Series, stop: pd.Series
+) -> pd.Series:
+    """Least squares positions of trusted rows: own value (weight 2 squared), increments between them, one anchor."""
+    out = []
+    for vv, mv, st, an, l, f, s in zip(v, move, steps, anchor, lo, first, stop):
+        vv, an = np.asarray(vv, float), np.asarray(an, float)
+        g = np.asarray(mv, float)[:-1]
+        k = 1.0 / np.asarray(st, float)[:-1]
+        n = len(vv)
+        a, b = np.diag(4.0 + an), 4.0 * vv + an * vv
+        i = np.arange(n - 1)
+        a[i, i] += k
+        a[i + 1, i + 1] += k
+        a[i, i + 1] -= k
+        a[i + 1, i] -= k
+        b[:-1] -= k * g
+        b[1:] += k * g
+        out.append(np.linalg.solve(a, b)[f - l : s - l])
+    return pd.Series(out)
