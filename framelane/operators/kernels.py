@@ -34,6 +34,8 @@ def blocks(
     span = F.greatest(F.lit(CORE), reach).cast("long")
     out = df.withColumns({"_reach": reach.cast("long"), "_span": span})
     out = halo(out, pos, F.col("_reach"), F.col("_reach"), F.col("_span"))
+    # rows near the end also reach for a block behind the last one, which has no core
+    out = out.where(F.col(BLOCK) * F.col("_span") < F.col(n))
     rec = F.struct(F.col(pos).alias("_p"), *[F.col(c) for c in dict.fromkeys([*cols, *keep])])
     out = out.groupBy(*key, BLOCK, n, "_span").agg(F.sort_array(F.collect_list(rec)).alias("_rows"))
     first = F.col(BLOCK) * F.col("_span")
