@@ -153,3 +153,17 @@ def rolling(
     w = Window.partitionBy(*key, BLOCK).orderBy("pos0").rowsBetween(-half, half)
     out = out.select("*", *[c.over(w).alias(n) for n, c in aggs.items()])
     return out.where("_core").drop(BLOCK, "_core", "pos0")
+
+
+def closest_window(
+    df: DataFrame, key: Sequence[str], flag: Column, size: int, target: float, order: str = "frame_index"
+) -> DataFrame:
+    """Window of ``size`` rows whose share of true flags is closest to ``target``; the earliest of equal ones."""
+    out = scan(df.withColumn("_f", flag.cast("double")), key, order, row_position(), total("_n", F.count(F.lit(1))))
+    out = halo(out, "pos0", 0, size - 1, SPAN)
+    w = Window.partitionBy(*key, BLOCK).orderBy("pos0").rowsBetween(0, size - 1)
+    out = out.withColumn("ratio", F.avg("_f").over(w)).where(F.col("_core") & (F.col("pos0") <= F.col("_n") - size))
+    best = F.min(F.struct(F.abs(F.col("ratio") - target).alias("d"), F.col("pos0"), F.col(order).alias("f"), F.col("ratio")))
+    return out.groupBy(*key).agg(best.alias("b")).select(
+        *key, F.col("b.pos0").alias("start"), F.col("b.f").alias("start_frame"), F.col("b.ratio").alias("ratio")
+    )

@@ -314,3 +314,15 @@ def _(spark, sf):
 
     out = trajectory_quality(rows(spark, sf), KEY)
     return pick(out, *out.columns)
+
+
+@query(
+    "ablation_group_columns",
+    "F27 U1",
+    f"""{BASE}, {_VF}, m AS (SELECT video_id, round(f1, 6) AS f1, round(coalesce(f2, 0), 6) AS f2 FROM vf) SELECT video_id, f1, f2 FROM m""",
+)
+def _(spark, sf):
+    from framelane.operators.modelling import ablation_columns
+
+    families = {"geometry": ["f1"], "texture": ["f3"], "motion": ["f2"]}
+    return pick(video_features(spark, sf), "video_id", *ablation_columns(families, "GM"))

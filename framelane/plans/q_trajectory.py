@@ -284,3 +284,16 @@ def _(spark, sf):
     known = best.where(~F.col("is_fallback") & (F.col("score") >= 0.97))
     out = I.fill_with_backoff(known, gt(spark, sf), KEY)
     return pick(out, *FRAME, *BOX, "bbox_source", tie=TIE)
+
+
+@query(
+    "closest_window",
+    "T35",
+    f"""WITH {PREDS}, {FIRST}, a AS (SELECT video_id, frame_index, row_number() OVER {_W} - 1 AS p, count(*) OVER (PARTITION BY video_id) AS n,
+      avg(CASE WHEN coalesce(score, 0) < 0.4 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS r FROM pf)
+    SELECT video_id, p AS start, frame_index AS start_frame, round(r, 6) AS ratio FROM a WHERE p <= n - 10
+    QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY abs(r - 0.3), p) = 1""",
+)
+def _(spark, sf):
+    out = R.closest_window(first(spark, sf), KEY, F.coalesce("score", F.lit(0.0)) < 0.4, 10, 0.3)
+    return pick(out, *KEY, "start", "start_frame", "ratio")
