@@ -198,9 +198,17 @@ def _(spark, sf):
     return M.apply_pca(e, "embedding", M.fit_pca(e, "embedding", 8)).select("vec_id", "embedding")
 
 
-@query("random_projection", "F19")
+_PROJ = M.random_projection(64, 8)
+_PSQL = ", ".join(
+    f"round({' + '.join(f'embedding[{i + 1}]::DOUBLE * ({float(_PROJ[i, j])!r})' for i in range(64))}, 6) AS p{j}" for j in range(8)
+)
+
+
+@query("random_projection", "F19", f"SELECT vec_id, {_PSQL} FROM embeddings")
 def _(spark, sf):
-    return M.project(emb(spark, sf), "embedding", M.random_projection(64, 8)).select("vec_id", "embedding")
+    out = M.project(emb(spark, sf), "embedding", _PROJ)
+    out = out.select("vec_id", *[F.col("embedding")[j].alias(f"p{j}") for j in range(8)])
+    return pick(out, *out.columns)
 
 
 @query("channel_pca", "F20")
