@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelane import session
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,7 +21,13 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Q
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is already registered")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            session.ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         COVERS[name] = covers
         if sql is not None:
             ORACLES[name] = sql

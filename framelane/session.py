@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ CONF = {
 }
 
 _CUTS: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def build(master: str, app: str = "framelane", partitions: int | None = None, **conf: str) -> SparkSession:
@@ -26,13 +29,40 @@ def build(master: str, app: str = "framelane", partitions: int | None = None, **
     settings.update(conf)
     for name, value in settings.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; also for a session that someone else made."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(root)
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "framelane_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, top))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """Folder the cluster names in spark.checkpoint.dir.
+
+    Unset, a temporary folder serves on one machine only; on a cluster that is
+    an error, as each executor would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
