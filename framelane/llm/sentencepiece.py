@@ -210,20 +210,20 @@ class Model:
         return ids.astype(np.int32), sizes
 
     def _chunk(self, word: str) -> bytes:
-        """Bytes of a remembered word: with the mark before it, but after a line's end or where it is spelled out."""
-        if word[:1] == "\n":
-            return word.encode()
-        return word[1:].encode() if word[:1] == "\0" else (MARK + word).encode()
+        """Bytes of a remembered word that has no mark before it: after a line's end, or spelled out."""
+        return word.encode() if word[:1] == "\n" else word[1:].encode()
 
     def learn(self, new: set[str]) -> None:
         """Solve words not yet remembered."""
-        pairs = sorted(((self._chunk(w), w) for w in new), key=lambda p: (-len(p[0]), p[0]))
+        words = list(new)
+        chunks = [(MARK + w).encode() if w[:1] not in ("\n", "\0") else self._chunk(w) for w in words]
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(-lengths, kind="stable")
+        lengths, order = lengths[order], order.tolist()
         ids, sizes, lo = [], [], 0
-        while lo < len(pairs):
-            hi = lo + 1
-            while hi < min(len(pairs), lo + 8192) and len(pairs[hi][0]) * 4 >= len(pairs[lo][0]) * 3:
-                hi += 1
-            group = [c for c, _ in pairs[lo:hi]]
+        while lo < len(order):
+            hi = min(lo + 8192, int(np.searchsorted(-lengths, -int(lengths[lo] * 0.75), side="right")), len(order))
+            group = [chunks[i] for i in order[lo:hi]]
             if len(group) >= TOGETHER:
                 x, k = self.solve_together(group)
             else:
@@ -234,7 +234,7 @@ class Model:
             sizes.append(np.asarray(k, np.int64))
             lo = hi
         start = len(self.size)
-        self.words.update((w, start + i) for i, (_, w) in enumerate(pairs))
+        self.words.update(zip([words[i] for i in order], range(start, start + len(order))))
         self.flat, self.size = np.concatenate([self.flat, *ids]), np.concatenate([self.size, *sizes])
         self.at = np.cumsum(self.size) - self.size
 
