@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,21 @@ BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 
+#: Bytes of words: all but space, tab, line feed, vertical tab, form feed and carriage return.
+NOT_SPACE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+
+
+def word_spans(body: bytes, member: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words of a text (runs of member bytes) joined by one space, with the start and end of each."""
+    a = np.frombuffer(body, np.uint8)
+    word = member[a]
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    joined = np.where(word, a, np.uint8(32))[keep]
+    edge = np.diff(np.concatenate([[0], word[keep].view(np.int8), [0]]))
+    return joined.tobytes(), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bound what one Arrow batch holds, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

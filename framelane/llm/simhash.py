@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm.common import bounded_batches, keep_ids
+from framelane.llm.common import NOT_SPACE, bounded_batches, keep_ids, word_spans
 from framelane.llm.components import components
 
 SHINGLE = 3
@@ -26,24 +26,9 @@ SHORT = 16
 _SLICE = 1 << 16
 
 
-def word_spans(body: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Words of a text joined by one space, with the start and end of each."""
-    a = np.frombuffer(body, np.uint8)
-    word = ~((a == 32) | ((a >= 9) & (a <= 13)))
-    before = np.empty_like(word)
-    before[:1] = False
-    before[1:] = word[:-1]
-    keep = word | before
-    joined = np.where(word, a, np.uint8(32))[keep]
-    word = word[keep]
-    starts = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]])) if len(word) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(word & np.concatenate([~word[1:], [True]])) + 1 if len(word) else starts
-    return joined.tobytes(), starts, ends
-
-
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint of a whole text; 0 without a word."""
-    joined, starts, ends = word_spans((text or "").encode("utf-8", "surrogatepass").lower())
+    joined, starts, ends = word_spans((text or "").encode("utf-8", "surrogatepass").lower(), NOT_SPACE)
     n = len(starts)
     if not n:
         return 0
