@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm import exact_dedup, language_id, licenses, mixing, secrets, sentencepiece, simhash
+from framelane.llm import embedding_dedup, exact_dedup, language_id, licenses, mixing, secrets, sentencepiece, simhash
 from framelane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_embedding_dedup")
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     "op7_exact_dedup",
     """
