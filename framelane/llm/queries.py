@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm import embedding_dedup, exact_dedup, language_id, licenses, mixing, secrets, sentencepiece, simhash
+from framelane.llm import embedding_dedup, exact_dedup, language_id, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
 from framelane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents")))
 
 
+@query("op4_suffix_dedup")
+def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 @query("op5_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
