@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm import embedding_dedup, exact_dedup, language_id, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
+from framelane.llm import embedding_dedup, exact_dedup, html_extract, language_id, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
 from framelane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,8 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("copies"),
         F.round(F.get("positions", F.lit(0)), 6).alias("position"),
     )
+
+
+@query("op10_html_extract")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
