@@ -37,7 +37,8 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BAT
 
 def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is among ``ids``; columns as in ``docs``, whatever they are called."""
-    return docs.join(ids.select(F.col(key).alias("__kept_id")), docs[key] == F.col("__kept_id"), "left_semi")
+    kept = ids.select(F.col(key).alias("__kept_id"))
+    return docs.join(kept, docs[key] == kept["__kept_id"], "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

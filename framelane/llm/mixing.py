@@ -147,5 +147,6 @@ def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     unique; rows with a null key are left out, as a position cannot be given to them.
     """
     copies = mix(docs, key, text, source).select(F.col(key).alias("__id"), F.explode("positions").alias("__at"))
-    out = docs.join(copies, docs[key] == F.col("__id"))
-    return out.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select(*[docs[c] for c in docs.columns])
+    order = (copies["__at"], copies["__id"])
+    out = docs.join(copies, docs[key] == copies["__id"])
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[docs[c] for c in docs.columns])
