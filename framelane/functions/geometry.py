@@ -174,3 +174,8 @@ def sample_weight(source: str) -> Column:
         "confidence": [F.col("confidence")],
     }.get(name, [F.col("score")])
     return F.greatest(d(0), F.coalesce(*own, F.col("score"), F.col("confidence"), d(0)))
+
+
+def track_value(c: Column) -> Column:
+    """Track coordinates are stored to three decimals."""
+    return F.round(c, 3)

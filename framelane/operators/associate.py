@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
@@ -191,18 +191,37 @@ def _order_key(row_id: Column, replicate: Column) -> Column:
     return F.md5(F.concat_ws("-", row_id.cast("string"), replicate.cast("string")))
 
 
-def shuffled_positions(df: DataFrame, row_id: str, replicates: int) -> DataFrame:
-    """``perm`` and ``pos0``: the place of each row in each random order.
+def shuffled_positions(df: DataFrame, row_id: str, replicates: int, first: int = 0) -> DataFrame:
+    """``perm`` (from ``first`` on) and ``pos0``: the place of each row in each random order.
 
     Digests are uniform, so their leading digits cut every order into even
     blocks; no replicate is sorted in one task.
     """
-    rows = df.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = df.withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1))))
     rows = rows.withColumn("_h", _order_key(F.col(row_id), F.col("perm")))
     rows = rows.withColumn("_hb", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     return scan(rows, ["perm"], "_h", row_position(), block="_hb").drop("_h", "_hb")
 
 
+def first_sums(rows: DataFrame, row_id: str, value: str, take: int, replicates: int) -> DataFrame:
+    """(perm, sa): sum of ``value`` over the first ``take`` rows of each random order.
+
+    Whole digest blocks are summed where the rows are, so a replicate shuffles one row per
+    task and block; only the block in which the count is reached is put in order.
+    """
+    deals = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    deals = deals.withColumn("_h", _order_key(F.col(row_id), F.col("perm")))
+    deals = deals.withColumn("_hb", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    upto = Window.partitionBy("perm").orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = deals.groupBy("perm", "_hb").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+    blocks = blocks.select("perm", "_hb", "n", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"before_{c}") for c in ("n", "s")])
+    edge = cut(blocks.where((F.col("before_n") < take) & (F.col("before_n") + F.col("n") >= take)))
+    place = Window.partitionBy("perm").orderBy("_h")
+    last = deals.join(edge, ["perm", "_hb"]).withColumn("_k", F.row_number().over(place))
+    last = last.where(F.col("_k") <= take - F.col("before_n"))
+    return last.groupBy("perm").agg((F.first("before_s") + F.sum(value)).alias("sa"))
+
+
 def permutation_p_mean_diff(df: DataFrame, row_id: str, value: str, in_a: Column, replicates: int) -> DataFrame:
     """Two-sided p of mean(A) - mean(B) when membership is shuffled: (hits + 1) / (replicates + 1)."""
     rows = cut(df.select(row_id, F.col(value).alias("v"), in_a.alias("a")))
@@ -217,8 +236,7 @@ def permutation_p_mean_diff(df: DataFrame, row_id: str, value: str, in_a: Column
         return rows.sparkSession.range(1).select(
             F.lit(None).cast("double").alias("observed"), F.lit(None).cast("double").alias("p_value")
         )
-    p = shuffled_positions(rows.select(row_id, "v"), row_id, replicates)
-    part = p.where(F.col("pos0") < na).groupBy("perm").agg(F.sum("v").alias("sa"))
+    part = first_sums(rows.select(row_id, "v"), row_id, "v", na, replicates)
     d = F.col("sa") / na - (F.lit(obs["s"]) - F.col("sa")) / (n - na)
     hits = part.agg(F.count_if(F.abs(d) >= abs(obs["d"])).alias("c"))
     return hits.select(

@@ -11,6 +11,7 @@ from framelane.functions import geometry as G
 from framelane.operators.ordered import previous_known, running_sum, total
 from framelane.operators.ranked import average_rank, ranked
 
+# 91 candidate thresholds from 0.05 to 0.95.
 GRID = [0.05 + 0.9 * i / 90 for i in range(91)]
 
 
@@ -216,6 +217,7 @@ MODALITY_NAMES = {
     "R1": "rest",
     "R2": "rest_post",
 }
+# Order in which modalities are listed.
 MODALITY_ORDER = ["doppler", "grasp", "relax", "rest", "rest_post"]
 
 

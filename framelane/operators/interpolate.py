@@ -65,6 +65,8 @@ def pieces(
             )
         }
     )
+    if kind not in ("pchip", "linear"):
+        raise ValueError(f"unknown kind of piece {kind!r}")
     coef = []
     if kind == "linear":
         zero = F.lit(0.0)
@@ -116,6 +118,10 @@ def fill(
     Outside the knots the end piece goes on (``linear``: stays flat) and is
     clipped to the range of the knots. One knot: constant. No knot: 0.
     """
+    if kind == "cubic":
+        from framelane.operators.reconstruct import cubic_fill
+
+        return cubic_fill(rows, key, values, known, order, count="knots")
     flagged = rows.withColumn("_k", F.coalesce(known, F.lit(False)))
     knots = pieces(flagged.where("_k"), key, values, order, kind)
     rest = flagged.where(~F.col("_k"))

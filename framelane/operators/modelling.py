@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
@@ -93,14 +93,32 @@ def apply_pca(df: DataFrame, vector: str, model: dict) -> DataFrame:
     return project(df, vector, model["axes"], model["mean"], model["k"])
 
 
-def random_projection(d: int, k: int, seed: int = 42) -> np.ndarray:
-    """Gaussian d x k matrix with unit columns (identity where nothing is reduced)."""
+def projection_weights(spark: SparkSession, d: int, k: int, seed: int = 42) -> DataFrame:
+    """(j, weights): a unit direction of d Gaussian numbers per output, drawn from digests of (seed, input, output)."""
+    cells = spark.range(d).withColumnRenamed("id", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
+    u, v = [(F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0) for at in (1, 9)]
+    cells = cells.withColumn("g", F.sqrt(-2.0 * F.log(u)) * F.cos(v * F.lit(6.283185307179586)))
+    out = cells.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("i", "g"))).alias("g"), F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("norm"))
+    return out.select("j", F.transform("g", lambda x: x["g"] / F.col("norm")).alias("weights"))
+
+
+def random_projection(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
+    """``vector`` on k random directions; vectors of at most k numbers are padded with zeros instead.
+
+    The weights are one row (k arrays of the vector's length) beside every row.
+    """
+    first = df.select(F.size(vector).alias("d")).where("d >= 0").first()
+    d = first["d"] if first else 0
+    x = F.col(vector).cast("array<double>")
     if d <= k:
-        return np.eye(d, k)
-    rng = np.random.default_rng(int(seed) + d * 1009 + k * 917)
-    m = rng.standard_normal((d, k))
-    norm = np.sqrt((m * m).sum(axis=0, keepdims=True))
-    return m / np.where(norm < 1e-12, 1.0, norm)
+        return df.withColumn(vector, F.concat(x, F.array_repeat(F.lit(0.0), k - d)))
+    rows = sorted((r["j"], r["weights"]) for r in projection_weights(df.sparkSession, d, k, seed).collect())  # k x d numbers
+    parts = [
+        F.aggregate(F.zip_with(x, F.array(*[F.lit(w) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        for _, weights in rows
+    ]
+    return df.withColumn(vector, F.array(*parts))
 
 
 def channel_matrix(series: DataFrame, key: Sequence[str], channels: Sequence[str], value: str = "value") -> DataFrame:
@@ -280,38 +298,24 @@ def out_of_fold(
     return out
 
 
-def permutation_importance(
-    model, df: DataFrame, names: Sequence[str], row_id: str, label: str = "label", max_rows: int = 256, max_features: int = 96
-) -> DataFrame:
-    """Accuracy lost when one column is dealt out anew, for the columns of highest variance.
+def permutation_importance(model, df: DataFrame, names: Sequence[str], row_id: str, label: str = "label") -> DataFrame:
+    """Accuracy lost when one column is dealt out anew among all rows, for every column.
 
-    The rows evaluated are a fixed-size sample in digest order (that is the operator).
+    Row i of a random order gives its value to row i of the digest order of ids; both
+    orders are cut into digest blocks, so no column is dealt in one task.
     """
-    order = F.md5(F.col(row_id).cast("string"))
-    rows = cut(df.orderBy(order).limit(max_rows))
-    if len(names) > max_features:
-        var = rows.agg(*[F.var_pop(n).alias(n) for n in names]).first()
-        best = set(sorted(names, key=lambda n: -(var[n] or 0.0))[:max_features])
-        names_eval = [n for n in names if n in best]
-    else:
-        names_eval = list(names)
+    from framelane.operators.associate import shuffled_positions
+
     arr = F.array(*[F.col(n).cast("double") for n in names])
-    from pyspark.sql import Window
-
-    base = rows.select(row_id, label, arr.alias("x"))
-    # at most max_rows rows per feature, so these windows are bounded by the sample size
-    pos = {n: i for i, n in enumerate(names)}
-    feats = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(pos[n]).alias("at")) for n in names_eval])
-    copies = base.select("*", F.inline(feats))
-    w = Window.partitionBy("feature").orderBy(row_id)
-    dealt = Window.partitionBy("feature").orderBy(F.md5(F.concat_ws("-", "feature", F.col(row_id).cast("string"))))
-    copies = copies.withColumns({"_i": F.row_number().over(w), "_j": F.row_number().over(dealt)})
-    other = copies.select("feature", F.col("_j").alias("_i"), F.get("x", F.col("at")).alias("_v"))
-    mixed = copies.join(other, ["feature", "_i"]).withColumn(
-        "x", F.transform("x", lambda v, i: F.when(i == F.col("at"), F.col("_v")).otherwise(v))
-    )
-    base_row = base.select("*", F.lit("").alias("feature"))
-    both = base_row.select("feature", label, "x").unionByName(mixed.select("feature", label, "x"))
+    rows = cut(df.select(row_id, label, arr.alias("x")))
+    feature = F.array(*[F.lit(n) for n in names])
+    place = shuffled_positions(rows.select(row_id), row_id, 1).select(row_id, F.col("pos0").alias("i"))
+    dealt = shuffled_positions(rows.select(row_id, "x"), row_id, len(names), first=1)
+    dealt = dealt.select(F.col("pos0").alias("i"), (F.col("perm") - 1).alias("at"), F.get("x", F.col("perm") - 1).alias("v"))
+    mixed = rows.join(place, row_id).join(dealt, "i")
+    x = F.transform("x", lambda v, i: F.when(i == F.col("at"), F.col("v")).otherwise(v))
+    mixed = mixed.select(F.get(feature, F.col("at")).alias("feature"), label, x.alias("x"))
+    both = rows.select(F.lit("").alias("feature"), label, "x").unionByName(mixed)
     scored = positive_probability(model, both.withColumn("features", array_to_vector("x")))
     hit = ((F.col("prob") >= 0.5).cast("int") == F.col(label)).cast("double")
     acc = cut(scored.groupBy("feature").agg(F.avg(hit).alias("acc")))

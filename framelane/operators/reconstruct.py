@@ -43,7 +43,7 @@ def cubic_pieces(knots: DataFrame, key: Sequence[str], values: Sequence[str], or
     return out.select(*knots.columns, "n_knots", F.when(t1.isNotNull(), piece).alias("piece"))
 
 
-def cubic_fill(rows: DataFrame, key: Sequence[str], values: Sequence[str], known: Column, order: str = FRAME) -> DataFrame:
+def cubic_fill(rows: DataFrame, key: Sequence[str], values: Sequence[str], known: Column, order: str = FRAME, count: str | None = None) -> DataFrame:
     """Values on unknown rows by cubic spline, clipped to the range of the knots; straight lines below four knots."""
     rows = cut(rows.withColumn("_k", F.coalesce(known, F.lit(False))))
     knots = cubic_pieces(rows.where("_k"), key, values, order)
@@ -68,7 +68,7 @@ def cubic_fill(rows: DataFrame, key: Sequence[str], values: Sequence[str], known
         est = F.when(F.col("knots") == 0, F.lit(0.0)).when(F.col("knots") == 1, lo).otherwise(est)
         return F.when(F.col("_k"), F.col(v)).otherwise(est).alias(v)
 
-    return out.select(*[value(c) if c in values else F.col(c) for c in rows.columns if c != "_k"])
+    return out.select(*[value(c) if c in values else F.col(c) for c in rows.columns if c != "_k"], *([F.col("knots").alias(count)] if count else []))
 
 
 def spline_gaps(

@@ -17,7 +17,7 @@ DIRECT_SOURCES = ("detector", "tracker")
 
 
 def trajectory_quality(df: DataFrame, key: Sequence[str], order: str = "frame_index") -> DataFrame:
-    """Jitter, smoothness, area stability, path length and mean speed of each trajectory (cx, cy, w, h)."""
+    """Jitter, smoothness, area stability, path length and mean displacement per sample (0 for the first) of each trajectory."""
     out = neighbours(df, key, order, [order, "cx", "cy", "w", "h"], back=2)
     dt0 = F.greatest(F.col(order) - F.col(f"{order}_lag1"), F.lit(1))
     dt1 = F.greatest(F.col(f"{order}_lag1") - F.col(f"{order}_lag2"), F.lit(1))
@@ -45,10 +45,17 @@ def trajectory_quality(df: DataFrame, key: Sequence[str], order: str = "frame_in
         *[z(F.avg(F.abs((v0[c] - v1[c]) / mid))).alias(f"smoothness_{c}") for c in ("cx", "cy")],
         z(steady).alias("area_stability"),
         z(F.sum(step)).alias("path_length"),
-        z(F.avg(step / F.col("_dt0"))).alias("mean_speed"),
+        F.avg(z(step)).alias("mean_speed"),
     )
 
 
+def track_samples(df: DataFrame, key: Sequence[str], order: str = "frame_index") -> DataFrame:
+    """Centre and displacement of every sample (0 for the first), to three decimals as tracks are stored."""
+    out = neighbours(df, key, order, ["cx", "cy"], back=1)
+    step = F.coalesce(F.hypot(F.col("cx") - F.col("cx_lag1"), F.col("cy") - F.col("cy_lag1")), F.lit(0.0))
+    return out.select(*key, order, *[G.track_value(c).alias(n) for n, c in (("cx", F.col("cx")), ("cy", F.col("cy")), ("displacement", step))])
+
+
 def fallback_rate(trace: DataFrame, key: Sequence[str]) -> DataFrame:
     """Frames shown from anything but a direct observation, per key."""
     direct = F.lower(F.trim(F.coalesce("bbox_source", F.lit("")))).isin(*DIRECT_SOURCES)
@@ -166,7 +173,7 @@ def mask_metric_rollup(metrics: DataFrame, by: Sequence[str], names: Sequence[st
     )
 
 
-def fold_importance(imp: DataFrame, feature: str = "feature", value: str = "importance", fold: str = "fold", k: int = 5) -> DataFrame:
+def fold_importance(imp: DataFrame, feature: str = "feature", value: str = "importance", fold: str = "fold", k: int = 10) -> DataFrame:
     """Mean importance over all folds (absent counts as 0) and the places of the top and bottom features."""
     folds = imp.agg(F.countDistinct(fold)).first()[0]
     mean = imp.groupBy(feature).agg((F.sum(value) / F.lit(float(max(1, folds)))).alias("mean_importance"))
@@ -414,31 +421,3 @@ def threshold_sweep(
     )
     a = auc(frames, [*by, "threshold"]).select(*by, "threshold", F.col("auc").alias("auroc"))
     return out.join(a, [*by, "threshold"], "left")
-
-
-def corrupt(
-    df: DataFrame, key: Sequence[str], row_id: str, missing: float = 0.1, spikes: float = 0.1, size: float = 25.0
-) -> DataFrame:
-    """Put exact shares of missing and outlier frames into clean centres (cx, cy): adds rx, ry, missing, corrupt.
-
-    Frames are chosen in digest order, so a run can be repeated on any engine.
-    """
-    from framelane.operators.ordered import row_position, scan, total
-
-    h = F.md5(F.col(row_id).cast("string"))
-    rows = df.withColumns({"_h": h, "_hb": F.conv(F.substring(h, 1, 3), 16, 10).cast("int")})
-    rows = scan(rows, key, "_h", row_position("_r"), total("_n", F.count(F.lit(1))), block="_hb")
-    m, s = F.floor(F.col("_n") * missing), F.floor(F.col("_n") * spikes)
-    gone = F.col("_r") < m
-    hit = ~gone & (F.col("_r") < m + s)
-    angle = F.conv(F.substring("_h", 9, 8), 16, 10).cast("double") / F.lit(4294967296.0) * F.lit(6.283185307179586)
-    rows = rows.withColumns({"missing": gone, "corrupt": hit, "_a": angle})
-    return rows.select(
-        *df.columns,
-        "missing",
-        "corrupt",
-        *[
-            F.when(~F.col("missing"), F.col(c) + F.when(F.col("corrupt"), fn(F.col("_a")) * size).otherwise(0.0)).alias(r)
-            for c, r, fn in (("cx", "rx", F.cos), ("cy", "ry", F.sin))
-        ],
-    )

@@ -18,7 +18,6 @@ from framelane.operators.ranked import percentiles
 from framelane.session import cut
 
 FRAME = "frame_index"
-MAX_DENSE = 10_000
 
 
 def _positions(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -189,8 +188,7 @@ def adaptive_savgol(
     Evenly spaced trajectories are smoothed as they are. Others are resampled
     to every frame with PCHIP, smoothed with a window scaled by the density, and
     read back at their own frames (a knot of the resampled curve, so no second
-    interpolation). Trajectories that would need more than 10,000 frames are
-    smoothed directly, as the rule says.
+    interpolation). The rule is the same at every length: frames are filled block by block.
     """
     f = F.col(order)
     base = scan(
@@ -204,7 +202,7 @@ def adaptive_savgol(
     gap = f - F.col("_pf")
     base = cut(scan(base, key, order, total("_g0", F.min(gap), F.min), total("_g1", F.max(gap), F.max)))
     frames = (F.col("_f1") - F.col("_f0") + 1).cast("long")
-    dense = F.coalesce((F.col("_n") >= 4) & (F.col("_g0") != F.col("_g1")) & (frames <= MAX_DENSE), F.lit(False))
+    dense = F.coalesce((F.col("_n") >= 4) & (F.col("_g0") != F.col("_g1")), F.lit(False))
     base = base.withColumn("_real", F.lit(True))
     direct = base.where(~dense).withColumns({"_i": F.col("_pos"), "_len": F.col("_n")})
     even = pieces(base.where(dense), key, cols, order).withColumn("_len", frames)

@@ -115,9 +115,9 @@ def assert_disjoint(train: DataFrame, test: DataFrame, subject: str = "subject_i
         raise ValueError(f"held-out subjects in the training side: {leaked}")
 
 
-def labelled(entities: DataFrame, labels: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """Entities with their subject's label; entities without one are dropped."""
-    return entities.join(labels.select(subject, "label"), subject)
+def labelled(entities: DataFrame, labels: DataFrame, subject: str = "subject_id", how: str = "inner") -> DataFrame:
+    """Entities with their subject's label; those without one are dropped, or kept with ``how="left"`` for a guard to find."""
+    return entities.join(labels.select(subject, "label"), subject, how)
 
 
 def require_match(df: DataFrame, column: str, what: str) -> DataFrame:

@@ -11,7 +11,7 @@ from framelane.plans.registry import pick, query
 from framelane.session import cut
 
 ROUNDED = f"{MATCHED}, mr AS (SELECT video_id, frame_index, score, round(iou, 9) AS iou, round(ce, 9) AS ce FROM m)"
-SC = f"{ROUNDED}, s AS (SELECT *, video_id * 1000 + frame_index AS id FROM mr WHERE score IS NOT NULL)"
+SC = f"{ROUNDED}, s AS (SELECT *, video_id || ':' || frame_index AS id FROM mr WHERE score IS NOT NULL)"
 
 
 def matched(spark, sf):
@@ -22,7 +22,7 @@ def matched(spark, sf):
 
 def scored(spark, sf):
     m = matched(spark, sf).where(F.col("score").isNotNull())
-    return m.withColumn("id", F.col("video_id") * 1000 + F.col("frame_index"))
+    return m.withColumn("id", F.concat_ws(":", F.col("video_id").cast("string"), F.col("frame_index").cast("string")))
 
 
 def rank_sql(v: str, part: str = "") -> str:
@@ -119,7 +119,7 @@ def hex_sql(digest: str, i: int) -> str:
     "bootstrap_contrast",
     "A26",
     f"""{SC}, q AS (SELECT quantile_cont(score, 0.2) AS ql, quantile_cont(score, 0.8) AS qh FROM s),
-    h AS (SELECT iou, score, b, md5(id || '-' || b) AS d FROM s, range(25) t(b)),
+    h AS (SELECT iou, score, b, md5(id || '-' || b) AS d FROM s, range(1250) t(b)),
     x AS (SELECT iou, score, b * 4 + i AS draw, CAST('0x' || substr(d, CAST(1 + 8 * i AS BIGINT), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u
       FROM h, range(4) r(i)),
     w AS (SELECT iou, score, draw, {_POIS} AS w FROM x),
@@ -132,7 +132,7 @@ def _(spark, sf):
     q = A.low_high(df, [], "score", ["iou"]).first()
     low = F.when(F.col("score") <= q["q_low"], F.col("iou"))
     high = F.when(F.col("score") >= q["q_high"], F.col("iou"))
-    means = A.bootstrap_means(df, "id", {"low": low, "high": high}, 100)
+    means = A.bootstrap_means(df, "id", {"low": low, "high": high}, 5000)
     out = A.bootstrap_interval(means, F.col("high") - F.col("low"))
     return pick(out, *out.columns)
 
@@ -142,13 +142,13 @@ def _(spark, sf):
     "A27",
     f"""{SC}, f AS (SELECT id, ce AS v, score >= 0.5 AS a FROM s), o AS (SELECT count(*) FILTER (WHERE a) AS na, count(*) AS n, sum(v) AS sv,
       avg(v) FILTER (WHERE a) - avg(v) FILTER (WHERE NOT a) AS d FROM f),
-    p AS (SELECT perm, v, row_number() OVER (PARTITION BY perm ORDER BY md5(id || '-' || perm)) - 1 AS k FROM f, range(19) t(perm)),
+    p AS (SELECT perm, v, row_number() OVER (PARTITION BY perm ORDER BY md5(id || '-' || perm)) - 1 AS k FROM f, range(999) t(perm)),
     r AS (SELECT perm, sum(v) FILTER (WHERE k < na) AS sa FROM p, o GROUP BY perm)
-    SELECT round(any_value(d), 6) AS observed, (count(*) FILTER (WHERE abs(sa / na - (sv - sa) / (n - na)) >= abs(d)) + 1) / CAST(20 AS DOUBLE) AS p_value
+    SELECT round(any_value(d), 6) AS observed, (count(*) FILTER (WHERE abs(sa / na - (sv - sa) / (n - na)) >= abs(d)) + 1) / CAST(1000 AS DOUBLE) AS p_value
     FROM r, o""",
 )
 def _(spark, sf):
-    out = A.permutation_p_mean_diff(scored(spark, sf), "id", "ce", F.col("score") >= 0.5, 19)
+    out = A.permutation_p_mean_diff(scored(spark, sf), "id", "ce", F.col("score") >= 0.5, 999)
     return pick(out, *out.columns)
 
 
@@ -156,12 +156,12 @@ def _(spark, sf):
     "permutation_correlation",
     "A27",
     f"""{SC}, f AS (SELECT id, score AS x, iou AS y, row_number() OVER (ORDER BY md5(id || '--1')) - 1 AS i FROM s),
-    p AS (SELECT perm, y, row_number() OVER (PARTITION BY perm ORDER BY md5(id || '-' || perm)) - 1 AS i FROM f, range(19) t(perm)),
+    p AS (SELECT perm, y, row_number() OVER (PARTITION BY perm ORDER BY md5(id || '-' || perm)) - 1 AS i FROM f, range(199) t(perm)),
     r AS (SELECT perm, corr(x, p.y) AS r FROM p JOIN f USING (i) GROUP BY perm), o AS (SELECT corr(x, y) AS obs FROM f)
-    SELECT round(any_value(obs), 6) AS observed, (count(*) FILTER (WHERE abs(r) >= abs(obs)) + 1) / CAST(20 AS DOUBLE) AS p_value FROM r, o""",
+    SELECT round(any_value(obs), 6) AS observed, (count(*) FILTER (WHERE abs(r) >= abs(obs)) + 1) / CAST(200 AS DOUBLE) AS p_value FROM r, o""",
 )
 def _(spark, sf):
-    out = A.permutation_p_corr(scored(spark, sf), "id", "score", "iou", 19)
+    out = A.permutation_p_corr(scored(spark, sf), "id", "score", "iou", 199)
     return pick(out, *out.columns)
 
 

@@ -307,7 +307,7 @@ def _(spark, sf):
     SELECT video_id, {z('stddev_pop(vx)', 'jitter_cx')}, {z('stddev_pop(vy)', 'jitter_cy')}, {z('stddev_pop(vw)', 'jitter_w')}, {z('stddev_pop(vh)', 'jitter_h')},
       {z('avg(abs(ax))', 'smoothness_cx')}, {z('avg(abs(ay))', 'smoothness_cy')},
       {z('CASE WHEN count(*) >= 2 AND avg(w * h) > 1e-9 THEN greatest(0, 1 - stddev_pop(w * h) / avg(w * h)) END', 'area_stability')}, {z('sum(step)', 'path_length')},
-      {z('avg(speed)', 'mean_speed')} FROM s GROUP BY video_id""",
+      {z('avg(coalesce(step, 0))', 'mean_speed')} FROM s GROUP BY video_id""",
 )
 def _(spark, sf):
     from framelane.operators.report import trajectory_quality
@@ -316,6 +316,19 @@ def _(spark, sf):
     return pick(out, *out.columns)
 
 
+@query(
+    "track_samples",
+    "A43 P25",
+    f"""{BASE}, d AS (SELECT video_id, frame_index, cx, cy, coalesce(sqrt(power(cx - lag(cx) OVER v, 2) + power(cy - lag(cy) OVER v, 2)), 0) AS step
+      FROM sc WINDOW v AS (PARTITION BY video_id ORDER BY frame_index))
+    SELECT video_id, frame_index, round(cx, 3) AS cx, round(cy, 3) AS cy, round(step, 3) AS displacement FROM d""",
+)
+def _(spark, sf):
+    from framelane.operators.report import track_samples
+
+    return track_samples(rows(spark, sf), KEY)
+
+
 @query(
     "ablation_group_columns",
     "F27 U1",

@@ -121,7 +121,8 @@ def _(spark, sf):
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("subject_id"), "n_chars")
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("subject_id"), F.col("quality").alias("label"))
-    return S.require_match(S.labelled(docs, labels), "label", "label")
+    wanted = docs.join(labels.select("subject_id").distinct(), "subject_id", "left_semi")
+    return S.require_match(S.labelled(wanted, labels, how="left"), "label", "label")
 
 
 @query(
@@ -150,23 +151,26 @@ def _(spark, sf):
     return pick(out, *out.columns)
 
 
-_COLS = [f"f{i}" for i in range(6)] + ["f6", "f7"]
+_DIMS = 64
+_COLS = [f"f{i}" for i in range(_DIMS)] + ["copy", "mix"]
 
 
 def columns(spark, sf):
     e = emb(spark, sf)
-    e = e.select("vec_id", "label", "subject_id", *[F.col("embedding")[i].alias(f"f{i}") for i in range(6)])
-    return e.withColumns({"f6": F.col("f1") * 2 + 1, "f7": F.col("f0") - F.col("f0") * 0.5 + F.col("f3") * 0.001})
+    e = e.select("vec_id", "label", "subject_id", *[F.col("embedding")[i].alias(f"f{i}") for i in range(_DIMS)])
+    return e.withColumns({"copy": F.col("f1") * 2 + 1, "mix": F.col("f0") * 0.5 + F.col("f3") * 0.001})
 
 
-_CSQL = f"""c AS (SELECT vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS f{i}' for i in range(6))}, embedding[2]::DOUBLE * 2 + 1 AS f6, embedding[1]::DOUBLE * 0.5 + embedding[4]::DOUBLE * 0.001 AS f7 FROM embeddings)"""
+_CSQL = f"""c AS (SELECT vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS f{i}' for i in range(_DIMS))}, embedding[2]::DOUBLE * 2 + 1 AS copy, embedding[1]::DOUBLE * 0.5 + embedding[4]::DOUBLE * 0.001 AS mix FROM embeddings)"""
 
 
 @query(
     "correlation_filter",
     "F24",
     f"""WITH {_CSQL}, l AS (SELECT * FROM c UNPIVOT (v FOR feature IN ({', '.join(_COLS)}))),
-    r AS (SELECT a.feature AS f, b.feature AS g, abs(corr(a.v, b.v)) AS r FROM l a JOIN l b USING (vec_id) WHERE b.feature < a.feature GROUP BY ALL)
+    o AS (SELECT unnest([{', '.join(f"'{c}'" for c in _COLS)}]) AS feature, unnest(range({_DIMS + 2})) AS at),
+    r AS (SELECT a.feature AS f, abs(corr(a.v, b.v)) AS r FROM l a JOIN l b USING (vec_id) JOIN o p ON p.feature = a.feature JOIN o q ON q.feature = b.feature
+      WHERE q.at < p.at GROUP BY a.feature, b.feature)
     SELECT DISTINCT feature FROM l WHERE feature NOT IN (SELECT f FROM r WHERE r >= 0.98)""",
 )
 def _(spark, sf):
@@ -180,16 +184,26 @@ def _(spark, sf):
 @query(
     "imputation",
     "F25",
-    f"""WITH {_CSQL}, h AS (SELECT vec_id, CASE WHEN vec_id % 6 <> 0 THEN f0 END AS f0, CASE WHEN vec_id % 4 <> 1 THEN f1 END AS f1 FROM c)
-    SELECT vec_id, round(coalesce(f0, (SELECT median(f0) FROM h)), 6) AS f0, round(coalesce(f1, (SELECT avg(f1) FROM h)), 6) AS f1 FROM h""",
+    f"""WITH {_CSQL}, l AS (SELECT vec_id, feature, v FROM c UNPIVOT (v FOR feature IN ({', '.join(_COLS[:_DIMS])}))),
+    k AS (SELECT vec_id, feature, CAST(substr(feature, 2) AS INTEGER) AS place, round(v, 1) AS v FROM l),
+    h AS (SELECT *, CASE WHEN (vec_id + place) % 5 <> 0 THEN v END AS seen FROM k),
+    n AS (SELECT feature, seen, count(*) AS n FROM h WHERE seen IS NOT NULL GROUP BY ALL),
+    m AS (SELECT feature, seen AS mode FROM n QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, seen) = 1),
+    s AS (SELECT feature, any_value(place) AS place, median(seen) AS med, avg(seen) AS mean FROM h GROUP BY feature),
+    f AS (SELECT feature, CASE place % 4 WHEN 0 THEN med WHEN 1 THEN mean WHEN 2 THEN mode ELSE 0.25::DOUBLE END AS value FROM s JOIN m USING (feature))
+    SELECT vec_id, round(sum(coalesce(seen, value)), 6) AS total, round(max(coalesce(seen, value)), 6) AS top FROM h JOIN f USING (feature) GROUP BY vec_id""",
 )
 def _(spark, sf):
-    df = columns(spark, sf).select(
-        "vec_id", F.when(F.col("vec_id") % 6 != 0, F.col("f0")).alias("f0"), F.when(F.col("vec_id") % 4 != 1, F.col("f1")).alias("f1")
-    )
-    df = cut(df)
-    values = {**M.impute_values(df, ["f0"], "median"), **M.impute_values(df, ["f1"], "mean")}
-    return pick(M.impute(df, values), "vec_id", "f0", "f1")
+    """All four ways to fill, each on a quarter of the columns."""
+    names = _COLS[:_DIMS]
+    holes = [F.when((F.col("vec_id") + i) % 5 != 0, F.round(n, 1)).alias(n) for i, n in enumerate(names)]
+    df = cut(columns(spark, sf).select("vec_id", *holes))
+    values = {}
+    for k, how in enumerate(("median", "mean", "mode", "constant")):
+        values |= M.impute_values(df, names[k::4], how, 0.25)
+    row = F.array(*[F.col(n) for n in names])
+    out = M.impute(df, values).select("vec_id", F.aggregate(row, F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max(row).alias("top"))
+    return pick(out, *out.columns)
 
 
 @query("pca_embeddings", "F18")
@@ -198,15 +212,17 @@ def _(spark, sf):
     return M.apply_pca(e, "embedding", M.fit_pca(e, "embedding", 8)).select("vec_id", "embedding")
 
 
-_PROJ = M.random_projection(64, 8)
-_PSQL = ", ".join(
-    f"round({' + '.join(f'embedding[{i + 1}]::DOUBLE * ({float(_PROJ[i, j])!r})' for i in range(64))}, 6) AS p{j}" for j in range(8)
-)
+_PSQL = """WITH u AS (SELECT i, j, md5('42-' || i || '-' || j) AS h FROM range(64) a(i), range(8) b(j)),
+  g AS (SELECT i, j, sqrt(-2 * ln((CAST('0x' || substr(h, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))
+    * cos((CAST('0x' || substr(h, 9, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE * 6.283185307179586::DOUBLE) AS g FROM u),
+  w AS (SELECT i, j, g / sqrt(sum(g * g) OVER (PARTITION BY j)) AS w FROM g),
+  p AS (SELECT vec_id, j, sum(embedding[i + 1]::DOUBLE * w) AS v FROM embeddings, w GROUP BY ALL)
+  SELECT vec_id, """ + ", ".join(f"round(max(v) FILTER (WHERE j = {j}), 6) AS p{j}" for j in range(8)) + " FROM p GROUP BY vec_id"
 
 
-@query("random_projection", "F19", f"SELECT vec_id, {_PSQL} FROM embeddings")
+@query("random_projection", "F19", _PSQL)
 def _(spark, sf):
-    out = M.project(emb(spark, sf), "embedding", _PROJ)
+    out = M.random_projection(emb(spark, sf), "embedding", 8)
     out = out.select("vec_id", *[F.col("embedding")[j].alias(f"p{j}") for j in range(8)])
     return pick(out, *out.columns)
 
@@ -245,18 +261,21 @@ def _(spark, sf):
 
 @query("out_of_fold_probabilities", "M8 M9 M14")
 def _(spark, sf):
-    df = M.vectorise(columns(spark, sf), _COLS).withColumn("group", F.col("subject_id") % 4)
-    return M.out_of_fold(df, "group", "logistic_regression").select("vec_id", "label", "group", "prob")
+    """One fold per subject."""
+    df = M.vectorise(columns(spark, sf), _COLS)
+    return M.out_of_fold(df, "subject_id", "logistic_regression").select("vec_id", "label", "subject_id", "prob")
 
 
 @query("classifier_kinds", "M8 M14")
 def _(spark, sf):
+    """Every kind with its own settings, fitted on four fifths of the subjects and scored on the others."""
     df = cut(M.vectorise(columns(spark, sf), _COLS))
+    held = F.col("subject_id") % 5 == 0
+    train, test = df.where(~held), df.where(held)
     out = None
     for kind in M.CLASSIFIERS:
-        small = {"random_forest": {"numTrees": 5}, "boosted_trees": {"maxIter": 3}, "mlp": {"maxIter": 20}}.get(kind, {})
-        part = M.positive_probability(M.fit(df, kind, balanced=True, **small), df)
-        part = part.select("vec_id", "prob", F.lit(kind).alias("kind"))
+        part = M.positive_probability(M.fit(train, kind, balanced=True), test)
+        part = part.select("vec_id", "label", "prob", F.lit(kind).alias("kind"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -271,13 +290,13 @@ def _(spark, sf):
 
 @query("embedding_loso_benchmark", "M17")
 def _(spark, sf):
-    """Fold-wise PCA, standardisation, subject means and a balanced logistic model, for four held-out groups."""
+    """Fold-wise PCA, standardisation, subject means and a balanced logistic model, one fold per subject."""
     e = cut(emb(spark, sf).withColumn("label", (F.col("subject_id") % 2).cast("int")))
     labels = e.select("subject_id", "label").distinct()
     names = [f"e{i}" for i in range(4)]
     out = None
-    for fold in range(4):
-        held = F.col("subject_id") % 4 == fold
+    for fold in [r["subject_id"] for r in labels.select("subject_id").orderBy("subject_id").collect()]:
+        held = F.col("subject_id") == fold
         train, test = M.embedding_pipeline(e.where(~held), e.where(held), ["subject_id"], "embedding", 4)
         model = M.fit(M.vectorise(S.labelled(train, labels), names), "logistic_regression", balanced=True)
         part = M.positive_probability(model, M.vectorise(S.labelled(test, labels), names))

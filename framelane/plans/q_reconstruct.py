@@ -21,7 +21,7 @@ def _(spark, sf):
 
 @query("spline_gaps", "T24 D5")
 def _(spark, sf):
-    return C.spline_gaps(preds(spark, sf), KEY, 4)
+    return C.spline_gaps(preds(spark, sf), KEY)
 
 
 @query("lowess_residuals", "T26")

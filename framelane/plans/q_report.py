@@ -180,8 +180,8 @@ def importances(spark, sf):
     "fold_importance",
     "A48 O2",
     f"""WITH {CLF}, {_IMP}, m AS (SELECT feature, sum(importance) / (SELECT count(DISTINCT fold) FROM im) AS m FROM im GROUP BY feature)
-    SELECT feature, round(m, 6) AS mean_importance, 'top' AS list FROM m QUALIFY row_number() OVER (ORDER BY m DESC, feature) <= 5
-    UNION ALL SELECT feature, round(m, 6), 'bottom' FROM m QUALIFY row_number() OVER (ORDER BY abs(m), m, feature) <= 5""",
+    SELECT feature, round(m, 6) AS mean_importance, 'top' AS list FROM m QUALIFY row_number() OVER (ORDER BY m DESC, feature) <= 10
+    UNION ALL SELECT feature, round(m, 6), 'bottom' FROM m QUALIFY row_number() OVER (ORDER BY abs(m), m, feature) <= 10""",
 )
 def _(spark, sf):
     out = R.fold_importance(importances(spark, sf))
@@ -343,86 +343,70 @@ def _(spark, sf):
     return pick(out, *out.columns)
 
 
-_COR = f"""cc AS (SELECT *, md5(CAST(pos AS VARCHAR)) AS d FROM (SELECT video_id, frame_index, pos, x + w / 2 AS cx, y + h / 2 AS cy, x, y, w, h FROM pf)),
-  cr AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY video_id) AS n,
-    CAST('0x' || substr(d, 9, 8) AS BIGINT) / 4294967296::DOUBLE * 6.283185307179586::DOUBLE AS ang FROM cc),
-  co AS (SELECT *, r < floor(n * 0.1::DOUBLE) AS missing, r >= floor(n * 0.1::DOUBLE) AND r < 2 * floor(n * 0.1::DOUBLE) AS corrupt FROM cr),
-  ct AS (SELECT *, CASE WHEN NOT missing THEN cx + CASE WHEN corrupt THEN cos(ang) * 25 ELSE 0 END END AS rx,
-    CASE WHEN NOT missing THEN cy + CASE WHEN corrupt THEN sin(ang) * 25 ELSE 0 END END AS ry FROM co)"""
-
-
-def corrupted(spark, sf):
-    df = D.first_per_frame(preds(spark, sf), FRAME)
-    df = df.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
-    return R.corrupt(df.select(*FRAME, "pos", "cx", "cy", *BOX), KEY, "pos")
-
-
-@query(
-    "synthetic_corruption",
-    "T33",
-    f"WITH {PREDS}, {FIRST}, {_COR} SELECT video_id, frame_index, missing, corrupt, round(rx, 6) AS rx, round(ry, 6) AS ry FROM ct",
-)
-def _(spark, sf):
-    return pick(corrupted(spark, sf), *FRAME, "missing", "corrupt", "rx", "ry")
-
-
-# a plain neighbour mean stands in for the filter under test
-_SIM = f"""{_COR}, fl AS (SELECT *, coalesce(avg(rx) OVER w, 0) AS fx, coalesce(avg(ry) OVER w, 0) AS fy FROM ct
-    WINDOW w AS (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-  er AS (SELECT *, sqrt(power(rx - cx, 2) + power(ry - cy, 2)) AS re, sqrt(power(fx - cx, 2) + power(fy - cy, 2)) AS fe,
-    sqrt(power(fx - rx, 2) + power(fy - ry, 2)) AS mv FROM fl),
-  cs AS (SELECT video_id, avg(fe) AS filtered_mean_err, avg(re) AS raw_observed_mean_err, coalesce(avg(fe - re) FILTER (WHERE NOT missing AND NOT corrupt), 0) AS normal_err_delta,
-    coalesce(avg(CASE WHEN fe - re > 1e-6 THEN 1 ELSE 0 END) FILTER (WHERE NOT missing AND NOT corrupt), 0) AS normal_harm_rate,
-    coalesce(avg(re - fe) FILTER (WHERE corrupt), 0) AS corrupted_gain FROM er GROUP BY video_id),
-  ag AS (SELECT video_id % 3 AS method, avg(filtered_mean_err) AS filtered_mean_err, avg(raw_observed_mean_err) AS raw_observed_mean_err, avg(normal_err_delta) AS normal_err_delta,
-    avg(normal_harm_rate) AS normal_harm_rate, avg(corrupted_gain) AS corrupted_gain FROM cs GROUP BY 1)"""
+# Detections that miss the annotation (IoU below 0.5) are the corrupt ones; the filter flags what it moves.
+MOVED = 1.0
+_FIL = f"""fr AS (SELECT g1.video_id, g1.frame_index, g1.x AS g_x, g1.y AS g_y, g1.w AS g_w, g1.h AS g_h, g1.x + g1.w / 2 AS gx, g1.y + g1.h / 2 AS gy,
+    pf.x + pf.w / 2 AS rx, pf.y + pf.h / 2 AS ry, sm.x AS s_x, sm.y AS s_y, sm.w AS s_w, sm.h AS s_h, sm.x + sm.w / 2 AS sx, sm.y + sm.h / 2 AS sy,
+    coalesce({sq_iou('pf', 'g1')} < 0.5, false) AS corrupt FROM g1 LEFT JOIN pf USING (video_id, frame_index) LEFT JOIN sm USING (video_id, frame_index)),
+  mv AS (SELECT *, coalesce(sqrt(power(sx - rx, 2) + power(sy - ry, 2)), 0) AS moved FROM fr)"""
 
 
 def filtered(spark, sf):
-    from framelane.operators.frames import rolling
+    """Annotated frames with the raw and the smoothed detection, if any."""
+    from framelane.functions import geometry as G
+    from framelane.operators.evaluate import box
 
-    df = cut(corrupted(spark, sf))
-    out = rolling(df, KEY, 2, {"fx": F.avg("rx"), "fy": F.avg("ry")})
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("fx", "fy")})
+    raw = cut(D.first_per_frame(preds(spark, sf), FRAME).select(*FRAME, *BOX))
+    sm = S.savgol(raw, KEY, ["x", "y"]).select(*FRAME, *[F.col(c).alias(f"s_{c}") for c in BOX])
+    g = D.first_per_frame(gt(spark, sf), FRAME).select(*FRAME, *[F.col(c).alias(f"g_{c}") for c in BOX])
+    df = g.join(raw, FRAME, "left").join(sm, FRAME, "left")
+    df = df.withColumn("corrupt", F.coalesce(G.iou(box(), box("g_")) < 0.5, F.lit(False)))
+    for out, p in (("g", "g_"), ("r", ""), ("s", "s_")):
+        df = df.withColumns({f"{out}{a}": F.col(f"{p}{a}") + F.col(f"{p}{n}") / 2 for a, n in (("x", "w"), ("y", "h"))})
+    moved = F.coalesce(F.hypot(F.col("sx") - F.col("rx"), F.col("sy") - F.col("ry")), F.lit(0.0))
+    return df.withColumn("moved", moved)
 
 
 @query(
     "simulation_objective",
     "A37",
-    f"""WITH {PREDS}, {FIRST}, {_SIM} SELECT method, {', '.join(f'round({c}, 6) AS {c}' for c in ('filtered_mean_err', 'raw_observed_mean_err', 'normal_err_delta', 'normal_harm_rate', 'corrupted_gain'))},
+    f"""{CMP}, {_FIL}, b AS (SELECT *, unnest(['raw', 'smoothed']) AS method FROM mv),
+    f AS (SELECT *, CASE method WHEN 'raw' THEN rx ELSE sx END AS fx, CASE method WHEN 'raw' THEN ry ELSE sy END AS fy FROM b),
+    er AS (SELECT *, sqrt(power(rx - gx, 2) + power(ry - gy, 2)) AS re, sqrt(power(fx - gx, 2) + power(fy - gy, 2)) AS fe FROM f),
+    cs AS (SELECT method, video_id, avg(fe) AS filtered_mean_err, avg(re) AS raw_observed_mean_err, coalesce(avg(fe - re) FILTER (WHERE rx IS NOT NULL AND NOT corrupt), 0) AS normal_err_delta,
+      coalesce(avg(CASE WHEN fe - re > 1e-6 THEN 1 ELSE 0 END) FILTER (WHERE rx IS NOT NULL AND NOT corrupt), 0) AS normal_harm_rate,
+      coalesce(avg(re - fe) FILTER (WHERE rx IS NOT NULL AND corrupt), 0) AS corrupted_gain FROM er GROUP BY ALL),
+    ag AS (SELECT method, {', '.join(f'avg({c}) AS {c}' for c in ('filtered_mean_err', 'raw_observed_mean_err', 'normal_err_delta', 'normal_harm_rate', 'corrupted_gain'))} FROM cs GROUP BY method)
+    SELECT method, {', '.join(f'round({c}, 6) AS {c}' for c in ('filtered_mean_err', 'raw_observed_mean_err', 'normal_err_delta', 'normal_harm_rate', 'corrupted_gain'))},
       round(filtered_mean_err + 1.5 * greatest(normal_err_delta, 0) + normal_harm_rate - 0.8 * corrupted_gain, 6) AS objective FROM ag""",
 )
 def _(spark, sf):
-    df = filtered(spark, sf).withColumns({"gx": F.col("cx"), "gy": F.col("cy"), "flagged": F.col("corrupt")})
-    cases = R.simulation_cases(df, KEY).withColumn("method", F.col("video_id") % 3)
-    out = R.simulation_objective(cases, ["method"])
+    df = filtered(spark, sf).withColumn("method", F.explode(F.array(F.lit("raw"), F.lit("smoothed"))))
+    df = df.withColumns({f"f{a}": F.when(F.col("method") == "raw", F.col(f"r{a}")).otherwise(F.col(f"s{a}")) for a in "xy"})
+    df = df.withColumn("flagged", F.col("moved") > MOVED)
+    out = R.simulation_objective(R.simulation_cases(df, ["method", *KEY]), ["method"])
     return pick(out, *out.columns)
 
 
-_REP = f"""{_SIM}, rp AS (SELECT video_id % 5 AS fold, corrupt OR missing AS t, coalesce(mv, 1000) AS anomaly, coalesce(mv, 1000) > 10 AS p, x AS gx_, y AS gy_, w, h, fx - w / 2 AS sx, fy - h / 2 AS sy, fe FROM er),
-  rm AS (SELECT *, greatest(0, least(sx + w, gx_ + w) - greatest(sx, gx_)) * greatest(0, least(sy + h, gy_ + h) - greatest(sy, gy_)) AS it FROM rp),
-  rs AS (SELECT *, it / (2 * w * h - it) AS iou, rank() OVER (PARTITION BY fold ORDER BY round(anomaly, 9)) + (count(*) OVER (PARTITION BY fold, round(anomaly, 9)) - 1) / 2.0::DOUBLE AS r FROM rm),
-  ra AS (SELECT fold, avg(iou) AS iou_mean, stddev_pop(iou) AS iou_std, avg(fe) AS error_mean, stddev_pop(fe) AS error_std, avg((abs(sx - gx_) + abs(sy - gy_)) / 4) AS roi_l1_mean,
-    avg((power(sx - gx_, 2) + power(sy - gy_, 2)) / 2) AS mse, avg((abs(sx - gx_) + abs(sy - gy_)) / 2) AS mae, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp,
-    count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn,
-    (sum(r) FILTER (WHERE t) - count(*) FILTER (WHERE t) * (count(*) FILTER (WHERE t) + 1) / 2) / (count(*) FILTER (WHERE t) * count(*) FILTER (WHERE NOT t)) AS auroc FROM rs GROUP BY fold)"""
-
-
 @query(
     "repair_benchmark",
     "A38 T32",
-    f"""WITH {PREDS}, {FIRST}, {_REP} SELECT fold, {', '.join(f'round({c}, 6) AS {c}' for c in ('iou_mean', 'iou_std', 'error_mean', 'error_std', 'roi_l1_mean', 'mse', 'mae', 'auroc'))}, tp, fp, fn, tn,
+    f"""{CMP}, {_FIL}, rp AS (SELECT *, video_id % 5 AS fold, moved > {MOVED} AS p, round(moved, 9) AS anomaly,
+      greatest(0, least(s_x + s_w, g_x + g_w) - greatest(s_x, g_x)) * greatest(0, least(s_y + s_h, g_y + g_h) - greatest(s_y, g_y)) AS it FROM mv WHERE rx IS NOT NULL),
+    rs AS (SELECT *, corrupt AS t, it / (s_w * s_h + g_w * g_h - it) AS iou, abs(sx - gx) AS ax, abs(sy - gy) AS ay,
+      rank() OVER (PARTITION BY fold ORDER BY anomaly) + (count(*) OVER (PARTITION BY fold, anomaly) - 1) / 2.0::DOUBLE AS r FROM rp),
+    ra AS (SELECT fold, avg(iou) AS iou_mean, stddev_pop(iou) AS iou_std, avg(sqrt(ax * ax + ay * ay)) AS error_mean, stddev_pop(sqrt(ax * ax + ay * ay)) AS error_std,
+      avg((abs(s_x - g_x) + abs(s_y - g_y) + abs(s_w - g_w) + abs(s_h - g_h)) / 4) AS roi_l1_mean, avg((ax * ax + ay * ay) / 2) AS mse, avg((ax + ay) / 2) AS mae,
+      count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn,
+      (sum(r) FILTER (WHERE t) - count(*) FILTER (WHERE t) * (count(*) FILTER (WHERE t) + 1) / 2) / (count(*) FILTER (WHERE t) * count(*) FILTER (WHERE NOT t)) AS auroc FROM rs GROUP BY fold)
+    SELECT fold, {', '.join(f'round({c}, 6) AS {c}' for c in ('iou_mean', 'iou_std', 'error_mean', 'error_std', 'roi_l1_mean', 'mse', 'mae', 'auroc'))}, tp, fp, fn, tn,
       round((tp + tn) / (tp + fp + fn + tn), 6) AS det_accuracy, round(tp / (tp + fp), 6) AS det_precision, round(tp / (tp + fn), 6) AS det_recall,
       round(2 * tp / (2 * tp + fp + fn), 6) AS det_f1, round(tn / (tn + fp), 6) AS det_specificity FROM ra""",
 )
 def _(spark, sf):
-    df = filtered(spark, sf)
-    mv = F.coalesce(F.hypot(F.col("fx") - F.col("rx"), F.col("fy") - F.col("ry")), F.lit(1000.0))
-    df = df.select(
-        (F.col("video_id") % 5).alias("fold"), (F.col("corrupt") | F.col("missing")).alias("corrupt"), (mv > 10).alias("flagged"),
-        F.round(mv, 9).alias("anomaly"), *[F.col(c).alias(f"g_{c}") for c in BOX],
-        (F.col("fx") - F.col("w") / 2).alias("s_x"), (F.col("fy") - F.col("h") / 2).alias("s_y"),
-        F.col("w").alias("s_w"), F.col("h").alias("s_h"),
+    df = filtered(spark, sf).where(F.col("rx").isNotNull()).select(
+        (F.col("video_id") % 5).alias("fold"), "corrupt", (F.col("moved") > MOVED).alias("flagged"), F.round("moved", 9).alias("anomaly"),
+        *[f"g_{c}" for c in BOX], *[f"s_{c}" for c in BOX],
     )
     out = R.repair_metrics(cut(df), ["fold"])
     return pick(out, *out.columns)

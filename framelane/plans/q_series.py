@@ -10,7 +10,7 @@ from framelane.plans.q_features import SHAPE, rows
 from framelane.plans.q_smooth import _POS, poly_sql, two_scale_sql, window_sql
 from framelane.plans.registry import query
 
-STEPS = 64
+STEPS = 256
 _ALL = ("cx", "cy", "w", "h", "box_area", "area", "circularity", "eq_diam", "flatness")
 
 

@@ -83,7 +83,7 @@ def adaptive_sql(p: str, src: str, vals: tuple[str, ...], window: int = 7) -> st
     {p}_b AS (SELECT video_id, min(g) AS g0, max(g) AS g1, any_value(n) AS n, min(frame_index) AS f0, max(frame_index) AS f1
       FROM {p}_a GROUP BY video_id),
     {p}_n AS (SELECT video_id, n, CAST(f0 AS BIGINT) AS f0, CAST(f1 - f0 + 1 AS BIGINT) AS len FROM {p}_b
-      WHERE n >= 4 AND g0 <> g1 AND f1 - f0 + 1 <= 10000),
+      WHERE n >= 4 AND g0 <> g1),
     {p}_m AS (SELECT video_id, CAST(unnest(range(f0, f0 + len)) AS INTEGER) AS frame_index FROM {p}_n),
     {p}_x AS (SELECT * FROM {p}_m ANTI JOIN {src} USING (video_id, frame_index)),
     {p}_k AS (SELECT * FROM {src} SEMI JOIN {p}_n USING (video_id)),
