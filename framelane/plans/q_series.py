@@ -45,7 +45,7 @@ def timeline_sql(fall_back: bool, hampel: tuple[str, ...], smooth: tuple[str, ..
 
 def series_sql(fall_back: bool, hampel, smooth, channels) -> str:
     parts = " UNION ALL ".join(
-        f"SELECT video_id, CAST(step AS INTEGER) AS step, '{c}' AS channel, round({c} + 3e-6, 4) AS value FROM rs" for c in channels
+        f"SELECT video_id, CAST(step AS INTEGER) AS step, '{c}' AS channel, round({c} + 3e-6, 4) + 0::DOUBLE AS value FROM rs" for c in channels
     )
     return f"""WITH {PREDS}, {FIRST}, {SHAPE}, {timeline_sql(fall_back, hampel, smooth)},
     rs AS (SELECT tl.*, step FROM (SELECT video_id, max(frame_index) AS t FROM tl GROUP BY 1) m, range({STEPS}) r(step), tl
@@ -53,7 +53,7 @@ def series_sql(fall_back: bool, hampel, smooth, channels) -> str:
 
 
 def four(df):
-    return df.select("video_id", "step", "channel", F.round(F.col("value") + 3e-6, 4).alias("value"))
+    return df.select("video_id", "step", "channel", (F.round(F.col("value") + 3e-6, 4) + F.lit(0.0)).alias("value"))  # no negative zeros
 
 
 
