@@ -23,7 +23,7 @@ RATE = 0.5
 EXHAUSTIVE = 6
 CODE_LENGTH = 10
 #: Mean loss by which the nearest codeword must lead the next, else the answer is flagged.
-AMBIGUOUS = 0.05
+AMBIGUOUS = 0.01
 UNDETERMINED = "und"
 _SLICE = 1 << 18
 #: ASCII letters in lower case and all bytes of longer characters stand; everything else separates.
