@@ -136,6 +136,21 @@ def _(spark, sf):
     return S.not_yet_run(runs, runs.where(F.col("video_id") % 3 == 0)).select("video_id", "subject_id", "run_key")
 
 
+@query(
+    "run_queue",
+    "M20",
+    f"""WITH {VID}, q AS (SELECT video_id, 's' || subject_id AS label, row_number() OVER (ORDER BY video_id) - 1 AS idx FROM v)
+    SELECT idx AS index, video_id, label FROM q WHERE label IN ('s3', 's7') OR idx IN (0, 2)""",
+)
+def _(spark, sf):
+    """Queue entries chosen by label or by place."""
+    from framelane.operators.ordered import row_position, scan
+
+    v = videos(spark, sf).select("video_id", F.concat(F.lit("s"), F.col("subject_id").cast("string")).alias("label"), F.lit(0).alias("queue"))
+    queue = scan(v, ["queue"], "video_id", row_position("index")).select(F.col("index").cast("long").alias("index"), "video_id", "label")
+    return S.select_runs(queue, ["s3", "s7"], [0, 2])
+
+
 @query(
     "embedding_pooling",
     "F22",

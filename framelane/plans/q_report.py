@@ -410,3 +410,21 @@ def _(spark, sf):
     )
     out = R.repair_metrics(cut(df), ["fold"])
     return pick(out, *out.columns)
+
+
+@query(
+    "method_benchmark",
+    "A40",
+    f"""{CMP}, a AS (SELECT video_id, avg(raw_iou) AS r_iou, avg(raw_ce) AS r_ce, avg(iou) AS s_iou, avg(ce) AS s_ce FROM cmp GROUP BY video_id),
+    c AS (SELECT 'raw' AS method, r_iou AS iou, r_ce AS ce FROM a UNION ALL SELECT 'smoothed', s_iou, s_ce FROM a)
+    SELECT method, round(avg(iou), 6) AS iou_mean, round(stddev_pop(iou), 6) AS iou_std, round(avg(ce), 6) AS ce_mean, round(stddev_pop(ce), 6) AS ce_std FROM c GROUP BY method""",
+)
+def _(spark, sf):
+    """Raw and smoothed detections as two methods over the same videos."""
+    means = comparison(spark, sf).groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in ("raw_iou", "raw_ce", "iou", "ce")])
+    methods = F.array(
+        F.struct(F.lit("raw").alias("method"), F.col("raw_iou").alias("iou"), F.col("raw_ce").alias("ce")),
+        F.struct(F.lit("smoothed").alias("method"), F.col("iou"), F.col("ce")),
+    )
+    out = R.method_rollup(means.select(*KEY, F.inline(methods)), ["method"], ["iou", "ce"])
+    return pick(out, *out.columns)

@@ -48,3 +48,16 @@ def test_confidence_columns(spark):
     df = spark.createDataFrame([("t", 3, float("nan"), 0.25)], "tracker string, total_frames long, token_mean double, confidence_mean double")
     r = sinks.confidence_csv(df).first()
     assert (r["tracker"], r["total_frames"], r["token_component_mean"], r["confidence_mean"]) == ("t", "3", "", "0.250000")
+
+
+@pytest.mark.parametrize("kind, text", [
+    ("csv", "path,label\na.png,1\n ,0\nb.png,x\n"),
+    ("json", '[{"image": "a.png", "y": "1"}, {"image": "", "y": "0"}, {"image_path": "b.png", "target": "x"}]'),
+    ("jsonl", '{"image": "a.png", "y": 1}\n{"image": "", "y": 0}\n{"image_path": "b.png", "target": "x"}\n'),
+])
+def test_roi_manifests(spark, tmp_path, kind, text):
+    (tmp_path / "m").write_text(text)
+    got = readers.read_roi_manifest(spark, str(tmp_path / "m"), kind).collect()
+    assert sorted((r["image_path"], r["label"]) for r in got) == [("a.png", 1), ("b.png", None)]
+    with pytest.raises(ValueError, match="unknown manifest"):
+        readers.read_roi_manifest(spark, str(tmp_path / "m"), "xml")

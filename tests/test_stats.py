@@ -94,3 +94,49 @@ def test_pooling_without_weight_is_the_mean(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 0.0), (1, [3.0, 6.0], 0.0), (2, [1.0, 1.0], 1.0), (2, [5.0, 9.0], 3.0)], "k int, v array<double>, w double")
     got = {r["k"]: r["v"] for r in modelling.pool(df, ["k"], "v", "w").collect()}
     assert got[1] == pytest.approx([2.0, 4.0]) and got[2] == pytest.approx([4.0, 7.0])
+
+
+def test_missing_label_fails_the_job(spark):
+    import pytest
+
+    from framelane.operators import splits
+
+    rows = spark.createDataFrame([(1,), (2,)], "subject_id long")
+    labels = spark.createDataFrame([(1, 0)], "subject_id long, label int")
+    assert splits.labelled(rows, labels).count() == 1
+    with pytest.raises(Exception, match="missing label"):
+        splits.require_match(splits.labelled(rows, labels, how="left"), "label", "label").collect()
+
+
+def test_interpolation_kinds(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from framelane.operators import interpolate
+
+    rows = spark.createDataFrame([(1, t, float(t**3) if t != 4 else None) for t in range(8)], "k int, frame_index int, x double")
+    got = interpolate.fill(rows, ["k"], ["x"], F.col("x").isNotNull(), kind="cubic").where("frame_index = 4").first()
+    assert got["x"] == pytest.approx(64.0) and got["knots"] == 7
+    with pytest.raises(ValueError, match="unknown kind"):
+        interpolate.fill(rows, ["k"], ["x"], F.col("x").isNotNull(), kind="quartic")
+
+
+def test_mean_displacement_counts_the_first_sample(spark):
+    from framelane.operators import report
+
+    rows = spark.createDataFrame([(1, t, 3.0 * t, 4.0 * t, 1.0, 1.0) for t in (0, 2, 4)], "k int, frame_index int, cx double, cy double, w double, h double")
+    assert report.trajectory_quality(rows, ["k"]).first()["mean_speed"] == 20.0 / 3
+    assert [r["displacement"] for r in report.track_samples(rows, ["k"]).orderBy("frame_index").collect()] == [0.0, 10.0, 10.0]
+
+
+def test_random_projection_is_reproducible_and_unit(spark):
+    import pytest
+
+    from framelane.operators import modelling
+
+    rows = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(6)]) for i in range(6)], "i int, v array<double>")
+    one = [r["v"] for r in modelling.random_projection(rows, "v", 3).orderBy("i").collect()]
+    assert one == [r["v"] for r in modelling.random_projection(rows.repartition(4), "v", 3).orderBy("i").collect()]
+    for j in range(3):
+        assert sum(x[j] ** 2 for x in one) == pytest.approx(1.0)
+    assert len(modelling.random_projection(rows, "v", 8).first()["v"]) == 8
