@@ -13,7 +13,9 @@ equal anchors at equal offsets, so only anchored suffixes (one in 17 or so) are
    left of it (multikey quicksort over 8-byte tokens). The common prefix lengths of
    neighbours, compared across the whole bucket, give classes of equal strings for each
    of the offsets, and the smallest document of each class. Splitters fall between
-   tokens, so no class reaches over a bucket's boundary.
+   tokens, so no class reaches over a bucket's boundary. A token of more than HOT batches
+   is split further: strings with 8 or more bytes before the anchor go by token and those
+   8 bytes, the others by token and the 8 bytes after it.
 5. A batch marks the bytes of strings found in a smaller document.
 """
 
@@ -37,6 +39,9 @@ CONTEXT = LEFT + LENGTH
 BATCH = 12 << 20
 BUCKET = 24 << 20
 _SLICE = 1 << 20
+#: Tokens of more batches than this are split by 8 more bytes of their strings.
+HOT = 32
+NEAR = 8
 #: Splitters come from at most about SAMPLE_DOCS documents, SAMPLE_TOKENS of each; they only balance buckets.
 SAMPLE_DOCS, SAMPLE_TOKENS = 2000, 64
 _LAST = np.iinfo(np.int64).max
@@ -134,7 +139,10 @@ def _cuts(tokens: np.ndarray, splitters: np.ndarray) -> np.ndarray:
 
 def _mix(tokens: np.ndarray) -> np.ndarray:
     """One number per token; used to look tokens up, a clash only costs work."""
-    return tokens[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (tokens[:, 1] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+    x = tokens[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ x >> np.uint64(32)) + tokens[:, 1]) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
 
 class _Batch:
@@ -156,19 +164,34 @@ class _Batch:
 
 
 class _Contexts:
-    """Distinct contexts of the anchors whose tokens are in ``shared``, in order of their tokens."""
+    """Distinct contexts of the anchors whose tokens are shared, bucket by bucket; columns: see CONTEXT and the flags.
 
-    def __init__(self, batch: _Batch, shared: list[bytes], splitters: np.ndarray):
-        known = np.sort(_mix(np.concatenate([_spread(x, np.uint64) for x in shared]).reshape(-1, 2))) if shared else np.zeros(0, np.uint64)
+    A row holds LENGTH bytes right of the anchor, LEFT bytes left of it backwards, then how
+    many of both there are, and the least number of bytes left of the anchor that its
+    strings have (for hot tokens).
+    """
+
+    def __init__(self, batch: _Batch, shared: list[tuple[bytes, bytes]], splitters: np.ndarray):
+        tokens = np.concatenate([_spread(x, np.uint64) for x, _ in shared]).reshape(-1, 2) if shared else np.zeros((0, 2), np.uint64)
+        hot = [np.unpackbits(_spread(y, np.uint8))[: int.from_bytes(x[:8], "little") // TOKEN] for x, y in shared]
+        hot = np.concatenate(hot).astype(bool) if hot else np.zeros(0, bool)
+        known, number = np.unique(_mix(tokens), return_inverse=True)  # whatever the order in which buckets answer
+        hot = np.bincount(number, weights=hot, minlength=len(known)) > 0
         mine = _mix(batch.tokens)
         at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
         hit = known[at] == mine if len(known) else np.zeros(len(mine), bool)
-        self.places = batch.anchors[hit]
-        self.doc = batch.owners(self.places)
-        left = np.minimum(LEFT, self.places - batch.starts[self.doc])
-        right = np.minimum(LENGTH, batch.ends[self.doc] - self.places)
+        places, hot = batch.anchors[hit], hot[at[hit]] if len(known) else np.zeros(0, bool)
+        doc = batch.owners(places)
+        left = np.minimum(LEFT, places - batch.starts[doc])
+        right = np.minimum(LENGTH, batch.ends[doc] - places)
+        near, far = np.flatnonzero(hot), np.flatnonzero(hot & (left >= NEAR))
+        which = np.concatenate([np.flatnonzero(~hot), near, far])
+        kind = np.repeat([0, 1, 2], [len(which) - len(near) - len(far), len(near), len(far)])
+        self.places, self.doc = places[which], doc[which]
+        left = np.where(kind == 1, np.minimum(left[which], NEAR - 1), left[which])
+        right = np.where(kind == 2, np.minimum(right[which], LENGTH - NEAR), right[which])
+        rows = np.zeros((len(which), CONTEXT + 4), np.uint8)
         padded = np.concatenate([np.zeros(LEFT, np.uint8), batch.text, np.zeros(LENGTH, np.uint8)])
-        rows = np.zeros((len(hit.nonzero()[0]), CONTEXT + 4), np.uint8)
         step = 1 << 16
         for lo in range(0, len(rows), step):
             p, some = self.places[lo: lo + step], slice(lo, lo + step)
@@ -176,17 +199,35 @@ class _Contexts:
             rows[some, :LENGTH] = np.where(np.arange(LENGTH) < right[some, None], view[:, LEFT:], 0)
             rows[some, LENGTH:CONTEXT] = np.where(np.arange(LEFT) < left[some, None], view[:, LEFT - 1:: -1][:, :LEFT], 0)
         rows[:, CONTEXT], rows[:, CONTEXT + 1] = right, left
+        rows[:, CONTEXT + 2], rows[:, CONTEXT + 3] = np.where(kind == 2, NEAR, 0), kind
         words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
         words[:, : rows.shape[1]] = rows
         order, same = multikey_order(words.view(">u8").astype(np.uint64))
-        self.number = np.empty(len(rows), np.int64)
-        self.number[order] = np.cumsum(~same) - 1
-        firsts = order[~same]
-        self.rows = rows[firsts]
-        self.least = np.full(len(firsts), _LAST, np.int64)
+        number = np.empty(len(rows), np.int64)
+        number[order] = np.cumsum(~same) - 1
+        rows = rows[order[~same]]
+        cuts = _cuts(_eights(rows[:, :TOKEN]), splitters)
+        bucket, ranges = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), len(cuts) - 1
+        for k, extra in ((1, rows[:, TOKEN: TOKEN + 8]), (2, rows[:, LENGTH: LENGTH + 8])):
+            some = np.flatnonzero(rows[:, CONTEXT + 3] == k)
+            seed = _mix(_eights(rows[some, :TOKEN])) + np.uint64(k)
+            bucket[some] = ranges + (_mix(np.stack([seed, _eights(extra[some])[:, 0]], axis=1)) >> np.uint64(33)) % np.uint64(ranges)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.rows, self.number = rows[by], place[number]
+        self.least = np.full(len(by), _LAST, np.int64)
         np.minimum.at(self.least, self.number, batch.ids[self.doc])
-        head = np.ascontiguousarray(self.rows[:, :TOKEN]).view(">u8").astype(np.uint64)
-        self.cuts = _cuts(head, splitters)
+        self.cuts = np.searchsorted(bucket[by], np.arange(2 * ranges + 1))
+
+
+def _eights(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+
+
+def fitting(rows: np.ndarray, back: int) -> np.ndarray:
+    """Rows whose context holds the string that starts ``back`` bytes before the anchor."""
+    return (rows[:, CONTEXT + 1] >= back) & (rows[:, CONTEXT] >= LENGTH - back) & (rows[:, CONTEXT + 2] <= back)
 
 
 def _token_rows(splitters: np.ndarray):
@@ -212,30 +253,36 @@ def _token_rows(splitters: np.ndarray):
     return run
 
 
-def _shared_rows(rows: pa.Table) -> pa.Table:
-    """Of each batch's tokens in a bucket, those that more than one document has."""
-    parts = [_spread(x.as_py(), np.uint64).reshape(-1, 2) for x in rows["tokens"]]
-    several = [np.unpackbits(_spread(x.as_py(), np.uint8))[: len(p)] for x, p in zip(rows["several"], parts)]
-    tokens, sizes = np.concatenate(parts), [len(p) for p in parts]
-    order, same = multikey_order(tokens)
-    number = np.cumsum(~same) - 1
-    many = np.bincount(number, weights=1.0 + np.concatenate(several)[order]) > 1
-    keep = np.empty(len(tokens), bool)
-    keep[order] = many[number]
-    out = [p[k] for p, k in zip(parts, np.split(keep, np.cumsum(sizes)[:-1]))]
-    some = [k for k, x in enumerate(out) if len(x)]
-    batches = rows["batch"].to_pylist()
-    return pa.table({
-        "batch": pa.array([batches[k] for k in some], pa.int32()), "bucket": pa.array([-1] * len(some), pa.int32()),
-        "blob": pa.array([_squeeze(out[k]) for k in some], pa.binary()),
-    })
+def _shared_rows(many_batches: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Of each batch's tokens in a bucket, those that more than one document has."""
+        parts = [_spread(x.as_py(), np.uint64).reshape(-1, 2) for x in rows["tokens"]]
+        several = [np.unpackbits(_spread(x.as_py(), np.uint8))[: len(p)] for x, p in zip(rows["several"], parts)]
+        tokens, sizes = np.concatenate(parts), [len(p) for p in parts]
+        order, same = multikey_order(tokens)
+        number = np.cumsum(~same) - 1
+        many = np.bincount(number, weights=1.0 + np.concatenate(several)[order]) > 1
+        keep, hot = np.empty(len(tokens), bool), np.empty(len(tokens), bool)
+        keep[order], hot[order] = many[number], (np.bincount(number) > many_batches)[number]
+        ends = np.cumsum(sizes)[:-1]
+        out = [p[k] for p, k in zip(parts, np.split(keep, ends))]
+        hots = [h[k] for h, k in zip(np.split(hot, ends), np.split(keep, ends))]
+        some = [k for k, x in enumerate(out) if len(x)]
+        batches = rows["batch"].to_pylist()
+        return pa.table({
+            "batch": pa.array([batches[k] for k in some], pa.int32()), "bucket": pa.array([-1] * len(some), pa.int32()),
+            "blob": pa.array([_squeeze(out[k]) for k in some], pa.binary()),
+            "hot": pa.array([_squeeze(np.packbits(hots[k])) for k in some], pa.binary()),
+        })
+
+    return run
 
 
 def _context_rows(splitters: np.ndarray):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "rows": pa.array([], pa.binary()), "least": pa.array([], pa.binary())})
-        c = _Contexts(_Batch(docs), shared["blob"].to_pylist(), splitters)
+        c = _Contexts(_Batch(docs), list(zip(shared["blob"].to_pylist(), shared["hot"].to_pylist())), splitters)
         used = [k for k in range(len(c.cuts) - 1) if c.cuts[k + 1] > c.cuts[k]]
         name = docs["batch"][0].as_py()
         return pa.table({
@@ -271,10 +318,9 @@ def smaller_owner(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
     n = len(rows)
     right_order, right_common = _sorted_side(rows[:, :LENGTH])
     left_order, left_common = _sorted_side(rows[:, LENGTH:CONTEXT])
-    right, left = rows[:, CONTEXT].astype(np.int64), rows[:, CONTEXT + 1].astype(np.int64)
     mask, r_class, l_class = np.zeros(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.int64)
     for back in range(OFFSETS):  # bytes left of the anchor
-        fits = np.flatnonzero((left >= back) & (right >= LENGTH - back))
+        fits = np.flatnonzero(fitting(rows, back))
         if not len(fits):
             continue
         r_class[right_order] = np.cumsum(right_common < LENGTH - back)
@@ -297,7 +343,7 @@ def _mask_rows(rows: pa.Table) -> pa.Table:
     masks = np.split(smaller_owner(np.concatenate(parts), np.concatenate(least)), np.cumsum([len(p) for p in parts])[:-1])
     return pa.table({
         "batch": rows["batch"].combine_chunks().cast(pa.int32()), "bucket": rows["bucket"].combine_chunks().cast(pa.int32()),
-        "blob": pa.array([_squeeze(m) for m in masks], pa.binary()),
+        "blob": pa.array([_squeeze(m) for m in masks], pa.binary()), "hot": pa.array([None] * len(masks), pa.binary()),
     })
 
 
@@ -308,18 +354,16 @@ def _removal_rows(splitters: np.ndarray):
         batch = _Batch(docs)
         starts = np.zeros(len(batch.text) + 1, bool)
         if answers.num_rows:
-            buckets, blobs = answers["bucket"].to_pylist(), answers["blob"].to_pylist()
-            c = _Contexts(batch, [x for k, x in zip(buckets, blobs) if k < 0], splitters)
+            buckets, blobs, hots = (answers[n].to_pylist() for n in ("bucket", "blob", "hot"))
+            c = _Contexts(batch, [(x, y) for k, x, y in zip(buckets, blobs, hots) if k < 0], splitters)
             mask = np.zeros(len(c.rows), np.uint64)
             for k, x in zip(buckets, blobs):
                 if k >= 0:
                     mask[c.cuts[k]: c.cuts[k + 1]] = _spread(x, np.uint64)
             mine = mask[c.number]
             later = batch.ids[c.doc] > c.least[c.number]
-            left, right = c.rows[c.number, CONTEXT + 1].astype(np.int64), c.rows[c.number, CONTEXT].astype(np.int64)
             for back in range(OFFSETS):
-                fits = (left >= back) & (right >= LENGTH - back)
-                gone = fits & (later | (mine >> np.uint64(back) & np.uint64(1)).astype(bool))
+                gone = fitting(c.rows, back)[c.number] & (later | (mine >> np.uint64(back) & np.uint64(1)).astype(bool))
                 starts[c.places[gone] - back] = True
         upto = np.concatenate([[0], np.cumsum(starts[:-1], dtype=np.int32)])
         covered = upto[1:] > 0
@@ -376,11 +420,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     batches = max(4, math.ceil(size / BATCH))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "body"), F.lit(batches)).cast("int"))
     tokens = dealt.groupBy("batch").applyInArrow(_token_rows(splitters), "bucket int, batch int, tokens binary, several binary")
-    shared = tokens.groupBy("bucket").applyInArrow(_shared_rows, "batch int, bucket int, blob binary")
+    shared = tokens.groupBy("bucket").applyInArrow(_shared_rows(HOT), "batch int, bucket int, blob binary, hot binary")
     contexts = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(
         _context_rows(splitters), "bucket int, batch int, rows binary, least binary"
     )
-    masks = contexts.groupBy("bucket").applyInArrow(_mask_rows, "batch int, bucket int, blob binary")
+    masks = contexts.groupBy("bucket").applyInArrow(_mask_rows, "batch int, bucket int, blob binary, hot binary")
     out = dealt.groupBy("batch").cogroup(shared.union(masks).groupBy("batch")).applyInArrow(
         _removal_rows(splitters), "id long, n_bytes long, spans array<long>, kept binary"
     )

@@ -85,7 +85,9 @@ def test_components_of_chain_hub_and_ring(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), **dict.fromkeys(range(200, 207), 200)}
 
 
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 2, 1000])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH", 3000)
     monkeypatch.setattr(suffix_dedup, "BUCKET", 3000)
     rng = random.Random(3)
