@@ -240,13 +240,23 @@ def modality_accuracy(df: DataFrame, by: str = "modality") -> DataFrame:
     )
 
 
-def vote(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Hard vote (strictly more than half) and soft vote (mean probability of at least 0.5) per key."""
-    out = df.groupBy(*key).agg(
-        F.min_by("label_true", modality_rank(F.col("modality"))).alias("true_label"),
-        F.sum(F.coalesce("label_pred", F.lit(0))).cast("long").alias("votes_for_positive"),
-        F.count(F.lit(1)).alias("total_votes"),
-        F.avg("prob").alias("mean_prob"),
+def _vote_sums(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """What a vote needs per key: the leading modality's label, positive votes, rows, probabilities."""
+    return df.groupBy(*key).agg(
+        F.min(F.struct(modality_rank(F.col("modality")).alias("rank"), F.col("label_true").alias("label"))).alias("_lead"),
+        F.sum(F.coalesce("label_pred", F.lit(0))).cast("long").alias("_votes"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("prob").alias("_prob"),
+        F.count("prob").alias("_probs"),
+    )
+
+
+def _vote(sums: DataFrame, key: Sequence[str]) -> DataFrame:
+    out = sums.groupBy(*key).agg(
+        F.min("_lead")["label"].alias("true_label"),
+        F.sum("_votes").alias("votes_for_positive"),
+        F.sum("_rows").alias("total_votes"),
+        F.try_divide(F.sum("_prob"), F.sum("_probs")).alias("mean_prob"),
     )
     hard = (F.col("votes_for_positive") > F.col("total_votes") / 2).cast("int")
     soft = (F.col("mean_prob") >= 0.5).cast("int")
@@ -260,18 +270,24 @@ def vote(df: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
+def vote(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Hard vote (strictly more than half) and soft vote (mean probability of at least 0.5) per key."""
+    return _vote(_vote_sums(df, key), key)
+
+
 def modality_triples(df: DataFrame, limit: int = 10) -> DataFrame:
     """Every choice of three modalities, voted and ranked; none when there are three or fewer.
 
-    The distinct modality names form one small array; triples grow out of it by
-    nested explodes, and rows meet them on the modality name.
+    Rows shrink to one per subject and modality before the triples multiply
+    them; the distinct modality names form one small array.
     """
-    names = df.agg(F.array_sort(F.collect_set("modality")).alias("m")).where(F.size("m") > 3)
+    sums = _vote_sums(df, ["subject_id", "modality"])
+    names = sums.agg(F.array_sort(F.collect_set("modality")).alias("m")).where(F.size("m") > 3)
     t = names.select("m", F.explode("m").alias("a"))
     t = t.select("m", "a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
     t = t.select("a", "b", F.explode(F.filter("m", lambda x: x > F.col("b"))).alias("c"))
     t = t.select(F.concat_ws("+", "a", "b", "c").alias("combo"), F.explode(F.array("a", "b", "c")).alias("modality"))
-    voted = vote(df.join(t, "modality"), ["combo", "subject_id"])
+    voted = _vote(sums.join(t, "modality"), ["combo", "subject_id"])
     out = voted.groupBy("combo").agg(
         F.count_if("correct").alias("correct"),
         F.count(F.lit(1)).alias("total"),

@@ -13,20 +13,101 @@ from framelane.plans.registry import pick, query
 FRAME = ["video_id", "frame_index"]
 
 
-@query("cubic_fill", "T2 T4")
+def tridiagonal_sql(p: str, src: str, key: str) -> str:
+    """Solve ``src(key, k, lo, di, up, rhs, last)``, k from 1 to last, by recursion over k; gives ``p(key, k, m)``."""
+    on = " AND ".join(f"s.{c} = f.{c}" for c in key.split(", "))
+    cols = ", ".join(f"s.{c}" for c in key.split(", "))
+    return f"""{p}_f AS (SELECT {key}, k, last, up / di AS cp, rhs / di AS dp FROM {src} WHERE k = 1
+      UNION ALL SELECT {cols}, s.k, s.last, s.up / (s.di - s.lo * f.cp), (s.rhs - s.lo * f.dp) / (s.di - s.lo * f.cp)
+      FROM {p}_f f JOIN {src} s ON {on} AND s.k = f.k + 1),
+    {p} AS (SELECT {key}, k, dp AS m FROM {p}_f WHERE k = last
+      UNION ALL SELECT {cols}, s.k, s.dp - s.cp * f.m FROM {p} f JOIN {p}_f s ON {on} AND s.k = f.k - 1)"""
+
+
+#: Pieces of the cubic splines through ``kn(video_id, ch, t, v)``, first two and last two pieces one cubic each; ``pc`` has one row per piece.
+SPLINE = f"""ks AS MATERIALIZED (SELECT *, row_number() OVER o - 1 AS k, count(*) OVER (PARTITION BY video_id, ch) AS n, t - lag(t) OVER o AS h0, lead(t) OVER o - t AS h1,
+      lead(t) OVER o AS t1, lead(v) OVER o AS v1, (lead(v) OVER o - v) / (lead(t) OVER o - t) - (v - lag(v) OVER o) / (t - lag(t) OVER o) AS bend
+      FROM kn WINDOW o AS (PARTITION BY video_id, ch ORDER BY t)),
+    sy AS MATERIALIZED (SELECT video_id, ch, k, n - 2 AS last, 6 * bend AS rhs,
+      CASE WHEN k = 1 THEN 0 WHEN k = n - 2 THEN h0 - h1 * h1 / h0 ELSE h0 END AS lo,
+      2 * (h0 + h1) + CASE WHEN k = 1 THEN h0 * (1 + h0 / h1) ELSE 0 END + CASE WHEN k = n - 2 THEN h1 * (1 + h1 / h0) ELSE 0 END AS di,
+      CASE WHEN k = n - 2 THEN 0 WHEN k = 1 THEN h1 - h0 * h0 / h1 ELSE h1 END AS up FROM ks WHERE n >= 4 AND k BETWEEN 1 AND n - 2),
+    {tridiagonal_sql("mi", "sy", "video_id, ch")},
+    ma AS (SELECT video_id, ch, k, m FROM mi
+      UNION ALL SELECT a.video_id, a.ch, 0, a.m + (a.m - b.m) * h0 / h1 FROM mi a JOIN mi b USING (video_id, ch) JOIN ks USING (video_id, ch)
+        WHERE a.k = 1 AND b.k = 2 AND ks.k = 1
+      UNION ALL SELECT a.video_id, a.ch, n - 1, a.m + (a.m - b.m) * h1 / h0 FROM mi a JOIN mi b USING (video_id, ch) JOIN ks USING (video_id, ch)
+        WHERE a.k = n - 2 AND b.k = n - 3 AND ks.k = n - 2),
+    pc AS MATERIALIZED (SELECT ks.video_id, ks.ch, ks.k, n, t AS t0, t1, v AS y, coalesce(p.m, 0) / 2 AS c, (coalesce(q.m, 0) - coalesce(p.m, 0)) / (6 * h1) AS b,
+      (v1 - v) / h1 - h1 * (2 * coalesce(p.m, 0) + coalesce(q.m, 0)) / 6 AS d
+      FROM ks LEFT JOIN ma p ON p.video_id = ks.video_id AND p.ch = ks.ch AND p.k = ks.k
+      LEFT JOIN ma q ON q.video_id = ks.video_id AND q.ch = ks.ch AND q.k = ks.k + 1 WHERE ks.k < n - 1)"""
+
+
+@query(
+    "cubic_fill",
+    "T2 T4",
+    f"""WITH RECURSIVE {PREDS}, {FIRST}, r AS (SELECT video_id, frame_index, CAST(frame_index AS DOUBLE) AS t, CASE WHEN coalesce(score, 0) >= 0.3 THEN x END AS x FROM pf),
+    kn AS (SELECT video_id, 'x' AS ch, t, x AS v FROM r WHERE x IS NOT NULL), {SPLINE},
+    e AS (SELECT video_id, count(*) AS n, min(v) AS lo, max(v) AS hi FROM kn GROUP BY 1),
+    u AS (SELECT r.*, coalesce(g.k, 0) AS k FROM r ASOF LEFT JOIN pc g ON r.video_id = g.video_id AND r.t >= g.t0),
+    f AS (SELECT u.*, e.n, lo, hi, y, c, b, d, CASE WHEN e.n < 4 THEN least(greatest(u.t, t0), t1) ELSE u.t END - t0 AS z
+      FROM u LEFT JOIN e USING (video_id) LEFT JOIN pc USING (video_id, k))
+    SELECT video_id, frame_index, round(CASE WHEN x IS NOT NULL THEN x WHEN n IS NULL THEN 0 WHEN n = 1 THEN lo
+      ELSE least(greatest(y + z * (d + z * (c + z * b)), lo), hi) END, 6) AS x FROM f""",
+)
 def _(spark, sf):
     df = first(spark, sf).select(*FRAME, F.when(F.coalesce("score", F.lit(0.0)) >= 0.3, F.col("x")).alias("x"))
-    return C.cubic_fill(df, KEY, ["x"], F.col("x").isNotNull())
+    return pick(C.cubic_fill(df, KEY, ["x"], F.col("x").isNotNull()), *FRAME, "x")
 
 
-@query("spline_gaps", "T24 D5")
+@query(
+    "spline_gaps",
+    "T24 D5",
+    f"""WITH RECURSIVE {PREDS}, best AS (SELECT * FROM preds QUALIFY row_number() OVER (PARTITION BY video_id, frame_index ORDER BY score DESC NULLS LAST, pos) = 1),
+    kn AS (SELECT video_id, ch, CAST(frame_index AS DOUBLE) AS t, v FROM (SELECT video_id, frame_index, x, y, w, h, coalesce(score, 0.6) AS s FROM best) UNPIVOT (v FOR ch IN (x, y, w, h, s))),
+    {SPLINE}, g AS (SELECT video_id, ch, unnest(range(CAST(t0 AS INTEGER) + 1, CAST(t1 AS INTEGER))) AS frame_index, t0, y, c, b, d FROM pc WHERE t1 - t0 > 1 AND t1 - t0 <= 20),
+    z AS (SELECT video_id, CAST(frame_index AS INTEGER) AS frame_index, ch, y + (frame_index - t0) * (d + (frame_index - t0) * (c + (frame_index - t0) * b)) AS v FROM g),
+    sc AS (SELECT video_id, count(score) > 0 AS scored FROM best GROUP BY 1),
+    n AS (SELECT video_id, frame_index, max(v) FILTER (WHERE ch = 'x') AS x, max(v) FILTER (WHERE ch = 'y') AS y, max(v) FILTER (WHERE ch = 'w') AS w,
+      max(v) FILTER (WHERE ch = 'h') AS h, max(v) FILTER (WHERE ch = 's') AS s FROM z GROUP BY 1, 2)
+    SELECT video_id, frame_index, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(score, 6) AS score, false AS filled FROM best
+    UNION ALL SELECT video_id, frame_index, round(x, 6), round(y, 6), round(w, 6), round(h, 6),
+      CASE WHEN scored THEN round(least(greatest(s, 0), 1), 6) END, true FROM n JOIN sc USING (video_id)""",
+)
 def _(spark, sf):
-    return C.spline_gaps(preds(spark, sf), KEY)
+    out = C.spline_gaps(preds(spark, sf), KEY)
+    return pick(out, *FRAME, "x", "y", "w", "h", "score", "filled")
 
 
-@query("lowess_residuals", "T26")
+def local_fit_sql(p: str, src: str) -> str:
+    """One pass of locally weighted lines on ``src(video_id, t, x, n, h, mean, rw)``; ``p`` adds ``fit`` and the next weights ``rw``."""
+    return f"""{p}_s AS (SELECT a.video_id, a.t, a.x, a.n, a.h, a.mean, b.t - a.t AS u, b.x AS bx, pow(1 - pow(least(abs(b.t - a.t) / a.h, 1), 3), 3) * b.rw AS w
+      FROM {src} a JOIN {src} b USING (video_id)),
+    {p}_m AS (SELECT video_id, t, x, n, h, mean, count(*) FILTER (WHERE w > 1e-12) AS used, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2,
+      sum(w * bx) AS b0, sum(w * u * bx) AS b1 FROM {p}_s GROUP BY ALL),
+    {p}_f AS (SELECT video_id, t, x, n, h, mean, CASE WHEN used < 2 THEN mean WHEN s0 * s2 - s1 * s1 > 1e-14 * s0 * s2
+      THEN (s2 * b0 - s1 * b1) / (s0 * s2 - s1 * s1) ELSE b0 / s0 END AS fit FROM {p}_m),
+    {p}_c AS (SELECT video_id, median(x - fit) AS mid FROM {p}_f GROUP BY 1),
+    {p}_d AS (SELECT video_id, median(abs(x - fit - mid)) AS mad FROM {p}_f JOIN {p}_c USING (video_id) GROUP BY 1),
+    {p} AS MATERIALIZED (SELECT {p}_f.*, CASE WHEN abs(x - fit) < (mad * 1.4826 + 1e-6) * 6
+      THEN pow(1 - pow((x - fit) / ((mad * 1.4826 + 1e-6) * 6), 2), 2) ELSE 0 END AS rw FROM {p}_f JOIN {p}_d USING (video_id))"""
+
+
+@query(
+    "lowess_residuals",
+    "T26",
+    f"""WITH {PREDS}, {FIRST}, r AS (SELECT video_id, frame_index AS t, x, count(*) OVER v AS n, avg(x) OVER v AS mean FROM pf WINDOW v AS (PARTITION BY video_id)),
+    hs AS (SELECT a.video_id, a.t, abs(b.t - a.t) AS h, least(a.n, greatest(4, CAST(ceil(a.n * 0.5) AS BIGINT))) AS reach,
+      row_number() OVER (PARTITION BY a.video_id, a.t ORDER BY abs(b.t - a.t)) AS place FROM r a JOIN r b USING (video_id)),
+    l0 AS MATERIALIZED (SELECT r.*, CASE WHEN h > 1e-12 THEN h ELSE 1 END AS h, 1::DOUBLE AS rw FROM r JOIN hs USING (video_id, t) WHERE place = reach),
+    {local_fit_sql("l1", "l0")}, {local_fit_sql("l2", "l1")}, {local_fit_sql("l3", "l2")}
+    SELECT video_id, t AS frame_index, round(x, 6) AS x, round(CASE WHEN n < 4 THEN x ELSE fit END, 6) AS fit,
+      round(CASE WHEN n < 4 THEN 0 ELSE abs(x - fit) END, 6) AS residual FROM l3""",
+)
 def _(spark, sf):
-    return C.lowess(first(spark, sf).select(*FRAME, "x"), KEY, "x")
+    out = C.lowess(first(spark, sf).select(*FRAME, "x"), KEY, "x")
+    return pick(out, *FRAME, "x", "fit", "residual")
 
 
 @query(
@@ -58,8 +139,22 @@ def _(spark, sf):
     return pick(out, *FRAME, *C.MOTION)
 
 
-@query("positions_from_increments", "T29")
+@query(
+    "positions_from_increments",
+    "T29",
+    f"""WITH RECURSIVE {PREDS}, {FIRST}, r AS (SELECT video_id, frame_index, x + w / 2 AS cx, (pos * 13) % 21 - 10 AS move, pos % 4 = 0 AS trusted FROM pf),
+    q AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY video_id) AS last, lead(move) OVER o AS ahead,
+      frame_index = coalesce(min(frame_index) FILTER (WHERE trusted) OVER (PARTITION BY video_id), min(frame_index) OVER (PARTITION BY video_id)) AS anchor
+      FROM r WINDOW o AS (PARTITION BY video_id ORDER BY frame_index)),
+    e AS MATERIALIZED (SELECT video_id, frame_index, cx, move, trusted, k, last, CASE WHEN k > 1 THEN -1 ELSE 0 END AS lo, CASE WHEN k < last THEN -1 ELSE 0 END AS up,
+      (CASE WHEN k > 1 THEN 1 ELSE 0 END + CASE WHEN k < last THEN 1 ELSE 0 END + CASE WHEN trusted THEN 4 ELSE 0 END + CASE WHEN anchor THEN 1 ELSE 0 END)::DOUBLE AS di,
+      CASE WHEN k > 1 THEN move ELSE 0 END - CASE WHEN k < last THEN ahead ELSE 0 END + (CASE WHEN trusted THEN 4 ELSE 0 END + CASE WHEN anchor THEN 1 ELSE 0 END) * cx AS rhs FROM q),
+    {tridiagonal_sql("sol", "e", "video_id")}
+    SELECT video_id, frame_index, round(cx, 6) AS cx, move::DOUBLE AS move, trusted, round(m, 6) AS out FROM e JOIN sol USING (video_id, k)""",
+)
 def _(spark, sf):
+    """The whole least squares system of every row against the solution on trusted rows only."""
     df = centers(spark, sf).withColumn("move", ((F.col("pos") * 13) % 21 - 10).cast("double"))
     df = df.withColumn("trusted", F.col("pos") % 4 == 0)
-    return C.from_increments(df.select(*FRAME, "cx", "move", "trusted"), KEY, "cx", "move", "trusted", "out")
+    out = C.from_increments(df.select(*FRAME, "cx", "move", "trusted"), KEY, "cx", "move", "trusted", "out")
+    return pick(out, *FRAME, "cx", "move", "trusted", "out")
