@@ -129,7 +129,7 @@ def channel_matrix(series: DataFrame, key: Sequence[str], channels: Sequence[str
     return wide.select(*key, "step", F.array(*[F.coalesce(c, F.lit(0.0)) for c in channels]).alias("vector"))
 
 
-def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
+def second_moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, covariance (sample) and count; the d x d matrix comes from one distributed pass."""
     rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     s = rows.agg(Summarizer.metrics("mean", "std", "count").summary(F.col("v")).alias("s")).first()["s"]
@@ -142,7 +142,7 @@ def _moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 def fit_lda(df: DataFrame, vector: str, label: str, k: int, ridge: float = 1e-6) -> np.ndarray:
     """Discriminant axes from class means and the pooled scatter (d x d on the driver)."""
-    mean, cov, n = _moments(df, vector)
+    mean, cov, n = second_moments(df, vector)
     classes = df.groupBy(label).agg(
         Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("m"), F.count(F.lit(1)).alias("n")
     ).collect()  # one row per class
@@ -159,7 +159,7 @@ def fit_lda(df: DataFrame, vector: str, label: str, k: int, ridge: float = 1e-6)
 def fit_pls(df: DataFrame, vector: str, target: str, k: int) -> np.ndarray:
     """Partial least squares axes for one target, from second moments only."""
     arr = F.col(vector).cast("array<double>")
-    mean, cov, _ = _moments(df.select(F.concat(arr, F.array(F.col(target).cast("double"))).alias("z")), "z")
+    mean, cov, _ = second_moments(df.select(F.concat(arr, F.array(F.col(target).cast("double"))).alias("z")), "z")
     sxx, sxy = cov[:-1, :-1].copy(), cov[:-1, -1].copy()
     weights, loads = [], []
     for _ in range(min(k, len(sxy))):

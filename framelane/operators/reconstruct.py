@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
 from framelane.operators import dedup
 from framelane.operators import kernels as K
+from framelane.operators.frames import fill_edges
 from framelane.operators.interpolate import BOX, at
+from framelane.operators.modelling import second_moments
 from framelane.operators.ordered import neighbours, next_known, previous_known, row_position, running_sum, scan, total
 from framelane.operators.ranked import percentiles
+from framelane.operators.smooth import adaptive_savgol, from_channels, to_channels
 from framelane.session import cut
 
 FRAME = "frame_index"
@@ -231,3 +235,77 @@ def first_running(name: str, order: str):
 
     at_anchor = F.when(F.coalesce(F.col("_first.o") == F.col(order), F.col("_p") == 0), F.col("_s"))
     return first_known(name, at_anchor, order)
+
+
+SHAPE = ("cx", "cy", "w", "h")
+TARGETS = {"dx": "dx_prev", "dy": "dy_prev", "w": "w", "h": "h"}
+
+
+def fit_motion(df: DataFrame, key: Sequence[str]) -> dict[str, Column]:
+    """Linear predictions of a row's step (dx, dy) and size (w, h) from its step features.
+
+    Learnt on complete trajectories (cx, cy, w, h) of at least two rows, from
+    second moments: one pass, a matrix of 15 x 15 on the driver.
+    """
+    rows = scan(df, key, FRAME, total("_n", F.count(F.lit(1)))).where("_n > 1").drop("_n")
+    rows = cut(regression_features(rows, key))
+    z = F.array(*[F.col(c).cast("double") for c in (*MOTION, *TARGETS.values())])
+    mean, cov, _ = second_moments(rows.select(z.alias("z")), "z")
+    d = len(MOTION)
+    used = np.flatnonzero(np.diag(cov)[:d] > 1e-12)
+    scale = np.sqrt(np.diag(cov)[used])
+    out = {}
+    for j, name in enumerate(TARGETS):
+        fit = np.linalg.lstsq(cov[np.ix_(used, used)] / np.outer(scale, scale), cov[used, d + j] / scale, rcond=1e-10)[0] / scale
+        start = F.lit(float(mean[d + j] - fit @ mean[used]))
+        out[name] = sum((F.col(MOTION[i]) * float(a) for i, a in zip(used, fit)), start)
+    return out
+
+
+def local_repair(
+    df: DataFrame,
+    key: Sequence[str],
+    model: Mapping[str, Column],
+    seen: Column,
+    frac: float = 0.5,
+    iterations: int = 3,
+    quantile: float = 0.8,
+    window: int = 5,
+    polyorder: int = 2,
+) -> DataFrame:
+    """Repair trajectories (cx, cy, w, h) by local regression; adds ``anomaly`` and ``flagged``.
+
+    Rows far from the local fit of any channel, and unseen or incomplete rows,
+    are deleted. Their surroundings fill in, ``model`` (see :func:`fit_motion`)
+    predicts their steps and sizes, steps and trusted positions are balanced by
+    least squares, and all four channels are smoothed lightly.
+    """
+    whole = F.coalesce(seen, F.lit(False))
+    for c in SHAPE:
+        whole = whole & F.coalesce(G.finite(F.col(c)), F.lit(False))
+    rows = cut(df.select(*key, FRAME, *SHAPE, whole.alias("_seen")))
+    by = [*key, "channel"]
+    fits = lowess(to_channels(rows, key, SHAPE), by, "v", frac, iterations)
+    residuals = from_channels(fits.select(*by, FRAME, F.col("residual").alias("v")), key, SHAPE)
+    residuals = residuals.select(*key, FRAME, *[F.col(c).alias(f"_r_{c}") for c in SHAPE])
+    rows = anomaly_flags(rows.join(residuals, [*key, FRAME], "left"), key, [f"_r_{c}" for c in SHAPE], "_seen", quantile)
+    rows = cut(rows.withColumns({f"_{c}": F.when(~F.col("flagged"), F.col(c)) for c in SHAPE}))
+    context = rows.withColumns({c: F.col(f"_{c}") for c in SHAPE})
+    context = scan(fill_edges(context, key, SHAPE), key, FRAME, total("_kept", F.count_if(~F.col("flagged"))))
+    # without any trusted row the context is the unit box at the origin
+    context = context.withColumns({c: F.when(F.col("_kept") > 0, F.col(c)).otherwise(0.5) for c in ("cx", "cy")})
+    context = context.withColumns({c: F.greatest(F.col(c), F.lit(1.0)) for c in ("w", "h")})
+    rows = cut(regression_features(cut(context), key))
+    rows = scan(rows, key, FRAME, previous_known("_before", F.col("flagged"), FRAME))
+    rows = rows.withColumn("_ok", ~F.col("flagged"))
+    both = F.col("_ok") & ~F.coalesce("_before", F.lit(False))
+    rows = rows.withColumns({f"_move_{c}": F.when(both, F.col(f"d{c}_prev")).otherwise(model[f"d{c}"]) for c in "xy"})
+    rows = rows.withColumns({f"_size_{c}": F.greatest(F.coalesce(f"_{c}", model[c]), F.lit(1.0)) for c in "wh"})
+    rows = cut(rows.select(*key, FRAME, "anomaly", "flagged", "_ok", "_cx", "_cy", "_move_x", "_move_y", "_size_w", "_size_h"))
+    for c in "xy":
+        rows = cut(from_increments(rows, key, f"_c{c}", f"_move_{c}", "_ok", f"c{c}"))
+    rows = rows.select(*key, FRAME, "cx", "cy", F.col("_size_w").alias("w"), F.col("_size_h").alias("h"), "anomaly", "flagged")
+    smooth = adaptive_savgol(to_channels(rows, key, SHAPE), by, ["v"], window, polyorder)
+    out = from_channels(smooth, key, SHAPE).join(rows.drop(*SHAPE), [*key, FRAME])
+    # boxes are never thinner than 1
+    return out.withColumns({c: F.greatest(F.col(c), F.lit(1.0)) for c in ("w", "h")})

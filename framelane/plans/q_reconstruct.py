@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framelane.operators import dedup as D
 from framelane.operators import reconstruct as C
-from framelane.plans.fixtures import FIRST, KEY, PREDS, preds
+from framelane.plans.fixtures import FIRST, KEY, PREDS, gt, preds
 from framelane.plans.q_features import SHAPE
-from framelane.plans.q_smooth import centers, first
-from framelane.plans.registry import pick, query
+from framelane.plans.q_smooth import adaptive_sql, centers, first
+from framelane.plans.registry import TIE, pick, query
 
 FRAME = ["video_id", "frame_index"]
 
@@ -158,3 +159,52 @@ def _(spark, sf):
     df = df.withColumn("trusted", F.col("pos") % 4 == 0)
     out = C.from_increments(df.select(*FRAME, "cx", "move", "trusted"), KEY, "cx", "move", "trusted", "out")
     return pick(out, *FRAME, "cx", "move", "trusted", "out")
+
+
+def _filled(c: str, empty: str) -> str:
+    return f"""coalesce(last_value(t{c} IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      first_value(t{c} IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), {empty}) AS {c}"""
+
+
+@query(
+    "local_repair",
+    "T31",
+    f"""WITH RECURSIVE {PREDS}, {FIRST},
+    rw AS (SELECT video_id, frame_index, CASE WHEN pos % 11 <> 0 THEN x + w / 2 END AS cx, CASE WHEN pos % 11 <> 0 THEN y + h / 2 END AS cy,
+      CASE WHEN pos % 11 <> 0 THEN w END AS w, CASE WHEN pos % 11 <> 0 THEN h END AS h, pos % 11 <> 0 AND NOT is_fallback AS seen FROM pf),
+    un AS (SELECT video_id * 4 + CASE ch WHEN 'cx' THEN 0 WHEN 'cy' THEN 1 WHEN 'w' THEN 2 ELSE 3 END AS video_id, frame_index AS t, x FROM rw UNPIVOT (x FOR ch IN (cx, cy, w, h))),
+    r AS (SELECT *, count(*) OVER v AS n, avg(x) OVER v AS mean FROM un WINDOW v AS (PARTITION BY video_id)),
+    hs AS (SELECT a.video_id, a.t, abs(b.t - a.t) AS h, least(a.n, greatest(4, CAST(ceil(a.n * 0.5) AS BIGINT))) AS reach,
+      row_number() OVER (PARTITION BY a.video_id, a.t ORDER BY abs(b.t - a.t)) AS place FROM r a JOIN r b USING (video_id)),
+    l0 AS MATERIALIZED (SELECT r.*, CASE WHEN h > 1e-12 THEN h ELSE 1 END AS h, 1::DOUBLE AS rw FROM r JOIN hs USING (video_id, t) WHERE place = reach),
+    {local_fit_sql("l1", "l0")}, {local_fit_sql("l2", "l1")}, {local_fit_sql("l3", "l2")},
+    rs AS (SELECT video_id // 4 AS video_id, t AS frame_index, max(CASE WHEN n < 4 THEN 0 ELSE abs(x - fit) END) AS a FROM l3 GROUP BY 1, 2),
+    an AS (SELECT rw.*, coalesce(a, 0) / greatest(max(coalesce(a, 0)) OVER (PARTITION BY rw.video_id), 1e-300) AS anomaly FROM rw LEFT JOIN rs USING (video_id, frame_index)),
+    qs AS (SELECT video_id, quantile_cont(anomaly, 0.8) AS q, max(anomaly) AS top FROM an WHERE seen GROUP BY 1),
+    fl AS (SELECT an.*, NOT seen OR coalesce(top > 0 AND anomaly >= q, false) AS flagged FROM an LEFT JOIN qs USING (video_id)),
+    ta AS (SELECT video_id, frame_index, anomaly, flagged, CASE WHEN NOT flagged THEN cx END AS tcx, CASE WHEN NOT flagged THEN cy END AS tcy,
+      CASE WHEN NOT flagged THEN w END AS tw, CASE WHEN NOT flagged THEN h END AS th FROM fl),
+    ct AS (SELECT video_id, frame_index, anomaly, flagged, tcx, tcy, {_filled("cx", "0.5")}, {_filled("cy", "0.5")}, {_filled("w", "1")}, {_filled("h", "1")} FROM ta),
+    mv AS (SELECT video_id * 2 AS id, frame_index, flagged, coalesce(tcx, 0) AS v, coalesce(cx - lag(cx) OVER o, 0) AS move FROM ct WINDOW o AS (PARTITION BY video_id ORDER BY frame_index)
+      UNION ALL SELECT video_id * 2 + 1, frame_index, flagged, coalesce(tcy, 0), coalesce(cy - lag(cy) OVER o, 0) FROM ct WINDOW o AS (PARTITION BY video_id ORDER BY frame_index)),
+    q0 AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY id) AS last, lead(move) OVER o AS ahead,
+      frame_index = coalesce(min(frame_index) FILTER (WHERE NOT flagged) OVER (PARTITION BY id), min(frame_index) OVER (PARTITION BY id)) AS anchor
+      FROM mv WINDOW o AS (PARTITION BY id ORDER BY frame_index)),
+    e AS MATERIALIZED (SELECT id, frame_index, k, last, CASE WHEN k > 1 THEN -1 ELSE 0 END AS lo, CASE WHEN k < last THEN -1 ELSE 0 END AS up,
+      (CASE WHEN k > 1 THEN 1 ELSE 0 END + CASE WHEN k < last THEN 1 ELSE 0 END + CASE WHEN flagged THEN 0 ELSE 4 END + CASE WHEN anchor THEN 1 ELSE 0 END)::DOUBLE AS di,
+      CASE WHEN k > 1 THEN move ELSE 0 END - CASE WHEN k < last THEN ahead ELSE 0 END + (CASE WHEN flagged THEN 0 ELSE 4 END + CASE WHEN anchor THEN 1 ELSE 0 END) * v AS rhs FROM q0),
+    {tridiagonal_sql("sol", "e", "id")},
+    po AS (SELECT id // 2 AS video_id, frame_index, max(m) FILTER (WHERE id % 2 = 0) AS cx, max(m) FILTER (WHERE id % 2 = 1) AS cy FROM e JOIN sol USING (id, k) GROUP BY 1, 2),
+    sm AS MATERIALIZED (SELECT po.video_id, po.frame_index, po.cx, po.cy, greatest(w, 1) AS w, greatest(h, 1) AS h FROM po JOIN ct USING (video_id, frame_index)),
+    {adaptive_sql("o", "sm", ("cx", "cy", "w", "h"), 5)}
+    SELECT o.video_id, o.frame_index, round(o.cx + {TIE}, 6) AS cx, round(o.cy + {TIE}, 6) AS cy, round(greatest(o.w, 1) + {TIE}, 6) AS w,
+      round(greatest(o.h, 1) + {TIE}, 6) AS h, round(anomaly + {TIE}, 6) AS anomaly, flagged FROM o JOIN ct USING (video_id, frame_index)""",
+)
+def _(spark, sf):
+    """Motion learnt on the annotations; a linear model reproduces a context row's own step and size, as the SQL states."""
+    box = ["cx", "cy", "w", "h"]
+    truth = D.first_per_frame(gt(spark, sf), FRAME)
+    truth = truth.select(*FRAME, (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), "w", "h")
+    rows = centers(spark, sf).withColumns({c: F.when(F.col("pos") % 11 != 0, F.col(c)) for c in box})
+    out = C.local_repair(rows, KEY, C.fit_motion(truth, KEY), ~F.col("is_fallback"))
+    return pick(out, *FRAME, *box, "anomaly", "flagged", tie=TIE)
