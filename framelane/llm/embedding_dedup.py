@@ -84,17 +84,20 @@ def compare(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple
 
 
 def _settle(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest label reachable over links x, y, starting from ``label``."""
-    while len(x):
+    """Smallest label reachable over links x, y and over the links to their roots that ``label`` stands for."""
+    if not len(x):
+        return label
+    # The roots so far are links too: who moves to a lower root must take along all that had the old one.
+    x, y = np.concatenate([x, np.arange(len(label))]), np.concatenate([y, label])
+    while True:
         new = label.copy()
         low = np.minimum(label[x], label[y])
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
+        for ends in (x, y, label[x], label[y]):
+            np.minimum.at(new, ends, low)
         new = np.minimum(new, new[new])
         if (new == label).all():
-            break
+            return label
         label = new
-    return label
 
 
 def _tiles_of(rows: pa.Table, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

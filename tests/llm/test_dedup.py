@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,3 +157,28 @@ def test_empty_documents(spark, run):
 
 def test_empty_vectors(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [(1, [1.0])]).limit(0)).collect() == []
+
+
+def test_embedding_chains_over_tiles_and_blocks(monkeypatch):
+    """Chains whose smallest id turns up late keep one root, over tiles and over pairs of blocks."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 4)
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        n, width = 60, 12  # neighbours share 11 of 12 dimensions, the next but one 10
+        m = embedding_dedup.unit(np.array([[float(i <= d < i + width) for d in range(n + width)] for i in range(n)]))
+        m = m[[i for i in range(n) if i not in (20, 45)]]  # three chains
+        m, ids = m[rng.permutation(len(m))], rng.permutation(1000)[: len(m)].astype(np.int64)
+        blocks = np.array_split(np.arange(len(m)), 3)
+        found = []
+        for one in range(3):
+            for two in range(one, 3):
+                rows = [{"one": one, "two": two, "block": b, "ids": ids[blocks[b]].tobytes(), "copies": np.ones(len(blocks[b]), np.int64).tobytes(),
+                         "vectors": m[blocks[b]].tobytes()} for b in sorted({one, two})]
+                found += embedding_dedup._compare_blocks(pa.Table.from_pylist(rows)).to_pylist()
+        linked = m @ m.T >= embedding_dedup.THRESHOLD
+        want = reachable(ids.tolist(), lambda i, j: linked[i, j])
+        place = {int(i): k for k, i in enumerate(ids)}
+        joined = np.eye(len(m), dtype=bool)
+        for r in found:
+            joined[place[r["id"]], place[r["root"]]] = joined[place[r["root"]], place[r["id"]]] = True
+        assert reachable(ids.tolist(), lambda i, j: joined[i, j]) == want
