@@ -47,6 +47,32 @@ def title_of(page: Page) -> str:
     return " ".join(t for _, t, _ in page.segments)
 
 
+def left_out(page: Page, template: set[int]) -> tuple[list[bool], list[bool]]:
+    """Per node, whether it is left out everywhere, and outside the article.
+
+    Names, forms and fieldsets leave nothing out that holds an article, a main element or
+    most of the unlinked varying text.
+    """
+    nodes = page.nodes
+    bad, outer = [x.bad for x in nodes], [x.outer for x in nodes]
+    for k in range(1, len(nodes)):
+        bad[k] = bad[k] or bad[nodes[k].parent]
+    weight, whole = [0] * len(nodes), [False] * len(nodes)
+    for k, text, linked in page.segments:
+        if not bad[k] and k not in template:
+            weight[k] += max(0, len(text) - linked)
+    for k in range(len(nodes) - 1, 0, -1):
+        up, main = nodes[k].parent, nodes[k].tag in ("article", "main")
+        weight[up] += weight[k]
+        whole[up] = whole[up] or whole[k] or main and not bad[k] and not nodes[k].named
+    for k in range(1, len(nodes)):
+        x = nodes[k]
+        if x.tag not in ("article", "main") and not whole[k] and 2 * weight[k] <= weight[0]:
+            bad[k], outer[k] = bad[k] or x.named, outer[k] or x.outer_named
+        bad[k], outer[k] = bad[k] or bad[x.parent], outer[k] or outer[x.parent]
+    return bad, outer
+
+
 def content(page: Page, template: set[int]) -> list[str]:
     """Blocks of the main text in page order.
 
@@ -55,17 +81,18 @@ def content(page: Page, template: set[int]) -> list[str]:
     else the deepest block with MAIN_SHARE of the unlinked varying text.
     """
     nodes = page.nodes
-    roots = [k for k, x in enumerate(nodes) if x.tag == "article" and not x.bad]
-    roots = roots or [k for k, x in enumerate(nodes) if x.tag == "main" and not x.bad]
+    bad, outer = left_out(page, template)
+    roots = [k for k, x in enumerate(nodes) if x.tag == "article" and not bad[k]]
+    roots = roots or [k for k, x in enumerate(nodes) if x.tag == "main" and not bad[k]]
     inside = [False] * len(nodes)
     if roots:
         for k in roots:
             inside[k] = True
         for k in range(1, len(nodes)):
             inside[k] = inside[k] or inside[nodes[k].parent]
-        keep = [s for s in page.segments if inside[s[0]] and not nodes[s[0]].bad and s[0] not in template]
+        keep = [s for s in page.segments if inside[s[0]] and not bad[s[0]] and s[0] not in template]
         return [t for _, t, _ in keep]
-    keep = [s for s in page.segments if not nodes[s[0]].bad and not nodes[s[0]].outer and s[0] not in template]
+    keep = [s for s in page.segments if not bad[s[0]] and not outer[s[0]] and s[0] not in template]
     weight = [0] * len(nodes)
     for k, text, linked in keep:
         weight[k] += max(0, len(text) - linked)

@@ -41,6 +41,13 @@ NAMES = frozenset(
     "sponsor sponsored subscribe taboola tagcloud toolbar topbar widget widgets".split()
 )
 OUTER_NAMES = frozenset("header masthead".split())
+#: Words that may stand next to such a name in one class or id without changing what it says.
+PLAIN = frozenset(
+    "area bar block bottom box col column container div first global group inner item items last left link links list main menu page panel post "
+    "primary region right row secondary section site small the top unit wrap wrapper zone".split()
+)
+#: Elements that are left out like names: unless they wrap the article or most of the text.
+WRAPPERS = frozenset("form fieldset".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.DOTALL)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.IGNORECASE)
@@ -53,8 +60,11 @@ class Node:
     tag: str
     name: str
     parent: int
+    #: left out whatever is in it; left out by name, form or fieldset; the same outside the article
     bad: bool = False
+    named: bool = False
     outer: bool = False
+    outer_named: bool = False
     children: list[int] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
 
@@ -66,15 +76,22 @@ class Page:
     segments: list[tuple[int, str, int]]
 
 
-def _judge(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """Class names of a start tag; whether it is left out everywhere, or outside the article."""
-    bad, outer, names = tag in NEVER, tag in OUTER, ""
+def says(token: str, names: frozenset[str]) -> bool:
+    """Whether a class or id as a whole is one of the names, alone or among PLAIN words and numbers."""
+    parts = {p.lower() for p in _PART.findall(token)}
+    return token.lower() in names or not parts.isdisjoint(names) and all(p in names or p in PLAIN or p.isdigit() for p in parts)
+
+
+def _judge(tag: str, raw: str) -> tuple[str, bool, bool, bool, bool]:
+    """Class names of a start tag; whether it is left out, or only by name; the same outside the article."""
+    bad, outer, names = tag in NEVER and tag not in WRAPPERS, tag in OUTER, ""
+    named, outer_named = tag in WRAPPERS, False
     if raw and ("=" in raw or "hidden" in raw):
-        parts: set[str] = set()
+        tokens: set[str] = set()
         for m in _ATTR.finditer(raw):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                parts.update(p.lower() for p in _PART.findall(value))
+                tokens.update(value.split())
                 if key == "class":
                     names = " ".join(sorted(value.lower().split()))
             elif key == "role":
@@ -83,10 +100,10 @@ def _judge(tag: str, raw: str) -> tuple[str, bool, bool]:
                 bad = True
             elif key == "style":
                 bad |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE) is not None
-        if tag not in ("body", "html", "article", "main"):
-            bad |= not parts.isdisjoint(NAMES)
-            outer |= not parts.isdisjoint(OUTER_NAMES)
-    return names, bad, outer
+        if tag not in ("body", "html"):
+            named |= any(says(t, NAMES) for t in tokens)
+            outer_named |= any(says(t, OUTER_NAMES) for t in tokens)
+    return names, bad, named, outer, outer_named
 
 
 def parse(source: str) -> Page:
@@ -111,7 +128,7 @@ def parse(source: str) -> Page:
         nonlocal links
         for tag, _ in stack[k:]:
             links -= tag == "a"
-        if any(t in BLOCKS or nodes[b].bad for t, b in stack[k:]):
+        if any(stack[i][1] != stack[i - 1][1] for i in range(k, len(stack))):  # these have nodes of their own
             flush()
         del stack[k:]
 
@@ -175,12 +192,12 @@ def parse(source: str) -> Page:
             if tag in BLOCKS:
                 flush()
             continue
-        names, bad, outer = _judge(tag, m[3])
-        if tag in BLOCKS or bad:
+        names, *judged = _judge(tag, m[3])
+        if tag in BLOCKS or judged[0] or judged[1]:
             flush()
             parent = stack[-1][1]
             nodes[parent].children.append(len(nodes))
-            nodes.append(Node(tag, names, parent, bad or nodes[parent].bad, outer or nodes[parent].outer))
+            nodes.append(Node(tag, names, parent, *judged))
             stack.append((tag, len(nodes) - 1))
         elif not m[3].endswith("/") or tag in ("a", "b", "i", "span", "em", "strong"):
             stack.append((tag, stack[-1][1]))

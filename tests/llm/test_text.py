@@ -233,6 +233,21 @@ def test_blocks(source, blocks):
     assert html_extract.content(html_tree.parse(source), set()) == blocks
 
 
+STORY = "<h1>T</h1><p>A story of some length, told in more than a few words.</p>"
+TOLD = ["T", "A story of some length, told in more than a few words."]
+
+
+@pytest.mark.parametrize("source", [
+    *(f"<body><div class='{c}'><article>{STORY}</article><div class='sidebar'>s</div></div>"
+      for c in ("content has-sidebar", "with-comments", "no-sidebar", "share-layout", "nav-fixed", "search-results", "sidebar", "main-nav")),
+    f"<div id='share-price-report'>{STORY}</div>", f"<form>{STORY}</form><div class=ad>buy</div>", f"<div class='widget'><main>{STORY}</main></div>",
+    f"<fieldset><article>{STORY}</article></fieldset>", f"<div class='page-header'>{STORY}</div>", f"<article>{STORY}</article><div class='comment-list'>nice</div>",
+    f"<div class='search'><article>{STORY.replace('more', 'm<b>o</b>re')}</article></div>",
+])
+def test_names_of_wrappers_lose_no_article(source):
+    assert html_extract.content(html_tree.parse(source), set()) == TOLD
+
+
 def plain_match(shapes, a, b):
     if shapes.label[a] != shapes.label[b]:
         return 0
