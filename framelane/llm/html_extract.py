@@ -16,8 +16,9 @@ from framelane.llm.html_tree import Page, Shapes, align, parse
 #: A node is template if its text is the same on this share of a host's titles, and on this many of them.
 TEMPLATE_SHARE = 0.6
 TEMPLATE_TITLES = 4
-#: Without an article or main element, the content is the deepest block that holds this share of the varying text.
+#: Without an article or main element, lists of links stay inside the deepest block that holds this share of the varying text.
 MAIN_SHARE = 0.6
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A table of wrappers up to this size is sent to every executor; a larger one is joined by host and salt.
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
@@ -78,7 +79,8 @@ def content(page: Page, template: set[int]) -> list[str]:
 
     Menus, footers, forms, adverts and the like are known by element, role and name, the
     host's template by ``template``. Content is what articles hold, else the main element,
-    else the deepest block with MAIN_SHARE of the unlinked varying text.
+    else every block that varies; outside the deepest one with MAIN_SHARE of the unlinked
+    varying text only those that are mostly links, headings aside, are dropped.
     """
     nodes = page.nodes
     bad, outer = left_out(page, template)
@@ -107,7 +109,7 @@ def content(page: Page, template: set[int]) -> list[str]:
     inside[root] = True
     for k in range(1, len(nodes)):
         inside[k] = inside[k] or inside[nodes[k].parent]
-    return [t for k, t, _ in keep if inside[k]]
+    return [t for k, t, linked in keep if inside[k] or 2 * linked <= len(t) or nodes[k].tag in HEADINGS]
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

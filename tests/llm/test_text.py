@@ -248,6 +248,20 @@ def test_names_of_wrappers_lose_no_article(source):
     assert html_extract.content(html_tree.parse(source), set()) == TOLD
 
 
+WORDS = "one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("source, blocks", [
+    (f"<body><h1>T</h1><div><p>{WORDS}</p></div></body>", ["T", WORDS]),
+    (f"<body><h1><a href=x>T</a></h1><div><p>{WORDS}</p></div><ul><li><a href=y>elsewhere</a></ul></body>", ["T", WORDS]),
+    (f"<div><p>{WORDS}</p></div><div><p>{WORDS}</p><p>{WORDS} {WORDS}</p></div>", [WORDS, WORDS, f"{WORDS} {WORDS}"]),
+    (f"<div><p>a b c</p><table><tr><td>{WORDS}<td>{WORDS}</table><p>d e f</p></div>", ["a b c", WORDS, WORDS, "d e f"]),
+    (f"<div><p>{WORDS}</p><p><a href=x>a link of the story</a></p></div><div>short</div>", [WORDS, "a link of the story", "short"]),
+])
+def test_without_article_all_varying_blocks_stay(source, blocks):
+    assert html_extract.content(html_tree.parse(source), set()) == blocks
+
+
 def plain_match(shapes, a, b):
     if shapes.label[a] != shapes.label[b]:
         return 0
