@@ -41,6 +41,23 @@ ALLOW = tuple(
         rb"^(.{1,8})\1{2,}",  # one part over and over
     )
 )
+#: What the allow-list says of a candidate is looked at again where the candidate is hot: these hold for
+#: one token between slashes or equals signs as a whole,
+_WHOLE = tuple(
+    re.compile(p)
+    for p in (
+        rb"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})",
+        rb"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)(?:[-_]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+))+[-_]*",  # words and numbers
+        rb"(.{1,8})\1{2,}",
+    )
+)
+#: these for a run as a whole, whose tokens are then judged one by one,
+_PATH = re.compile(rb"(?:https?|www)/[a-z0-9_=/-]*|/{0,2}(?:[a-z0-9_-]{2,}/+){3,}[a-z0-9_=/-]*", re.IGNORECASE)
+#: and these for the characters of their token that they cover, words for WINDOW more on both sides.
+_SEQUENCE, _WORD = re.compile(b"|".join(p.pattern for p in ALLOW[1:3]), re.IGNORECASE), ALLOW[3]
+_DIGEST = re.compile(rb"(?:(?<=[/=])|^)(sha1|sha224|sha256|sha384|sha512|md5)[-_=]", re.IGNORECASE)
+_DIGEST_BYTES = {b"md5": 16, b"sha1": 20, b"sha224": 28, b"sha256": 32, b"sha384": 48, b"sha512": 64}
+_TOKEN, _HEX_ONLY = re.compile(rb"[^/=]+"), re.compile(rb"[0-9a-fA-F]*")
 _LOG = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
 _TABLES = tuple((name, np.isin(np.arange(256), np.frombuffer(chars, np.uint8)), least) for name, chars, least in CLASSES)
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
@@ -84,6 +101,40 @@ def allowed(candidate: bytes) -> bool:
     return any(p.search(candidate) for p in ALLOW) or not (_DIGIT.search(candidate) and _LETTER.search(candidate))
 
 
+def _mixed(part: bytes) -> bool:
+    return bool(_DIGIT.search(part) and _LETTER.search(part))
+
+
+def unexcused(candidate: bytes, least: float) -> list[tuple[int, int]]:
+    """Hot spans of an allowed candidate that are not what it is allowed for."""
+    hot = hot_windows(candidate, least) if _mixed(candidate) else []
+    if not hot:
+        return []
+    digests = []
+    for m in _DIGEST.finditer(candidate):
+        size = _DIGEST_BYTES[m[1].lower()]
+        plain = _HEX_ONLY.match(candidate, m.end(), m.end() + 2 * size).end() - m.end()
+        digests.append((m.start(), m.end() + (2 * size if plain in (2 * size, len(candidate) - m.end()) else (size + 2) // 3 * 4)))
+    if not (digests or _PATH.fullmatch(candidate) or _SEQUENCE.search(candidate) or _WORD.search(candidate) or any(p.fullmatch(candidate) for p in _WHOLE)):
+        return hot  # only its start looks harmless
+    out = []
+    for m in _TOKEN.finditer(candidate):
+        s, e = m.span()
+        if e - s < WINDOW or not _mixed(m[0]) or any(p.fullmatch(m[0]) for p in _WHOLE):
+            continue
+        covered = np.zeros(e - s, bool)
+        for i, j in digests:
+            covered[max(0, i - s): max(0, j - s)] = True
+        for w in _SEQUENCE.finditer(m[0]):
+            covered[w.start(): w.end()] = True
+        for w in _WORD.finditer(m[0]):
+            covered[max(0, w.start() - WINDOW): w.end() + WINDOW] = True
+        for i, j in runs(~covered, WINDOW):
+            if _mixed(m[0][i:j]):
+                out += [(s + i + x, s + i + y) for x, y in hot_windows(m[0][i:j], least)]
+    return out
+
+
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, by start, then kind; kind is an index of KINDS."""
     body = (text or "").encode("utf-8", "surrogatepass")
@@ -102,9 +153,7 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     for k, (_, member, least) in enumerate(_TABLES, start=3):
         for s, e in wide:
             for x, y in [(s, e)] if k == 2 + len(_TABLES) else [(s + i, s + j) for i, j in runs(member[a[s:e]], WINDOW)]:
-                if allowed(body[x:y]):
-                    continue
-                for i, j in hot_windows(body[x:y], least):
+                for i, j in (unexcused if allowed(body[x:y]) else hot_windows)(body[x:y], least):
                     at = int(np.searchsorted([b[0] for b in base], x + i, side="right")) if base else 0
                     if not (at and reach[at - 1] >= y - len(body[x:y]) + j):  # a base span holds it already
                         found.append((k, x + i, x + j))
@@ -119,7 +168,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """key, spans array<struct<kind, start, end>> of every row, in code points, end exclusive, by start, then kind.
 
     Base kinds are found leftmost and without overlap per kind and always stand; entropy
-    spans inside a base span, or of an allowed candidate, are left out. Null and empty
+    spans inside a base span, or of what the allow-list covers, are left out. Null and empty
     texts have no spans; empty tables give empty tables; repeated rows repeat their
     answer; other columns are not read.
     """

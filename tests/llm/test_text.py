@@ -123,6 +123,29 @@ def test_secrets_equal_brute_force(spark):
     assert "entropy" not in out[10]["spans"] + out[11]["spans"] + out[8]["spans"]
 
 
+KEY = "q7Zx2LmP9vTb4KsW8nYd3RgH"
+
+
+@pytest.mark.parametrize("before, secret, after", [
+    ("hooks.slack.com/services/T00A1B2C3/B00D4E5F6/", KEY, ""), ("---", KEY, ""), ("000", KEY, ""), ("https://a.b/some/long/path/", KEY, "/tail"),
+    ("example/", KEY, ""), ("key=dummy=", KEY, ""), ("", KEY[::-1] + KEY + "ipsum" + KEY + KEY[::-1], ""), ("", "Ab3/dE5f/Gh7/" + KEY + "+" + KEY[::-1], ""),
+    ("0123456789", KEY, ""), ("sha1-" + "Zx9/" * 7 + "/", KEY, ""),
+])
+def test_harmless_text_beside_a_secret_hides_nothing(before, secret, after):
+    lo, hi = len(before), len(before) + len(secret)
+    found = [(s, e) for k, s, e in secrets.scan(before + secret + after) if k >= 3]
+    assert any(s < hi and lo < e and min(e, hi) - max(s, lo) >= secrets.WINDOW for s, e in found)
+
+
+@pytest.mark.parametrize("text", [
+    "https://a.example.org/questions/12345/how-to-parse-json-quickly-in-python3-with-regex", "x.org/all/item/list/123e4567-e89b-12d3-a456-426614174000",
+    "sha256-47DEQpj8HBSa/TImW/5JCeuQeRkm5NMpJWZG3hSuFU=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "your_api_key_0a1b2c3d4e5f6g7h8", "usr/lib/python3/dist-packages/numpy",
+    "sha512-" + "z4PhNX7vuL3xVChQ1m2AB9Yg5AULVxXcg/SpIdNs6c5H0NE8XYXysP+DGNKHfuwvY7kxvUdBeoGlODJ6+SfaPg==",
+])
+def test_harmless_text_alone_stays_allowed(text):
+    assert [f for f in secrets.scan(text) if f[0] >= 3] == []
+
+
 def test_incremental_entropy_equals_counting():
     rng = np.random.default_rng(2)
     text = bytes(rng.choice(list(b"abcdef0123456789ABCDEFGHIJKLMNOP"), 300).astype(np.uint8))
