@@ -245,7 +245,9 @@ class Shapes:
             return 0
         got = self.memory.get((a, b))
         if got is None:
-            got = self.memory[a, b] = 1 + int(self.table(self.kids[a], self.kids[b])[-1, -1])
+            x, y = self.kids[a], self.kids[b]
+            best = self.table(x, y)[-1, -1] if len(x) * len(y) <= PIECE * PIECE else self.last_row(x, y)[-1]
+            got = self.memory[a, b] = 1 + int(best)
         return got
 
     def table(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -259,16 +261,36 @@ class Shapes:
         return out
 
 
-#: Children lists that still differ after their common ends are matched are aligned in pieces of this length.
+    def last_row(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Last row of the table, in memory linear in y."""
+        uy, iy = np.unique(y, return_inverse=True)
+        rows: dict[int, np.ndarray] = {}
+        out = np.zeros(len(y) + 1, np.int64)
+        for p in x.tolist():
+            row = rows.get(p)
+            if row is None:
+                if len(rows) * len(uy) > PIECE * PIECE:
+                    rows.clear()
+                if len(self.memory) > MEMORY:
+                    self.memory.clear()
+                row = rows[p] = np.array([self.match(p, q) for q in uy.tolist()], np.int64)
+            out[1:] = np.maximum.accumulate(np.maximum(out[1:], out[:-1] + row[iy]))
+        return out
+
+
+#: Lists of children are aligned by one table up to this length (squared, in cells), longer ones are halved first.
 PIECE = 1500
+#: Matches of two shapes that are remembered while long lists are aligned.
+MEMORY = 1 << 21
 
 
 def align(a: Page, b: Page, shapes: Shapes, a_shapes: list[int], b_shapes: list[int]) -> list[tuple[int, int]]:
     """Pairs (node of a, node of b) of a best simple tree matching.
 
     Equal shapes at both ends of two lists of children are matched first, which never
-    loses a pair. What is left is aligned by the table; lists longer than PIECE go piece
-    by piece, so a page with very many children costs linear memory.
+    loses a pair. What is left is aligned by the table; where that would be large, one list
+    is halved and the best place to cut the other is found in linear memory (Hirschberg).
+    The time is the product of the lengths that differ.
     """
     pairs, todo = [(0, 0)], [(0, 0)]
     while todo:
@@ -282,19 +304,28 @@ def align(a: Page, b: Page, shapes: Shapes, a_shapes: list[int], b_shapes: list[
             hi += 1
         found = list(zip(x[:lo], y[:lo])) + (list(zip(x[-hi:], y[-hi:])) if hi else [])
         x, y = x[lo: len(x) - hi], y[lo: len(y) - hi]
-        for k in range(0, min(len(x), len(y)), PIECE):
-            px, py = x[k: k + PIECE], y[k: k + PIECE]
-            sx, sy = np.array([a_shapes[c] for c in px], np.int64), np.array([b_shapes[c] for c in py], np.int64)
-            t = shapes.table(sx, sy)
-            i, j = len(px), len(py)
-            while i and j:
-                if t[i, j] == t[i - 1, j]:
+        sx, sy = np.array([a_shapes[c] for c in x], np.int64), np.array([b_shapes[c] for c in y], np.int64)
+        parts = [(0, len(x), 0, len(y))]
+        while parts:
+            i0, i, j0, j = parts.pop()
+            if i == i0 or j == j0:
+                continue
+            if (i - i0) * (j - j0) > PIECE * PIECE and i - i0 > 1:
+                mid = (i0 + i) // 2
+                before = shapes.last_row(sx[i0:mid], sy[j0:j])
+                after = shapes.last_row(sx[mid:i][::-1], sy[j0:j][::-1])[::-1]
+                cut = j0 + int(np.argmax(before + after))
+                parts += [(i0, mid, j0, cut), (mid, i, cut, j)]
+                continue
+            t = shapes.table(sx[i0:i], sy[j0:j])
+            while i > i0 and j > j0:
+                if t[i - i0, j - j0] == t[i - i0 - 1, j - j0]:
                     i -= 1
-                elif t[i, j] == t[i, j - 1]:
+                elif t[i - i0, j - j0] == t[i - i0, j - j0 - 1]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
-                    found.append((px[i], py[j]))
+                    found.append((x[i], y[j]))
         pairs += found
         todo += found
     return pairs

@@ -311,6 +311,23 @@ def test_alignment_is_a_best_matching():
         assert len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 5])
+def test_long_lists_are_aligned_exactly(monkeypatch, piece):
+    monkeypatch.setattr(html_tree, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+
+    def rows(n):
+        return "".join(f"<{t}>{'<p>x</p>' * k}</{t}>" for t, k in zip(rng.choice(["div", "ul", "section"], n), rng.integers(0, 4, n)))
+
+    for _ in range(40):
+        a, b = html_tree.parse(rows(rng.integers(1, 12))), html_tree.parse(rows(rng.integers(1, 60)))
+        shapes = html_tree.Shapes()
+        sa, sb = shapes.of(a), shapes.of(b)
+        pairs = html_tree.align(a, b, shapes, sa, sb)
+        assert len(pairs) == plain_match(shapes, sa[0], sb[0]) == shapes.match(sa[0], sb[0])
+        assert len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs)
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (2, "not a url", "<p>x</p>"), (3, "http://a.example/", ""), (3, "http://a.example/", ""), (None, "http://a.example/b", "<article>k</article>"),
             (5, "http://a.example/c", "<article><p>" + LONG + "</p></article>")]
