@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from framelane import session
 from framelane.llm import exact_dedup, language_id, mixing, sentencepiece, simhash
-from framelane.llm.common import keep_ids, table
+from framelane.llm.common import keep_ids, table, with_row_key
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a recognised language; those without a letter, and those between two languages, go."""
+    """Documents of a recognised language; those without a letter, and those between two languages, go.
+
+    Every row is judged by its own text, whether its doc_id is null or shared.
+    """
     session.ship(spark)
-    found = language_id.identify(docs)
-    return keep_ids(docs, found.where(F.col("lang_pred") != language_id.UNDETERMINED).where("not ambiguous"))
+    rows = with_row_key(docs)
+    found = language_id.predict(rows, language_id.fit(docs), "__row")
+    return keep_ids(rows, found.where(F.col("lang_pred") != language_id.UNDETERMINED).where("not ambiguous"), "__row").drop("__row")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1024
@@ -41,5 +41,14 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(kept, docs[key] == kept["__kept_id"], "left_semi")
 
 
+def row_key(key: Column, digest: Column) -> Column:
+    """One string for a key, null or not, and the digest of the text, as keys may be shared by different texts."""
+    return F.concat(F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("n")), F.lit(":"), digest)
+
+
+def with_row_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.withColumn("__row", row_key(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm.common import keep_ids
+from framelane.llm.common import keep_ids, row_key, with_row_key
 
 SALTS = 8
 
@@ -50,6 +50,11 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, all columns as they are; repeated rows of one key and text become one."""
+    """Rows of ``docs`` that stay, one for each text, all columns as they are.
+
+    It is a row with the largest key of its text, null if it has no other; a key that
+    different texts share stays with each text that it is the largest of.
+    """
     verdict = duplicate_groups(docs, key, text)
-    return keep_ids(docs, verdict.where("kept"), key).dropDuplicates([key])
+    stays = verdict.where(F.col(key).eqNullSafe(F.col("keep_id"))).select(row_key(F.col(key), F.col("text_sha256")).alias("__row"))
+    return keep_ids(with_row_key(docs, key, text), stays, "__row").dropDuplicates(["__row"]).drop("__row")

@@ -28,6 +28,27 @@ def test_exact_dedup_keeps_one_row_with_all_columns(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 7, 8, 9, 10, 11, 12]
 
 
+def test_exact_dedup_keeps_one_row_of_every_text(spark):
+    rows = [(1, "a"), (2, "a"), (1, "b"), (1, "b"), (None, "c"), (None, "c"), (None, "d"), (3, "d"), (None, "e")]
+    kept = exact_dedup.keep_one(documents(spark, [(i, t, "en", "a") for i, t in rows]).repartition(4))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(2, "a"), (1, "b"), (None, "c"), (3, "d"), (None, "e")], key=repr)
+
+
+def test_languages_judge_rows_with_null_and_shared_keys(spark, monkeypatch):
+    import corpus_pipeline
+    from framelane.llm import language_id
+
+    monkeypatch.setattr(corpus_pipeline.session, "ship", lambda spark: None)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = language_id.fit(docs)
+    monkeypatch.setattr(language_id, "fit", lambda *_: model)
+    text = docs.where("lang = 'en' and length(text) > 200").orderBy("doc_id").first()["text"]
+    odd = documents(spark, [(None, text, "en", "a"), (1, text, "en", "a"), (1, "123 !?", "en", "a"), (None, None, "en", "a")])
+    kept = corpus_pipeline.languages(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(None, text), (1, text)], key=repr)
+
+
 def test_exact_dedup_hot_group_over_many_partitions(spark):
     docs = documents(spark, [(i, "same text" if i % 3 else f"own {i}", "en", "a") for i in range(600)]).repartition(24)
     rows = exact_dedup.duplicate_groups(docs, salts=4).collect()
