@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm import embedding_dedup, exact_dedup, html_extract, language_id, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
+from framelane.llm import embedding_dedup, exact_dedup, filter_audit, html_extract, language_id, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
 from framelane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,47 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extract")
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH w AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), l AS (
+        SELECT doc_id, max(coalesce(quality = 1, false)::int) AS good, max(coalesce(toxic = 1, false)::int) AS toxic FROM labels GROUP BY doc_id
+    ), m AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               (len(words) < 50)::int + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::int
+               + 4 * (100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 5 * length(body))::int
+               + 8 * regexp_matches(body, '[#$%&*|]')::int
+               + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY body), false)::int AS mask
+        FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+    ), c AS (
+        SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+    ), f AS (
+        SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+    ), o AS (
+        SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+        FROM f AS a, f AS b, f AS c, f AS d, f AS e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+             AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+    ), s AS (
+        SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::int AS before
+        FROM o, (SELECT unnest(range(1, 6)) AS step)
+    ), t AS (
+        SELECT part, filter_order, step, bit,
+               coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit = 0), 0)::bigint AS kept,
+               coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::bigint AS removed,
+               coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0)::bigint AS redundant,
+               coalesce(sum(n) FILTER (WHERE mask = bit), 0)::bigint AS unique_fails,
+               coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::bigint AS good_lost,
+               coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::bigint AS toxic_lost
+        FROM c, s GROUP BY part, filter_order, step, bit
+    )
+    SELECT part, filter_order, step::int AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley FROM t
+    """,
+)
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
