@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm import embedding_dedup, exact_dedup, filter_audit, html_extract, language_id, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
+from framelane.llm import embedding_dedup, exact_dedup, filter_audit, html_extract, language_id, lexical_rank, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
 from framelane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,39 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
 
 
+@query(
+    "op12_lexical_rank",
+    r"""
+    WITH i AS (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ), d AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+    ), c AS (
+        SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term
+    ), n AS (
+        SELECT doc_id, cast(sum(tf) AS bigint) AS n FROM c GROUP BY doc_id
+    ), k AS (
+        SELECT count(*) AS n_docs, cast(sum(n) AS bigint) AS n_terms FROM n
+    ), w AS (
+        SELECT term, cast(floor(1000 * ln(cast(2 * n_docs + 2 AS double) / cast(2 * count(*) + 1 AS double))) AS bigint) AS w
+        FROM c, k GROUP BY term, n_docs
+    ), s AS (
+        SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS s
+        FROM c JOIN w USING (term) JOIN n USING (doc_id), k
+    ), t AS (
+        SELECT item_id, doc_id, cast(sum(s) AS bigint) AS score FROM i JOIN s USING (term) GROUP BY item_id, doc_id
+    ), r AS (
+        SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score FROM t WHERE score > 0
+    )
+    SELECT * FROM r WHERE rank <= 20
+    """,
+)
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op13_filter_audit",
     r"""
