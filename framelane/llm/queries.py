@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm import embedding_dedup, exact_dedup, filter_audit, html_extract, language_id, lexical_rank, licenses, mixing, secrets, sentencepiece, simhash, suffix_dedup
+from framelane.llm import embedding_dedup, exact_dedup, filter_audit, html_extract, language_id, lexical_rank, licenses, mixing, quality_rank, secrets, sentencepiece, simhash, suffix_dedup
 from framelane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +138,11 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
 
 
+@query("op11_quality_rank")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rank.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(
     "op12_lexical_rank",
     r"""
