@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,14 +81,14 @@ def hot_windows(candidate: bytes, least: float, window: int = WINDOW) -> list[tu
     counts, total, out = [0] * 256, 0.0, []
     bound = (math.log2(window) - least) * window + 1e-9
     for i, c in enumerate(candidate):
+        if i >= window:  # the oldest first, so that no count exceeds the window
+            old = candidate[i - window]
+            n = counts[old]
+            total += _LOG[n - 1] - _LOG[n]
+            counts[old] = n - 1
         n = counts[c]
         total += _LOG[n + 1] - _LOG[n]
         counts[c] = n + 1
-        if i >= window:
-            c = candidate[i - window]
-            n = counts[c]
-            total += _LOG[n - 1] - _LOG[n]
-            counts[c] = n - 1
         if i >= window - 1 and total <= bound:
             start, end = i - window + 1, i + 1
             if out and start <= out[-1][1]:
@@ -149,13 +150,15 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
         if e - s >= HEX_LEAST:
             found += [(2, s + m.start(), s + m.end()) for m in HEX.finditer(body[s:e]) if len(m[0]) >= HEX_LEAST]
     base = sorted((s, e) for _, s, e in found)
-    reach = np.maximum.accumulate([e for _, e in base]) if base else None
+    starts = [s for s, _ in base]
+    reach = np.maximum.accumulate([e for _, e in base]).tolist() if base else []
     for k, (_, member, least) in enumerate(_TABLES, start=3):
         for s, e in wide:
             for x, y in [(s, e)] if k == 2 + len(_TABLES) else [(s + i, s + j) for i, j in runs(member[a[s:e]], WINDOW)]:
-                for i, j in (unexcused if allowed(body[x:y]) else hot_windows)(body[x:y], least):
-                    at = int(np.searchsorted([b[0] for b in base], x + i, side="right")) if base else 0
-                    if not (at and reach[at - 1] >= y - len(body[x:y]) + j):  # a base span holds it already
+                candidate = body[x:y]
+                for i, j in (unexcused if allowed(candidate) else hot_windows)(candidate, least):
+                    at = bisect_right(starts, x + i)
+                    if not (at and reach[at - 1] >= x + j):  # a base span holds it already
                         found.append((k, x + i, x + j))
     found.sort(key=lambda f: (f[1], f[0], f[2]))
     if found and len(body) != len(text):
