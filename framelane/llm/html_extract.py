@@ -6,20 +6,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelane import session
 from framelane.llm.common import bounded_batches
 from framelane.llm.html_tree import Page, Shapes, align, parse
 
-#: A node is template if its text is the same on this share of a host's titles, and on this many of them.
+#: A node is template if its text, and a slot if its place, is the same on this share of a layout's titles, and on this many of them.
 TEMPLATE_SHARE = 0.6
 TEMPLATE_TITLES = 4
+#: Beside the article's region, a slot with at most this share of the main slot's text is short.
+SHORT_SHARE = 0.25
 #: Without an article or main element, lists of links stay inside the deepest block that holds this share of the varying text.
 MAIN_SHARE = 0.6
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: A table of wrappers up to this size is sent to every executor; a larger one is joined by host and salt.
+#: A table of wrappers up to this size is sent to every executor; a larger one is joined by layout and salt.
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
@@ -48,120 +50,229 @@ def title_of(page: Page) -> str:
     return " ".join(t for _, t, _ in page.segments)
 
 
-def left_out(page: Page, template: set[int]) -> tuple[list[bool], list[bool]]:
+def left_out(page: Page, template: set[int], slots: set[int]) -> tuple[list[bool], list[bool]]:
     """Per node, whether it is left out everywhere, and outside the article.
 
-    Names, forms and fieldsets leave nothing out that holds an article, a main element or
-    most of the unlinked varying text.
+    Names, forms and fieldsets leave nothing out that holds most of the unlinked varying
+    text, or the only article or main element. An article or main element is judged by its
+    own name as well, and one inside a wrapper that is left out, beside others, goes with it.
     """
     nodes = page.nodes
     bad, outer = [x.bad for x in nodes], [x.outer for x in nodes]
     for k in range(1, len(nodes)):
-        bad[k] = bad[k] or bad[nodes[k].parent]
-    weight, whole = [0] * len(nodes), [False] * len(nodes)
+        bad[k] = bad[k] or bad[nodes[k].parent] or k in slots
+    weight, mains = [0] * len(nodes), [0] * len(nodes)
     for k, text, linked in page.segments:
         if not bad[k] and k not in template:
             weight[k] += max(0, len(text) - linked)
     for k in range(len(nodes) - 1, 0, -1):
-        up, main = nodes[k].parent, nodes[k].tag in ("article", "main")
-        weight[up] += weight[k]
-        whole[up] = whole[up] or whole[k] or main and not bad[k] and not nodes[k].named
+        mains[k] += nodes[k].tag in ("article", "main") and not bad[k] and not nodes[k].named
+        weight[nodes[k].parent] += weight[k]
+        mains[nodes[k].parent] += mains[k]
     for k in range(1, len(nodes)):
         x = nodes[k]
-        if x.tag not in ("article", "main") and not whole[k] and 2 * weight[k] <= weight[0]:
+        kept = 2 * weight[k] > weight[0] or mains[k] and mains[k] == mains[0]
+        if not kept:
             bad[k], outer[k] = bad[k] or x.named, outer[k] or x.outer_named
         bad[k], outer[k] = bad[k] or bad[x.parent], outer[k] or outer[x.parent]
     return bad, outer
 
 
-def content(page: Page, template: set[int]) -> list[str]:
+def content(page: Page, template: set[int], slots: set[int] = frozenset()) -> list[str]:
     """Blocks of the main text in page order.
 
-    Menus, footers, forms, adverts and the like are known by element, role and name, the
-    host's template by ``template``. Content is what articles hold, else the main element,
-    else every block that varies; outside the deepest one with MAIN_SHARE of the unlinked
-    varying text only those that are mostly links, headings aside, are dropped.
+    Text of ``template`` nodes and all inside ``slots`` (see :func:`wrapper`) is out. Beyond that menus, footers, forms, adverts and the like are known by element, role and name. Content is what
+    the articles hold if that is most of the unlinked text that is left, else what the
+    main element holds, on the same terms, else every block that varies; outside the
+    deepest one with MAIN_SHARE of that text those that are mostly links, headings
+    aside, are dropped.
     """
     nodes = page.nodes
-    bad, outer = left_out(page, template)
-    roots = [k for k, x in enumerate(nodes) if x.tag == "article" and not bad[k]]
-    roots = roots or [k for k, x in enumerate(nodes) if x.tag == "main" and not bad[k]]
-    inside = [False] * len(nodes)
-    if roots:
-        for k in roots:
-            inside[k] = True
-        for k in range(1, len(nodes)):
-            inside[k] = inside[k] or inside[nodes[k].parent]
-        keep = [s for s in page.segments if inside[s[0]] and not bad[s[0]] and s[0] not in template]
-        return [t for _, t, _ in keep]
-    keep = [s for s in page.segments if not bad[s[0]] and not outer[s[0]] and s[0] not in template]
+    bad, outer = left_out(page, template, slots)
+    keep = [s for s in page.segments if not bad[s[0]] and s[0] not in template]
     weight = [0] * len(nodes)
     for k, text, linked in keep:
-        weight[k] += max(0, len(text) - linked)
+        weight[k] += 0 if outer[k] else max(0, len(text) - linked)
     for k in range(len(nodes) - 1, 0, -1):
         weight[nodes[k].parent] += weight[k]
+    for tag in ("article", "main"):
+        inside = [False] * len(nodes)
+        for k in range(1, len(nodes)):
+            inside[k] = inside[nodes[k].parent] or nodes[k].tag == tag and not bad[k]
+        held = sum(weight[k] for k in range(1, len(nodes)) if inside[k] and not inside[nodes[k].parent])
+        if any(inside) and 2 * held >= weight[0]:
+            return [t for k, t, _ in keep if inside[k]]
+    keep = [s for s in keep if not outer[s[0]]]
     root = 0
     while weight[0]:
         deeper = [c for c in nodes[root].children if weight[c] >= MAIN_SHARE * weight[0] and nodes[c].children]
         if not deeper:
             break
         root = deeper[0]
+    inside = [False] * len(nodes)
     inside[root] = True
     for k in range(1, len(nodes)):
         inside[k] = inside[k] or inside[nodes[k].parent]
     return [t for k, t, linked in keep if inside[k] or 2 * linked <= len(t) or nodes[k].tag in HEADINGS]
 
 
+def observe(page: Page, ref: Page, pairs: list[tuple[int, int]]) -> list[tuple[int, bool, int, int, bool]]:
+    """(reference node, same text, characters, linked characters, holds the title) of every aligned node.
+
+    Text of nodes that nothing is aligned with counts for the nearest ancestor that is.
+    """
+    at = {k: r for r, k in pairs}
+    for k in range(1, len(page.nodes)):
+        at.setdefault(k, at[page.nodes[k].parent])
+    title = title_of(page)
+    chars, linked, titled = {}, {}, set()
+    for k, text, links in page.segments:
+        r = at[k]
+        chars[r] = chars.get(r, 0) + len(text)
+        linked[r] = linked.get(r, 0) + links
+        if text == title and page.nodes[k].tag != "title":
+            titled.add(r)
+    return [
+        (r, bool(ref.nodes[r].text) and ref.nodes[r].text == page.nodes[k].text, chars.get(r, 0), linked.get(r, 0), r in titled) for r, k in pairs
+    ]
+
+
+def wrapper(ref: Page, found: dict[int, tuple[int, int, int, int, int]], titles: int) -> tuple[list[int], list[int]]:
+    """Template of one layout: nodes whose text is constant, and slots that are template whatever their text.
+
+    ``found`` has per reference node the number of titles with it, with the same text, its characters,
+    linked ones, and titles it held. The main slot is the deepest block, no deeper than an article or main
+    element, with MAIN_SHARE of the unlinked text of all pages; together with the slot of the titles it
+    spans the article's region. A slot beside that region is template if it is on TEMPLATE_SHARE of the
+    titles and mostly links, or short against the main slot: menus, adverts, notices and
+    footers change their words from page to page but keep their place and size. Inside the
+    region only slots of links are.
+    """
+    nodes, n = ref.nodes, len(ref.nodes)
+    blank = (0, 0, 0, 0, 0)
+    often = [found.get(r, blank)[0] >= max(TEMPLATE_TITLES, TEMPLATE_SHARE * titles) for r in range(n)]
+    constant = [r for r in range(n) if found.get(r, blank)[1] >= max(TEMPLATE_TITLES, TEMPLATE_SHARE * titles)]
+    chars, linked, titled = ([found.get(r, blank)[i] for r in range(n)] for i in (2, 3, 4))
+    bad = [x.bad for x in nodes]
+    weight = [0] * n
+    for r in range(n):
+        bad[r] = bad[r] or r > 0 and bad[nodes[r].parent]
+        weight[r] = 0 if bad[r] else chars[r] - linked[r]
+    for r in range(n - 1, 0, -1):
+        up = nodes[r].parent
+        weight[up], chars[up], linked[up], titled[up] = weight[up] + weight[r], chars[up] + chars[r], linked[up] + linked[r], titled[up] + titled[r]
+    if not weight[0]:
+        return constant, []
+    path = [0]
+    while nodes[path[-1]].tag not in ("article", "main"):
+        deeper = [c for c in nodes[path[-1]].children if weight[c] >= MAIN_SHARE * weight[0] and nodes[c].children]
+        if not deeper:
+            break
+        path.append(deeper[0])
+    usual = weight[path[-1]] / titles
+    region = len(path) - 1
+    if titled[0]:  # up to the deepest ancestor that holds the title on most pages that show it
+        while region and 2 * titled[path[region]] <= titled[0]:
+            region -= 1
+    slots = []
+    for depth, r in enumerate(path[:-1]):
+        for c in nodes[r].children:
+            if c == path[depth + 1] or not often[c] or nodes[c].tag in HEADINGS or 2 * titled[c] > titles:
+                continue
+            links = 2 * linked[c] > chars[c]
+            short = depth < region and chars[c] / found[c][0] <= SHORT_SHARE * usual
+            if links or short:
+                slots.append(c)
+    return constant, slots
+
+
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, title, nodes of the reference with the same text here)."""
+    """(layout, title, what the page shows of each node of the reference)."""
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64()), ("titled", pa.bool_())]))
     for b in batches:
-        hosts, titles, same = [], [], []
-        for host, source, reference in zip(*[c.to_pylist() for c in b.columns]):
+        layouts, titles, seen = [], [], []
+        for layout, source, reference in zip(*[c.to_pylist() for c in b.columns]):
             page = parse(source)
             ref, pairs = aligned(page, reference)
-            hosts.append(host)
+            layouts.append(layout)
             titles.append(title_of(page))
-            same.append([r for r, k in pairs if ref.nodes[r].text and ref.nodes[r].text == page.nodes[k].text])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(titles, pa.string()), pa.array(same, pa.list_(pa.int32()))], names=["host", "title", "same"])
+            seen.append([dict(zip(("node", "same", "chars", "linked", "titled"), x)) for x in observe(page, ref, pairs)])
+        yield pa.RecordBatch.from_arrays([pa.array(layouts, pa.string()), pa.array(titles, pa.string()), pa.array(seen, kind)], names=["layout", "title", "seen"])
+
+
+def _wrapper_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for layout, reference, titles, found in zip(*[c.to_pylist() for c in b.columns]):
+            constant, slots = wrapper(parse(reference), {x["node"]: (x["titles"], x["same"], x["chars"], x["linked"], x["titled"]) for x in found}, titles)
+            if constant or slots:
+                rows.append((layout, reference, constant, slots))
+        kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        columns = zip(*rows) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["layout", "reference", "constant", "slots"])
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for source, reference, constant in zip(*[b.column(k).to_pylist() for k in (2, 3, 4)]):
-            page, template = parse(source), set()
-            if reference is not None and constant:
+        for source, reference, constant, slots in zip(*[b.column(k).to_pylist() for k in (2, 3, 4, 5)]):
+            page, template, closed = parse(source), set(), set()
+            if reference is not None:
                 ref, pairs = aligned(page, reference)
-                constant = set(constant)
+                constant, slots = set(constant), set(slots)
                 template = {k for r, k in pairs if r in constant and ref.nodes[r].text == page.nodes[k].text}
-            texts.append("\n\n".join(content(page, template)))
+                closed = {k for r, k in pairs if r in slots}
+            texts.append("\n\n".join(content(page, template, closed)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
 def _with_wrapper(pages: DataFrame, wrappers: DataFrame, size: int, how: str) -> DataFrame:
-    """Pages next to the row of their host: by broadcast if its size is known to be small, else by host and salt."""
+    """Pages next to the row of their layout: by broadcast if its size is known to be small, else by layout and salt."""
     if size <= BROADCAST_BYTES:
-        return pages.join(F.broadcast(wrappers), "host", how)
+        return pages.join(F.broadcast(wrappers), "layout", how)
     salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how).drop("salt")
+    return pages.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["layout", "salt"], how).drop("salt")
+
+
+def _size(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("layout") + F.lit(64)), F.lit(0))).first()[0]
+
+
+def layout_of(host: Column, source: Column) -> Column:
+    """Host, and which sectioning elements the page uses: pages of one layout are aligned with one reference."""
+    sections = F.regexp_extract_all(F.lower(source), F.lit(r"<(main|article|section|aside|nav|header|footer)[\s>]"), F.lit(1))
+    return F.when(host != "", F.concat_ws(" ", host, F.array_join(F.array_sort(F.array_distinct(sections)), " ")))
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """``pages(id, host, source)`` to (host, reference, constant): one page of each host, and its template nodes.
+    """``pages(id, host, layout, source)`` to (layout, reference, constant, slots).
 
-    The reference is the page with the smallest id. Every page of the host is aligned with
-    it; a node with text is template if enough different titles have the same text there
-    (copies of one page share their title, so they do not make an article a template).
+    The reference of a layout is its page with the smallest id. Every page of the layout is
+    aligned with it by simple tree matching, and what its nodes show is added up over titles
+    (copies of one page share their title, so they do not make an article a template);
+    :func:`wrapper` decides from the sums. Layouts with fewer than TEMPLATE_TITLES pages take
+    the wrapper of their host's largest one.
     """
-    refs = pages.where("host <> ''").groupBy("host").agg(F.min_by("source", "id").alias("reference"), F.count("*").alias("n"))
-    refs = session.cut(refs.where(f"n >= {TEMPLATE_TITLES} and reference is not null").select("host", "reference"))
-    size = refs.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host")), F.lit(0))).first()[0]
-    pairs = _with_wrapper(pages, refs, size, "inner").select("host", "source", "reference")
-    rows = session.cut(pairs.mapInArrow(_compare_batches, "host string, title string, same array<int>"))
-    titles = rows.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("titles"))
-    nodes = rows.select("host", "title", F.explode("same").alias("node")).distinct().groupBy("host", "node").agg(F.count("*").alias("equal"))
-    fixed = nodes.join(titles, "host").where(f"equal >= {TEMPLATE_TITLES} and equal >= {TEMPLATE_SHARE} * titles")
-    return session.cut(refs.join(fixed.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant")), "host"))
+    refs = pages.where("layout is not null").groupBy("host", "layout").agg(F.min_by("source", "id").alias("reference"), F.count("*").alias("n"))
+    refs = session.cut(refs)
+    large = refs.where(f"n >= {TEMPLATE_TITLES} and reference is not null")
+    table = large.select("layout", "reference")
+    pairs = _with_wrapper(pages.select("id", "layout", "source"), table, _size(table), "inner").select("layout", "source", "reference")
+    rows = session.cut(pairs.mapInArrow(_compare_batches, "layout string, title string, seen array<struct<node:int,same:boolean,chars:long,linked:long,titled:boolean>>"))
+    titles = rows.select("layout", "title").distinct().groupBy("layout").agg(F.count("*").alias("titles"))
+    once = rows.select("layout", "title", F.inline("seen")).groupBy("layout", "title", "node").agg(
+        F.max("same").alias("same"), F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("titled").alias("titled")
+    )
+    nodes = once.groupBy("layout", "node").agg(
+        F.count("*").alias("titles"), F.count_if("same").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.count_if("titled").alias("titled")
+    )
+    found = nodes.groupBy("layout").agg(F.collect_list(F.struct("node", "titles", "same", "chars", "linked", "titled")).alias("found"))
+    known = table.join(titles.where(f"titles >= {TEMPLATE_TITLES}"), "layout").join(found, "layout").select("layout", "reference", "titles", "found")
+    wrappers = session.cut(known.mapInArrow(_wrapper_batches, "layout string, reference string, constant array<int>, slots array<int>"))
+    best = large.groupBy("host").agg(F.max_by("layout", F.struct("n", "layout")).alias("best"))
+    other = refs.where(f"n < {TEMPLATE_TITLES}").join(best, "host").select(F.col("layout").alias("own"), F.col("best").alias("layout"))
+    lent = other.join(wrappers, "layout").select(F.col("own").alias("layout"), "reference", "constant", "slots")
+    return session.cut(wrappers.unionByName(lent))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -175,10 +286,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     bounded_batches(pages.sparkSession, rows=256)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).alias("source"), host.alias("host"))
-    wrappers = induce(rows.select("id", "host", "source"))
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host") + 4 * F.size("constant")), F.lit(0))).first()[0]
+    rows = rows.withColumn("layout", layout_of(F.col("host"), F.col("source")))
+    wrappers = induce(rows.select("id", "host", "layout", "source"))
     own = pages.schema[key].dataType.simpleString()
-    out = _with_wrapper(rows, wrappers, size, "left").select("id", "url", "source", "reference", "constant").mapInArrow(
+    out = _with_wrapper(rows, wrappers, _size(wrappers), "left").select("id", "url", "source", "reference", "constant", "slots").mapInArrow(
         _extract_batches, f"id {own}, url string, text string"
     )
     return out.withColumnRenamed("id", key)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,13 +46,14 @@ NAMES = frozenset(
 OUTER_NAMES = frozenset("header masthead".split())
 #: Words that may stand next to such a name in one class or id without changing what it says.
 PLAIN = frozenset(
-    "area bar block bottom box col column container div first global group inner item items last left link links list main menu page panel post "
+    "area bar block bottom box col column container div first global group inner item items last left link links list main menu page panel post posts "
     "primary region right row secondary section site small the top unit wrap wrapper zone".split()
 )
 #: Elements that are left out like names: unless they wrap the article or most of the text.
 WRAPPERS = frozenset("form fieldset".split())
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.DOTALL)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPENER = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"[^\s/>]+")
+_MARKS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -106,12 +110,52 @@ def _judge(tag: str, raw: str) -> tuple[str, bool, bool, bool, bool]:
     return names, bad, named, outer, outer_named
 
 
+class Tags:
+    """Ends of tags, in time linear in the page whatever its quotes are.
+
+    A tag ends at the first > outside quotes; if its quotes never close, at the first > of all.
+    Every mark (>, " and ') is listed once. A walk over quotes that ends without a tag
+    leaves behind which marks lead nowhere, so no walk passes them again.
+    """
+
+    def __init__(self, source: str):
+        self.marks = [m.start() for m in _MARKS.finditer(source)]
+        self.source = source
+        self.after: dict[str, list[int]] = {}  # per mark, the next one of its kind
+        for kind in "\"'":
+            nearest, out = -1, [-1] * len(self.marks)
+            for i in range(len(self.marks) - 1, -1, -1):
+                out[i] = nearest
+                if source[self.marks[i]] == kind:
+                    nearest = i
+            self.after[kind] = out
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends the tag with attributes from ``at`` on, or -1."""
+        first = i = bisect_left(self.marks, at)
+        walked = []
+        while 0 <= i < len(self.marks) and i not in self.dead:
+            walked.append(i)
+            mark = self.source[self.marks[i]]
+            if mark == ">":
+                return self.marks[i]
+            closer = self.after[mark][i]
+            if closer < 0:
+                break
+            i = closer + 1
+        self.dead.update(walked)
+        return self.source.find(">", at) if first < len(self.marks) else -1
+
+
 def parse(source: str) -> Page:
     """Blocks of a page. Markup that is cut off or unbalanced ends where the standard would end it, about."""
     nodes, segments = [Node("#page", "", -1)], []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements, with the block that they are or are in
+    still_open: Counter[str] = Counter()
     buffer: list[str] = []
-    linked, links, at, n = 0, 0, 0, len(source)
+    linked, at, n = 0, 0, len(source)
+    tags = Tags(source)
 
     def flush() -> None:
         nonlocal linked
@@ -125,60 +169,57 @@ def parse(source: str) -> Page:
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal links
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
+        still_open.subtract(tag for tag, _ in stack[k:])
         if any(stack[i][1] != stack[i - 1][1] for i in range(k, len(stack))):  # these have nodes of their own
             flush()
         del stack[k:]
 
     while at < n:
-        m = _TOKEN.search(source, at)
+        m = _OPENER.search(source, at)
         cut = n if m is None else m.start()
         if cut > at:
             chunk = source[at:cut]
-            lt = re.search(r"<[/a-zA-Z!?]", chunk)
-            if lt:  # a tag that never ends, or whose quotes never close
-                loose = _LOOSE.match(source, at + lt.start())
-                if loose:
-                    m, cut, chunk = loose, at + lt.start(), chunk[: lt.start()]
-                else:
-                    rest = chunk[lt.start():]
-                    closer = re.match(r"</[^a-zA-Z][^>]*>", rest)
-                    if closer:
-                        source, n = source[: at + lt.start()] + source[at + lt.start() + closer.end():], n - closer.end()
-                        continue
-                    m, chunk = None, chunk[: lt.start()]
-            if chunk:
-                text = html.unescape(chunk) if "&" in chunk else chunk
-                buffer.append(text)
-                if links > 0:
-                    linked += len(text.strip())
+            text = html.unescape(chunk) if "&" in chunk else chunk
+            buffer.append(text)
+            if still_open["a"] > 0:
+                linked += len(text.strip())
         if m is None:
             break
-        at = m.end()
-        if not m.lastindex or m[2] is None:
+        ending = source.startswith("/", cut + 1)
+        start = cut + 1 + ending
+        if source.startswith("<!--", cut):
+            stop = 0 if source.startswith((">", "->"), cut + 4) else source.find("-->", cut + 4) - cut
+            at = source.find(">", cut) + 1 if stop == 0 else n if stop < 0 else cut + stop + 3
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag == "p" and stack[k][0] in _SCOPE:
-                    break
+        if start >= n or not (source[start].isascii() and source[start].isalpha()):  # a doctype, or a bogus comment
+            stop = source.find(">", start)
+            at = n if stop < 0 else stop + 1
+            continue
+        name = _NAME.match(source, start)
+        stop = tags.end(name.end())
+        if stop < 0:  # a tag that never ends hides the rest
+            break
+        at, tag, attributes = stop + 1, name[0].lower(), source[name.end(): stop]
+        if ending:
+            if still_open[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        close(k)
+                        break
+                    if tag == "p" and stack[k][0] in _SCOPE:
+                        break
             continue
         if tag == "br":
             buffer.append("\n")
             continue
-        if tag in _P_ENDERS:
+        if tag in _P_ENDERS and still_open["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     close(k)
                     break
                 if stack[k][0] in _SCOPE:
                     break
-        if tag in _CLOSES:
+        if tag in _CLOSES and any(still_open[t] > 0 for t in _CLOSES[tag][0]):
             ends, scope = _CLOSES[tag]
             found = None
             for k in range(len(stack) - 1, 0, -1):
@@ -192,16 +233,17 @@ def parse(source: str) -> Page:
             if tag in BLOCKS:
                 flush()
             continue
-        names, *judged = _judge(tag, m[3])
+        names, *judged = _judge(tag, attributes)
         if tag in BLOCKS or judged[0] or judged[1]:
             flush()
             parent = stack[-1][1]
             nodes[parent].children.append(len(nodes))
             nodes.append(Node(tag, names, parent, *judged))
             stack.append((tag, len(nodes) - 1))
-        elif not m[3].endswith("/") or tag in ("a", "b", "i", "span", "em", "strong"):
+            still_open[tag] += 1
+        elif not attributes.endswith("/") or tag in ("a", "b", "i", "span", "em", "strong"):
             stack.append((tag, stack[-1][1]))
-            links += tag == "a"
+            still_open[tag] += 1
         if tag in RAW:
             end = re.compile(f"</{tag}[\\s/>]", re.IGNORECASE).search(source, at)
             body_end = end.start() if end else n
@@ -237,32 +279,66 @@ class Shapes:
             out[k] = shape
         return out
 
-    def match(self, a: int, b: int) -> int:
-        """Simple tree matching: pairs of nodes that two trees have in common, in order, under equal labels."""
+    def known(self, a: int, b: int) -> int | None:
         if a == b:
             return self.size[a]
         if self.label[a] != self.label[b]:
             return 0
-        got = self.memory.get((a, b))
-        if got is None:
-            x, y = self.kids[a], self.kids[b]
-            best = self.table(x, y)[-1, -1] if len(x) * len(y) <= PIECE * PIECE else self.last_row(x, y)[-1]
-            got = self.memory[a, b] = 1 + int(best)
-        return got
+        return self.memory.get((a, b))
+
+    def match(self, a: int, b: int) -> int:
+        """Simple tree matching: pairs of nodes that two trees have in common, in order, under equal labels."""
+        found = self.known(a, b)
+        return self._solve(self._match(a, b)) if found is None else found
 
     def table(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Best totals of aligning the first i of x with the first j of y, without crossing."""
+        return self._solve(self._table(x, y))
+
+    def last_row(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Last row of the table, in memory linear in y."""
+        return self._solve(self._last_row(x, y))
+
+    def _solve(self, whole: Generator):
+        """Run a step that asks for matches of smaller trees; these wait on a stack of their own, so depth has no limit."""
+        waiting, value = [whole], None
+        while waiting:
+            try:
+                a, b = waiting[-1].send(value)
+            except StopIteration as done:
+                waiting.pop()
+                value = done.value
+            else:
+                waiting.append(self._match(a, b))
+                value = None
+        return value
+
+    def _match(self, a: int, b: int) -> Generator:
+        x, y = self.kids[a], self.kids[b]
+        small = len(x) * len(y) <= PIECE * PIECE
+        best = (yield from self._table(x, y))[-1, -1] if small else (yield from self._last_row(x, y))[-1]
+        got = self.memory[a, b] = 1 + int(best)
+        return got
+
+    def _row(self, p: int, ys: list[int]) -> Generator:
+        row = np.empty(len(ys), np.int64)
+        for k, q in enumerate(ys):
+            found = self.known(p, q)
+            row[k] = (yield p, q) if found is None else found
+        return row
+
+    def _table(self, x: np.ndarray, y: np.ndarray) -> Generator:
         ux, ix = np.unique(x, return_inverse=True)
         uy, iy = np.unique(y, return_inverse=True)
-        weight = np.array([[self.match(p, q) for q in uy.tolist()] for p in ux.tolist()], np.int64).reshape(len(ux), len(uy))
+        weight = np.zeros((len(ux), len(uy)), np.int64)
+        for k, p in enumerate(ux.tolist()):
+            weight[k] = yield from self._row(p, uy.tolist())
         out = np.zeros((len(x) + 1, len(y) + 1), np.int64)
         for i in range(len(x)):
             out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + weight[ix[i], iy]))
         return out
 
-
-    def last_row(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Last row of the table, in memory linear in y."""
+    def _last_row(self, x: np.ndarray, y: np.ndarray) -> Generator:
         uy, iy = np.unique(y, return_inverse=True)
         rows: dict[int, np.ndarray] = {}
         out = np.zeros(len(y) + 1, np.int64)
@@ -273,7 +349,7 @@ class Shapes:
                     rows.clear()
                 if len(self.memory) > MEMORY:
                     self.memory.clear()
-                row = rows[p] = np.array([self.match(p, q) for q in uy.tolist()], np.int64)
+                row = rows[p] = yield from self._row(p, uy.tolist())
             out[1:] = np.maximum.accumulate(np.maximum(out[1:], out[:-1] + row[iy]))
         return out
 

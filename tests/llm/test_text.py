@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -341,3 +343,35 @@ def test_wrappers_joined_by_salt_give_the_same(spark, monkeypatch):
     one = {tuple(r) for r in html_extract.extract(pages(spark, rows)).collect()}
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
     assert {tuple(r) for r in html_extract.extract(pages(spark, rows)).collect()} == one
+
+
+def test_secrets_with_runs_of_equal_characters(spark):
+    runs = [f"{a}{c * n}{z}" for a, z in (("Section1", ""), ("key1=", "x9"), ("0x", "f1"), ("data:image/png;base64,iVBOR1", "==")) for c in "-A0/" for n in (19, 20, 21, 22, 1000)]
+    found = secrets.find_secrets(documents(spark, [(i, t, "en", "a") for i, t in enumerate(runs)])).collect()
+    assert len(found) == len(runs)
+    for n in (19, 20, 21, 40):
+        assert secrets.hot_windows(b"a" * n + b"1", 3.0) == []
+    rng = random.Random(2)
+    for _ in range(300):
+        text = bytes(rng.choice(b"aAbB01") for _ in range(rng.randrange(60)))
+        assert secrets.hot_windows(text, 2.2) == plain_windows(text, 2.2)
+
+
+def plain_windows(text, least):
+    out = []
+    for i in range(len(text) - secrets.WINDOW + 1):
+        w = text[i: i + secrets.WINDOW]
+        if -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) >= least - 1e-10:
+            out = [*out[:-1], (out[-1][0], i + len(w))] if out and i <= out[-1][1] else [*out, (i, i + len(w))]
+    return out
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    def seconds(n):
+        text = " ".join(f"password=abcdef1234567890XYZabc{i}" for i in range(n))
+        start = time.process_time()
+        assert len(secrets.scan(text)) == n
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.5
