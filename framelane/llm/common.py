@@ -46,8 +46,24 @@ def row_key(key: Column, digest: Column) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("n")), F.lit(":"), digest)
 
 
-def with_row_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.withColumn("__row", row_key(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+def fresh(docs: DataFrame, stem: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def with_row_key(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "__row") -> DataFrame:
+    return docs.withColumn(name, row_key(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+
+
+def row_identity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Column:
+    """(key is null, key, digest of the text, hash of all columns): orders by key, null last; equal for equal rows only."""
+    return F.struct(
+        F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"),
+        F.xxhash64(*[docs[c] for c in docs.columns]).alias("rest"),
+    )
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

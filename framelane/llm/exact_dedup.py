@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm.common import keep_ids, row_key, with_row_key
+from framelane.llm.common import fresh, keep_ids, row_key, with_row_key
 
 SALTS = 8
 
@@ -55,6 +55,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     It is a row with the largest key of its text, null if it has no other; a key that
     different texts share stays with each text that it is the largest of.
     """
+    row = fresh(docs, "__row")
     verdict = duplicate_groups(docs, key, text)
-    stays = verdict.where(F.col(key).eqNullSafe(F.col("keep_id"))).select(row_key(F.col(key), F.col("text_sha256")).alias("__row"))
-    return keep_ids(with_row_key(docs, key, text), stays, "__row").dropDuplicates(["__row"]).drop("__row")
+    stays = verdict.where(F.col(key).eqNullSafe(F.col("keep_id"))).select(row_key(F.col(key), F.col("text_sha256")).alias(row))
+    return keep_ids(with_row_key(docs, key, text, row), stays, row).dropDuplicates([row]).drop(row)

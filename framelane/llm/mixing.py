@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framelane import session
+from framelane.llm.common import fresh, row_identity
 
 #: Words of a document; its size in the mix.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -85,6 +86,7 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     max_epochs: int = MAX_EPOCHS,
+    carry: Column | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: key, size, source_size, target, taken, positions.
 
@@ -98,13 +100,15 @@ def mix(
     Edge cases: null text has size 0; documents of size 0 take nothing; null sources
     are one source, last in order; a null key has the digest of the empty string;
     rows with equal keys are ordered by size. An empty table gives an empty table.
-    Other columns are not read.
+    Other columns are not read. ``carry`` is one more column to hand through, and to order
+    rows with equal keys by.
     """
+    more = [] if carry is None else ["carry"]
     rows = session.cut(
         docs.select(
             F.col(key).alias("id"), F.col(source).alias("source"),
             F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORDS))).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("digest"),
+            F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("digest"), *([] if carry is None else [carry.alias("carry")]),
         ).withColumn("range", F.substring("digest", 1, RANGE_DIGITS))
     )
     ranges = session.cut(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
@@ -120,7 +124,7 @@ def mix(
         F.col("r.source").alias("source"), "range", "start", "place", "source_size", "target", "quota", "epochs", "rest"
     )
     placed = rows.alias("d").join(starts.alias("s"), F.expr("d.source <=> s.source and d.range = s.range"))
-    inside = W.partitionBy("place", "s.range").orderBy("digest", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("place", "s.range").orderBy("digest", "id", "size", *more).rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset")))
     placed = placed.withColumn("part", part).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
@@ -136,17 +140,21 @@ def mix(
         return out
 
     return placed.select(
-        F.col("id").alias(key), "size", "source_size", "target", "taken", F.transform(copies, due).alias("positions")
+        F.col("id").alias(key), "size", "source_size", "target", "taken", F.transform(copies, due).alias("positions"), *more
     )
 
 
 def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Documents as the run meets them: repeated for each copy taken, range-sorted by position, columns as in ``docs``.
 
-    A document taken in part is emitted whole (at most one per source). Keys must be
-    unique; rows with a null key are left out, as a position cannot be given to them.
+    A document taken in part is emitted whole (at most one per source). Rows are told
+    apart by key, text and all columns: a null key is a key like any other, rows that share a
+    key are taken on their own, and equal rows are one row taken as often as they are together.
     """
-    copies = mix(docs, key, text, source).select(F.col(key).alias("__id"), F.explode("positions").alias("__at"))
-    order = (copies["__at"], copies["__id"])
-    out = docs.join(copies, docs[key] == copies["__id"])
-    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[docs[c] for c in docs.columns])
+    own = row_identity(docs, key, text)
+    copies = mix(docs, key, text, source, carry=own).select(F.col("carry").alias("__id"), F.explode("positions").alias("__at"))
+    row = fresh(docs, "__row")
+    once = docs.withColumn(row, own).dropDuplicates([row])
+    out = once.join(copies, once[row] == copies["__id"])
+    order = (copies["__at"], once[row]["none"], once[row]["key"], once[row]["digest"])
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[once[c] for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelane import session
-from framelane.llm.common import NOT_SPACE, bounded_batches, keep_ids, word_spans
+from framelane.llm.common import NOT_SPACE, bounded_batches, fresh, keep_ids, row_identity, word_spans
 from framelane.llm.components import components
 
 SHINGLE = 3
@@ -53,9 +53,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp) for every row; fp holds the 64 bits as a signed long."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(
-        _fingerprint_batches, "id long, fp long"
-    )
+    own = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("body")).mapInArrow(_fingerprint_batches, f"id {own}, fp long")
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -173,6 +172,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays, all columns as they are."""
-    found = near_duplicates(docs, key, text)
-    return keep_ids(docs, found.where(F.col(key) == F.col("component_id")), key)
+    """One row of each component stays, all columns as they are: one with the smallest key.
+
+    Rows are told apart by key, text and all columns, not by the key alone: texts that share a
+    key are judged on their own, rows with a null key stay where their component has no
+    other, and of rows that are equal altogether one stays.
+    """
+    row = fresh(docs, "__row")
+    named = docs.withColumn(row, row_identity(docs, key, text))
+    prints = session.cut(fingerprints(named, row, text))
+    nodes = session.cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    label = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    chosen = nodes.join(label, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    stays = chosen.agg(F.min("first").alias(row))
+    return keep_ids(named, stays, row).dropDuplicates([row]).drop(row)

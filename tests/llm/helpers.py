@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 #: Extra columns whose names the operators use themselves.
-CLASH = "id long, body string, digest string, salt int, fp long, host string, v string, batch int, __id long, __at double, size long, place int"
+CLASH = "id long, body string, digest string, salt int, fp long, host string, v string, batch int, __id long, __at double, size long, place int, __row string, carry long, fp_ long"
 
 
 def documents(spark, rows):

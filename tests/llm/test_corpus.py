@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check import compare, connect
 from framelane.llm import language_id, mixing, queries, sentencepiece
-from tests.llm.helpers import ODD, documents, reachable, simhash
+from framelane.llm.common import row_identity
+from tests.llm.helpers import ODD, documents, reachable, sha, simhash
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -15,9 +16,9 @@ def test_query_matches_sql(spark, sf, name):
     assert state == "ok" and rows, note
 
 
-def test_entry_offers_all_ten_and_the_pipeline():
+def test_entry_offers_all_operators_and_the_pipeline():
     names = set(entry.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert "pipeline" in names
 
 
@@ -70,8 +71,42 @@ def test_training_order_is_by_position_and_repeats(spark):
     copies = {}
     for r in mixing.mix(docs).collect():
         copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + len(r["positions"])
-    rows = [r["doc_id"] for r in out.where("doc_id <> 7").collect()]
-    assert all(rows.count(i) == n for i, n in copies.items() if i not in (None, 7))
+    rows = [r["doc_id"] for r in out.collect()]
+    assert {i: rows.count(i) for i in copies} == copies and len(rows) == sum(copies.values())
+
+
+KEYS = [  # null, shared and repeated keys; what they stand for is told by the text
+    (None, "alpha beta gamma delta epsilon", "en", "a"), (5, "one two three four five six", "en", "a"), (5, "uno dos tres cuatro cinco seis", "en", "a"),
+    (5, "one two three four five six", "en", "a"), (None, "eins zwei drei vier fuenf sechs", "de", "b"), (None, "alpha beta gamma delta epsilon", "en", "a"), (6, "one two three four five six", "en", "b"),
+]
+
+
+def test_near_copies_with_null_and_shared_keys(spark):
+    docs = documents(spark, KEYS).repartition(3)
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert out.schema == docs.schema
+    got = sorted(((r["doc_id"], r["text"].split()[0]) for r in out.collect()), key=repr)
+    assert got == sorted([(None, "alpha"), (5, "one"), (5, "uno"), (None, "eins")], key=repr)
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").collect() == []
+
+
+def test_source_mix_with_null_and_shared_keys(spark):
+    docs = documents(spark, KEYS).repartition(3)
+    out = corpus_pipeline.source_mix(spark, docs, "")
+    assert out.schema == docs.schema
+    want = {}
+    for r in mixing.mix(docs, carry=row_identity(docs)).collect():
+        name = (r["doc_id"], r["carry"]["digest"])
+        want[name] = want.get(name, 0) + len(r["positions"])
+    got = [(r["doc_id"], sha(r["text"])) for r in out.collect()]
+    assert {k: got.count(k) for k in want} == want and len(got) == sum(want.values())
+    assert corpus_pipeline.source_mix(spark, docs.limit(0), "").collect() == []
+
+
+def test_stages_keep_columns_with_clashing_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id AS __row", "text AS carry", "1L AS fp", "lang AS __id").limit(60)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns, name
 
 
 def test_pipeline_equals_its_stages_one_by_one(spark, sf):
