@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelane import session
 from framelane.llm import exact_dedup, language_id, mixing, sentencepiece, simhash
-from framelane.llm.common import keep_ids, table, with_row_key
+from framelane.llm.common import fresh, keep_ids, table, with_row_key
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,25 +18,26 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is judged by its own text, whether its doc_id is null or shared.
     """
     session.ship(spark)
-    rows = with_row_key(docs)
-    found = language_id.predict(rows, language_id.fit(docs), "__row")
-    return keep_ids(rows, found.where(F.col("lang_pred") != language_id.UNDETERMINED).where("not ambiguous"), "__row").drop("__row")
+    row = fresh(docs, "__row")
+    rows = with_row_key(docs, name=row)
+    found = language_id.predict(rows, language_id.fit(docs), row)
+    return keep_ids(rows, found.where(F.col("lang_pred") != language_id.UNDETERMINED).where("not ambiguous"), row).drop(row)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, one with a null doc_id if there is no other."""
     session.ship(spark)
     return exact_dedup.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays, told apart by doc_id, text and all columns, so null and shared doc_ids lose nothing."""
     session.ship(spark)
     return simhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, repeated or left out as the sources' targets ask."""
+    """Documents in training order, repeated or left out as the sources' targets ask; null and shared doc_ids are taken like others."""
     session.ship(spark)
     return mixing.training_order(docs)
 
@@ -55,7 +56,7 @@ STAGES = [
     ("sentencepiece", piece_ids),
 ]
 
-#: SQL cannot state the learned classifier of the first stage; tests/llm holds a brute-force version.
+#: SQL cannot state the learned classifier of the first stage; tests/llm compares all stages with plain versions.
 ORACLE_SQL: str | None = None
 
 
