@@ -25,6 +25,8 @@ MANY = 255
 ITEM_BYTES = 8 << 20
 #: Documents of highest bound per item whose exact scores give the first threshold, as a multiple of k.
 SEEDS = 3
+#: Documents to score exactly are sent to every executor up to this size, so that no text is shuffled; beyond, texts go to them.
+BROADCAST_BYTES = 32 << 20
 #: Looked-up values that a task holds at once.
 _CELLS = 1 << 19
 _SALTS = 64
@@ -234,11 +236,15 @@ def within_reach(index: DataFrame, queries: Queries, least: np.ndarray) -> DataF
 def rescore(docs: DataFrame, reach: DataFrame, queries: Queries, least: np.ndarray, k: int, key: str, text: str) -> DataFrame:
     """(item, id, score): exact scores in descending bounds, each task's best k per item.
 
-    A task's rows come in order of how far their bounds reach beyond the thresholds; its own
+    Few documents to score are broadcast, behind a check of their size; many are joined by key
+    and digest. A task's rows come in order of how far their bounds reach beyond the thresholds; its own
     k-th best scores raise them, and a document all of whose bounds are below is not scored.
     """
     own = docs.schema[key].dataType.simpleString()
     once = reach.groupBy("id", "digest").agg(F.first("items").alias("items"), F.first("bounds").alias("bounds"), F.first("margin").alias("margin"))
+    once = session.cut(once)
+    size = once.agg(F.coalesce(F.sum(F.size("items") * 12 + 48), F.lit(0))).first()[0]
+    once = F.broadcast(once) if size <= BROADCAST_BYTES else once
     rows = _rows(docs, key, text).alias("d").join(
         once.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.digest") == F.col("c.digest"))
     ).select("d.id", "d.body", "c.items", "c.bounds", "c.margin").sortWithinPartitions(F.desc("margin"))

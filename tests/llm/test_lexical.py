@@ -71,6 +71,14 @@ def test_search_in_blocks_and_other_k(spark):
     assert run(spark, docs, items, k=3, item_bytes=300) == plain_search(docs, items, 3)
 
 
+def test_search_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lexical_rank, "BROADCAST_BYTES", -1)
+    rng = random.Random(9)
+    docs = corpus(rng, 100) + [(None, "w1 w2"), (7, "w1 w2"), (7, "w1 w2")]
+    items = [(i, " ".join(rng.choices(docs, k=1)[0][1].split()[:20])) for i in range(5)] + [(9, "w1 w2")]
+    assert run(spark, docs, items) == plain_search(docs, items, 20)
+
+
 def test_odd_documents(spark):
     docs = [(d[0], d[1]) for d in ODD]
     items = [(1, "The quick fox"), (2, "word two"), (3, "日本語 Häuser"), (4, "123")]
