@@ -188,16 +188,18 @@ def wrapper(ref: Page, found: dict[int, tuple[int, int, int, int, int]], titles:
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(layout, title, what the page shows of each node of the reference)."""
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64()), ("titled", pa.bool_())]))
+    fields = (("node", pa.int32()), ("same", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64()), ("titled", pa.bool_()))
     for b in batches:
-        layouts, titles, seen = [], [], []
-        for layout, source, reference in zip(*[c.to_pylist() for c in b.columns]):
+        titles, seen, ends = [], [], [0]
+        for source, reference in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             page = parse(source)
             ref, pairs = aligned(page, reference)
-            layouts.append(layout)
             titles.append(title_of(page))
-            seen.append([dict(zip(("node", "same", "chars", "linked", "titled"), x)) for x in observe(page, ref, pairs)])
-        yield pa.RecordBatch.from_arrays([pa.array(layouts, pa.string()), pa.array(titles, pa.string()), pa.array(seen, kind)], names=["layout", "title", "seen"])
+            seen += observe(page, ref, pairs)
+            ends.append(len(seen))
+        columns = zip(*seen) if seen else [()] * len(fields)
+        rows = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(titles, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["layout", "title", "seen"])
 
 
 def _wrapper_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

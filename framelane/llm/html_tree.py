@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Generator
 from dataclasses import dataclass, field
 
@@ -51,15 +50,13 @@ PLAIN = frozenset(
 )
 #: Elements that are left out like names: unless they wrap the article or most of the text.
 WRAPPERS = frozenset("form fieldset".split())
-_OPENER = re.compile(r"<(?=[a-zA-Z/!?])")
-_NAME = re.compile(r"[^\s/>]+")
+_OPENER = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[/!?])")
 _MARKS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     name: str
@@ -114,13 +111,28 @@ class Tags:
     """Ends of tags, in time linear in the page whatever its quotes are.
 
     A tag ends at the first > outside quotes; if its quotes never close, at the first > of all.
-    Every mark (>, " and ') is listed once. A walk over quotes that ends without a tag
-    leaves behind which marks lead nowhere, so no walk passes them again.
+    Where quotes before the first > are not plainly in pairs, every mark (>, " and ') is listed
+    once, and a walk over quotes that ends without a tag leaves behind which marks lead
+    nowhere, so no walk passes them again.
     """
 
     def __init__(self, source: str):
-        self.marks = [m.start() for m in _MARKS.finditer(source)]
         self.source = source
+        self.marks: list[int] | None = None
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends the tag with attributes from ``at`` on, or -1."""
+        stop = self.source.find(">", at)
+        if stop < 0 or stop == at:
+            return stop
+        double, single = self.source.count('"', at, stop), self.source.count("'", at, stop)
+        if not double and not single or not single and double % 2 == 0 or not double and single % 2 == 0:
+            return stop
+        return self._walk(at, stop)
+
+    def _list(self) -> None:
+        source = self.source
+        self.marks = [m.start() for m in _MARKS.finditer(source)]
         self.after: dict[str, list[int]] = {}  # per mark, the next one of its kind
         for kind in "\"'":
             nearest, out = -1, [-1] * len(self.marks)
@@ -131,11 +143,12 @@ class Tags:
             self.after[kind] = out
         self.dead: set[int] = set()
 
-    def end(self, at: int) -> int:
-        """Place of the > that ends the tag with attributes from ``at`` on, or -1."""
-        first = i = bisect_left(self.marks, at)
+    def _walk(self, at: int, stop: int) -> int:
+        if self.marks is None:
+            self._list()
+        i = bisect_left(self.marks, at)
         walked = []
-        while 0 <= i < len(self.marks) and i not in self.dead:
+        while i < len(self.marks) and i not in self.dead:
             walked.append(i)
             mark = self.source[self.marks[i]]
             if mark == ">":
@@ -145,22 +158,22 @@ class Tags:
                 break
             i = closer + 1
         self.dead.update(walked)
-        return self.source.find(">", at) if first < len(self.marks) else -1
+        return stop
 
 
 def parse(source: str) -> Page:
     """Blocks of a page. Markup that is cut off or unbalanced ends where the standard would end it, about."""
     nodes, segments = [Node("#page", "", -1)], []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements, with the block that they are or are in
-    still_open: Counter[str] = Counter()
+    still_open: dict[str, int] = {}
     buffer: list[str] = []
     linked, at, n = 0, 0, len(source)
-    tags = Tags(source)
+    tag_end = Tags(source).end
 
     def flush() -> None:
         nonlocal linked
         if buffer:
-            text = _SPACE.sub(" ", "".join(buffer)).strip()
+            text = " ".join("".join(buffer).split())
             if text:
                 block = stack[-1][1]
                 segments.append((block, text, min(linked, len(text))))
@@ -169,39 +182,47 @@ def parse(source: str) -> Page:
         linked = 0
 
     def close(k: int) -> None:
-        still_open.subtract(tag for tag, _ in stack[k:])
-        if any(stack[i][1] != stack[i - 1][1] for i in range(k, len(stack))):  # these have nodes of their own
-            flush()
+        for i in range(len(stack) - 1, k - 1, -1):
+            if stack[i][1] != stack[i - 1][1]:  # it has a node of its own
+                flush()
+                break
+        for tag, _ in stack[k:]:
+            still_open[tag] -= 1
         del stack[k:]
 
     while at < n:
         m = _OPENER.search(source, at)
         cut = n if m is None else m.start()
         if cut > at:
-            chunk = source[at:cut]
-            text = html.unescape(chunk) if "&" in chunk else chunk
+            text = source[at:cut]
+            if "&" in text:
+                text = html.unescape(text)
             buffer.append(text)
-            if still_open["a"] > 0:
+            if still_open.get("a"):
                 linked += len(text.strip())
         if m is None:
             break
-        ending = source.startswith("/", cut + 1)
-        start = cut + 1 + ending
-        if source.startswith("<!--", cut):
-            stop = 0 if source.startswith((">", "->"), cut + 4) else source.find("-->", cut + 4) - cut
-            at = source.find(">", cut) + 1 if stop == 0 else n if stop < 0 else cut + stop + 3
-            continue
-        if start >= n or not (source[start].isascii() and source[start].isalpha()):  # a doctype, or a bogus comment
-            stop = source.find(">", start)
+        tag = m[2]
+        if tag is None:  # a comment, a doctype, or bogus
+            if source.startswith("<!--", cut):
+                if source.startswith((">", "->"), cut + 4):
+                    at = source.find(">", cut) + 1
+                    continue
+                stop = source.find("-->", cut + 4)
+                at = n if stop < 0 else stop + 3
+                continue
+            stop = source.find(">", cut)
             at = n if stop < 0 else stop + 1
             continue
-        name = _NAME.match(source, start)
-        stop = tags.end(name.end())
+        name_end = m.end()
+        stop = tag_end(name_end)
         if stop < 0:  # a tag that never ends hides the rest
             break
-        at, tag, attributes = stop + 1, name[0].lower(), source[name.end(): stop]
-        if ending:
-            if still_open[tag] > 0:
+        at, tag = stop + 1, tag.lower()
+        if m[1]:
+            if stack[-1][0] == tag and len(stack) > 1:
+                close(len(stack) - 1)
+            elif still_open.get(tag):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         close(k)
@@ -212,14 +233,14 @@ def parse(source: str) -> Page:
         if tag == "br":
             buffer.append("\n")
             continue
-        if tag in _P_ENDERS and still_open["p"] > 0:
+        if tag in _P_ENDERS and still_open.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     close(k)
                     break
                 if stack[k][0] in _SCOPE:
                     break
-        if tag in _CLOSES and any(still_open[t] > 0 for t in _CLOSES[tag][0]):
+        if tag in _CLOSES and any(still_open.get(t) for t in _CLOSES[tag][0]):
             ends, scope = _CLOSES[tag]
             found = None
             for k in range(len(stack) - 1, 0, -1):
@@ -233,6 +254,7 @@ def parse(source: str) -> Page:
             if tag in BLOCKS:
                 flush()
             continue
+        attributes = source[name_end:stop]
         names, *judged = _judge(tag, attributes)
         if tag in BLOCKS or judged[0] or judged[1]:
             flush()
@@ -240,10 +262,10 @@ def parse(source: str) -> Page:
             nodes[parent].children.append(len(nodes))
             nodes.append(Node(tag, names, parent, *judged))
             stack.append((tag, len(nodes) - 1))
-            still_open[tag] += 1
+            still_open[tag] = still_open.get(tag, 0) + 1
         elif not attributes.endswith("/") or tag in ("a", "b", "i", "span", "em", "strong"):
             stack.append((tag, stack[-1][1]))
-            still_open[tag] += 1
+            still_open[tag] = still_open.get(tag, 0) + 1
         if tag in RAW:
             end = re.compile(f"</{tag}[\\s/>]", re.IGNORECASE).search(source, at)
             body_end = end.start() if end else n
