@@ -109,6 +109,18 @@ class RankedWindows:
         return self.sorted[rank]
 
 
+    def below(self, lo: np.ndarray, hi: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Values of each window ``[lo, hi)`` among the ``rank`` smallest of the array."""
+        all_, out = rank >= len(self.sorted), np.zeros(len(rank), dtype=np.int64)
+        size = hi - lo
+        for bit, zeros in self.levels:
+            a, b = zeros[lo], zeros[hi]
+            one = (rank >> bit) & 1 == 1
+            out += np.where(one, b - a, 0)
+            lo, hi = np.where(one, zeros[-1] + lo - a, a), np.where(one, zeros[-1] + hi - b, b)
+        return np.where(all_, size, out)
+
+
 def wide_medians(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Median and median absolute deviation of ``k`` rows either side, ignoring NaN (NaN where a window has none)."""
     seen = ~np.isnan(v)

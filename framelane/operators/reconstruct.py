@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framelane.functions import geometry as G
 from framelane.operators import dedup
 from framelane.operators import kernels as K
+from framelane.operators import local
 from framelane.operators.frames import fill_edges
 from framelane.operators.interpolate import BOX, at
 from framelane.operators.modelling import second_moments
@@ -101,9 +102,10 @@ def lowess(
     """Robust local regression: adds ``fit`` and ``residual`` (absolute) on rows with a value.
 
     A pass is symmetric, so it stands for the mean of a forward and a backward
-    one. Each pass works on blocks that hold the ``r`` nearest rows of their
-    core; the scale of the residuals between passes is an exact distributed
-    median. Below four values the fit is the value itself.
+    one. Up to ``local.LONG`` rows a pass works on blocks that hold the ``r`` nearest rows of
+    their core, beyond on power moments (:mod:`framelane.operators.local`); the scale of the
+    residuals between passes is an exact distributed median. Below four values the fit is
+    the value itself.
     """
     share = max(0.05, min(0.95, frac))
     rows = df.where(G.finite(F.col(value)))
@@ -113,13 +115,13 @@ def lowess(
     rows = rows.withColumns({"_x": F.col(order).cast("double"), "_w": F.lit(1.0), "_mean": F.col("_sum") / F.col("_n")})
     rows = cut(rows.drop("_sum"))
     keep = [c for c in rows.columns if c not in (*key, "_n")]
+    longest = rows.agg(F.max("_n")).first()[0] or 0
     for step in range(max(1, iterations)):
-        r = F.greatest(F.lit(4), F.least(F.col("_n"), F.ceil(F.col("_n") * share))).cast("long")
-        b = K.blocks(rows, key, "_pos", "_n", r, ["_x", value, "_w"], keep)
-        r = F.greatest(F.lit(4), F.least(F.col("_n"), F.ceil(F.col("_n") * share))).cast("int")
-        fit = K.lowess_pass("_x", value, "_w", "lo", "first", "stop", "_n", r, F.col("_core__mean")[0])
-        b = b.withColumn("_fit", fit)
-        out = K.unblock(b, [*key, "_n"], {**{f"_core_{c}": c for c in keep}, "_fit": "fit"})
+        out = _local_fit_blocks(rows if longest <= local.LONG else rows.where(F.col("_n") <= local.LONG), key, value, share, keep)
+        if longest > local.LONG:
+            far = rows.where(F.col("_n") > local.LONG)
+            fits = local.local_fit_long(far, key, "_x", value, "_w", share)
+            out = out.unionByName(far.join(fits, [*key, "_pos"]).select(*out.columns))
         rows = cut(out.withColumn("_r", F.col(value) - F.col("fit")))
         if step + 1 == max(1, iterations):
             break
@@ -137,6 +139,13 @@ def lowess(
     )
 
 
+def _local_fit_blocks(rows: DataFrame, key: Sequence[str], value: str, share: float, keep: Sequence[str]) -> DataFrame:
+    r = F.greatest(F.lit(4), F.least(F.col("_n"), F.ceil(F.col("_n") * share)))
+    b = K.blocks(rows, key, "_pos", "_n", r.cast("long"), ["_x", value, "_w"], keep)
+    fit = K.lowess_pass("_x", value, "_w", "lo", "first", "stop", "_n", r.cast("int"), F.col("_core__mean")[0])
+    return K.unblock(b.withColumn("_fit", fit), [*key, "_n"], {**{f"_core_{c}": c for c in keep}, "_fit": "fit"})
+
+
 def anomaly_flags(
     df: DataFrame, key: Sequence[str], residuals: Sequence[str], seen: str, quantile: float = 0.8
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
 from framelane.operators import kernels as K
+from framelane.operators import wide
 from framelane.operators.dedup import first_per_frame
 from framelane.operators.frames import drop_long_runs
 from framelane.operators.interpolate import at, fill_nulls, pieces
@@ -85,12 +86,30 @@ def two_scale_hampel(
 ) -> DataFrame:
     """Wide pass then narrow pass on reflected data; adds ``{c}_clean`` and ``{c}_outlier`` for every column.
 
-    The wide window grows with the length of the trajectory, so does the block:
-    a trajectory is spread over at least a dozen blocks once it outgrows one.
+    The wide window grows with the trajectory. Up to ``wide.LONG`` rows a block holds its
+    windows; longer trajectories go by ranges and prefix counts (:mod:`framelane.operators.wide`), with the same values.
     """
     rows = _positions(df, key, order)
+    args = (macro_ratio, macro_sigma, micro_half, micro_sigma)
+    longest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if longest <= wide.LONG:
+        return _two_scale_blocks(rows, df.columns, key, cols, *args)
+    rows = cut(rows)
+    short, far = rows.where(F.col("_n") <= wide.LONG), rows.where(F.col("_n") > wide.LONG)
+    by = [*key, "_col"]
+    long = far.select(*key, "_pos", "_n", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([*key, "_pos", "_n"], list(cols), "_col", "v")
+    done = wide.two_scale_hampel_long(long, by, *args).groupBy(*key, "_pos").agg(
+        *[F.max(F.when(F.col("_col") == c, F.col("v"))).alias(f"{c}_clean") for c in cols],
+        *[F.max(F.when(F.col("_col") == c, F.col("m"))).alias(f"{c}_outlier") for c in cols],
+    )
+    far = far.join(done, [*key, "_pos"])
+    out = _two_scale_blocks(short, df.columns, key, cols, *args)
+    return out.unionByName(far.select(*out.columns))
+
+
+def _two_scale_blocks(rows, names, key, cols, macro_ratio, macro_sigma, micro_half, micro_sigma):
     reach = F.greatest(F.lit(5), F.floor(F.col("_n") * F.lit(macro_ratio) / 2)) + micro_half
-    keep = [c for c in df.columns if c not in key]
+    keep = [c for c in names if c not in key]
     b = K.blocks(rows, key, "_pos", "_n", reach, cols, keep)
     udf = K.two_scale_hampel(macro_ratio, macro_sigma, micro_half, micro_sigma)
     b = b.withColumns({f"_u_{c}": udf(c, "lo", "first", "stop", "_n") for c in cols})
@@ -102,7 +121,7 @@ def two_scale_hampel(
         arrays[f"_v_{c}"] = f"{c}_clean"
         arrays[f"_m_{c}"] = f"{c}_outlier"
     out = K.unblock(b.withColumns(parts), key, arrays)
-    return out.select(*df.columns, *[f"{c}{s}" for c in cols for s in ("_clean", "_outlier")])
+    return out.select(*names, *[f"{c}{s}" for c in cols for s in ("_clean", "_outlier")])
 
 
 def hampel_then_fill(

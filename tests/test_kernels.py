@@ -1,12 +1,13 @@
 """Kernels against brute force, and splines cut into blocks against one dense solve."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framelane.operators import kernels as K
-from framelane.operators import reconstruct
+from framelane.operators import local, reconstruct, smooth, wide
 
 
 def _middle(w):
@@ -89,3 +90,96 @@ def test_uneven_spline_over_several_blocks(spark):
     want = _dense_moments(t.astype(float), y)
     c = np.array([2 * p["v_c"] for p in got["piece"][:-1]])
     assert np.allclose(c, want[:-1], rtol=1e-8, atol=1e-12)
+
+
+def test_wide_windows_by_ranges_equal_the_block_kernel():
+    rng = np.random.default_rng(3)
+    for trial in range(12):
+        n, side = int(rng.integers(300, 1500)), int(rng.choice([16, 64]))
+        v = [np.cumsum(rng.normal(size=n)), rng.normal(size=n), rng.integers(0, 5, n) * 1.0, np.where(rng.random(n) < 0.5, 0.0, 100.0) + rng.normal(size=n) * (rng.random(n) < 0.3)][trial % 4]
+        v[rng.random(n) < 0.02] += 50
+        if trial % 3 == 0:
+            v[rng.random(n) < 0.3] = np.nan
+        want, flags = K._two_scale(v, 0, 0, n, n, 0.15, 3.0, 7, 3.0)
+        arrays = {e: v[e * side : (e + 1) * side] for e in range(-(-n // side))}
+        distinct, times = np.unique(v[~np.isnan(v)], return_counts=True)
+        number = (np.cumsum(times) - times) // side * 2 + (times >= side)
+        low, high = (np.array([f(distinct[number == r]) for r in np.unique(number)]) for f in (np.min, np.max))
+        for b in arrays:
+            g = wide.Geometry(n, b, 0.15, 7, side)
+            shared = np.concatenate([v[s * side : e * side] for s, e in g.whole] or [np.zeros(0)])
+            shared = shared[~np.isnan(shared)]
+            of = np.searchsorted(low, shared, side="right") - 1
+            counts = np.bincount(of, minlength=len(low))
+            need = wide.needed_ranges(wide._Block(g, arrays), low, high, counts)
+            counts[need] = 0
+            got, hit = wide._filtered(g, arrays, low, counts, shared[np.isin(of, need)], 3.0, 7, 3.0)
+            assert np.array_equal(got, want[g.first : g.stop], equal_nan=True) and np.array_equal(hit, flags[g.first : g.stop])
+
+
+def test_long_trajectories_take_the_ranged_way_with_equal_values(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for vid, n in ((1, 40_000), (2, 5_000), (3, 700)):
+        v = np.sin(np.arange(n) / 900) * 40 + rng.normal(size=n).round(1)
+        v[rng.random(n) < 0.01] += 60
+        v[rng.random(n) < 0.05] = np.nan
+        for c, x in (("a", v), ("b", rng.integers(0, 4, n) * 1.0)):
+            want[vid, c] = K._two_scale(x, 0, 0, n, n, 0.15, 3.0, 7, 3.0)
+        rows.append(pd.DataFrame({"vid": vid, "frame_index": np.arange(n) * 3, "a": v, "b": want[vid, "b"][0] * 0 + x}))
+    df = spark.createDataFrame(pd.concat(rows)).selectExpr("vid", "frame_index", "CASE WHEN NOT isnan(a) THEN a END AS a", "b")
+    monkeypatch.setattr(smooth.wide, "LONG", 3_000)
+    got = smooth.two_scale_hampel(df, ["vid"], ["a", "b"]).toPandas().sort_values(["vid", "frame_index"])
+    assert len(got) == 45_700
+    for (vid, c), (clean, flag) in want.items():
+        part = got[got.vid == vid]
+        assert np.array_equal(part[f"{c}_clean"].to_numpy(float), clean, equal_nan=True)
+        assert np.array_equal(part[f"{c}_outlier"].to_numpy(bool), flag)
+
+
+def test_moments_equal_weighting_every_row():
+    rng = np.random.default_rng(1)
+    for trial in range(12):
+        n, size, frac = int(rng.integers(200, 1500)), int(rng.choice([16, 32, 100])), float(rng.choice([0.1, 0.5, 0.95]))
+        x = [np.arange(n), np.sort(rng.choice(n * 5, n, replace=False)), np.cumsum(np.where(rng.random(n) < 0.01, rng.integers(1000, 100000, n), 1))][trial % 3] * 1.0
+        y = np.sin(x / 300) * 50 + rng.normal(size=n)
+        w = np.where(rng.random(n) < 0.1, 0, rng.random(n)) if trial % 2 else np.ones(n)
+        r = max(4, min(n, int(np.ceil(n * frac))))
+        cuts = [slice(e * size, min(n, (e + 1) * size)) for e in range(-(-n // size))]
+        c, s, sums = (np.array(q) for q in zip(*[local.block_moments(x[q], y[q], w[q]) for q in cuts]))
+        first, last = (np.array([x[q][i] for q in cuts]) for i in (0, -1))
+        got = []
+        for b, q in enumerate(cuts):
+            a0, a1, read, wl, wr = local.view(b, n, r, size, first, last)
+            index = np.concatenate([np.arange(n)[cuts[e]] for e in read])
+            sides = [(c[i:j], s[i:j], sums[i:j]) for i, j in (wl, wr)]
+            got.append(local.lines(np.arange(n)[q], index, x[index], y[index], w[index], (a0, a1), r, n, y.mean(), *sides))
+        assert np.allclose(np.concatenate(got), K.local_lines(x, y, w, range(n), r, n, y.mean()), atol=1e-6)
+
+
+def test_local_regression_of_one_long_trajectory(spark):
+    """300,000 rows of one trajectory against plain weighting of every row, at some of them."""
+    rng = np.random.default_rng(6)
+    n = 300_000
+    x = np.sort(rng.choice(2 * n, n, replace=False))
+    y = np.sin(x / 40_000) * 50 + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"vid": 1, "frame_index": x, "v": y}))
+    got = reconstruct.lowess(df, ["vid"], "v", iterations=1).toPandas().sort_values("frame_index")
+    at = np.unique(np.concatenate([[0, 1, n - 1], rng.integers(0, n, 20)]))
+    want = [K.local_lines(x * 1.0, y, np.ones(n), range(i, i + 1), n // 2, n, y.mean())[0] for i in at.tolist()]
+    assert np.allclose(got.fit.to_numpy()[at], want, atol=1e-6)
+    assert np.allclose(got.residual.to_numpy(), np.abs(got.v - got.fit))
+
+
+def test_robust_local_regression_takes_both_ways_with_equal_values(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    parts = []
+    for vid, n in ((1, 6_000), (2, 90)):
+        v = np.cos(np.arange(n) / 200) * 30 + rng.normal(size=n)
+        v[rng.random(n) < 0.03] += 40
+        parts.append(pd.DataFrame({"vid": vid, "frame_index": np.arange(n) * 2, "v": v}))
+    df = spark.createDataFrame(pd.concat(parts))
+    want = reconstruct.lowess(df, ["vid"], "v").toPandas().sort_values(["vid", "frame_index"])
+    monkeypatch.setattr(reconstruct.local, "LONG", 1_000)
+    got = reconstruct.lowess(df, ["vid"], "v").toPandas().sort_values(["vid", "frame_index"])
+    assert len(got) == 6_090 and np.allclose(got.fit, want.fit, atol=1e-7)
