@@ -292,6 +292,12 @@ def experiment_table(df: DataFrame, key: Sequence[str], score: str = "score") ->
     return out.withColumns({c: F.when(enough, F.col(c)) for c in ("delta_iou_high_minus_low", "delta_ce_low_minus_high")})
 
 
+def skipped_experiments(predictions: DataFrame, matched: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Experiments with predictions but not one matched annotation, and how many predictions they have."""
+    counts = predictions.groupBy(*key).agg(F.count(F.lit(1)).alias("n_predictions"))
+    return counts.join(matched.select(*key).distinct(), list(key), "left_anti")
+
+
 def relation_distribution(table: DataFrame) -> DataFrame:
     """Quartiles of the per-experiment correlations and the share that supports the hypothesis."""
     a, b = F.col("pearson_iou"), F.col("pearson_ce")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -156,6 +157,41 @@ def fit_lda(df: DataFrame, vector: str, label: str, k: int, ridge: float = 1e-6)
     return axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
 
 
+def fit_channel_lda(df: DataFrame, key: Sequence[str], vector: str, label: str, k: int, ridge: float = 1e-6) -> np.ndarray:
+    """Discriminant axes of channels, from one vector of channels per (key, step).
+
+    Between the classes counts what their mean series do at every step: class means per step against
+    the mean of that step; within, what series differ from their class's mean series. Both scatters are channel x
+    channel and come from grouped moments; the driver holds these, class means are one row per class and step.
+    """
+    x = array_to_vector(F.col(vector).cast("array<double>"))
+    cells = df.groupBy(label, "step").agg(Summarizer.mean(x).alias("m"), F.count(F.lit(1)).alias("n"))
+    steps = df.groupBy("step").agg(Summarizer.mean(x).alias("all"))
+    gap = F.zip_with(vector_to_array("m"), vector_to_array("all"), lambda a, b: a - b)
+    between = _scatter(cells.join(steps, "step").select(gap.alias("v"), F.col("n").cast("double").alias("w")))
+    own = F.zip_with(F.col(vector).cast("array<double>"), vector_to_array("m"), lambda a, b: a - b)
+    within = _scatter(df.join(cells, [label, "step"]).select(own.alias("v"), F.lit(1.0).alias("w")))
+    d = len(within)
+    within = within + np.eye(d) * ridge * max(1.0, np.trace(within) / d)
+    classes = df.select(label).distinct().count()
+    root = np.linalg.cholesky(within)
+    inner = np.linalg.solve(root, np.linalg.solve(root, between).T)
+    vals, vecs = np.linalg.eigh((inner + inner.T) / 2)
+    # steps add to the rank of the class means, so there may be more axes than classes
+    order = np.argsort(-vals, kind="stable")[: min(k, d) if classes > 1 else 0]
+    axes = np.linalg.solve(root.T, vecs[:, order])
+    axes = axes / np.linalg.norm(axes, axis=0, keepdims=True)
+    return axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+
+
+def _scatter(rows: DataFrame) -> np.ndarray:
+    """Sum of w v v' over rows(v, w); d x d on the driver."""
+    outer = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: a * b * F.col("w"))))
+    out = rows.agg(vector_to_array(Summarizer.sum(array_to_vector(outer))).alias("s")).first()["s"]
+    d = int(round(len(out) ** 0.5))
+    return np.array(out).reshape(d, d)
+
+
 def fit_pls(df: DataFrame, vector: str, target: str, k: int) -> np.ndarray:
     """Partial least squares axes for one target, from second moments only."""
     arr = F.col(vector).cast("array<double>")
@@ -227,19 +263,77 @@ def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:
 # ---- classifiers -------------------------------------------------------------
 
 
+class FourierFeatures:
+    """Random Fourier features: their dot products approach the Gaussian kernel exp(-gamma |x - y|^2).
+
+    Frequencies and phases are drawn from a fixed seed; ``gamma`` by default is 1 / (numbers of a vector x
+    variance of all their entries), learned from the rows given to :meth:`fit`.
+    """
+
+    def __init__(self, components: int = 512, gamma: float | None = None, seed: int = 42):
+        self.components, self.gamma, self.seed = components, gamma, seed
+
+    def fit(self, df: DataFrame, features: str) -> FourierFeatures:
+        if self.gamma is None:
+            x = F.explode(vector_to_array(F.col(features)))
+            row = df.select(F.size(vector_to_array(F.col(features))).alias("d"), x.alias("x")).agg(F.max("d").alias("d"), F.var_pop("x").alias("v")).first()
+            self.gamma = 1.0 / (row["d"] * row["v"]) if row["d"] and row["v"] else 1.0
+        return self
+
+    def transform(self, df: DataFrame, features: str, out: str) -> DataFrame:
+        components, gamma, seed = self.components, self.gamma, self.seed
+
+        @F.pandas_udf("array<double>")
+        def mapped(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return x
+            z = np.stack(x.to_numpy())
+            rng = np.random.default_rng(seed)
+            w, b = rng.normal(size=(z.shape[1], components)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, components)
+            return pd.Series(list(np.sqrt(2 / components) * np.cos(z @ w + b)))
+
+        return df.withColumn(out, array_to_vector(mapped(vector_to_array(F.col(features)))))
+
+
+class KernelSVC:
+    """Support vector machine with a Gaussian kernel: random Fourier features before MLlib's linear machine.
+
+    ``C`` is the usual weight of the hinge losses, so the linear machine is regularised by 1 / (C rows).
+    """
+
+    def __init__(self, featuresCol: str = "features", C: float = 1.0, components: int = 512, gamma: float | None = None, seed: int = 42, **linear):
+        self.features, self.c, self.linear = featuresCol, C, linear
+        self.map = FourierFeatures(components, gamma, seed)
+
+    def fit(self, df: DataFrame) -> KernelSVCModel:
+        self.map.fit(df, self.features)
+        rows = self.map.transform(df, self.features, "_fourier")
+        machine = LinearSVC(**{"maxIter": 50, "standardization": False, "regParam": 1.0 / (self.c * max(1, df.count())), **self.linear, "featuresCol": "_fourier"})
+        return KernelSVCModel(machine.fit(rows), self.map, self.features)
+
+
+class KernelSVCModel:
+    def __init__(self, model, features_map: FourierFeatures, features: str):
+        self.model, self.map, self.features = model, features_map, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.map.transform(df, self.features, "_fourier")).drop("_fourier")
+
+
 def _logistic(**p):
     return LogisticRegression(**{"maxIter": 50, "regParam": 1e-4, **p})
 
 
 CLASSIFIERS: dict[str, Callable] = {
-    "random_forest": lambda **p: RandomForestClassifier(**{"numTrees": 50, "seed": 42, **p}),
+    "random_forest": lambda **p: RandomForestClassifier(**{"numTrees": 200, "seed": 42, **p}),
     "decision_tree": lambda **p: DecisionTreeClassifier(**{"seed": 42, **p}),
-    "svm": lambda **p: LinearSVC(**{"maxIter": 50, **p}),
-    "boosted_trees": lambda **p: GBTClassifier(**{"maxIter": 20, "seed": 42, **p}),
+    "svm": lambda **p: KernelSVC(**p),
+    "linear_svm": lambda **p: LinearSVC(**{"maxIter": 50, **p}),
+    "boosted_trees": lambda **p: GBTClassifier(**{"maxIter": 200, "seed": 42, **p}),
     "logistic_regression": _logistic,
     "mlp": lambda **p: MultilayerPerceptronClassifier(**{"maxIter": 100, "seed": 42, **p}),
 }
-WEIGHTED = {"random_forest", "decision_tree", "svm", "boosted_trees", "logistic_regression"}
+WEIGHTED = {"random_forest", "decision_tree", "svm", "linear_svm", "boosted_trees", "logistic_regression"}
 
 
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -280,8 +374,14 @@ def out_of_fold(
 ) -> DataFrame:
     """Probabilities of each group from a model that never saw it; groups whose training side has one class are skipped.
 
-    One distributed fit per group; the groups of the reference are subjects.
+    Logistic models of all folds are learned in the same passes (:func:`framelane.operators.folds.leave_one_out`);
+    other kinds take one distributed fit per group, the groups of the reference being subjects.
     """
+    if kind == "logistic_regression" and not set(params) - {"regParam"}:
+        from framelane.operators import folds
+
+        df = cut(df)
+        return folds.score_left_out(df, folds.leave_one_out(df, group, label, features, params.get("regParam", 1e-4)), group, features)
     df = cut(df)
     groups = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
     parts = []
@@ -302,10 +402,14 @@ def permutation_importance(model, df: DataFrame, names: Sequence[str], row_id: s
     """Accuracy lost when one column is dealt out anew among all rows, for every column.
 
     Row i of a random order gives its value to row i of the digest order of ids; both
-    orders are cut into digest blocks, so no column is dealt in one task.
+    orders are cut into digest blocks, so no column is dealt in one task. A linear model's
+    score changes by one term only, so its rows meet dealt values as single numbers and
+    what is moved is linear in rows times columns; other models get the changed vectors.
     """
     from framelane.operators.associate import shuffled_positions
 
+    if hasattr(model, "coefficients") and hasattr(model, "intercept"):
+        return _linear_permutation_importance(model, df, names, row_id, label)
     arr = F.array(*[F.col(n).cast("double") for n in names])
     rows = cut(df.select(row_id, label, arr.alias("x")))
     feature = F.array(*[F.lit(n) for n in names])
@@ -325,6 +429,25 @@ def permutation_importance(model, df: DataFrame, names: Sequence[str], row_id: s
     )
 
 
+def _linear_permutation_importance(model, df: DataFrame, names: Sequence[str], row_id: str, label: str) -> DataFrame:
+    from framelane.operators.associate import shuffled_positions
+
+    weights = [float(w) for w in model.coefficients]
+    margin = sum((F.col(n).cast("double") * w for n, w in zip(names, weights)), F.lit(float(model.intercept)))
+    cells = F.array(*[F.struct(F.lit(j + 1).alias("perm"), F.lit(n).alias("feature"), F.lit(w).alias("w"), F.col(n).cast("double").alias("v")) for j, (n, w) in enumerate(zip(names, weights))])
+    rows = cut(df.select(row_id, label, margin.alias("margin"), cells.alias("cells")))
+    place = shuffled_positions(rows.select(row_id), row_id, 1).select(row_id, F.col("pos0").alias("i"))
+    long = rows.join(place, row_id).select("i", label, "margin", F.inline("cells"))
+    dealt = shuffled_positions(rows.select(row_id), row_id, len(names), first=1).select(row_id, "perm", F.col("pos0").alias("i"))
+    dealt = dealt.join(rows.select(row_id, F.inline(F.transform("cells", lambda c: F.struct(c["perm"].alias("perm"), c["v"].alias("dealt"))))), [row_id, "perm"])
+    mixed = long.join(dealt.select("i", "perm", "dealt"), ["i", "perm"])
+    right = ((F.col("margin") + F.col("w") * (F.col("dealt") - F.col("v")) >= 0).cast("int") == F.col(label)).cast("double")
+    base = rows.agg(F.avg(((F.col("margin") >= 0).cast("int") == F.col(label)).cast("double")).alias("a")).first()["a"]
+    return mixed.groupBy("feature").agg(F.avg(right).alias("acc")).select(
+        "feature", (F.lit(base) - F.col("acc")).alias("importance"), F.lit(base).cast("double").alias("base_accuracy")
+    )
+
+
 def embedding_pipeline(
     train: DataFrame, test: DataFrame, key: Sequence[str], vector: str, k: int, weight: str | None = None
 ) -> tuple[DataFrame, DataFrame]:

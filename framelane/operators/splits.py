@@ -83,7 +83,14 @@ def k_folds(df: DataFrame, k: int, seed: int, ids: str) -> DataFrame:
 def stratified_split(
     subjects: DataFrame, seed: int, train: float, val: float, label: str = "label", ids: str = "subject_id"
 ) -> DataFrame:
-    """Shares of every label class go to train / val / test, each class keeping at least one test subject."""
+    """Shares of every label class go to train / val / test, each class keeping at least one test subject.
+
+    Fewer than four subjects, or a class of one, cannot be split by class: then all are
+    shuffled together (:func:`plain_split`).
+    """
+    sizes = [r["count"] for r in subjects.groupBy(label).count().collect()]  # one row per class
+    if sum(sizes) < 4 or min(sizes, default=0) < 2:
+        return plain_split(subjects, seed, train, val, sum(sizes), ids)
     out = shuffled(subjects, ids, seed, [label])
     n = F.col("n")
     n_train = F.least(F.greatest(F.lit(1), F.round(n * train)), F.greatest(n - 1, F.lit(1)))
@@ -91,6 +98,21 @@ def stratified_split(
     return out.withColumn("role", _role(F.col("pos0"), n_train, n_val)).drop("pos0", "n")
 
 
+def plain_split(subjects: DataFrame, seed: int, train: float, val: float, n: int, ids: str = "subject_id") -> DataFrame:
+    """Train / val / test over one random order of ``n`` subjects; the last one is tested if nothing else is left to test."""
+    n_train = max(1, round(n * train))
+    if n < 4:
+        n_val = max(0, round(n * val))
+        if n_train + n_val >= n:
+            n_val = max(0, n - n_train - 1)
+    else:
+        share, rest = min(0.9, max(0.0, val / max(1e-6, 1.0 - train))), n - n_train
+        n_val = max(0, min(round(rest * share), rest - 1)) if rest >= 2 and share > 0 else 0
+    if n_train + n_val >= n:
+        n_train, n_val = max(0, n - 1 - n_val), n_val
+    return shuffled(subjects, ids, seed).withColumn("role", _role(F.col("pos0"), F.lit(n_train), F.lit(n_val))).drop("pos0", "n")
+
+
 def holdout(subjects: DataFrame, seed: int, share: float, ids: str = "subject_id") -> DataFrame:
     """Validation subjects: the rounded share, at least one and never all."""
     out = shuffled(subjects, ids, seed)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelane.operators import associate as A
+from framelane.operators import dedup as D
 from framelane.operators import evaluate as E
-from framelane.plans.fixtures import KEY, MATCHED, gt, preds
+from framelane.plans.fixtures import FIRST, GT, KEY, MATCHED, PREDS, gt, preds
 from framelane.plans.registry import pick, query
 from framelane.session import cut
 
@@ -202,3 +203,20 @@ def _(spark, sf):
     df = cut(matched(spark, sf).withColumn("experiment", F.col("video_id") % 10))
     out = A.relation_distribution(A.experiment_table(df, ["experiment"]))
     return pick(out, *out.columns)
+
+
+_CLIP = f"""{PREDS}, {GT}, {FIRST}, k AS (SELECT video_id * 1000 + frame_index // 4 AS experiment, pf.frame_index, EXISTS (SELECT 1 FROM gt WHERE gt.video_id = pf.video_id
+    AND gt.frame_index = pf.frame_index) AS hit FROM pf)"""
+
+
+@query(
+    "skipped_experiments",
+    "J8",
+    f"WITH {_CLIP} SELECT experiment, count(*) AS n_predictions FROM k GROUP BY experiment HAVING NOT bool_or(hit)",
+)
+def _(spark, sf):
+    """Clips of four frames as experiments: those without an annotated frame."""
+    clip = (F.col("video_id") * 1000 + F.floor(F.col("frame_index") / 4)).cast("long").alias("experiment")
+    first = D.first_per_frame(preds(spark, sf), ["video_id", "frame_index"]).select(clip)
+    hits = E.matched(preds(spark, sf), gt(spark, sf), ["video_id"]).select(clip)
+    return A.skipped_experiments(first, hits, ["experiment"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelane.operators import classify as C
-from framelane.plans.fixtures import CLF, clf
+from framelane.plans.fixtures import CLF, PREDS, clf, preds
 from framelane.plans.registry import pick, query
 
 _CONF = """count(*) FILTER (WHERE label_true = 1 AND label_pred = 1) AS tp, count(*) FILTER (WHERE label_true = 0 AND label_pred = 1) AS fp,
@@ -206,3 +206,18 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return pick(C.subject_probability(clf(spark, sf)), "subject_id", "prob")
+
+
+@query(
+    "canonical_modalities",
+    "P14",
+    f"""WITH {PREDS}, r AS (SELECT CASE pos % 7 WHEN 0 THEN 'Rest post' WHEN 1 THEN 'D' WHEN 2 THEN 'G-R' WHEN 3 THEN 'R1' WHEN 4 THEN 'doppler' WHEN 5 THEN 'rest' ELSE modality END AS name FROM preds)
+    SELECT name, CASE name WHEN 'Rest post' THEN 'rest_post' WHEN 'D' THEN 'doppler' WHEN 'G-R' THEN 'relax' WHEN 'R1' THEN 'rest' ELSE name END AS modality, count(*) AS n FROM r GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Names of both recording schemes, common names and unknown ones."""
+    names, other = ("Rest post", "D", "G-R", "R1", "doppler", "rest"), F.col("modality")
+    for i, n in enumerate(names):
+        other = F.when(F.col("pos") % 7 == i, n).otherwise(other)
+    rows = preds(spark, sf).select(other.alias("name"))
+    return rows.groupBy("name", C.canonical_modality(F.col("name")).alias("modality")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framelane.operators import evaluate as E
@@ -203,3 +205,47 @@ def _(spark, sf):
     )
     out = E.fold_summary(folds, ["model"], ["iou", "ce"])
     return pick(out, *out.columns)
+
+
+@query(
+    "registered_evaluators",
+    "U1 A3",
+    f"""{UNION}, d AS (SELECT video_id, {_DET.format(t=0.5, s='t')} FROM u GROUP BY video_id), {_SUMMARY}
+    SELECT video_id, tp_t AS tp, fp_t AS fp, fn_t AS fn, round(iou_mean, 6) AS iou_mean, round(ce_mean, 6) AS ce_mean FROM d JOIN s USING (video_id)""",
+)
+def _(spark, sf):
+    """Two evaluators chosen by name."""
+    from framelane import registry
+
+    p, g = preds(spark, sf), gt(spark, sf)
+    counts = registry.get("evaluator", "detection")(p, g, KEY).select("video_id", "tp", "fp", "fn")
+    means = registry.get("evaluator", "video_summary")(p, g, KEY).select("video_id", "iou_mean", "ce_mean")
+    return pick(counts.join(means, "video_id"), "video_id", "tp", "fp", "fn", "iou_mean", "ce_mean")
+
+
+@query(
+    "evaluation_files",
+    "S8",
+    f"""{UNION}, {_SUMMARY}, m AS (SELECT * FROM u WHERE iou IS NOT NULL)
+    SELECT 'frame' AS file, video_id, frame_index::DOUBLE AS at, round(iou, 6) AS value, round(ce, 6) AS other FROM u
+    UNION ALL SELECT 'curve', video_id, i / CAST(100 AS DOUBLE), round(count(*) FILTER (WHERE iou >= i / CAST(100 AS DOUBLE)) / CAST(count(*) AS DOUBLE), 6), NULL FROM m, range(101) t(i) GROUP BY video_id, i
+    UNION ALL SELECT 'summary', video_id, NULL, round(iou_mean, 6), round(ce_mean, 6) FROM s""",
+)
+def _(spark, sf):
+    """Per-frame rows, success curve and summary written as files and read back."""
+    from framelane import session
+    from framelane.sources import sinks
+
+    p, g = preds(spark, sf), gt(spark, sf)
+    folder = f"{session.shared_folder(spark).rstrip('/')}/evaluation-{uuid.uuid4().hex}"
+    curve = E.success_curve(E.matched(p, g, KEY), KEY)
+    sinks.write_evaluation(E.per_frame(p, g, KEY), curve, E.video_summary(p, g, KEY).select("video_id", "iou_mean", "ce_mean"), folder)
+    read = spark.read.option("header", True)
+    none = F.lit(None).cast("double")
+    frames = read.schema("video_id bigint, frame_index int, score double, iou double, ce double").csv(f"{folder}/frames")
+    curve = read.schema("video_id bigint, threshold double, success_rate double").csv(f"{folder}/success_curve")
+    summary = spark.read.schema("video_id bigint, iou_mean double, ce_mean double").json(f"{folder}/summary")
+    out = frames.select(F.lit("frame").alias("file"), "video_id", F.col("frame_index").cast("double").alias("at"), F.col("iou").alias("value"), F.col("ce").alias("other"))
+    out = out.unionByName(curve.select(F.lit("curve").alias("file"), "video_id", F.col("threshold").alias("at"), F.col("success_rate").alias("value"), none.alias("other")))
+    out = out.unionByName(summary.select(F.lit("summary").alias("file"), "video_id", none.alias("at"), F.col("iou_mean").alias("value"), F.col("ce_mean").alias("other")))
+    return pick(out, "file", "video_id", "at", "value", "other")

@@ -339,3 +339,24 @@ def _(spark, sf):
 
     families = {"geometry": ["f1"], "texture": ["f3"], "motion": ["f2"]}
     return pick(video_features(spark, sf), "video_id", *ablation_columns(families, "GM"))
+
+
+@query(
+    "ablation_groups",
+    "F27",
+    f"""{BASE}, {_VF}, m AS (SELECT video_id, coalesce(f1, 0) AS geometry, coalesce(f2, 0) AS motion, coalesce(f3, 0) AS texture FROM vf)
+    SELECT video_id, unnest(['G', 'D', 'M', 'GD', 'GM', 'DM']) AS name, unnest([1, 1, 1, 2, 2, 2]) AS columns,
+      round(unnest([geometry, texture, motion, geometry + texture, geometry + motion, texture + motion]), 6) AS total FROM m""",
+)
+def _(spark, sf):
+    """All six groups of feature families: how many columns each has, and their sum."""
+    from framelane.operators.modelling import GROUPS, ablation_columns
+
+    families = {"geometry": ["f1"], "texture": ["f3"], "motion": ["f2"]}
+    parts = []
+    for name in GROUPS:
+        used = ablation_columns(families, name)
+        total = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used[1:]), F.coalesce(F.col(used[0]).cast("double"), F.lit(0.0)))
+        parts.append(F.struct(F.lit(name).alias("name"), F.lit(len(used)).alias("columns"), total.alias("total")))
+    out = video_features(spark, sf).select("video_id", F.inline(F.array(*parts)))
+    return pick(out, *out.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framelane.operators import modelling as M
@@ -297,24 +298,113 @@ def _(spark, sf):
 
 @query("permutation_importance", "M15 M16")
 def _(spark, sf):
+    """Fitted on four fifths of the subjects, importances measured on the others."""
     df = cut(columns(spark, sf))
-    kept = M.correlation_keep(df, _COLS)
-    model = M.fit(M.vectorise(df, kept), "logistic_regression")
-    return M.restore_importances(M.permutation_importance(model, df, kept, "vec_id").drop("base_accuracy"), _COLS)
+    held = F.col("subject_id") % 5 == 0
+    train = cut(df.where(~held))
+    kept = M.correlation_keep(train, _COLS)
+    model = M.fit(M.vectorise(train, kept), "logistic_regression")
+    return M.restore_importances(M.permutation_importance(model, df.where(held), kept, "vec_id").drop("base_accuracy"), _COLS)
 
 
 @query("embedding_loso_benchmark", "M17")
 def _(spark, sf):
-    """Fold-wise PCA, standardisation, subject means and a balanced logistic model, one fold per subject."""
-    e = cut(emb(spark, sf).withColumn("label", (F.col("subject_id") % 2).cast("int")))
-    labels = e.select("subject_id", "label").distinct()
-    names = [f"e{i}" for i in range(4)]
-    out = None
-    for fold in [r["subject_id"] for r in labels.select("subject_id").orderBy("subject_id").collect()]:
-        held = F.col("subject_id") == fold
-        train, test = M.embedding_pipeline(e.where(~held), e.where(held), ["subject_id"], "embedding", 4)
-        model = M.fit(M.vectorise(S.labelled(train, labels), names), "logistic_regression", balanced=True)
-        part = M.positive_probability(model, M.vectorise(S.labelled(test, labels), names))
-        part = part.select("subject_id", "label", "prob", F.lit(fold).alias("fold"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Fold-wise PCA, standardisation, subject means and a balanced logistic model, all folds from one pass over the vectors."""
+    from framelane.operators import folds
+
+    e = emb(spark, sf).withColumn("label", (F.col("subject_id") % 2).cast("int"))
+    out = folds.embedding_leave_one_out(e, "subject_id", "label", "embedding", 4)
+    return out.select("subject_id", "label", "prob", F.col("subject_id").alias("fold"))
+
+
+_LOO = f"""{_CSQL}, s AS (SELECT *, vec_id % 25 AS subject_id, (label % 2)::DOUBLE AS y FROM c JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)),
+  l AS (SELECT subject_id, y, feature, v FROM (SELECT *, 1::DOUBLE AS bias FROM s) UNPIVOT (v FOR feature IN ({', '.join(_COLS)}, bias))),
+  o AS (SELECT subject_id, feature, sum(y * v) AS yv, count(*) AS n FROM l GROUP BY ALL),
+  a AS (SELECT feature, sum(yv) AS yv, sum(n) AS n FROM o GROUP BY feature)"""
+
+
+@query(
+    "leave_one_out_conditions",
+    "M8 M9 M14",
+    f"""WITH {_LOO} SELECT subject_id, feature, round((a.yv - o.yv) / (a.n - o.n), 6) AS matched FROM o JOIN a USING (feature)""",
+)
+def _(spark, sf):
+    """At the minimum of a fold's loss, fitted and given labels have the same mean product with every feature, penalty included."""
+    from framelane.operators import folds
+
+    df = cut(M.vectorise(columns(spark, sf), _COLS))
+    out = folds.fold_averages(df, folds.leave_one_out(df, "subject_id"), "subject_id")
+    name = F.element_at(F.array(*[F.lit(c) for c in (*_COLS, "bias")]), F.col("j") + 1)
+    return pick(out.select("subject_id", name.alias("feature"), "matched"), "subject_id", "feature", "matched")
+
+
+@query(
+    "embedding_fold_variance",
+    "M17 F18",
+    """WITH e AS (SELECT vec_id % 25 AS s, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),
+      o AS (SELECT s, i, sum(v) AS t, sum(v * v) AS q, count(*) AS n FROM e GROUP BY ALL), a AS (SELECT i, sum(t) AS t, sum(q) AS q, sum(n) AS n FROM o GROUP BY i)
+    SELECT s AS subject_id, CAST(any_value(s % 2) AS INTEGER) AS label, round(sum((a.q - o.q - (a.t - o.t) * (a.t - o.t) / (a.n - o.n)) / (a.n - o.n - 1)), 6) AS total FROM o JOIN a USING (i) GROUP BY s""",
+)
+def _(spark, sf):
+    """All variance of a fold's training vectors, of which its axes explain a part."""
+    from framelane.operators import folds
+
+    out = folds.embedding_leave_one_out(emb(spark, sf).withColumn("label", (F.col("subject_id") % 2).cast("int")), "subject_id", "label", "embedding", 4)
+    out = out.where((F.col("explained") > 0) & (F.col("explained") <= F.col("total")) & (F.col("prob").between(0, 1)))
+    return pick(out, "subject_id", "label", "total")
+
+
+@query(
+    "lda_conditions",
+    "F21",
+    """WITH e AS (SELECT vec_id, label % 2 AS y, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),
+      d AS (SELECT i, avg(v) FILTER (WHERE y = 1) - avg(v) FILTER (WHERE y = 0) AS d FROM e GROUP BY i)
+    SELECT i, round(d / sqrt(sum(d * d) OVER ()), 6) AS direction FROM d""",
+)
+def _(spark, sf):
+    """The pooled scatter takes the axis of two classes to the direction between their means."""
+    e = cut(emb(spark, sf))
+    axis = M.fit_lda(e, "embedding", "label", 1)[:, 0]
+    mean, cov, n = M.second_moments(e, "embedding")
+    means = {r["label"]: r["m"] for r in M.pool(e, ["label"], "embedding").select("label", F.col("embedding").alias("m")).collect()}
+    sizes = {r["label"]: r["count"] for r in e.groupBy("label").count().collect()}
+    between = sum(sizes[c] * np.outer(np.array(m) - mean, np.array(m) - mean) for c, m in means.items())
+    within = cov * (n - 1) - between
+    within += np.eye(len(mean)) * 1e-6 * max(1.0, np.trace(within) / len(mean))
+    to = within @ axis
+    to = to / np.linalg.norm(to) * np.sign(to @ (np.array(means[1]) - np.array(means[0])))
+    return pick(spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(to)], "i long, direction double"), "i", "direction")
+
+
+@query("channel_lda", "F21")
+def _(spark, sf):
+    """Two discriminant axes of eight channels, each series being a video's steps."""
+    e = emb(spark, sf).select("vec_id", "label", F.posexplode("embedding").alias("i", "value"))
+    series = e.select("vec_id", "label", F.floor(F.col("i") / 8).alias("step"), F.concat(F.lit("c"), (F.col("i") % 8).cast("string")).alias("channel"), "value")
+    m = cut(M.channel_matrix(series, ["vec_id", "label"], [f"c{i}" for i in range(8)]))
+    return M.project(m, "vector", M.fit_channel_lda(m, ["vec_id"], "vector", "label", 2)).select("vec_id", "label", "step", "vector")
+
+
+@query(
+    "stratified_subjects",
+    "M6",
+    f"""WITH {VID}, l AS (SELECT DISTINCT subject_id, CASE WHEN subject_id % 3 = 0 THEN 1 ELSE 0 END AS label FROM v), {ord_sql('o', 'l', 'subject_id', 5, 'label')},
+    t AS (SELECT *, least(greatest(1, round(n * 0.6::DOUBLE)), greatest(n - 1, 1)) AS nt FROM o)
+    SELECT subject_id, label, CASE WHEN pos0 < nt THEN 'train' WHEN pos0 < nt + least(round(n * 0.2::DOUBLE), greatest(n - nt - 1, 0)) THEN 'val' ELSE 'test' END AS role FROM t""",
+)
+def _(spark, sf):
+    v = videos(spark, sf).select("subject_id", F.when(F.col("subject_id") % 3 == 0, 1).otherwise(0).alias("label")).distinct()
+    return S.stratified_split(v, 5, 0.6, 0.2)
+
+
+@query(
+    "stratified_lone_class",
+    "M6",
+    f"""WITH {VID}, l AS (SELECT DISTINCT subject_id, CASE WHEN subject_id = 3 THEN 1 ELSE 0 END AS label FROM v), {ord_sql('o', 'l', 'subject_id', 5)},
+    t AS (SELECT *, greatest(1, round_even(n * 0.6::DOUBLE, 0)) AS nt FROM o)
+    SELECT subject_id, label, CASE WHEN pos0 < nt THEN 'train' WHEN pos0 < nt + least(round_even((n - nt) * 0.5::DOUBLE, 0), n - nt - 1) THEN 'val' ELSE 'test' END AS role FROM t""",
+)
+def _(spark, sf):
+    """A class of one subject cannot be split, so all are shuffled together."""
+    v = videos(spark, sf).select("subject_id", F.when(F.col("subject_id") == 3, 1).otherwise(0).alias("label")).distinct()
+    return S.stratified_split(v, 5, 0.6, 0.2)

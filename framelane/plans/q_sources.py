@@ -369,3 +369,45 @@ def _(spark, sf):
         part = part.select(F.lit(name).alias("op"), *FRAME)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    "prediction_files",
+    "S7",
+    f"WITH {PREDS} SELECT modality AS model, CAST(subject_id AS INTEGER) AS subject_id, CAST(video_id AS INTEGER) AS video_id, pos, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM preds",
+)
+def _(spark, sf):
+    """One folder per model, subject and video, every row read back with the folder's names."""
+    path = scratch(spark)
+    p = preds(spark, sf).select(F.col("modality").alias("model"), "subject_id", "video_id", "pos", *BOX)
+    sinks.write_predictions(p.repartition("subject_id", "video_id"), path)
+    back = spark.read.parquet(path).withColumns({c: F.col(c).cast("int") for c in ("subject_id", "video_id")})
+    return pick(back, "model", "subject_id", "video_id", "pos", *BOX)
+
+
+_STAGES = f"""WITH {PREDS}, v AS (SELECT DISTINCT video_id AS v FROM preds),
+  m AS (SELECT v, v % 10 = 9 AS broken, v % 4 <> 0 AS det, v % 3 <> 1 AS seg, v % 5 <> 0 AS clf FROM v)
+  SELECT 'e' || v AS name, CASE WHEN broken THEN 'BROKEN' WHEN v % 3 = 0 THEN 'FAILED' WHEN v % 3 = 1 THEN 'PARTIAL' ELSE 'OK' END AS status,
+    CASE WHEN NOT broken THEN 2 END::INTEGER AS n_stages,
+    round(CASE WHEN det AND NOT broken THEN ((v % 7) / 10.0::DOUBLE + (v % 5) / 10.0::DOUBLE) / 2 END, 6) AS det_iou_mean,
+    CASE WHEN det AND NOT broken AND v % 2 = 0 THEN 25.0::DOUBLE END AS det_fps,
+    round(CASE WHEN seg AND NOT broken THEN (v % 3) / 2.0::DOUBLE END, 6) AS seg_dice_mean,
+    round(CASE WHEN broken OR NOT clf THEN CASE WHEN v % 2 = 0 THEN 0.25::DOUBLE END ELSE (v % 6) / 8.0::DOUBLE END, 6) AS clf_accuracy,
+    CASE WHEN broken OR NOT clf THEN CASE WHEN v % 2 = 0 THEN 0.75::DOUBLE END ELSE 0.5::DOUBLE END AS clf_f1 FROM m"""
+
+
+@query("stage_summaries", "S6 A9", _STAGES)
+def _(spark, sf):
+    """Metadata whose stages differ in what they hold, some of it no JSON."""
+    v = preds(spark, sf).select(F.col("video_id").alias("v")).distinct()
+    third, half = F.col("v") % 3, F.when(F.col("v") % 2 == 0, F.lit("25")).otherwise(F.lit('"fast"'))
+    det = F.format_string('"detection":{"a":{"iou_mean":%s,"fps":%s},"b":{"iou_mean":%s}}', ((F.col("v") % 7) / 10.0).cast("string"), half, ((F.col("v") % 5) / 10.0).cast("string"))
+    seg = F.format_string('"segmentation":{"s":{"a":{"dice_mean":%s},"b":{"dice_mean":null}}}', (third / 2.0).cast("string"))
+    clf = F.format_string('"classification":{"accuracy":%s,"f1_positive":0.5}', ((F.col("v") % 6) / 8.0).cast("string"))
+    metrics = F.concat_ws(",", F.when(F.col("v") % 4 != 0, det), F.when(third != 1, seg), F.when(F.col("v") % 5 != 0, clf))
+    stages = F.format_string('"stages":[{"status":"ok"},{"status":"%s"}]', F.when(third == 0, "Failed").when(third == 1, "skipped").otherwise("done"))
+    text = F.when(F.col("v") % 10 == 9, F.lit("{not json")).otherwise(F.concat(F.lit("{"), stages, F.lit(',"metrics":{'), metrics, F.lit("}}")))
+    older = F.when(F.col("v") % 2 == 0, F.lit('{"accuracy":0.25,"f1":0.75}'))
+    docs = v.select(F.concat(F.lit("e"), F.col("v").cast("string")).alias("name"), text.alias("meta"), older.alias("older"))
+    out = readers.stage_summaries(docs, "meta", "older")
+    return pick(out, "name", "status", "n_stages", "det_iou_mean", "det_fps", "seg_dice_mean", "clf_accuracy", "clf_f1")

@@ -184,6 +184,63 @@ def read_experiments(spark: SparkSession, path: str, multiline: bool = True) ->
     )
 
 
+# What the summaries of the stages hold.
+DETECTION_FIELDS = ("success_rate_50", "success_rate_75", "success_auc", "fps", "iou_mean", "ce_mean")
+SEGMENTATION_FIELDS = ("dice_mean", "iou_mean", "centroid_mean", "fps_mean")
+CLASSIFICATION_FIELDS = {"accuracy": (), "f1": ("f1_positive",), "precision": ("precision_positive",), "recall": ("recall_positive",), "balanced_accuracy": ()}
+
+
+def _number(v: Column) -> Column:
+    """A JSON number as double; anything else, also a number in quotes, is null."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+
+
+def _mean(numbers: Column) -> Column:
+    kept = F.filter(numbers, lambda x: x.isNotNull())
+    return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept))
+
+
+def _mean_of(parts: str, name: str) -> Column:
+    return _mean(F.transform(parts, lambda x: _number(F.try_variant_get(x, f"$.{name}", "variant"))))
+
+
+def stage_summaries(docs: DataFrame, metadata: str, classification: str | None = None) -> DataFrame:
+    """One row per experiment: means over the trackers, and the segmenters of each tracker, of its metadata text.
+
+    Adds ``status`` (BROKEN for text that is no JSON object), ``n_stages``, ``det_*``, ``seg_*`` and ``clf_*``. Stages differ in
+    what they hold, so they are read as variants: a part that is absent or of another kind gives nulls. Where the
+    metadata has no classification metrics, those of the text ``classification`` stand in.
+    """
+    meta = F.try_parse_json(F.col(metadata))
+    rows = docs.withColumn("_m", F.when(F.schema_of_variant(meta).startswith("OBJECT"), meta))
+
+    def part(path: str, kind: str = "map<string,variant>") -> Column:
+        return F.try_variant_get("_m", path, kind)
+
+    status = F.transform(F.coalesce(part("$.stages", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.lower(F.coalesce(F.try_variant_get(x, "$.status", "string"), F.lit("unknown"))))
+    detection = F.map_values(F.coalesce(part("$.metrics.detection"), F.create_map().cast("map<string,variant>")))
+    segmentation = F.flatten(
+        F.transform(
+            F.map_values(F.coalesce(part("$.metrics.segmentation"), F.create_map().cast("map<string,variant>"))),
+            lambda x: F.map_values(F.coalesce(F.try_variant_get(x, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))),
+        )
+    )
+    own = part("$.metrics.classification")
+    own = F.when(F.size(own) > 0, own)
+    if classification:
+        own = F.coalesce(own, F.try_variant_get(F.try_parse_json(F.col(classification)), "$", "map<string,variant>"))
+    rows = rows.withColumns({"_s": status, "_det": detection, "_seg": segmentation, "_clf": own})
+    made = {
+        "status": F.when(F.col("_m").isNull(), "BROKEN").when(F.array_contains("_s", "failed"), "FAILED").when(F.array_contains("_s", "skipped"), "PARTIAL").otherwise("OK"),
+        "n_stages": F.when(F.col("_m").isNotNull(), F.size("_s")),
+    }
+    made |= {f"det_{n}": _mean_of("_det", n) for n in DETECTION_FIELDS}
+    made |= {f"seg_{n}": _mean_of("_seg", n) for n in SEGMENTATION_FIELDS}
+    made |= {f"clf_{n}": F.coalesce(*[_number(F.col("_clf")[k]) for k in (n, *more)]) for n, more in CLASSIFICATION_FIELDS.items()}
+    return rows.withColumns(made).select(*docs.columns, *made)
+
+
 def roi_trace(df: DataFrame, key: Sequence[str], trace: str = "trace") -> DataFrame:
     """A map of frame -> {bbox, bbox_source, is_fallback} to rows; keys that are no frame numbers are skipped."""
     rows = df.select(*key, F.explode(F.map_entries(trace)).alias("e"))

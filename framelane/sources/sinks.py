@@ -83,6 +83,13 @@ def _safe(c: Column, kind) -> Column:
     return c
 
 
+def write_evaluation(frames: DataFrame, curve: DataFrame, summary: DataFrame, folder: str) -> None:
+    """Per-frame IoU and centre error and the success curve as csv, the summary as JSON without NaN, one folder each."""
+    write_csv(frames, f"{folder}/frames")
+    write_csv(curve, f"{folder}/success_curve")
+    write_json(summary, f"{folder}/summary")
+
+
 def write_predictions(df: DataFrame, path: str, by: Sequence[str] = ("model", "subject_id", "video_id")) -> None:
     """One folder per model, subject and video. Rows of a video may fill several files, so a long one is no bottleneck."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
