@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framelane import session
 from framelane.llm.common import bounded_batches
-from framelane.llm.html_tree import Page, Shapes, align, parse
+from framelane.llm.html_tree import Node, Page, Shapes, align, parse
 
 #: A node is template if its text, and a slot if its place, is the same on this share of a layout's titles, and on this many of them.
 TEMPLATE_SHARE = 0.6
@@ -116,8 +116,8 @@ def content(page: Page, template: set[int], slots: set[int] = frozenset()) -> li
     return [t for k, t, linked in keep if inside[k] or 2 * linked <= len(t) or nodes[k].tag in HEADINGS]
 
 
-def observe(page: Page, ref: Page, pairs: list[tuple[int, int]]) -> list[tuple[int, bool, int, int, bool]]:
-    """(reference node, same text, characters, linked characters, holds the title) of every aligned node.
+def observe(page: Page, ref: Page, pairs: list[tuple[int, int]]) -> list[tuple[int, int, bool, int, int, bool]]:
+    """(reference node, node, same text, characters, linked characters, holds the title) of every aligned node.
 
     Text of nodes that nothing is aligned with counts for the nearest ancestor that is.
     """
@@ -133,7 +133,7 @@ def observe(page: Page, ref: Page, pairs: list[tuple[int, int]]) -> list[tuple[i
         if text == title and page.nodes[k].tag != "title":
             titled.add(r)
     return [
-        (r, bool(ref.nodes[r].text) and ref.nodes[r].text == page.nodes[k].text, chars.get(r, 0), linked.get(r, 0), r in titled) for r, k in pairs
+        (r, k, bool(ref.nodes[r].text) and ref.nodes[r].text == page.nodes[k].text, chars.get(r, 0), linked.get(r, 0), r in titled) for r, k in pairs
     ]
 
 
@@ -186,20 +186,51 @@ def wrapper(ref: Page, found: dict[int, tuple[int, int, int, int, int]], titles:
     return constant, slots
 
 
-def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(layout, title, what the page shows of each node of the reference)."""
-    fields = (("node", pa.int32()), ("same", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64()), ("titled", pa.bool_()))
+#: What a page keeps for its second reading: elements that content asks for by name, and the judgements of a node as bits.
+_ASKED = ("article", "main", "html", "body", *sorted(HEADINGS))
+_SEEN = (("node", pa.int32()), ("k", pa.int32()), ("same", pa.bool_()), ("chars", pa.int64()), ("linked", pa.int64()), ("titled", pa.bool_()))
+_READ = (
+    "title string, parents array<int>, marks array<int>, at array<int>, texts array<string>, links array<int>, "
+    "seen array<struct<node:int,k:int,same:boolean,chars:bigint,linked:bigint,titled:boolean>>"
+)
+
+
+def packed(page: Page) -> tuple[list[int], list[int], list[int], list[str], list[int]]:
+    """Parents and marks of the nodes; node, text and linked characters of the segments."""
+    number = {t: i + 1 for i, t in enumerate(_ASKED)}
+    marks = [number.get(x.tag, 0) << 4 | x.bad | x.named << 1 | x.outer << 2 | x.outer_named << 3 for x in page.nodes]
+    at, texts, links = zip(*page.segments) if page.segments else ((), (), ())
+    return [x.parent for x in page.nodes], marks, list(at), list(texts), list(links)
+
+
+def unpacked(parents: list[int], marks: list[int], at: list[int], texts: list[str], links: list[int]) -> Page:
+    tags = ("", *_ASKED)
+    nodes = [Node(tags[m >> 4], "", p, bool(m & 1), bool(m & 2), bool(m & 4), bool(m & 8)) for p, m in zip(parents, marks)]
+    for k in range(1, len(nodes)):
+        nodes[parents[k]].children.append(k)
+    return Page(nodes, list(zip(at, texts, links)))
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page parsed and aligned once: what its nodes show of the reference, and what its text is chosen from."""
+    ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
     for b in batches:
-        titles, seen, ends = [], [], [0]
-        for source, reference in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+        rows, seen, ends = [], [], [0]
+        for source, reference in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
             page = parse(source)
-            ref, pairs = aligned(page, reference)
-            titles.append(title_of(page))
-            seen += observe(page, ref, pairs)
+            rows.append((title_of(page), *packed(page)))
+            if reference is not None:
+                ref, pairs = aligned(page, reference)
+                seen += observe(page, ref, pairs)
             ends.append(len(seen))
-        columns = zip(*seen) if seen else [()] * len(fields)
-        rows = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(titles, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["layout", "title", "seen"])
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        shown = zip(*seen) if seen else [()] * len(_SEEN)
+        structs = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(shown, _SEEN)], [f for f, _ in _SEEN])
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(k) for k in range(4)], *[pa.array(c, k) for c, k in zip(columns, (pa.string(), ints, ints, ints, strings, ints))],
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)],
+            names=["id", "url", "layout", "votes", "title", "parents", "marks", "at", "texts", "links", "seen"],
+        )
 
 
 def _wrapper_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,36 +239,35 @@ def _wrapper_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for layout, reference, titles, found in zip(*[c.to_pylist() for c in b.columns]):
             constant, slots = wrapper(parse(reference), {x["node"]: (x["titles"], x["same"], x["chars"], x["linked"], x["titled"]) for x in found}, titles)
             if constant or slots:
-                rows.append((layout, reference, constant, slots))
-        kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        columns = zip(*rows) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["layout", "reference", "constant", "slots"])
+                rows.append((layout, constant, slots))
+        kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        columns = zip(*rows) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["layout", "constant", "slots"])
 
 
-def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _content_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for source, reference, constant, slots in zip(*[b.column(k).to_pylist() for k in (2, 3, 4, 5)]):
-            page, template, closed = parse(source), set(), set()
-            if reference is not None:
-                ref, pairs = aligned(page, reference)
+        for parents, marks, at, parts, links, seen, constant, slots in zip(*[b.column(k).to_pylist() for k in range(2, 10)]):
+            template, closed = set(), set()
+            if constant is not None:
                 constant, slots = set(constant), set(slots)
-                template = {k for r, k in pairs if r in constant and ref.nodes[r].text == page.nodes[k].text}
-                closed = {k for r, k in pairs if r in slots}
-            texts.append("\n\n".join(content(page, template, closed)))
+                template = {x["k"] for x in seen if x["same"] and x["node"] in constant}
+                closed = {x["k"] for x in seen if x["node"] in slots}
+            texts.append("\n\n".join(content(unpacked(parents, marks, at, parts, links), template, closed)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
-def _with_wrapper(pages: DataFrame, wrappers: DataFrame, size: int, how: str) -> DataFrame:
+def _with_layout(pages: DataFrame, table: DataFrame, size: int) -> DataFrame:
     """Pages next to the row of their layout: by broadcast if its size is known to be small, else by layout and salt."""
     if size <= BROADCAST_BYTES:
-        return pages.join(F.broadcast(wrappers), "layout", how)
-    salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["layout", "salt"], how).drop("salt")
+        return pages.join(F.broadcast(table), "layout", "left")
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["layout", "salt"], "left").drop("salt")
 
 
-def _size(table: DataFrame) -> int:
-    return table.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("layout") + F.lit(64)), F.lit(0))).first()[0]
+def _size(table: DataFrame, numbers: Column) -> int:
+    return table.agg(F.coalesce(F.sum(numbers + F.octet_length("layout") + F.lit(64)), F.lit(0))).first()[0]
 
 
 def layout_of(host: Column, source: Column) -> Column:
@@ -246,21 +276,27 @@ def layout_of(host: Column, source: Column) -> Column:
     return F.when(host != "", F.concat_ws(" ", host, F.array_join(F.array_sort(F.array_distinct(sections)), " ")))
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """``pages(id, host, layout, source)`` to (layout, reference, constant, slots).
+def references(pages: DataFrame) -> DataFrame:
+    """``pages(id, host, layout, source)`` to (layout, owner, votes, reference): whose reference page a layout is read with.
 
-    The reference of a layout is its page with the smallest id. Every page of the layout is
-    aligned with it by simple tree matching, and what its nodes show is added up over titles
-    (copies of one page share their title, so they do not make an article a template);
-    :func:`wrapper` decides from the sums. Layouts with fewer than TEMPLATE_TITLES pages take
-    the wrapper of their host's largest one.
+    The reference of a layout is its page with the smallest id; layouts with fewer than
+    TEMPLATE_TITLES pages are read with that of their host's largest one, without a vote.
     """
     refs = pages.where("layout is not null").groupBy("host", "layout").agg(F.min_by("source", "id").alias("reference"), F.count("*").alias("n"))
     refs = session.cut(refs)
     large = refs.where(f"n >= {TEMPLATE_TITLES} and reference is not null")
-    table = large.select("layout", "reference")
-    pairs = _with_wrapper(pages.select("id", "layout", "source"), table, _size(table), "inner").select("layout", "source", "reference")
-    rows = session.cut(pairs.mapInArrow(_compare_batches, "layout string, title string, seen array<struct<node:int,same:boolean,chars:long,linked:long,titled:boolean>>"))
+    best = large.groupBy("host").agg(F.max_by(F.struct("layout", "reference"), F.struct("n", "layout")).alias("best"))
+    lent = refs.where(f"n < {TEMPLATE_TITLES}").join(best, "host").select("layout", F.col("best.layout").alias("owner"), F.lit(False).alias("votes"), F.col("best.reference").alias("reference"))
+    return session.cut(large.select("layout", F.col("layout").alias("owner"), F.lit(True).alias("votes"), "reference").unionByName(lent))
+
+
+def induce(read: DataFrame, table: DataFrame) -> DataFrame:
+    """Pages read with their references to (layout, constant, slots) of every owner of a reference.
+
+    What nodes show is added up over titles (copies of one page share their title, so they
+    do not make an article a template); :func:`wrapper` decides from the sums.
+    """
+    rows = read.where("votes").select("layout", "title", "seen")
     titles = rows.select("layout", "title").distinct().groupBy("layout").agg(F.count("*").alias("titles"))
     once = rows.select("layout", "title", F.inline("seen")).groupBy("layout", "title", "node").agg(
         F.max("same").alias("same"), F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("titled").alias("titled")
@@ -269,17 +305,15 @@ def induce(pages: DataFrame) -> DataFrame:
         F.count("*").alias("titles"), F.count_if("same").alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.count_if("titled").alias("titled")
     )
     found = nodes.groupBy("layout").agg(F.collect_list(F.struct("node", "titles", "same", "chars", "linked", "titled")).alias("found"))
-    known = table.join(titles.where(f"titles >= {TEMPLATE_TITLES}"), "layout").join(found, "layout").select("layout", "reference", "titles", "found")
-    wrappers = session.cut(known.mapInArrow(_wrapper_batches, "layout string, reference string, constant array<int>, slots array<int>"))
-    best = large.groupBy("host").agg(F.max_by("layout", F.struct("n", "layout")).alias("best"))
-    other = refs.where(f"n < {TEMPLATE_TITLES}").join(best, "host").select(F.col("layout").alias("own"), F.col("best").alias("layout"))
-    lent = other.join(wrappers, "layout").select(F.col("own").alias("layout"), "reference", "constant", "slots")
-    return session.cut(wrappers.unionByName(lent))
+    known = table.where("votes").join(titles.where(f"titles >= {TEMPLATE_TITLES}"), "layout").join(found, "layout").select("layout", "reference", "titles", "found")
+    return session.cut(known.mapInArrow(_wrapper_batches, "layout string, constant array<int>, slots array<int>"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """key, url, text for every row: blocks of the main text in page order, joined by an empty line.
 
+    Every page is parsed and aligned with its layout's reference once, and kept as blocks; when
+    the wrappers are induced from what all pages show, the text is chosen from these.
     Null or empty html, and pages of template only, give the empty text. Pages without a
     host (null or odd url), and hosts with fewer than TEMPLATE_TITLES titles, are judged by
     their own markup alone. Repeated rows repeat their answer; a null key never names a
@@ -289,11 +323,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).alias("source"), host.alias("host"))
     rows = rows.withColumn("layout", layout_of(F.col("host"), F.col("source")))
-    wrappers = induce(rows.select("id", "host", "layout", "source"))
+    table = references(rows.select("id", "host", "layout", "source"))
     own = pages.schema[key].dataType.simpleString()
-    out = _with_wrapper(rows, wrappers, _size(wrappers), "left").select("id", "url", "source", "reference", "constant", "slots").mapInArrow(
-        _extract_batches, f"id {own}, url string, text string"
-    )
+    read = _with_layout(rows.select("id", "url", "layout", "source"), table, _size(table, F.octet_length("reference")))
+    read = read.select("id", "url", F.col("owner").alias("layout"), "votes", "source", "reference")
+    read = session.cut(read.mapInArrow(_read_batches, f"id {own}, url string, layout string, votes boolean, {_READ}"))
+    wrappers = induce(read, table)
+    out = _with_layout(read, wrappers, _size(wrappers, 4 * F.size("constant") + 4 * F.size("slots")))
+    out = out.select("id", "url", "parents", "marks", "at", "texts", "links", "seen", "constant", "slots").mapInArrow(_content_batches, f"id {own}, url string, text string")
     return out.withColumnRenamed("id", key)
 
 

@@ -350,6 +350,8 @@ class Shapes:
         return row
 
     def _table(self, x: np.ndarray, y: np.ndarray) -> Generator:
+        if len(x) * len(y) <= FEW:
+            return (yield from self._small_table(x.tolist(), y.tolist()))
         ux, ix = np.unique(x, return_inverse=True)
         uy, iy = np.unique(y, return_inverse=True)
         weight = np.zeros((len(ux), len(uy)), np.int64)
@@ -360,6 +362,19 @@ class Shapes:
             out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + weight[ix[i], iy]))
         return out
 
+    def _small_table(self, x: list[int], y: list[int]) -> Generator:
+        rows, above = [[0] * (len(y) + 1)], [0] * (len(y) + 1)
+        for p in x:
+            row = [0]
+            for j, q in enumerate(y):
+                found = self.known(p, q)
+                if found is None:
+                    found = yield p, q
+                row.append(max(above[j + 1], row[j], above[j] + found))
+            rows.append(row)
+            above = row
+        return np.array(rows)
+
     def _last_row(self, x: np.ndarray, y: np.ndarray) -> Generator:
         uy, iy = np.unique(y, return_inverse=True)
         rows: dict[int, np.ndarray] = {}
@@ -378,6 +393,8 @@ class Shapes:
 
 #: Lists of children are aligned by one table up to this length (squared, in cells), longer ones are halved first.
 PIECE = 1500
+#: Tables of at most so many cells are filled cell by cell.
+FEW = 256
 #: Matches of two shapes that are remembered while long lists are aligned.
 MEMORY = 1 << 21
 
