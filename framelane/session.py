@@ -68,7 +68,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from there.
 
     Used where a result feeds several branches: the branches then read the
@@ -76,7 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     a lost executor costs a re-read, not the whole lineage.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/framelane-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
