@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framelane.functions import geometry as G
 from framelane.operators.frames import run_bounds, top_k
 from framelane.operators.ordered import first_known, row_position, scan
-from framelane.operators.ranked import percentiles
+from framelane.operators.ranked import percentiles_of
 from framelane.session import cut
 
 # Weights and shape parameters of the confidence blend.
@@ -189,9 +189,8 @@ def summarise(
         F.coalesce(F.max(F.col("run_last") - F.col("run_first") + 1), F.lit(0)).cast("long").alias("longest_low_streak")
     )
     out = base.join(streak, list(key))
-    out = out.join(percentiles(frames, key, "confidence", {"confidence_p10": 0.1, "confidence_p05": 0.05}), list(key))
-    out = out.join(percentiles(frames, key, "drift_pixels", {"drift_pixels_p95": 0.95}), list(key), "left")
-    return out.join(percentiles(frames, key, "score", {"raw_score_p10": 0.1}), list(key), "left")
+    spread = {"confidence": {"confidence_p10": 0.1, "confidence_p05": 0.05}, "drift_pixels": {"drift_pixels_p95": 0.95}, "score": {"raw_score_p10": 0.1}}
+    return out.join(percentiles_of(frames, key, spread), list(key), "left")
 
 
 def worst_frames(frames: DataFrame, key: Sequence[str], k: int, order: str = "frame_index") -> DataFrame:

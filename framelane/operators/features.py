@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
 from framelane.operators.ordered import neighbours, previous_known, row_position, scan, total
-from framelane.operators.ranked import percentiles
+from framelane.operators.ranked import percentiles, percentiles_of
 from framelane.session import cut
 
 FRAME = "frame_index"
@@ -139,9 +139,7 @@ def _usable(c: Column) -> Column:
 
 def from_median(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Add ``radius``: distance of each centre from the median position of its trajectory."""
-    rows = df
-    for c in ("cx", "cy"):
-        rows = rows.join(percentiles(df, key, c, {f"_med_{c}": 0.5}), list(key))
+    rows = df.join(percentiles_of(df, key, {c: {f"_med_{c}": 0.5} for c in ("cx", "cy")}), list(key))
     r = F.hypot(F.col("cx") - F.col("_med_cx"), F.col("cy") - F.col("_med_cy"))
     return rows.withColumn("radius", r).drop("_med_cx", "_med_cy")
 
@@ -358,8 +356,10 @@ def static_extra(df: DataFrame, key: Sequence[str]) -> DataFrame:
         mean0(F.col("turn")).alias("cts_mean_angular_change"),
         F.when(path > TINY, net / (path + TINY)).otherwise(0.0).alias("cts_path_efficiency"),
     )
-    for c, n, cnt in (("_csa", "csa", "_na"), ("_circ", "circ", "_na"), ("_eq", "eq_diam", "_na"), ("_flat", "flat", "_nf")):
-        out = out.join(percentiles(rows, key, c, {f"cts_{n}_q25": 0.25, f"cts_{n}_q75": 0.75}), list(key), "left")
+    shapes = (("_csa", "csa", "_na"), ("_circ", "circ", "_na"), ("_eq", "eq_diam", "_na"), ("_flat", "flat", "_nf"))
+    quartiles = percentiles_of(rows, key, {c: {f"cts_{n}_q25": 0.25, f"cts_{n}_q75": 0.75} for c, n, _ in shapes})
+    out = out.join(quartiles, list(key), "left")
+    for _, n, cnt in shapes:
         ok = F.col(cnt) >= 2
         out = out.withColumns({f"cts_{n}_{q}": F.when(ok, F.col(f"cts_{n}_{q}")).otherwise(0.0) for q in ("q25", "q75")})
         out = out.withColumn(f"cts_{n}_iqr", F.col(f"cts_{n}_q75") - F.col(f"cts_{n}_q25"))

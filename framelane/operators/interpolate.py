@@ -177,7 +177,8 @@ def fill_gaps(
     clean = dedup.detector_first(preds, [*key, "frame_index"])
     if "bbox_source" not in clean.columns:
         clean = clean.withColumn("bbox_source", F.lit("detector"))
-    kept = clean.select(*key, "frame_index", *BOX, "score", "is_fallback", "bbox_source")
+    # knots, their neighbours and the result all read this one table
+    kept = cut(clean.select(*key, "frame_index", *BOX, "score", "is_fallback", "bbox_source"))
     p = F.col("piece")
     gap = p["t1"] - p["t0"]
     new = pieces(kept, key, BOX, kind=kind).where((gap > 1) & (gap <= limit))

@@ -85,3 +85,13 @@ def percentiles(df: DataFrame, key: Sequence[str], value: str, probs: dict[str,
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return out.select(*key, *cols)
+
+
+def percentiles_of(df: DataFrame, key: Sequence[str], wanted: dict[str, dict[str, float]], ranges: int | None = None) -> DataFrame:
+    """Percentiles of several columns (column -> name -> share) in one pass: columns become rows, names become columns again."""
+    shares = {p: f"_p{i}" for i, p in enumerate(sorted({p for probs in wanted.values() for p in probs.values()}))}
+    long = df.select(*key, *[F.col(c).cast("double").alias(c) for c in wanted]).unpivot(list(key), list(wanted), "_name", "_v")
+    got = percentiles(long, [*key, "_name"], "_v", {name: p for p, name in shares.items()}, ranges)
+    return got.groupBy(*key).agg(
+        *[F.max(F.when(F.col("_name") == c, F.col(shares[p]))).alias(name) for c, probs in wanted.items() for name, p in probs.items()]
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framelane.functions import geometry as G
 from framelane.operators.interpolate import at, fill, pieces
 from framelane.operators.ordered import BLOCK, SPAN, neighbours, scan, total
-from framelane.operators.ranked import percentiles
+from framelane.operators.ranked import percentiles_of
 from framelane.operators.smooth import savgol, two_scale_hampel
 from framelane.session import cut
 
@@ -76,7 +76,7 @@ def timeline(
 def derived_channels(full: DataFrame, key: Sequence[str]) -> DataFrame:
     """Sixteen channels: centre as displacement from its median, plus acceleration, heading, area change, radius, bend."""
     full = cut(full)
-    med = percentiles(full, key, "cx", {"_mx": 0.5}).join(percentiles(full, key, "cy", {"_my": 0.5}), list(key))
+    med = percentiles_of(full, key, {"cx": {"_mx": 0.5}, "cy": {"_my": 0.5}})
     rows = neighbours(full, key, FRAME, ["cx", "cy", "speed", "box_area"], back=2).join(med, list(key))
     vx, vy = F.col("cx") - F.col("cx_lag1"), F.col("cy") - F.col("cy_lag1")
     ux, uy = F.col("cx_lag1") - F.col("cx_lag2"), F.col("cy_lag1") - F.col("cy_lag2")

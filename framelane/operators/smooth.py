@@ -15,7 +15,7 @@ from framelane.operators.dedup import first_per_frame
 from framelane.operators.frames import drop_long_runs
 from framelane.operators.interpolate import at, fill_nulls, pieces
 from framelane.operators.ordered import BLOCK, SPAN, halo, neighbours, previous_known, row_position, scan, total
-from framelane.operators.ranked import percentiles
+from framelane.operators.ranked import percentiles_of
 from framelane.session import cut
 
 FRAME = "frame_index"
@@ -318,10 +318,7 @@ def size_independent(df, key, seen=None, skip_hampel=False, window=7, polyorder=
 
 def size_fixed(df, key, seen=None, percentile=95.0, **_):
     """Every box of a trajectory gets the given percentile of its widths and heights."""
-    out = df
-    for c in SIZE:
-        q = percentiles(df, key, c, {f"_q_{c}": percentile / 100.0})
-        out = out.join(q, list(key))
+    out = df.join(percentiles_of(df, key, {c: {f"_q_{c}": percentile / 100.0} for c in SIZE}), list(key))
     return out.select(
         *[F.greatest(F.col(f"_q_{c}"), F.lit(1.0)).alias(c) if c in SIZE else F.col(c) for c in df.columns]
     )

@@ -9,7 +9,7 @@ from framelane.operators import features as X
 from framelane.operators import smooth as S
 from framelane.plans.fixtures import FIRST, KEY, PREDS, preds, shapes
 from framelane.plans.q_smooth import CEN, center_sql
-from framelane.plans.registry import TIE, pick, query
+from framelane.plans.registry import ORACLES, TIE, pick, query
 from framelane.session import cut
 
 FRAME = ["video_id", "frame_index"]
@@ -121,10 +121,10 @@ def _(spark, sf):
     return pick(out, *out.columns)
 
 
-_STATIC = f"""{z('avg(a)', 'csa_mean')}, {z('stddev_pop(a)', 'csa_std')}, {z('(max(a) - min(a)) / min_by(a, frame_index) FILTER (WHERE a IS NOT NULL)', 'csa_strain')},
-  {z('max(a) / min_by(a, frame_index) FILTER (WHERE a IS NOT NULL)', 'swelling_ratio')}, {z('avg(eq_diam)', 'eq_diam_mean')},
-  {z('(max(eq_diam) - min(eq_diam)) / min_by(eq_diam, frame_index) FILTER (WHERE a IS NOT NULL)', 'eq_diam_strain')}, {z('avg(circ)', 'circularity_mean')},
-  {z('stddev_pop(circ)', 'circularity_std')}, {z('avg(flat)', 'aspect_ratio_mean')}, {z('stddev_pop(flat)', 'aspect_ratio_std')}"""
+_STATIC = f"""{zt('avg(a)', 'csa_mean')}, {zt('stddev_pop(a)', 'csa_std')}, {zt('(max(a) - min(a)) / min_by(a, frame_index) FILTER (WHERE a IS NOT NULL)', 'csa_strain')},
+  {zt('max(a) / min_by(a, frame_index) FILTER (WHERE a IS NOT NULL)', 'swelling_ratio')}, {zt('avg(eq_diam)', 'eq_diam_mean')},
+  {zt('(max(eq_diam) - min(eq_diam)) / min_by(eq_diam, frame_index) FILTER (WHERE a IS NOT NULL)', 'eq_diam_strain')}, {zt('avg(circ)', 'circularity_mean')},
+  {zt('stddev_pop(circ)', 'circularity_std')}, {zt('avg(flat)', 'aspect_ratio_mean')}, {zt('stddev_pop(flat)', 'aspect_ratio_std')}"""
 
 
 @query(
@@ -134,7 +134,7 @@ _STATIC = f"""{z('avg(a)', 'csa_mean')}, {z('stddev_pop(a)', 'csa_std')}, {z('(m
 )
 def _(spark, sf):
     out = X.static_lite(rows(spark, sf), KEY)
-    return pick(out, *out.columns)
+    return pick(out, *out.columns, tie=TIE)
 
 
 @query(
@@ -360,3 +360,52 @@ def _(spark, sf):
         parts.append(F.struct(F.lit(name).alias("name"), F.lit(len(used)).alias("columns"), total.alias("total")))
     out = video_features(spark, sf).select("video_id", F.inline(F.array(*parts)))
     return pick(out, *out.columns)
+
+
+def _smoothed(name: str) -> str:
+    """SQL of a motion query over smoothed centres, to four places."""
+    sm = f"{CEN}, {center_sql('ce', 'cn')}, sm AS (SELECT sc.* EXCLUDE (cx, cy), ce.cx, ce.cy FROM ce JOIN sc USING (video_id, frame_index))"
+    sql = ORACLES[name].replace(f"{BASE}, {steps_sql('sc')}", f"{BASE}, {sm}, {steps_sql('sm')}").replace("AS t FROM sc)", "AS t FROM sm)")
+    return f"SELECT video_id, round(COLUMNS(* EXCLUDE video_id) + 3e-6, 4) FROM ({sql})"
+
+
+def four(df):
+    out = pick(df, *df.columns)
+    kinds = dict(out.dtypes)
+    return out.select(*[F.round(F.col(c) + 3e-6, 4).alias(c) if kinds[c] == "double" else F.col(c) for c in out.columns])
+
+
+def smoothed_rows(spark, sf):
+    """Rows whose centres went through outlier filter, gap filling and smoothing."""
+    return cut(S.smooth_center(rows(spark, sf), KEY))
+
+
+@query("motion_lite_smoothed", "F3 T12", _smoothed("motion_lite_features"))
+def _(spark, sf):
+    return four(X.motion_lite(smoothed_rows(spark, sf), KEY))
+
+
+@query("motion_curve_smoothed", "F5 T12 P24", _smoothed("motion_curve_features"))
+def _(spark, sf):
+    return four(X.motion_curve(smoothed_rows(spark, sf), KEY))
+
+
+_ECHO = ", ".join(
+    f"round(coalesce({f}({c}, frame_index) FILTER (WHERE {c} IS NOT NULL), 0), 6) AS cts_echo_{c}_{n}" for n, f in (("first", "min_by"), ("last", "max_by")) for c in ("mean", "std")
+)
+
+
+@query(
+    "static_features_echo",
+    "F8",
+    f"""{BASE}, e AS (SELECT video_id, frame_index, CASE WHEN pos % 3 > 0 THEN (pos % 17) * 1.5::DOUBLE END AS mean, CASE WHEN pos % 4 > 0 THEN (pos % 5) * 0.5::DOUBLE END AS std FROM pf),
+    f AS (SELECT video_id, {_ECHO} FROM e GROUP BY video_id) SELECT *, round(cts_echo_mean_last - cts_echo_mean_first, 6) AS cts_echo_delta FROM f""",
+)
+def _(spark, sf):
+    """Echo intensities of the mask at the first and last frame that have them."""
+    pos = F.col("pos")
+    signal = D.first_per_frame(preds(spark, sf), FRAME).select(
+        *FRAME, F.when(pos % 3 > 0, (pos % 17) * 1.5).alias("echo_mean"), F.when(pos % 4 > 0, (pos % 5) * 0.5).alias("echo_std")
+    )
+    out = X.static(rows(spark, sf).join(signal, FRAME), KEY)
+    return pick(out, "video_id", *[c for c in out.columns if c.startswith("cts_echo_")])

@@ -222,10 +222,47 @@ def _(spark, sf):
     return pick(out, *out.columns)
 
 
-@query("pca_embeddings", "F18")
+def pca_sql(base: str, k: int, steps: int = 14) -> str:
+    """CTEs a0 .. a(k-1): principal axes (i, v) of e(id, i, v), by squaring the covariance matrix again and again.
+
+    ``steps`` squarings leave the leading axis alone, which is then taken out of the matrix. Each
+    axis points to where its largest loading is positive.
+    """
+    out = [
+        base, "mu AS (SELECT i, avg(v) AS m FROM e GROUP BY i)", "z AS (SELECT id, i, v - m AS v FROM e JOIN mu USING (i))",
+        "nn AS (SELECT count(DISTINCT id) - 1 AS n FROM e)",
+        "m0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / any_value(n) AS v FROM z a JOIN z b USING (id), nn GROUP BY a.i, b.i)",
+    ]
+    for c in range(k):
+        out.append(f"p{c}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM m{c} WHERE i = j) AS v FROM m{c})")
+        for s in range(steps):
+            out.append(f"q{c}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{c}_{s} a JOIN p{c}_{s} b ON a.j = b.i GROUP BY a.i, b.j)")
+            out.append(f"p{c}_{s + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{c}_{s} WHERE i = j) AS v FROM q{c}_{s})")
+        f = f"p{c}_{steps}"
+        out.append(f"a{c} AS MATERIALIZED (SELECT f.i, f.v / sqrt(t.v) AS v FROM {f} f JOIN (SELECT j, v FROM {f} WHERE i = j ORDER BY v DESC, j LIMIT 1) t ON f.j = t.j)")
+        out.append(f"l{c} AS (SELECT sum(m.v * f.v) AS l FROM m{c} m JOIN {f} f ON m.i = f.j AND m.j = f.i)")
+        if c < k - 1:
+            out.append(f"m{c + 1} AS MATERIALIZED (SELECT m.i, m.j, m.v - l * f.v AS v FROM m{c} m JOIN {f} f USING (i, j), l{c})")
+    return ", ".join(out)
+
+
+def _scores(k: int) -> str:
+    return ", ".join(f"round(sum(z.v * a{c}.v), 6) AS p{c}" for c in range(k)) + " FROM z " + " ".join(f"JOIN a{c} USING (i)" for c in range(k))
+
+
+def parts(df, name: str, k: int, *keep: str):
+    out = df.select(*keep, *[F.col(name)[j].alias(f"p{j}") for j in range(k)])
+    return pick(out, *out.columns)
+
+
+@query(
+    "pca_embeddings",
+    "F18",
+    f"WITH {pca_sql('e AS (SELECT vec_id AS id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i))', 8)} SELECT id AS vec_id, {_scores(8)} GROUP BY id",
+)
 def _(spark, sf):
     e = emb(spark, sf)
-    return M.apply_pca(e, "embedding", M.fit_pca(e, "embedding", 8)).select("vec_id", "embedding")
+    return parts(M.apply_pca(e, "embedding", M.fit_pca(e, "embedding", 8)), "embedding", 8, "vec_id")
 
 
 _PSQL = """WITH u AS (SELECT i, j, md5('42-' || i || '-' || j) AS h FROM range(64) a(i), range(8) b(j)),
@@ -243,7 +280,12 @@ def _(spark, sf):
     return pick(out, *out.columns)
 
 
-@query("channel_pca", "F20")
+@query(
+    "channel_pca",
+    "F20",
+    f"""WITH {pca_sql('e AS (SELECT vec_id * 8 + (i - 1) // 8 AS id, (i - 1) % 8 AS i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i))', 3)}
+    SELECT id // 8 % 50 AS video_id, id AS step, {_scores(3)} GROUP BY id""",
+)
 def _(spark, sf):
     e = emb(spark, sf).select("video_id", "vec_id", F.posexplode("embedding").alias("i", "value"))
     series = e.select(
@@ -251,7 +293,7 @@ def _(spark, sf):
         F.concat(F.lit("c"), (F.col("i") % 8).cast("string")).alias("channel"), "value",
     )
     m = cut(M.channel_matrix(series, ["video_id"], [f"c{i}" for i in range(8)]))
-    return M.apply_pca(m, "vector", M.fit_pca(m, "vector", 3))
+    return parts(M.apply_pca(m, "vector", M.fit_pca(m, "vector", 3)), "vector", 3, "video_id", "step")
 
 
 @query("lda_axes", "F21")
@@ -266,13 +308,25 @@ def _(spark, sf):
     return M.project(e, "embedding", M.fit_pls(e, "embedding", "label", 2)).select("vec_id", "label", "embedding")
 
 
-@query("embedding_pipeline", "F23 F16 F22")
+@query(
+    "embedding_pipeline",
+    "F23 F16 F22",
+    f"""WITH w AS (SELECT vec_id AS id, vec_id % 25 AS subject_id, vec_id % 50 AS video_id, ((vec_id * 37) % 100) / 100.0::DOUBLE AS w, i, embedding[i]::DOUBLE AS v
+      FROM embeddings, range(1, 65) t(i)), {pca_sql('e AS (SELECT id, i, v FROM w WHERE subject_id % 5 <> 0)', 6)},
+    ax AS ({' UNION ALL '.join(f'SELECT {c} AS c, * FROM a{c}' for c in range(6))}),
+    s AS (SELECT id, subject_id, video_id, any_value(w) AS w, c, sum((w.v - m) * ax.v) AS v FROM w JOIN mu USING (i) JOIN ax USING (i) GROUP BY ALL),
+    p AS (SELECT subject_id, video_id, c, CASE WHEN sum(w) > 1e-9 THEN sum(w * v) / sum(w) ELSE avg(v) END AS v FROM s GROUP BY ALL),
+    k AS (SELECT c, avg(v) AS m, stddev_pop(v) AS sd FROM p WHERE subject_id % 5 <> 0 GROUP BY c)
+    SELECT subject_id, video_id, CASE WHEN subject_id % 5 <> 0 THEN 'train' ELSE 'test' END AS role,
+      {', '.join(f"round(max((v - m) / sd) FILTER (WHERE c = {c}), 6) AS e{c}" for c in range(6))} FROM p JOIN k USING (c) GROUP BY ALL""",
+)
 def _(spark, sf):
     e = cut(emb(spark, sf))
     train, test = M.embedding_pipeline(
         e.where(F.col("subject_id") % 5 != 0), e.where(F.col("subject_id") % 5 == 0), ["subject_id", "video_id"], "embedding", 6, "weight"
     )
-    return train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")))
+    out = train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")))
+    return pick(out, *out.columns)
 
 
 @query("out_of_fold_probabilities", "M8 M9 M14")

@@ -271,7 +271,7 @@ def _(spark, sf):
     )
 
 
-def _candidates(raw, cand, annotations):
+def _candidates(raw, cand, annotations, name="keep"):
     """Every candidate's boxes compared with the raw ones; candidates only multiply the filtered side."""
     from framelane.functions import geometry as G
     from framelane.operators.evaluate import box
@@ -280,7 +280,7 @@ def _candidates(raw, cand, annotations):
     r = raw.select(*FRAME, *[F.col(c).alias(f"r_{c}") for c in BOX])
     j = cand.join(g, FRAME).join(r, FRAME)
     return j.select(
-        *FRAME, "keep",
+        *FRAME, name,
         G.iou(box("r_"), box("g_")).alias("raw_iou"), G.center_error(box("r_"), box("g_")).alias("raw_ce"),
         G.iou(box(), box("g_")).alias("iou"), G.center_error(box(), box("g_")).alias("ce"),
     )
@@ -427,3 +427,49 @@ def _(spark, sf):
     )
     out = R.method_rollup(means.select(*KEY, F.inline(methods)), ["method"], ["iou", "ce"])
     return pick(out, *out.columns)
+
+
+_WINDOWS = (5, 7, 11)
+_SWEEP = f"""WITH {PREDS}, {GT}, {FIRST}, {GT1}, s0 AS (SELECT video_id, frame_index, x, y, w, h, {_POS} FROM pf), """ + ", ".join(
+    f"s1_{w} AS (SELECT *, {window_sql('n', str(w))} AS wl FROM s0), {poly_sql(f'o_{w}', f's1_{w}', ('x', 'y'))}" for w in _WINDOWS
+) + ", sm AS (" + " UNION ALL ".join(
+    f"SELECT {w}::INTEGER AS smoothing, s.video_id, s.frame_index, o.x, o.y, s.w, s.h FROM o_{w} o JOIN s1_{w} s USING (video_id, i)" for w in _WINDOWS
+) + f"""), e AS (SELECT smoothing, video_id, frame_index, frame_index % 40 = 0 AS kf, {sq_iou('pf', 'g1')} AS raw_iou, {sq_ce('pf', 'g1')} AS raw_ce, {sq_iou('sm', 'g1')} AS iou, {sq_ce('sm', 'g1')} AS ce
+    FROM sm JOIN g1 USING (video_id, frame_index) JOIN pf USING (video_id, frame_index))"""
+
+
+def window_sweep(spark, sf):
+    """Every smoothing window on the same trajectories, compared with the annotations."""
+    raw = cut(D.first_per_frame(preds(spark, sf), FRAME).select(*FRAME, *BOX))
+    cand = None
+    for w in _WINDOWS:
+        part = S.savgol(raw, KEY, ["x", "y"], window=w).withColumn("smoothing", F.lit(w))
+        cand = part if cand is None else cand.unionByName(part)
+    return cut(_candidates(raw, cand, gt(spark, sf), "smoothing"))
+
+
+@query(
+    "filter_sweep",
+    "A35 J14",
+    f"""{_SWEEP}, r AS (SELECT smoothing, avg(iou) - avg(raw_iou) AS di, avg(ce) - avg(raw_ce) AS dc, bool_or(kf AND (iou - raw_iou < -0.01 OR ce - raw_ce > 0.5)) AS rejected,
+      sum(CASE WHEN kf THEN greatest(0, raw_iou - iou) * 10 + greatest(0, ce - raw_ce) ELSE 0 END) AS penalty FROM e GROUP BY smoothing)
+    SELECT smoothing, round(di, 6) AS delta_iou, round(dc, 6) AS delta_ce, rejected, round(penalty, 4) AS penalty, round(di * 100 - greatest(0, dc) - penalty * 0.01, 5) AS score FROM r""",
+)
+def _(spark, sf):
+    out = R.rank_candidates(window_sweep(spark, sf), ["smoothing"], F.col("frame_index") % 40 == 0)
+    return out.select(
+        "smoothing", F.round("delta_iou", 6).alias("delta_iou"), F.round("delta_ce", 6).alias("delta_ce"), "rejected",
+        F.round("penalty", 4).alias("penalty"), F.round("score", 5).alias("score"),
+    )
+
+
+@query(
+    "filter_sweep_by_video",
+    "A35",
+    f"""{_SWEEP}, a AS (SELECT smoothing, video_id, {_ABL} FROM e GROUP BY smoothing, video_id)
+    SELECT smoothing, count(*) AS videos, round(avg(CASE WHEN delta_iou > 1e-9 AND delta_ce < -1e-9 THEN 1 ELSE 0 END), 6) AS both_improved,
+      round(avg(delta_iou), 6) AS mean_delta_iou, round(avg(delta_ce), 6) AS mean_delta_ce FROM a GROUP BY smoothing""",
+)
+def _(spark, sf):
+    videos = R.ablation(window_sweep(spark, sf), ["smoothing", *KEY])
+    return pick(R.rank_experiments(videos, ["smoothing"], eps=R.EPS), "smoothing", "videos", "both_improved", "mean_delta_iou", "mean_delta_ce")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelane import schema
@@ -24,27 +24,26 @@ def read_coco_vid(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     doc = spark.read.schema(schema.ANNOTATIONS).option("multiLine", multiline).json(path)
     doc = doc.withColumn("source_path", F.input_file_name())
     doc = doc.withColumn("video_id", F.coalesce(F.col("videos")[0]["name"], K.stem(F.element_at(F.split("source_path", "/"), -1))))
-    frame = lambda im: F.coalesce(im["frame_index"], (im["id"] - 1).cast("int"))
-    images = F.coalesce("images", F.array().cast(schema.ANNOTATIONS["images"].dataType))
-    by_image = F.map_from_entries(F.array_distinct(F.transform(images, lambda im: F.struct(im["id"], frame(im)))))
-    boxes = F.filter(
-        F.transform(
-            F.coalesce("annotations", F.array().cast(schema.ANNOTATIONS["annotations"].dataType)),
-            lambda a, i: F.struct(i.alias("ann_pos"), a.alias("a")),
+    boxes_type, images_type = (schema.ANNOTATIONS[n].dataType for n in ("annotations", "images"))
+    none = F.lit(None)
+    images = F.transform(
+        F.coalesce("images", F.array().cast(images_type)),
+        lambda im: F.struct(
+            im["id"].alias("image_id"), F.coalesce(im["frame_index"], (im["id"] - 1).cast("int")).alias("_frame"), none.cast("int").alias("ann_pos"),
+            none.cast(boxes_type.elementType).alias("a"),
         ),
-        lambda e: e["a"]["image_id"].isNotNull() & e["a"]["bbox"].isNotNull(),
     )
-    # one pass over the document: boxes with their frame, then frames nobody drew on
-    doc = doc.withColumns({"_map": by_image, "_boxes": boxes})
-    used = F.transform("_boxes", lambda e: e["a"]["image_id"])
-    bare = F.filter(images, lambda im: ~F.array_contains(used, im["id"]))
-    drawn = F.transform("_boxes", lambda e: F.struct(e["ann_pos"].alias("ann_pos"), F.try_element_at(F.col("_map"), e["a"]["image_id"]).alias("frame_index"), e["a"].alias("a")))
-    none = F.lit(None)
-    empty = F.transform(
-        bare,
-        lambda im: F.struct(none.cast("int").alias("ann_pos"), frame(im).alias("frame_index"), none.cast(schema.ANNOTATIONS["annotations"].dataType.elementType).alias("a")),
+    boxes = F.transform(
+        F.coalesce("annotations", F.array().cast(boxes_type)),
+        lambda a, i: F.struct(a["image_id"].alias("image_id"), none.cast("int").alias("_frame"), i.alias("ann_pos"), a.alias("a")),
     )
-    rows = doc.select("video_id", "source_path", F.col("info.mask_root").alias("mask_root"), F.inline(F.concat(drawn, empty)))
+    boxes = F.filter(boxes, lambda e: e["image_id"].isNotNull() & e["a"]["bbox"].isNotNull())
+    # images and boxes of a document become rows that meet by image, so no box looks for its image in a list
+    doc = doc.withColumn("_doc", F.monotonically_increasing_id())
+    rows = doc.select("_doc", "video_id", "source_path", F.col("info.mask_root").alias("mask_root"), F.inline(F.concat(images, boxes)))
+    image = Window.partitionBy("_doc", "image_id")
+    rows = rows.withColumns({"frame_index": F.min("_frame").over(image), "_drawn": F.count("ann_pos").over(image)})
+    rows = rows.where(F.col("ann_pos").isNotNull() | (F.col("_drawn") == 0))
     a, meta = F.col("a"), F.col("a.metadata")
     return rows.where(F.col("frame_index").isNotNull()).select(
         "video_id",

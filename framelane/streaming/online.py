@@ -2,7 +2,7 @@
 
 State is kept per video. A micro-batch brings a bounded number of rows (limit
 it at the source, e.g. ``maxFilesPerTrigger``), so one busy video is a bounded
-group per batch. Frames must not go backwards between batches; a frame that was
+group per batch. Frames of a stream must not go backwards between batches; a frame that was
 already passed is ignored, which is also the duplicate rule (first one wins).
 """
 
@@ -13,21 +13,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelane.operators.confidence import ALPHA, DRIFT_NORMALIZER, WEIGHTS
 
 CONFIDENCE_OUT = (
-    "video_id long, frame_index int, drift double, blended double, confidence double, low_streak int, "
+    "video_id long, frame_index int, drift double, distribution double, token double, blended double, confidence double, low_streak int, "
     "x double, y double, w double, h double, held boolean"
 )
-CONFIDENCE_STATE = "ax double, ay double, aw double, ah double, conf double, frame int, streak int, x double, y double, w double, h double"
-
-
-def _fresh(pdf: pd.DataFrame, last: int) -> pd.DataFrame:
-    """New frames in order, the first row of each."""
-    pdf = pdf.sort_values(["frame_index", "pos"], kind="stable").drop_duplicates("frame_index")
-    return pdf[pdf["frame_index"] > last]
+CONFIDENCE_STATE = (
+    "ax double, ay double, aw double, ah double, conf double, frame int, streak int, x double, y double, w double, h double, "
+    "wait_frame array<int>, wait_kind array<int>, wait_pos array<bigint>, wait_numbers array<double>"
+)
+BOX, DISTRIBUTION, TOKEN = 0, 1, 2
+_NUMBERS = ("x", "y", "w", "h", "is_fallback", "value")
+_ROW = ("frame_index", "kind", "pos", *_NUMBERS)
 
 
 def _drift(pdf: pd.DataFrame, anchor: tuple) -> np.ndarray:
@@ -37,10 +38,16 @@ def _drift(pdf: pd.DataFrame, anchor: tuple) -> np.ndarray:
     return np.maximum(0.0, 1.0 - np.hypot(cx, cy).to_numpy() / reach)
 
 
-def preview(pdf: pd.DataFrame, anchor: tuple, prev: float | None, alpha: float = ALPHA) -> tuple[np.ndarray, ...]:
-    """Drift, blended and smoothed confidence of frames in order; changes nothing."""
+def preview(
+    pdf: pd.DataFrame, anchor: tuple, prev: float | None, alpha: float = ALPHA, distribution: np.ndarray | None = None, token: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """Drift, blended and smoothed confidence of frames in order; changes nothing. Signals that are NaN drop out."""
     drift = _drift(pdf, anchor)
-    blended = 1.0 / (1.0 + np.exp(-WEIGHTS["drift"] * drift))
+    logit = WEIGHTS["drift"] * drift
+    for name, signal in (("distribution", distribution), ("token", token)):
+        if signal is not None:
+            logit = logit + WEIGHTS[name] * np.nan_to_num(np.clip(signal, 0.0, 1.0), nan=0.0)
+    blended = 1.0 / (1.0 + np.exp(-logit))
     start = blended if prev is None else np.concatenate([[prev], blended])
     smooth = pd.Series(start).ewm(alpha=alpha, adjust=False).mean().to_numpy()
     return drift, blended, smooth if prev is None else smooth[1:]
@@ -53,42 +60,77 @@ def _streaks(low: np.ndarray, before: int) -> np.ndarray:
     return np.where(low, np.where(last_ok < 0, i + 1 + before, i - last_ok), 0)
 
 
-def _confidence(threshold: float) -> Callable:
+def _add(waiting: pd.DataFrame | None, part: pd.DataFrame) -> pd.DataFrame:
+    """One row per frame and kind, the first by position."""
+    both = part if waiting is None else pd.concat([waiting, part], ignore_index=True)
+    return both.sort_values(["frame_index", "kind", "pos"], kind="stable").drop_duplicates(["frame_index", "kind"])
+
+
+def _confidence(threshold: float, kinds: tuple[int, ...]) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
         old = state.get if state.exists else None
-        rows = _fresh(rows, old[5] if old else -(2**31))
-        if rows.empty:
+        passed, waiting = old[5] if old and old[5] is not None else -(2**31), None
+        if old and old[11]:
+            numbers = np.array(old[14], float).reshape(-1, len(_NUMBERS))
+            waiting = pd.DataFrame({"frame_index": old[11], "kind": old[12], "pos": old[13], **dict(zip(_NUMBERS, numbers.T))})
+        for part in batches:  # kept down to one row per frame and kind, batch by batch
+            part = part.loc[part["frame_index"] > passed, list(_ROW)]
+            if len(part):
+                waiting = _add(waiting, part.astype({n: float for n in _NUMBERS}))
+        if waiting is None:
+            return
+        have = waiting.groupby("frame_index")["kind"].nunique()
+        short = have.index[have < len(kinds)]
+        ready = waiting[waiting["frame_index"] < (short.min() if len(short) else np.inf)]
+        rest = waiting[len(ready):]
+        keep = (rest["frame_index"].tolist(), rest["kind"].tolist(), rest["pos"].tolist(), rest[list(_NUMBERS)].to_numpy(float).ravel().tolist())
+        if ready.empty:
+            state.update((*(old[:11] if old else [None] * 11), *keep))
             return
+        rows = ready[ready["kind"] == BOX]
+        signal = {k: ready.loc[ready["kind"] == k, "value"].to_numpy(float) if k in kinds else np.full(len(rows), np.nan) for k in (DISTRIBUTION, TOKEN)}
+        seen = bool(old) and old[0] is not None
         first = rows.iloc[0]
-        anchor = tuple(old[:4]) if old else tuple(float(first[c]) for c in "xywh")
-        drift, blended, conf = preview(rows, anchor, old[4] if old else None)
-        streak = _streaks(conf < threshold, old[6] if old else 0)
-        boxes = rows[list("xywh")].mask(rows["is_fallback"].astype(bool))
-        carried = pd.DataFrame([old[7:11] if old else [np.nan] * 4], columns=list("xywh"))
-        full = pd.concat([carried, boxes], ignore_index=True).astype(float).ffill()
-        held = boxes["x"].isna().to_numpy() & full["x"].iloc[1:].notna().to_numpy()
-        last = full.iloc[-1]
-        keep = [None if pd.isna(v) else float(v) for v in last]
-        state.update((*anchor, float(conf[-1]), int(rows["frame_index"].iloc[-1]), int(streak[-1]), *keep))
-        out = pd.DataFrame(
+        anchor = tuple(old[:4]) if seen else tuple(float(first[c]) for c in "xywh")
+        drift, blended, conf = preview(rows, anchor, old[4] if seen else None, ALPHA, signal[DISTRIBUTION], signal[TOKEN])
+        streak = _streaks(conf < threshold, old[6] if seen else 0)
+        boxes = rows[list("xywh")].mask(rows["is_fallback"] > 0)
+        before = [np.nan if v is None else v for v in old[7:11]] if seen else [np.nan] * 4
+        full = np.vstack([before, boxes.to_numpy(float)])
+        known = np.maximum.accumulate(np.where(np.isnan(full[:, 0]), 0, np.arange(len(full))))
+        full = full[known]
+        held = boxes["x"].isna().to_numpy() & ~np.isnan(full[1:, 0])
+        last = [None if np.isnan(v) else float(v) for v in full[-1]]
+        state.update((*anchor, float(conf[-1]), int(rows["frame_index"].iloc[-1]), int(streak[-1]), *last, *keep))
+        yield pd.DataFrame(
             {
-                "video_id": key[0], "frame_index": rows["frame_index"].to_numpy(), "drift": drift, "blended": blended,
-                "confidence": conf, "low_streak": streak, **{c: full[c].iloc[1:].to_numpy() for c in "xywh"}, "held": held,
+                "video_id": key[0], "frame_index": rows["frame_index"].to_numpy(), "drift": drift, "distribution": signal[DISTRIBUTION], "token": signal[TOKEN],
+                "blended": blended, "confidence": conf, "low_streak": streak, **{c: full[1:, i] for i, c in enumerate("xywh")}, "held": held,
             }
         )
-        yield out
 
     return run
 
 
-def confidence_stream(frames: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Anchor drift, smoothed confidence, low-confidence streak and held box for a stream of frames.
+def confidence_stream(frames: DataFrame, threshold: float = 0.5, distribution: DataFrame | None = None, token: DataFrame | None = None) -> DataFrame:
+    """Smoothed confidence, low-confidence streak and held box for a stream of frames and, if given, streams of signals.
 
-    Columns in: video_id, frame_index, pos, x, y, w, h, is_fallback.
+    ``frames``: video_id, frame_index, pos, x, y, w, h, is_fallback; the first box of a video is its anchor. ``distribution``
+    and ``token``: video_id, frame_index, pos, value, a row for every frame, null where there is no signal. A frame is
+    scored as soon as all streams have brought it; until then its rows wait in the state, so streams may run ahead of each other.
     """
-    return frames.groupBy("video_id").applyInPandasWithState(
-        _confidence(threshold), CONFIDENCE_OUT, CONFIDENCE_STATE, "append", GroupStateTimeout.NoTimeout
+    none = F.lit(None).cast("double")
+    parts = [frames.select("video_id", "frame_index", F.lit(BOX).alias("kind"), F.col("pos").cast("long").alias("pos"), *"xywh", F.col("is_fallback").cast("double").alias("is_fallback"), none.alias("value"))]
+    kinds = [BOX]
+    for kind, stream in ((DISTRIBUTION, distribution), (TOKEN, token)):
+        if stream is not None:
+            kinds.append(kind)
+            parts.append(stream.select("video_id", "frame_index", F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), *[none.alias(c) for c in (*"xywh", "is_fallback")], F.col("value").cast("double").alias("value")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("video_id").applyInPandasWithState(
+        _confidence(threshold, tuple(kinds)), CONFIDENCE_OUT, CONFIDENCE_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -105,33 +147,66 @@ def _overlap(c: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
 
 
+def choose(frame: np.ndarray, ids: np.ndarray, box: np.ndarray, score: np.ndarray, track, last, target) -> tuple[np.ndarray, np.ndarray]:
+    """Row chosen for every frame, and why, of candidates sorted by frame.
+
+    The track that is followed (the target's where present) is kept as long as frames show it: such runs of
+    frames are taken at once, only a frame that loses the track is looked at on its own.
+    """
+    frames, start = np.unique(frame, return_index=True)
+    stop = np.append(start[1:], len(frame))
+    number = np.repeat(np.arange(len(frames)), stop - start)
+    found: dict = {}
+
+    def rows_of(t) -> np.ndarray:
+        """Per frame the first row of a track, -1 without."""
+        if t not in found:
+            at = np.full(len(frames), -1)
+            hit = np.flatnonzero(ids == t)[::-1]
+            at[number[hit]] = hit
+            found[t] = at
+        return found[t]
+
+    picked, why = np.empty(len(frames), int), np.empty(len(frames), object)
+    wanted = rows_of(target) if target is not None else np.full(len(frames), -1)
+    i = 0
+    while i < len(frames):
+        if wanted[i] >= 0:
+            gone = np.flatnonzero(wanted[i:] < 0)
+            j = i + int(gone[0]) if len(gone) else len(frames)
+            picked[i:j], why[i:j] = wanted[i:j], "target"
+        elif track is not None and rows_of(track)[i] >= 0:
+            gone = np.flatnonzero((rows_of(track)[i:] < 0) | (wanted[i:] >= 0))
+            j = i + int(gone[0]) if len(gone) else len(frames)
+            picked[i:j], why[i:j] = rows_of(track)[i:j], "sticky"
+        else:
+            j, part = i + 1, slice(start[i], stop[i])
+            over = _overlap(box[part], last) if last is not None else np.zeros(1)
+            best, why[i] = (over, "overlap") if over.max() > 0 else (score[part], "score")
+            picked[i] = start[i] + int(np.argmax(best))
+        track, last, i = ids[picked[j - 1]], box[picked[j - 1]], j
+    return picked, why
+
+
 def _choose(target: int | None, min_score: float) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
         old = state.get if state.exists else None
-        track, last, frame = (old[0], np.array(old[1:5]), old[5]) if old else (None, None, -(2**31))
-        rows = rows[(rows["frame_index"] > frame) & (rows["score"].fillna(0.0) >= min_score)]
-        rows = rows.sort_values(["frame_index", "pos"], kind="stable")
-        picked = []
-        for f, cand in rows.groupby("frame_index", sort=True):
-            ids, box = cand["track_id"].to_numpy(), cand[list("xywh")].to_numpy(dtype=float)
-            i, why = None, ""
-            for want, name in ((target, "target"), (track, "sticky")):
-                if want is not None and (ids == want).any():
-                    i, why = int(np.argmax(ids == want)), name
-                    break
-            if i is None and last is not None:
-                over = _overlap(box, last)
-                if over.max() > 0:
-                    i, why = int(np.argmax(over)), "overlap"
-            if i is None:
-                i, why = int(np.argmax(cand["score"].fillna(0.0).to_numpy())), "score"
-            track, last, frame = int(ids[i]), box[i], int(f)
-            picked.append((key[0], frame, track, *map(float, box[i]), float(cand["score"].iloc[i]), why))
-        if not picked:
+        track, last, passed = (old[0], np.array(old[1:5]), old[5]) if old else (None, None, -(2**31))
+        parts = []
+        for part in batches:
+            part = part[(part["frame_index"] > passed) & (part["score"].fillna(0.0) >= min_score)]
+            parts.append([part[c].to_numpy() for c in ("frame_index", "pos", "track_id")] + [part[[*"xywh", "score"]].to_numpy(float)])
+        frame, pos, ids, numbers = (np.concatenate(p) for p in zip(*parts))
+        if not len(frame):
             return
-        state.update((track, *map(float, last), frame))
-        yield pd.DataFrame(picked, columns=["video_id", "frame_index", "track_id", *"xywh", "score", "reason"])
+        order = np.lexsort((pos, frame))
+        frame, ids, numbers = frame[order], ids[order], numbers[order]
+        box, score = numbers[:, :4], np.nan_to_num(numbers[:, 4], nan=0.0)
+        picked, why = choose(frame, ids, box, score, track, last, target)
+        state.update((int(ids[picked[-1]]), *map(float, box[picked[-1]]), int(frame[picked[-1]])))
+        yield pd.DataFrame(
+            {"video_id": key[0], "frame_index": frame[picked], "track_id": ids[picked], **{c: box[picked, i] for i, c in enumerate("xywh")}, "score": numbers[picked, 4], "reason": why}
+        )
 
     return run
 
