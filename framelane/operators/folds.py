@@ -291,9 +291,11 @@ def embedding_leave_one_out(
     ``means_bytes``. Groups without label, and folds with one class, have no row; a group
     with several labels counts with the smallest.
     """
-    table = cut(moments(df, [group], vector).join(df.where(F.col(label).isNotNull()).groupBy(group).agg(F.min(label).cast("int").alias("y")), group))
-    size = table.agg(F.sum(F.size("s") * 8), F.count(F.lit(1))).first()
     own = df.schema[group].dataType.simpleString()
+    df = df.select(F.col(group).alias("_g"), F.col(label).alias("_y"), F.col(vector).alias("_v0"))
+    labels = df.where("_y is not null").groupBy("_g").agg(F.min("_y").cast("int").alias("y"))
+    table = cut(moments(df, ["_g"], "_v0").join(labels, "_g"))
+    size = table.agg(F.sum(F.size("s") * 8), F.count(F.lit(1))).first()
     schema = f"{group} {own}, label int, prob double, explained double, total double"
     if not size[1]:
         return df.sparkSession.createDataFrame([], schema)
@@ -305,7 +307,7 @@ def embedding_leave_one_out(
     n_all, s_all = whole["n"], np.array(whole["s"])
     d = len(s_all)
     ss_all = np.array(whole["ss"]).reshape(d, d)
-    small = table.select(group, "n", "s", "y").toArrow()
+    small = table.select("_g", "n", "s", "y").toArrow()
     names = small.column(0).to_pylist()
     means = np.array([np.array(s) / n for s, n in zip(small.column("s").to_pylist(), small.column("n").to_pylist())])
     ys = np.array(small.column("y").to_pylist())
@@ -334,7 +336,7 @@ def embedding_leave_one_out(
                 kinds = [b.schema.field(0).type, pa.int32(), *[pa.float64()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[group, "label", "prob", "explained", "total"])
 
-    return table.select(group, "n", "s", "ss", "y").mapInArrow(go, schema)
+    return table.select("_g", "n", "s", "ss", "y").mapInArrow(go, schema)
 
 
 def fold_averages(df: DataFrame, models: DataFrame, group: str, label: str = "label", features: str = "features", reg: float = 1e-4) -> DataFrame:

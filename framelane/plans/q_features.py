@@ -366,13 +366,13 @@ def _smoothed(name: str) -> str:
     """SQL of a motion query over smoothed centres, to four places."""
     sm = f"{CEN}, {center_sql('ce', 'cn')}, sm AS (SELECT sc.* EXCLUDE (cx, cy), ce.cx, ce.cy FROM ce JOIN sc USING (video_id, frame_index))"
     sql = ORACLES[name].replace(f"{BASE}, {steps_sql('sc')}", f"{BASE}, {sm}, {steps_sql('sm')}").replace("AS t FROM sc)", "AS t FROM sm)")
-    return f"SELECT video_id, round(COLUMNS(* EXCLUDE video_id) + 3e-6, 4) FROM ({sql})"
+    return f"SELECT video_id, round(COLUMNS(* EXCLUDE video_id) + 3.3e-7, 4) FROM ({sql})"
 
 
 def four(df):
     out = pick(df, *df.columns)
     kinds = dict(out.dtypes)
-    return out.select(*[F.round(F.col(c) + 3e-6, 4).alias(c) if kinds[c] == "double" else F.col(c) for c in out.columns])
+    return out.select(*[F.round(F.col(c) + 3.3e-7, 4).alias(c) if kinds[c] == "double" else F.col(c) for c in out.columns])
 
 
 def smoothed_rows(spark, sf):
