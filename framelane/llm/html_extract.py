@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -247,13 +248,17 @@ def _wrapper_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _content_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        seen = b.column(7)
+        flat, sizes = seen.flatten(), seen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        node, own, same = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("node", "k", "same"))
+        ends = np.cumsum(sizes)
         texts = []
-        for parents, marks, at, parts, links, seen, constant, slots in zip(*[b.column(k).to_pylist() for k in range(2, 10)]):
+        for i, (parents, marks, at, parts, links, constant, slots) in enumerate(zip(*[b.column(k).to_pylist() for k in (2, 3, 4, 5, 6, 8, 9)])):
             template, closed = set(), set()
             if constant is not None:
-                constant, slots = set(constant), set(slots)
-                template = {x["k"] for x in seen if x["same"] and x["node"] in constant}
-                closed = {x["k"] for x in seen if x["node"] in slots}
+                mine = slice(ends[i] - sizes[i], ends[i])
+                template = set(own[mine][same[mine] & np.isin(node[mine], constant)].tolist())
+                closed = set(own[mine][np.isin(node[mine], slots)].tolist())
             texts.append("\n\n".join(content(unpacked(parents, marks, at, parts, links), template, closed)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
@@ -296,7 +301,7 @@ def induce(read: DataFrame, table: DataFrame) -> DataFrame:
     What nodes show is added up over titles (copies of one page share their title, so they
     do not make an article a template); :func:`wrapper` decides from the sums.
     """
-    rows = read.where("votes").select("layout", "title", "seen")
+    rows = read.where("votes").select("layout", F.unhex(F.md5("title")).alias("title"), "seen")
     titles = rows.select("layout", "title").distinct().groupBy("layout").agg(F.count("*").alias("titles"))
     once = rows.select("layout", "title", F.inline("seen")).groupBy("layout", "title", "node").agg(
         F.max("same").alias("same"), F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("titled").alias("titled")
@@ -327,7 +332,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     own = pages.schema[key].dataType.simpleString()
     read = _with_layout(rows.select("id", "url", "layout", "source"), table, _size(table, F.octet_length("reference")))
     read = read.select("id", "url", F.col("owner").alias("layout"), "votes", "source", "reference")
-    read = session.cut(read.mapInArrow(_read_batches, f"id {own}, url string, layout string, votes boolean, {_READ}"))
+    read = session.cut(read.mapInArrow(_read_batches, f"id {own}, url string, layout string, votes boolean, {_READ}"), "zstd")
     wrappers = induce(read, table)
     out = _with_layout(read, wrappers, _size(wrappers, 4 * F.size("constant") + 4 * F.size("slots")))
     out = out.select("id", "url", "parents", "marks", "at", "texts", "links", "seen", "constant", "slots").mapInArrow(_content_batches, f"id {own}, url string, text string")

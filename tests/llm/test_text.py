@@ -375,3 +375,63 @@ def test_many_secrets_in_one_text_take_linear_time():
 
     seconds(100)
     assert seconds(40_000) < 8 * seconds(10_000) + 0.5
+
+
+def plain_language(text, model):
+    """Prediction by its definition: hashed n-grams one by one, mean weight per bit, loss of every codeword."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    keep = "".join(c if c.isalpha() and c.isascii() or ord(c) >= 128 else " " for c in text.lower())
+    body = (" " + " ".join(keep.encode().split(b" ")[i].decode() for i, w in enumerate(keep.encode().split(b" ")) if w) + " ").encode()
+    total, count = np.zeros(len(model["bias"])), 0
+    for n in language_id.GRAMS:
+        for i in range(len(body) - n + 1):
+            h = n
+            for c in body[i: i + n]:
+                h = ((h ^ c) * 0x9E3779B1) % 2**32
+                h ^= h >> 15
+            total += model["weights"][h >> (32 - language_id.BITS)]
+            count += 1
+    margin = total / count + model["bias"]
+    losses = [sum(math.log1p(math.exp(-float(c) * m)) for c, m in zip(word, margin)) for word in model["code"]]
+    best = min(range(len(losses)), key=lambda k: losses[k])
+    return model["languages"][best], 1 / sum(math.exp(losses[best] - x) for x in losses)
+
+
+def test_language_prediction_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    some = documents(spark, [(r["doc_id"], r["text"][:3000], None, None) for r in docs.where("doc_id % 4 = 0").collect()] + [(9000, "Straße, ÉTÉ! 12", None, None), (9001, "12 !?", None, None), (9002, None, None, None)])
+    got = language_id.predict(some, model).collect()
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    assert len(got) > 40
+    for r in got:
+        lang, score = plain_language(texts[r["doc_id"]], model)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-6
+
+
+def test_license_finds_equal_all_rules_without_gate_and_pairwise_suppression():
+    every, _, patterns = licenses._compiled()
+    pieces = (
+        "licensed under the apache license version 2 0|mit license|the mit license|cc by sa 4 0|cc by|creative commons attribution 4 0 international license|gnu general public license version 3|"
+        "general public license|gpl v2 or later|gnu lesser general public license|bsd 3 clause|all rights reserved|mozilla public license 2 0|public domain|redistribution and use in source and binary forms|"
+        "spdx license identifier apache 2 0|isc license|eclipse public license|permission is hereby granted free of charge|lorem|ipsum|dolor|version|license|under|the|of"
+    ).split("|")
+    rng, found = random.Random(9), 0
+    for _ in range(150):
+        text = rng.choice([" ", ", ", "-"]).join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        norm = " " + " ".join(w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()) + " "
+        finds = []
+        for k in range(len(every)):
+            for m in patterns[k].finditer(norm):
+                start = norm[: m.start() + 1].count(" ") - 1
+                finds.append((start, start + norm[m.start() + 1: m.end()].count(" ") + 1, k))
+
+        def before(f, g):
+            return (f[0], -f[1], -every[f[2]].priority, f[2]) < (g[0], -g[1], -every[g[2]].priority, g[2])
+
+        stands = [f for f in finds if every[f[2]].base or not any(before(g, f) and g[1] >= f[1] and every[g[2]].priority >= every[f[2]].priority for g in finds)]
+        words, got = licenses.scan(text)
+        assert words == len(norm.split()) and sorted(got) == sorted(stands)
+        found += len(stands)
+    assert found > 300
