@@ -8,7 +8,7 @@ from framelane.plans import catalog
 QUICK = [
     "video_summary", "detection_counts", "success_curve", "fill_gaps", "repair_query_frames", "drop_long_runs", "savgol",
     "confidence_estimate", "roc_auc", "youden_threshold", "score_correlation", "trajectory_quality", "grey_cooccurrence",
-    "stratified_split", "coco_vid_source", "dataset_cube",
+    "stratified_split", "coco_vid_source", "dataset_cube", "stage_summaries", "lda_conditions", "pca_embeddings", "canonical_modalities",
 ]
 
 
