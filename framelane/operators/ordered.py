@@ -105,6 +105,16 @@ def first_known(name: str, value: Column, order: str) -> Step:
     )
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """Side of a join that must not be broadcast, nor the side it meets.
+
+    Spark takes an exploded table for no larger than what it was made from, and a written one for its
+    compressed size, so its size checks would send either through the driver. The windows that
+    follow such a join need both sides dealt by its key anyhow.
+    """
+    return df.hint("merge")
+
+
 def scan(
     df: DataFrame,
     key: Sequence[str],
@@ -128,7 +138,7 @@ def scan(
         *key, block, *[s.across(F.col(f"_s_{s.name}"), *across).alias(f"_c_{s.name}") for s in steps]
     )
     inside = windows([*key, block], order)
-    out = rows.join(edges, [*key, block], "inner")
+    out = rows.join(apart(edges), [*key, block], "inner")
     out = out.select(*rows.columns, *[s.combine(F.col(f"_c_{s.name}"), *inside).alias(s.name) for s in steps])
     return out.drop(block) if own else out
 
@@ -170,7 +180,7 @@ def neighbours(
         picked.append(F.flatten(F.collect_list("tail").over(across.rowsBetween(-back, -1))).alias("_tail"))
     if ahead:
         picked.append(F.flatten(F.collect_list("head").over(across.rowsBetween(1, ahead))).alias("_head"))
-    out = rows.join(edges.select(*key, BLOCK, *picked), [*key, BLOCK], "inner")
+    out = rows.join(apart(edges.select(*key, BLOCK, *picked)), [*key, BLOCK], "inner")
     recs = {}
     for j in range(1, back + 1):
         idx = F.col("_i") - F.lit(j) - F.lit(1)

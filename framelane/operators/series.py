@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
 from framelane.operators.interpolate import at, fill, pieces
-from framelane.operators.ordered import BLOCK, SPAN, neighbours, scan, total
+from framelane.operators.ordered import BLOCK, SPAN, apart, neighbours, scan, total
 from framelane.operators.ranked import percentiles_of
 from framelane.operators.smooth import savgol, two_scale_hampel
 from framelane.session import cut
@@ -64,7 +64,8 @@ def timeline(
         rows = clean.select(*[F.col(f"{c}_clean").alias(c) if c in hampel else F.col(c) for c in rows.columns])
     rows = cut(rows.withColumn("_k", F.lit(True)))
     values = [c for c in rows.columns if c not in (*key, FRAME, "_k")]
-    dense = _frames_to(rows, key).join(rows, [*key, FRAME], "left")
+    # written once: filling reads it several times, and a join with exploded frames must not be a broadcast of them
+    dense = cut(_frames_to(rows, key).join(apart(rows), [*key, FRAME], "left"))
     full = cut(fill(dense, key, values, F.col("_k"), kind=kind).drop("_k", "knots"))
     if smooth:
         full = savgol(full, key, list(smooth))
@@ -103,11 +104,18 @@ def derived_channels(full: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def resample(full: DataFrame, key: Sequence[str], channels: Sequence[str], steps: int = 256) -> DataFrame:
     """Long table (key, channel, step, value) at ``steps`` evenly spaced frames, rounded half to even."""
+    top = steps - 1
     ends = full.groupBy(*key).agg(F.max(FRAME).alias("_t"))
-    want = ends.select(*key, "_t", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-    pos = F.col("step") * (F.col("_t").cast("double") / F.lit(float(max(1, steps - 1))))
-    want = want.select(*key, "step", F.least(F.bround(pos).cast("int"), F.col("_t")).alias(FRAME))
-    got = want.join(full, [*key, FRAME])
+    rows = full.join(ends, list(key))
+    # A frame names the steps that fall on it: the few about its share of the way, all of them on a single frame.
+    gap = F.col("_t").cast("double") / F.lit(float(max(1, top)))
+    one = F.col("_t") == 0
+    wide = F.when(~one, gap)
+    lo = F.when(one, 0).otherwise(F.greatest(F.lit(0), F.floor((F.col(FRAME) - 0.5) / wide).cast("int") - 1))
+    hi = F.when(one, top).otherwise(F.least(F.lit(top), F.ceil((F.col(FRAME) + 0.5) / wide).cast("int") + 1))
+    near = F.when(lo <= hi, F.sequence(lo, hi))
+    mine = F.filter(near, lambda s: F.least(F.bround(s * gap).cast("int"), F.col("_t")) == F.col(FRAME))
+    got = rows.where(F.col(FRAME).between(0, F.col("_t"))).withColumn("step", F.explode(mine))
     pairs = F.array(*[F.struct(F.lit(c).alias("channel"), G.finite_or(F.col(c), 0.0).alias("value")) for c in channels])
     return got.select(*key, "step", F.inline(pairs))
 
