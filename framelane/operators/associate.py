@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
-from framelane.operators.ordered import row_position, scan
+from framelane.operators.ordered import apart, row_position, running_sum, scan
 from framelane.operators.ranked import average_rank, percentiles, ranked
 from framelane.session import cut
 
@@ -135,49 +139,61 @@ def low_high(df: DataFrame, key: Sequence[str], score: str, values: Sequence[str
 # independent of partitioning, and repeatable after a lost executor.
 
 
-def _uniforms(row_id: Column, replicate: Column) -> Column:
-    """Four uniform numbers in [0, 1) from one digest."""
-    h = F.md5(F.concat_ws("-", row_id.cast("string"), replicate.cast("string")))
-    return F.array(
-        *[
-            F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-            for i in range(4)
-        ]
-    )
-
-
 # Cumulative distribution of a Poisson count with mean 1.
 POISSON_1 = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
 
 
-def _poisson(u: Column) -> Column:
-    out = F.lit(0)
-    for edge in POISSON_1:
-        out = out + (u >= edge).cast("int")
-    return out
-
-
 def bootstrap_means(df: DataFrame, row_id: str, groups: dict[str, Column], draws: int) -> DataFrame:
     """Replicate means of each group column (null outside the group): ``draw`` and one mean per group.
 
     Poisson bootstrap: every row draws its own multiplicity, so replicates need
-    no shuffle of rows; each task keeps one running sum per replicate.
+    no shuffle of rows; each task keeps one running sum per replicate. A digest of (row id, number)
+    gives four draws; rows outside all groups draw nothing.
     """
     if draws % 4:
         raise ValueError("draws must be a multiple of 4")
-    rows = df.select(row_id, *[c.alias(n) for n, c in groups.items()])
-    rep = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))))
-    rep = rep.withColumn("_u", _uniforms(F.col(row_id), F.col("_b")))
-    rep = rep.select("*", F.posexplode("_u").alias("_i", "_x"))
-    rep = rep.withColumns({"draw": F.col("_b") * 4 + F.col("_i"), "_w": _poisson(F.col("_x"))})
-    return rep.groupBy("draw").agg(
+    names = list(groups)
+    values = [F.array(*[c.cast("double") for c in groups.values()]).alias("v")]
+    head = F.coalesce(F.concat(F.col(row_id).cast("string"), F.lit("-")), F.lit(""))
+    rows = df.select(head.alias("id"), *values)
+    rows = rows.where(F.exists("v", lambda v: v.isNotNull()))
+    sums = rows.mapInArrow(_poisson_sums(len(names), draws), "draw int, g int, w double, s double")
+    return sums.groupBy("draw").agg(
         *[
-            (F.sum(F.col(n) * F.col("_w")) / F.sum(F.when(F.col(n).isNotNull(), F.col("_w")))).alias(n)
-            for n in groups
+            (F.sum(F.when(F.col("g") == i, F.col("s"))) / F.nullif(F.sum(F.when(F.col("g") == i, F.col("w"))), F.lit(0.0))).alias(n)
+            for i, n in enumerate(names)
         ]
     )
 
 
+def _poisson_sums(groups: int, draws: int):
+    """Sums of weights and of weighted values of a task's rows: one row per draw and group."""
+    edges = [math.ceil(e * 4294967296.0) for e in POISSON_1]  # u / 2**32 >= e, in whole numbers
+    ends = [b"%d" % b for b in range(draws // 4)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, s = np.zeros((groups, draws)), np.zeros((groups, draws))
+        seen = False
+        for batch in batches:
+            flat = batch.column(1).flatten()
+            v = np.array(flat.to_numpy(zero_copy_only=False), float).reshape(-1, groups)
+            given = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, groups)
+            for name, row, has in zip(batch.column(0).to_pylist(), v, given):
+                seen, head = True, name.encode()
+                u = np.frombuffer(b"".join([hashlib.md5(head + e).digest() for e in ends]), ">u4").astype(np.uint32)
+                times = np.zeros(draws, np.int8)
+                for e in edges:
+                    times += u >= e
+                for g in np.flatnonzero(has):
+                    w[g] += times
+                    s[g] += row[g] * times
+        if seen:
+            draw, g = np.tile(np.arange(draws, dtype=np.int32), groups), np.repeat(np.arange(groups, dtype=np.int32), draws)
+            yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(g), pa.array(w.ravel()), pa.array(s.ravel())], ["draw", "g", "w", "s"])
+
+    return run
+
+
 def bootstrap_interval(means: DataFrame, value: Column, alpha: float = 0.05) -> DataFrame:
     """Percentile interval over the replicates (one row each, so as many as draws)."""
     return means.agg(
@@ -203,23 +219,39 @@ def shuffled_positions(df: DataFrame, row_id: str, replicates: int, first: int =
     return scan(rows, ["perm"], "_h", row_position(), block="_hb").drop("_h", "_hb")
 
 
-def first_sums(rows: DataFrame, row_id: str, value: str, take: int, replicates: int) -> DataFrame:
+def first_sums(rows: DataFrame, row_id: str, value: str, take: int, replicates: int, near: float | None = None) -> DataFrame:
     """(perm, sa): sum of ``value`` over the first ``take`` rows of each random order.
 
-    Whole digest blocks are summed where the rows are, so a replicate shuffles one row per
-    task and block; only the block in which the count is reached is put in order.
+    Digests are uniform, so the ``take``-th lies near that share of their range. One pass sums, per
+    replicate, what lies below a narrow band around it and keeps the band's rows one by one (a
+    number that grows with the root of the rows). A replicate whose place is not in its band is
+    done again with the whole range as its band. ``near``: half the band, as a share of the range.
     """
-    deals = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    deals = deals.withColumn("_h", _order_key(F.col(row_id), F.col("perm")))
-    deals = deals.withColumn("_hb", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
-    upto = Window.partitionBy("perm").orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = deals.groupBy("perm", "_hb").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
-    blocks = blocks.select("perm", "_hb", "n", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"before_{c}") for c in ("n", "s")])
-    edge = cut(blocks.where((F.col("before_n") < take) & (F.col("before_n") + F.col("n") >= take)))
-    place = Window.partitionBy("perm").orderBy("_h")
-    last = deals.join(edge, ["perm", "_hb"]).withColumn("_k", F.row_number().over(place))
-    last = last.where(F.col("_k") <= take - F.col("before_n"))
-    return last.groupBy("perm").agg((F.first("before_s") + F.sum(value)).alias("sa"))
+    n = rows.count()
+    share = take / n
+    near = near if near is not None else 7.0 * math.sqrt(max(share * (1.0 - share), 1.0 / n) / n)
+    perms = F.sequence(F.lit(0), F.lit(replicates - 1))
+    got = cut(_band_sums(rows, row_id, value, take, F.explode(perms), share - near, share + near))
+    rest = sorted(set(range(replicates)) - {r["perm"] for r in got.select("perm").collect()})
+    if not rest:
+        return got
+    return got.unionByName(_band_sums(rows, row_id, value, take, F.explode(F.array(*[F.lit(p) for p in rest])), 0.0, 1.0))
+
+
+def _band_sums(rows: DataFrame, row_id: str, value: str, take: int, perms: Column, low: float, high: float) -> DataFrame:
+    deals = rows.withColumn("perm", perms).withColumn("_h", _order_key(F.col(row_id), F.col("perm")))
+    if high < 1.0:
+        deals = deals.where(F.col("_h") < f"{int(high * 16**8):08x}")
+    inside = F.col("_h") >= f"{max(0, int(low * 16**8)):08x}"
+    parts = deals.groupBy("perm", F.when(inside, F.col("_h")).alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+    # rows of one digest (of one id, that is) share alike if the place falls among them
+    parts = parts.withColumn("_hb", F.when(F.col("_h").isNull(), -1).otherwise(F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")))
+    parts = scan(parts, ["perm"], "_h", running_sum("before", F.col("n"), inclusive=False), block="_hb")
+    k = F.least(F.col("n"), F.lit(take) - F.col("before"))
+    part = F.when(k == F.col("n"), F.col("s")).otherwise(F.col("s") * k / F.col("n"))
+    below = F.col("_h").isNull() & (F.col("n") > take)
+    reached = parts.where(F.col("before") < take).groupBy("perm").agg(F.sum(part).alias("sa"), F.sum(k).alias("m"), F.max(below).alias("over"))
+    return reached.where((F.col("m") == take) & ~F.col("over")).select("perm", "sa")
 
 
 def permutation_p_mean_diff(df: DataFrame, row_id: str, value: str, in_a: Column, replicates: int) -> DataFrame:
@@ -259,7 +291,7 @@ def permutation_p_corr(df: DataFrame, row_id: str, x: str, y: str, replicates: i
     dealt = shuffled_positions(rows.select(row_id, "y"), row_id, replicates).select(
         "perm", F.col("pos0").alias("i"), F.col("y")
     )
-    r = dealt.join(rows.select("i", "x"), "i").groupBy("perm").agg(F.corr("x", "y").alias("r"))
+    r = dealt.join(apart(rows.select("i", "x")), "i").groupBy("perm").agg(F.corr("x", "y").alias("r"))
     hits = r.agg(F.count_if(F.abs("r") >= abs(obs)).alias("c"))
     return hits.select(F.lit(obs).alias("observed"), ((F.col("c") + 1) / F.lit(float(replicates + 1))).alias("p_value"))
 

@@ -1,5 +1,8 @@
 """Steps whose rows multiply: their joins, single passes and per-group work on larger tables."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from framelane.operators import associate as A
@@ -44,3 +47,30 @@ def test_dense_frames_are_not_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(rows, "video_id int, frame_index int, cx double, cy double, w double, h double, area double, perimeter double, eq_diam double")
     assert S.timeline(cut(df), ["video_id"]).count() == sum(range(0, 40, 1 + k)[-1] + 1 for k in range(3))
     assert plans and not any(plans)
+
+
+def digest(i, b):
+    return hashlib.md5(f"{i}-{b}".encode()).hexdigest()
+
+
+def test_bootstrap_draws_in_tasks(spark):
+    rows = [(i, float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    groups = {"low": F.when(F.col("v") < 2, F.col("v")), "high": F.when(F.col("v") > 4, F.col("v"))}
+    means = A.bootstrap_means(df, "id", groups, 40)
+    assert "Generate" not in means._jdf.queryExecution().executedPlan().toString()
+    got = {r["draw"]: r for r in means.collect()}
+    assert len(got) == 40
+    for draw, r in got.items():
+        w = {i: sum(int(digest(i, draw // 4)[8 * (draw % 4):][:8], 16) / 2**32 >= e for e in A.POISSON_1) for i, _ in rows}
+        for name, keep in (("low", lambda v: v < 2), ("high", lambda v: v > 4)):
+            mine = [(w[i], v) for i, v in rows if keep(v)]
+            assert r[name] == pytest.approx(sum(a * v for a, v in mine) / sum(a for a, _ in mine))
+
+
+@pytest.mark.parametrize("near", [None, 0.0, 1e-4, 2.0])
+def test_first_sums_with_any_band(spark, near):
+    rows = [(i, float(i * i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    want = {p: sum(v for _, v in sorted((digest(i, p), v) for i, v in rows)[:120]) for p in range(9)}
+    assert {r["perm"]: r["sa"] for r in A.first_sums(df, "id", "v", 120, 9, near=near).collect()} == want
