@@ -74,3 +74,23 @@ def test_first_sums_with_any_band(spark, near):
     df = spark.createDataFrame(rows, "id long, v double")
     want = {p: sum(v for _, v in sorted((digest(i, p), v) for i, v in rows)[:120]) for p in range(9)}
     assert {r["perm"]: r["sa"] for r in A.first_sums(df, "id", "v", 120, 9, near=near).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["threshold_sweep", "sweep_fold_rollup"])
+def test_sweeps_tell_many_videos_apart(spark, tmp_path, name):
+    """The SQL's key of threshold and video is ambiguous from 30,000 videos on; with keys apart it agrees."""
+    import duckdb
+
+    from framelane.plans import catalog
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    con.execute(
+        """CREATE TABLE events AS SELECT event_id + k * 100000000 AS event_id, ts, (user_id + k * 30000)::BIGINT AS user_id, event_type, value, props
+        FROM '/root/testdata/sf0.001/events.parquet', range(2) t(k)"""
+    )
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    sql = catalog.ORACLES[name].replace("threshold * 100000 +", "threshold * 100000000000 +")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
