@@ -90,6 +90,12 @@ def write_evaluation(frames: DataFrame, curve: DataFrame, summary: DataFrame, fo
     write_json(summary, f"{folder}/summary")
 
 
-def write_predictions(df: DataFrame, path: str, by: Sequence[str] = ("model", "subject_id", "video_id")) -> None:
-    """One folder per model, subject and video. Rows of a video may fill several files, so a long one is no bottleneck."""
+def write_predictions(df: DataFrame, path: str, by: Sequence[str] = ("model", "subject_id", "video_id"), within: Sequence[str] = ()) -> None:
+    """One folder per value of ``by``. Rows of a video may fill several files, so a long one is no bottleneck.
+
+    A folder per video is a file for a few rows: with many videos name it in ``within`` instead. Rows are then dealt and
+    sorted by range of both lists, so folders stay few, files large, and the rows of a video lie side by side in them.
+    """
+    if within:
+        df = df.repartitionByRange(*by, *within).sortWithinPartitions(*by, *within)
     df.write.mode("overwrite").partitionBy(*by).parquet(path)

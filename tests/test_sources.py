@@ -50,6 +50,21 @@ def test_confidence_columns(spark):
     assert (r["tracker"], r["total_frames"], r["token_component_mean"], r["confidence_mean"]) == ("t", "3", "", "0.250000")
 
 
+def test_prediction_folders_do_not_grow_with_videos(spark, sf, monkeypatch):
+    from framelane.plans import catalog, q_sources
+
+    paths, make = [], q_sources.scratch
+    monkeypatch.setattr(q_sources, "scratch", lambda s: paths.append(make(s)) or paths[-1])
+    back = catalog.QUERIES["prediction_files"](spark, sf)
+    rows = back.collect()
+    want = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_type", "int(user_id % 12)", "int(user_id)", "event_id").collect()
+    assert sorted((r["model"], r["subject_id"], r["video_id"], r["pos"]) for r in rows) == sorted(map(tuple, want))
+    files = spark.read.parquet(paths[0]).inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    assert len(folders) == len({(r["model"], r["subject_id"]) for r in rows}) < len({(r["model"], r["subject_id"], r["video_id"]) for r in rows})
+    assert len(files) < len(folders) + 8
+
+
 @pytest.mark.parametrize("kind, text", [
     ("csv", "path,label\na.png,1\n ,0\nb.png,x\n"),
     ("json", '[{"image": "a.png", "y": "1"}, {"image": "", "y": "0"}, {"image_path": "b.png", "target": "x"}]'),
