@@ -14,13 +14,20 @@ from framelane.streaming import online
 FRAME = ["video_id", "frame_index"]
 #: Frames of one run of files; a video's rows of a run are in one file, so its frames never go backwards.
 RUN = 32
+#: Rows of a file, about.
+FILE_ROWS = 65536
 
 
 def feed(spark, rows, run: int = RUN, files: int = 4):
-    """Write the rows in runs of rising frames, each spread over files by video, and open them as a stream of small batches."""
+    """Write the rows in runs of rising frames, each spread over files by video, and open them as a stream of a batch per run.
+
+    More rows of a run are more files of it, read at once, so batches get wider and not more.
+    """
     path = scratch(spark)
     rows = cut(rows)
-    top = rows.agg(F.max("frame_index")).first()[0] or 0
+    top, count = rows.agg(F.max("frame_index"), F.count(F.lit(1))).first()
+    top = top or 0
+    files = max(files, count * run // (top + 1) // FILE_ROWS)
     for lo in range(0, top + 1, run):
         rows.where(F.col("frame_index").between(lo, lo + run - 1)).repartition(files, "video_id").write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -96,3 +96,27 @@ def test_preview_ignores_missing_signals(value):
     _, blended, _ = online.preview(rows, (0.0, 0.0, 4.0, 3.0), None, token=signal)
     more = 0.4 if value == 2.0 else 0.0
     assert blended[0] == pytest.approx(1 / (1 + np.exp(-0.8 - more)))
+
+
+def test_state_of_many_videos_is_packed(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    frames = [(v, f, 10 * f + p, *[float(x) for x in rng.integers(1, 50, 4)], bool(rng.random() < 0.3)) for v in range(-70, 230) for f in range(v % 4, 12) for p in range(1 + f % 2)]
+    boxes = "video_id long, frame_index int, pos long, x double, y double, w double, h double, is_fallback boolean"
+    stream = online.confidence_stream(source(spark, tmp_path / "b", frames, boxes, [(0, 5), (5, 12)], 3), 0.68)
+    got = online.run_available(stream, str(tmp_path / "out"), str(tmp_path / "check")).toPandas().sort_values(["video_id", "frame_index"])
+    assert spark.read.format("statestore").load(str(tmp_path / "check")).count() == 6
+    first = spark.createDataFrame([r for r in frames if r[2] % 10 == 0], boxes)
+    want = C.estimate(first, ["video_id"]).toPandas().sort_values(["video_id", "frame_index"])
+    assert len(got) == len(want) and np.allclose(got.confidence, want.estimated) and np.allclose(got.drift, want.drift)
+
+    cands = [(v, f, p, int(rng.integers(0, 3)), *r[3:7], float(rng.random())) for r in frames for v, f, p in [r[:3]]]
+    names = "video_id long, frame_index int, pos long, track_id long, x double, y double, w double, h double, score double"
+    stream = online.candidate_stream(source(spark, tmp_path / "c", cands, names, [(0, 5), (5, 12)], 3))
+    got = online.run_available(stream, str(tmp_path / "out2"), str(tmp_path / "check2")).toPandas().sort_values(["video_id", "frame_index"])
+    assert spark.read.format("statestore").load(str(tmp_path / "check2")).count() == 6
+    for v, part in got.groupby("video_id"):
+        mine = [r for r in cands if r[0] == v]
+        box = np.array([r[4:8] for r in mine])
+        want = plain_choice(np.array([r[1] for r in mine]), np.array([r[3] for r in mine]), box, np.array([r[8] for r in mine]), None, None, None)
+        assert [(mine[i][1], mine[i][3], mine[i][8], why) for i, why in want] == list(zip(part.frame_index, part.track_id, part.score, part.reason))
+    assert got.video_id.nunique() == 300
