@@ -118,20 +118,16 @@ def align_offset(preds: DataFrame, gt: DataFrame, key: Sequence[str]) -> DataFra
 def success_curve(frames: DataFrame, key: Sequence[str]) -> DataFrame:
     """Share of matched frames with IoU at or above i/100, i = 0..100.
 
-    Frames are first counted per level, so the expansion to thresholds works on
-    at most 101 rows per key.
+    Frames are counted per level, then a key's levels (101 at most) are listed, and the thresholds are
+    the last step: nothing of their number is shuffled or held.
     """
     m = frames.where(F.col("iou").isNotNull())
     hist = m.groupBy(*key, success_level(F.col("iou")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    steps = hist.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-    out = steps.groupBy(*key, "i").agg(
-        F.sum(F.when(F.col("level") >= F.col("i"), F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("n")
-    )
-    return out.select(
-        *key,
-        (F.col("i").cast("double") / LEVELS).alias("threshold"),
-        (F.col("hits") / F.col("n")).alias("success_rate"),
-    )
+    levels = hist.groupBy(*key).agg(F.collect_list(F.struct("level", "n")).alias("_levels"), F.sum("n").alias("n"))
+    steps = levels.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    i = F.col("i")
+    hits = F.aggregate("_levels", F.lit(0).cast("long"), lambda s, e: s + F.when(e["level"] >= i, e["n"]).otherwise(0))
+    return steps.select(*key, (i.cast("double") / LEVELS).alias("threshold"), (hits / F.col("n")).alias("success_rate"))
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -94,3 +94,16 @@ def test_sweeps_tell_many_videos_apart(spark, tmp_path, name):
     sql = catalog.ORACLES[name].replace("threshold * 100000 +", "threshold * 100000000000 +")
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_thresholds_are_not_shuffled(spark):
+    from framelane.operators import evaluate as E
+
+    ious = {1: [0.0, 0.29, 0.5, 1.0], 2: [0.57], 3: [None], 4: [i / 100 for i in range(101)]}
+    df = spark.createDataFrame([(k, x) for k, v in ious.items() for x in v], "video_id int, iou double")
+    out = E.success_curve(df, ["video_id"])
+    lines = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    above = lines[: next(n for n, x in enumerate(lines) if "Generate" in x)]
+    assert not any("Aggregate" in x for x in above)
+    got = {(r["video_id"], round(r["threshold"] * 100)): r["success_rate"] for r in out.collect()}
+    assert got == {(k, i): sum(x >= i / 100 for x in v) / len(v) for k, v in ious.items() if v[0] is not None for i in range(101)}
