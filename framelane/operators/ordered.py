@@ -7,20 +7,53 @@ a summary table with one row per block. Frame numbers are 32-bit, so a key has
 at most 2**31 / SPAN = 524,288 blocks: the window over the summary is bounded
 whatever the share of one key in the data.
 
+Where no trajectory is longer than one block (:func:`short_at_once` looks once), a window over the
+key is bounded as it is: no summary, no join, and steps in a row share one shuffle and one sort.
+
 Input rows must be unique per (key, order); use :mod:`framelane.operators.dedup`
 first.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from framelane.session import cut
+
 SPAN = 4096
 BLOCK = "_blk"
+_SHORT: ContextVar[frozenset[str] | None] = ContextVar("short", default=None)
+
+
+def is_short(key: Sequence[str]) -> bool:
+    """Whether rows of ``key`` are known to fit into one block each."""
+    short = _SHORT.get()
+    return short is not None and short <= set(key)
+
+
+def short_at_once(fn: Callable) -> Callable:
+    """For operators (df, key, ...): write the input once and look whether its frames span a block at most, so that no key has more rows."""
+
+    @functools.wraps(fn)
+    def run(df: DataFrame, key: Sequence[str], *args, **more):
+        if is_short(key):
+            return fn(df, key, *args, **more)
+        df = cut(df)
+        order = more.get("order", "frame_index")
+        lo, hi = df.agg(F.min(order), F.max(order)).first()
+        token = _SHORT.set(frozenset(key) if lo is not None and hi - lo < SPAN else None)
+        try:
+            return fn(df, key, *args, **more)
+        finally:
+            _SHORT.reset(token)
+
+    return run
 
 
 def with_block(df: DataFrame, order: str, span: int = SPAN, block: str = BLOCK) -> DataFrame:
@@ -29,7 +62,7 @@ def with_block(df: DataFrame, order: str, span: int = SPAN, block: str = BLOCK)
 
 @dataclass(frozen=True)
 class Step:
-    """One ordered quantity: how a block is summarised, what crosses blocks, how a row uses it.
+    """One ordered quantity: how a block is summarised, what crosses blocks, how a row uses it; ``single``: what crosses where a key is one block.
 
     ``up`` / ``down`` are the same window in rising / falling order. Falling
     order is used to look ahead, as a frame that ends at "unbounded following"
@@ -40,6 +73,7 @@ class Step:
     summary: Column
     across: Callable[[Column, WindowSpec, WindowSpec], Column]
     combine: Callable[[Column, WindowSpec, WindowSpec], Column]
+    single: Callable[[WindowSpec], Column]
 
 
 START = Window.unboundedPreceding
@@ -48,7 +82,7 @@ END = Window.unboundedFollowing
 
 def total(name: str, agg: Column, merge: Callable[[Column], Column] = F.sum) -> Step:
     """Per-key aggregate delivered to every row (``merge`` folds block results)."""
-    return Step(name, agg, lambda c, up, down: merge(c).over(up.rowsBetween(START, END)), lambda c, up, down: c)
+    return Step(name, agg, lambda c, up, down: merge(c).over(up.rowsBetween(START, END)), lambda c, up, down: c, agg.over)
 
 
 def running_sum(name: str, value: Column, inclusive: bool = True) -> Step:
@@ -60,6 +94,7 @@ def running_sum(name: str, value: Column, inclusive: bool = True) -> Step:
         F.sum(value),
         lambda c, up, down: F.coalesce(F.sum(c).over(up.rowsBetween(START, -1)), zero),
         lambda c, up, down: c + F.coalesce(F.sum(value).over(up.rowsBetween(START, stop)), zero),
+        lambda whole: zero,
     )
 
 
@@ -70,6 +105,7 @@ def row_position(name: str = "pos0") -> Step:
         F.count(F.lit(1)),
         lambda c, up, down: F.coalesce(F.sum(c).over(up.rowsBetween(START, -1)), F.lit(0)),
         lambda c, up, down: (c + F.row_number().over(up) - 1).cast("long"),
+        lambda whole: F.lit(0),
     )
 
 
@@ -81,6 +117,7 @@ def previous_known(name: str, value: Column, order: str, inclusive: bool = False
         F.max_by(value, F.when(value.isNotNull(), F.col(order))),
         lambda c, up, down: F.last(c, ignorenulls=True).over(up.rowsBetween(START, -1)),
         lambda c, up, down: F.coalesce(F.last(value, ignorenulls=True).over(up.rowsBetween(START, stop)), c),
+        lambda whole: F.lit(None),
     )
 
 
@@ -92,6 +129,7 @@ def next_known(name: str, value: Column, order: str, inclusive: bool = False) ->
         F.min_by(value, F.when(value.isNotNull(), F.col(order))),
         lambda c, up, down: F.last(c, ignorenulls=True).over(down.rowsBetween(START, -1)),
         lambda c, up, down: F.coalesce(F.last(value, ignorenulls=True).over(down.rowsBetween(START, stop)), c),
+        lambda whole: F.lit(None),
     )
 
 
@@ -102,6 +140,7 @@ def first_known(name: str, value: Column, order: str) -> Step:
         F.min_by(value, F.when(value.isNotNull(), F.col(order))),
         lambda c, up, down: F.first(c, ignorenulls=True).over(up.rowsBetween(START, END)),
         lambda c, up, down: c,
+        F.min_by(value, F.when(value.isNotNull(), F.col(order))).over,
     )
 
 
@@ -115,6 +154,13 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def _known(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows that a join by these columns keeps."""
+    for c in cols:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def scan(
     df: DataFrame,
     key: Sequence[str],
@@ -124,14 +170,17 @@ def scan(
     block: str | None = None,
 ) -> DataFrame:
     """Add the steps' columns. ``block`` names an existing monotone block column, else frames are cut by ``span``."""
-    own = block is None
-    block = block or BLOCK
-    rows = with_block(df, order, span, block) if own else df
-
     def windows(by: Sequence[str], col: str):
         w = Window.partitionBy(*by)
         return w.orderBy(F.col(col).asc()), w.orderBy(F.col(col).desc())
 
+    if is_short(key):
+        inside, whole = windows(key, order), Window.partitionBy(*key)
+        return _known(df, [*key, order]).select(*df.columns, *[s.combine(s.single(whole), *inside).alias(s.name) for s in steps])
+    own = block is None
+    block = block or BLOCK
+    rows = with_block(df, order, span, block) if own else df
+
     edges = rows.groupBy(*key, block).agg(*[s.summary.alias(f"_s_{s.name}") for s in steps])
     across = windows(key, block)
     edges = edges.select(
@@ -158,6 +207,11 @@ def neighbours(
     arrive through the summary table; a block always holds a row, so that many
     blocks are enough.
     """
+    if is_short(key):
+        w, rec = Window.partitionBy(*key).orderBy(order), F.struct(*[F.col(c) for c in cols])
+        near = {f"_lag{j}": F.lag(rec, j).over(w) for j in range(1, back + 1)} | {f"_lead{j}": F.lead(rec, j).over(w) for j in range(1, ahead + 1)}
+        out = _known(df, [*key, order]).withColumns(near)
+        return out.select(*df.columns, *[F.col(n)[c].alias(f"{c}{n}") for n in near for c in cols])
     rows = with_block(df, order, span)
     inside = Window.partitionBy(*key, BLOCK).orderBy(order)
     inside_all = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelane.operators.ordered import Step, running_sum, scan, total
+from framelane.operators.ordered import Step, is_short, running_sum, scan, total
 from framelane.session import cut
 
 def range_count(df: DataFrame) -> int:
@@ -41,6 +41,8 @@ def value_table(
     t = clean.groupBy(*key, F.col(value)).agg(
         F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (extra or {}).items()]
     )
+    if is_short(key):  # few values per key: no ranges
+        return t.withColumn("_range", F.lit(0.0))
     # read three times below (sketch, range totals, rows), so it is written once
     return value_ranges(cut(t), value, ranges)
 

@@ -15,7 +15,7 @@ from framelane.operators import local
 from framelane.operators.frames import fill_edges
 from framelane.operators.interpolate import BOX, at
 from framelane.operators.modelling import second_moments
-from framelane.operators.ordered import neighbours, next_known, previous_known, row_position, running_sum, scan, total
+from framelane.operators.ordered import neighbours, next_known, previous_known, row_position, running_sum, scan, short_at_once, total
 from framelane.operators.ranked import percentiles
 from framelane.operators.smooth import adaptive_savgol, from_channels, to_channels
 from framelane.session import cut
@@ -96,6 +96,7 @@ def spline_gaps(
     return best.drop("_s").withColumn("filled", F.lit(False)).unionByName(new)
 
 
+@short_at_once
 def lowess(
     df: DataFrame, key: Sequence[str], value: str, frac: float = 0.5, iterations: int = 3, order: str = FRAME
 ) -> DataFrame:
@@ -250,6 +251,7 @@ SHAPE = ("cx", "cy", "w", "h")
 TARGETS = {"dx": "dx_prev", "dy": "dy_prev", "w": "w", "h": "h"}
 
 
+@short_at_once
 def fit_motion(df: DataFrame, key: Sequence[str]) -> dict[str, Column]:
     """Linear predictions of a row's step (dx, dy) and size (w, h) from its step features.
 
@@ -271,6 +273,7 @@ def fit_motion(df: DataFrame, key: Sequence[str]) -> dict[str, Column]:
     return out
 
 
+@short_at_once
 def local_repair(
     df: DataFrame,
     key: Sequence[str],

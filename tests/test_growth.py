@@ -107,3 +107,35 @@ def test_thresholds_are_not_shuffled(spark):
     assert not any("Aggregate" in x for x in above)
     got = {(r["video_id"], round(r["threshold"] * 100)): r["success_rate"] for r in out.collect()}
     assert got == {(k, i): sum(x >= i / 100 for x in v) / len(v) for k, v in ious.items() if v[0] is not None for i in range(101)}
+
+
+def test_short_trajectories_need_no_block_summaries(spark):
+    from framelane.operators import ordered as O
+    from framelane.operators import reconstruct as R
+    from framelane.operators import smooth
+
+    def joins(df):
+        return "Join" in df._jdf.queryExecution().sparkPlan().toString()
+
+    def steps(df, key):
+        v = F.col("v")
+        out = O.scan(
+            df, key, "frame_index", O.total("n", F.count(F.lit(1))), O.running_sum("s", v), O.running_sum("s0", v, False), O.row_position("p"),
+            O.previous_known("b", v, "frame_index"), O.next_known("a", v, "frame_index"), O.first_known("f", v, "frame_index"),
+        )
+        return O.neighbours(out, key, "frame_index", ["v"], back=2, ahead=1)
+
+    rows = [(k, f * k, None if (f + k) % 3 == 0 else float(f * f % 17)) for k in (1, 2, 5) for f in range(40)]
+    schema = "video_id int, frame_index int, v double"
+    near = spark.createDataFrame([*rows, (None, 1, 2.0), (1, None, 2.0)], schema)
+    far = spark.createDataFrame([*rows, (7, 5000, 1.0)], schema)
+    short, blocks = O.short_at_once(steps)(near, ["video_id"]), O.short_at_once(steps)(far, ["video_id"])
+    assert not joins(short) and joins(blocks) and not O.is_short(["video_id"])
+    assert sorted(map(str, short.collect())) == sorted(str(r) for r in blocks.collect() if r["video_id"] != 7)
+    box = far.where(F.col("v").isNotNull())
+    for fn, cols in ((lambda d: smooth.smooth_center(d, ["video_id"], cols=("v",)), ("v",)), (lambda d: R.lowess(d, ["video_id"], "v"), ("fit", "residual"))):
+        a = {(r["video_id"], r["frame_index"]): r for r in fn(box.where("video_id <> 7")).collect()}
+        b = {(r["video_id"], r["frame_index"]): r for r in fn(box).collect() if r["video_id"] != 7}
+        assert a.keys() == b.keys() and len(a) == 81
+        for at, r in a.items():
+            assert [r[c] for c in cols] == pytest.approx([b[at][c] for c in cols], abs=1e-9)
