@@ -24,6 +24,18 @@ from framelane.functions import geometry as G
 from framelane.operators.ranked import percentiles
 from framelane.session import cut
 
+ROWS_PER_TASK = 65_536
+
+
+def spread(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows dealt by ``key`` to a task per core, or to more tasks of at most about ``rows_per_task`` rows.
+
+    Fits go over their rows again and again on the partitions they are given, and a table in one file or row group is
+    one. Dealt and sorted by a unique key, what forests draw does not depend on the files the rows came from.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+    return df.repartition(n, key).sortWithinPartitions(key)
+
 
 def vectorise(df: DataFrame, names: Sequence[str], out: str = "features") -> DataFrame:
     """Columns in their order as one vector; missing and non-finite values are 0."""

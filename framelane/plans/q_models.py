@@ -172,7 +172,7 @@ _COLS = [f"f{i}" for i in range(_DIMS)] + ["copy", "mix"]
 
 
 def columns(spark, sf):
-    e = emb(spark, sf)
+    e = M.spread(emb(spark, sf), "vec_id")
     e = e.select("vec_id", "label", "subject_id", *[F.col("embedding")[i].alias(f"f{i}") for i in range(_DIMS)])
     return e.withColumns({"copy": F.col("f1") * 2 + 1, "mix": F.col("f0") * 0.5 + F.col("f3") * 0.001})
 
@@ -339,7 +339,7 @@ def _(spark, sf):
 @query("classifier_kinds", "M8 M14")
 def _(spark, sf):
     """Every kind with its own settings, fitted on four fifths of the subjects and scored on the others."""
-    df = cut(M.vectorise(columns(spark, sf), _COLS))
+    df = cut(M.vectorise(columns(spark, sf), _COLS).select("vec_id", "label", "subject_id", "features"))
     held = F.col("subject_id") % 5 == 0
     train, test = df.where(~held), df.where(held)
     out = None

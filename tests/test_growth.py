@@ -166,3 +166,32 @@ def test_close_axes_need_more_squarings_than_the_sql_has(spark, tmp_path):
     given, want = (sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({s})").fetchall()) for s in (sql, longer))
     rows = sorted(map(tuple, got.collect()))
     assert rows == want and rows != given
+
+
+def test_fits_of_a_table_in_one_file_use_all_cores(spark, sf, monkeypatch):
+    from framelane.operators import modelling as M
+    from framelane.plans import catalog
+
+    sizes, fit = [], M.fit
+
+    def counted(df, *args, **more):
+        sizes.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(df, *args, **more)
+
+    monkeypatch.setattr(M, "fit", counted)
+    monkeypatch.setattr(M, "CLASSIFIERS", {k: M.CLASSIFIERS[k] for k in ("decision_tree", "logistic_regression")})
+    out = catalog.QUERIES["classifier_kinds"](spark, sf)
+    assert out.count() == 200 and len(sizes) == 2
+    assert all(sum(s) == 400 and len(s) == spark.sparkContext.defaultParallelism and max(s) < 100 for s in sizes)
+
+
+def test_spread_rows_do_not_depend_on_files(spark):
+    from framelane.operators import modelling as M
+
+    def parts(df):
+        rows = M.spread(df, "id", rows_per_task=50).select("id", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("place"))
+        return {(r["id"], r["at"], r["place"]) for r in rows.collect()}
+
+    df = spark.range(0, 1000, 1, 1)
+    one = parts(df)
+    assert len(one) == 1000 and len({at for _, at, _ in one}) == 20 and one == parts(df.repartition(7)) == parts(df.orderBy(F.desc("id")))
