@@ -28,13 +28,15 @@ ROWS_PER_TASK = 65_536
 
 
 def spread(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Rows dealt by ``key`` to a task per core, or to more tasks of at most about ``rows_per_task`` rows.
+    """Rows dealt by ``key`` to a task per core, or to as many rounds of them as keep a task at about ``rows_per_task`` rows at most.
 
     Fits go over their rows again and again on the partitions they are given, and a table in one file or row group is
-    one. Dealt and sorted by a unique key, what forests draw does not depend on the files the rows came from.
+    one. Dealt and sorted by a unique key, what forests draw does not depend on the files the rows came from. A reader of
+    the written rows packs small files together again, by cores and by spark.sql.files.maxPartitionBytes.
     """
-    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
-    return df.repartition(n, key).sortWithinPartitions(key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rounds = max(1, -(-df.count() // (rows_per_task * cores)))
+    return df.repartition(cores * rounds, key).sortWithinPartitions(key)
 
 
 def vectorise(df: DataFrame, names: Sequence[str], out: str = "features") -> DataFrame:

@@ -194,4 +194,4 @@ def test_spread_rows_do_not_depend_on_files(spark):
 
     df = spark.range(0, 1000, 1, 1)
     one = parts(df)
-    assert len(one) == 1000 and len({at for _, at, _ in one}) == 20 and one == parts(df.repartition(7)) == parts(df.orderBy(F.desc("id")))
+    assert len(one) == 1000 and len({at for _, at, _ in one}) == 24 and one == parts(df.repartition(7)) == parts(df.orderBy(F.desc("id")))
