@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
-from framelane.operators.ordered import apart, row_position, running_sum, scan
+from framelane.operators.digests import Heads
+from framelane.operators.ordered import row_position, running_sum, scan
 from framelane.operators.ranked import average_rank, percentiles, ranked
-from framelane.session import cut
+from framelane.session import cut, tidy
 
 FLAT = 1e-12
 
@@ -219,6 +220,39 @@ def shuffled_positions(df: DataFrame, row_id: str, replicates: int, first: int =
     return scan(rows, ["perm"], "_h", row_position(), block="_hb").drop("_h", "_hb")
 
 
+def _dealt(rows: DataFrame, row_id: str, n: int, replicates: int, *cols: Column) -> DataFrame:
+    """(head, cols) dealt evenly to all cores, in tasks of about ``TASK_PAIRS`` digests at most; head + replicate is digested."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    rounds = max(1, math.ceil(n * replicates / TASK_PAIRS / cores))
+    head = F.coalesce(F.concat(F.col(row_id).cast("string"), F.lit("-")), F.lit(""))
+    return rows.select(head.alias("head"), *cols).repartition(cores * rounds)
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Heads, list[np.ndarray]]]:
+    """Heads and numbers (missing ones: 0) of ``PACK`` rows (about) at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def pack() -> tuple[Heads, list[np.ndarray]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        numbers = [table[c].fill_null(0).to_numpy() for c in table.column_names[1:]]
+        return Heads([x.encode() for x in table["head"].to_pylist()]), numbers
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK:
+            yield pack()
+    if sum(b.num_rows for b in held):
+        yield pack()
+
+
+#: Rows whose digests a task holds at once, digests of a task, (row, replicate) pairs of a job's shuffle and of one group of it.
+PACK = 1 << 16
+TASK_PAIRS = 1 << 28
+JOB_PAIRS = 1 << 25
+GROUP_PAIRS = 1 << 20
+
+
 def first_sums(rows: DataFrame, row_id: str, value: str, take: int, replicates: int, near: float | None = None) -> DataFrame:
     """(perm, sa): sum of ``value`` over the first ``take`` rows of each random order.
 
@@ -230,22 +264,18 @@ def first_sums(rows: DataFrame, row_id: str, value: str, take: int, replicates:
     n = rows.count()
     share = take / n
     near = near if near is not None else 7.0 * math.sqrt(max(share * (1.0 - share), 1.0 / n) / n)
-    perms = F.sequence(F.lit(0), F.lit(replicates - 1))
-    got = cut(_band_sums(rows, row_id, value, take, F.explode(perms), share - near, share + near))
+    got = cut(_band_sums(rows, row_id, value, take, n, range(replicates), share - near, share + near))
     rest = sorted(set(range(replicates)) - {r["perm"] for r in got.select("perm").collect()})
     if not rest:
         return got
-    return got.unionByName(_band_sums(rows, row_id, value, take, F.explode(F.array(*[F.lit(p) for p in rest])), 0.0, 1.0))
+    return got.unionByName(_band_sums(rows, row_id, value, take, n, rest, 0.0, 1.0))
 
 
-def _band_sums(rows: DataFrame, row_id: str, value: str, take: int, perms: Column, low: float, high: float) -> DataFrame:
-    deals = rows.withColumn("perm", perms).withColumn("_h", _order_key(F.col(row_id), F.col("perm")))
-    if high < 1.0:
-        deals = deals.where(F.col("_h") < f"{int(high * 16**8):08x}")
-    inside = F.col("_h") >= f"{max(0, int(low * 16**8)):08x}"
-    parts = deals.groupBy("perm", F.when(inside, F.col("_h")).alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"))
+def _band_sums(rows: DataFrame, row_id: str, value: str, take: int, n: int, perms: Sequence[int], low: float, high: float) -> DataFrame:
+    deals = _dealt(rows, row_id, n, len(perms), F.col(value).cast("double").alias("v"))
+    parts = deals.mapInArrow(_band_parts(list(perms), low, high), "perm int, _h binary, _hb int, n long, s double")
+    parts = parts.groupBy("perm", "_h", "_hb").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     # rows of one digest (of one id, that is) share alike if the place falls among them
-    parts = parts.withColumn("_hb", F.when(F.col("_h").isNull(), -1).otherwise(F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")))
     parts = scan(parts, ["perm"], "_h", running_sum("before", F.col("n"), inclusive=False), block="_hb")
     k = F.least(F.col("n"), F.lit(take) - F.col("before"))
     part = F.when(k == F.col("n"), F.col("s")).otherwise(F.col("s") * k / F.col("n"))
@@ -254,6 +284,33 @@ def _band_sums(rows: DataFrame, row_id: str, value: str, take: int, perms: Colum
     return reached.where((F.col("m") == take) & ~F.col("over")).select("perm", "sa")
 
 
+def _band_parts(perms: list[int], low: float, high: float):
+    """A task's rows: per replicate one sum below the band (no digest, block -1), and the band's rows (block: leading digits)."""
+    first, stop = max(0, int(low * 2**32)), int(high * 2**32) if high < 1.0 else 2**32
+
+    def batch(perm, h, hb, n, s) -> pa.RecordBatch:
+        arrays = [pa.array(perm, pa.int32()), pa.array(h, pa.binary()), pa.array(hb, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.float64())]
+        return pa.RecordBatch.from_arrays(arrays, ["perm", "_h", "_hb", "n", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, sums = np.zeros(len(perms), np.int64), np.zeros(len(perms))
+        for heads, (v,) in _packs(batches):
+            for j, perm in enumerate(perms):
+                h = heads.digests(b"%d" % perm)
+                below = h[0] < first
+                count[j] += np.count_nonzero(below)
+                sums[j] += v[below].sum()
+                at = np.flatnonzero(~below & (h[0] < stop))
+                if len(at):
+                    raw = h[:, at].T.astype(">u4").tobytes()
+                    digests = [raw[i: i + 16] for i in range(0, len(raw), 16)]
+                    yield batch(np.full(len(at), perm), digests, h[0][at] >> 20, np.ones(len(at), np.int64), v[at])
+        seen = np.flatnonzero(count)
+        yield batch(np.array(perms)[seen], [None] * len(seen), np.full(len(seen), -1), count[seen], sums[seen])
+
+    return run
+
+
 def permutation_p_mean_diff(df: DataFrame, row_id: str, value: str, in_a: Column, replicates: int) -> DataFrame:
     """Two-sided p of mean(A) - mean(B) when membership is shuffled: (hits + 1) / (replicates + 1)."""
     rows = cut(df.select(row_id, F.col(value).alias("v"), in_a.alias("a")))
@@ -277,23 +334,133 @@ def permutation_p_mean_diff(df: DataFrame, row_id: str, value: str, in_a: Column
 
 
 def permutation_p_corr(df: DataFrame, row_id: str, x: str, y: str, replicates: int) -> DataFrame:
-    """Two-sided p of the correlation when y is dealt out anew: row i meets the y at place i of the random order."""
-    rows = df.where(G.finite(F.col(x)) & G.finite(F.col(y))).select(row_id, F.col(x).alias("x"), F.col(y).alias("y"))
+    """Two-sided p of the correlation when y is dealt out anew: row i meets the y at place i of the random order.
+
+    Means and spreads stay as they are, so a replicate is one sum of products. Orders that come out equal to the observed
+    one count, whatever the last bits of their sums are.
+    """
+    rows = df.where(G.finite(F.col(x)) & G.finite(F.col(y))).select(row_id, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     rows = rows.withColumn("_one", F.lit(0))
     block = F.conv(F.substring(_order_key(F.col(row_id), F.lit(-1)), 1, 3), 16, 10).cast("int")
     rows = rows.withColumns({"_ib": block, "_ih": _order_key(F.col(row_id), F.lit(-1))})
     rows = cut(scan(rows, ["_one"], "_ih", row_position("i"), block="_ib").select(row_id, "x", "y", "i"))
-    obs = rows.agg(pearson(F.col("x"), F.col("y")).alias("r")).first()["r"]
-    if obs is None:
+    obs = rows.agg(
+        pearson(F.col("x"), F.col("y")).alias("r"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        (F.stddev_pop("x") * F.stddev_pop("y")).alias("spread"),
+    ).first()
+    if obs["r"] is None:
         return rows.sparkSession.range(1).select(
             F.lit(None).cast("double").alias("observed"), F.lit(None).cast("double").alias("p_value")
         )
-    dealt = shuffled_positions(rows.select(row_id, "y"), row_id, replicates).select(
-        "perm", F.col("pos0").alias("i"), F.col("y")
+    products = dealt_products(rows.select(row_id, (F.col("x") - obs["mx"]).alias("x"), (F.col("y") - obs["my"]).alias("y"), "i"), row_id, obs["n"], replicates)
+    least = abs(obs["r"]) * (1.0 - 1e-12)
+    hits = sum(abs(s / obs["n"] / obs["spread"]) >= least for s in products.values())
+    return rows.sparkSession.range(1).select(F.lit(obs["r"]).alias("observed"), F.lit((hits + 1) / float(replicates + 1)).alias("p_value"))
+
+
+def dealt_products(rows: DataFrame, row_id: str, n: int, replicates: int, words: int = 2) -> dict[int, float]:
+    """Per replicate (one number each on the driver): sum of x at place i times the y that comes i-th in the random order.
+
+    ``rows``: id, x, y and the place ``i`` (0 .. n - 1) of x. Replicates go in jobs of about ``JOB_PAIRS`` pairs, whose
+    shuffle is deleted with their end, so that disk does not grow with the replicates. Digests are uniform: their leading
+    numbers cut an order into even bands. A first pass counts them, so a band knows its places and meets the x of
+    these. Digests are told apart by ``words`` of their four numbers; replicates where two share these are done again with all.
+    """
+    each = max(1, min(replicates, JOB_PAIRS // max(1, n)))
+    bands = max(1, math.ceil(n * each / GROUP_PAIRS))
+    heads = cut(_dealt(rows, row_id, n, replicates, F.col("y")))
+    counts = heads.mapInArrow(_band_counts(replicates, bands), "perm int, band int, n long").groupBy("perm", "band").agg(F.sum("n").alias("n"))
+    starts = cut(scan(counts.withColumn("_b", F.lit(0)), ["perm"], "band", running_sum("start", F.col("n"), inclusive=False), block="_b").drop("_b"))
+    places = F.struct("i", "x")
+    xs = cut(
+        rows.groupBy(F.floor(F.col("i") / PACK).alias("k")).agg(F.array_sort(F.collect_list(places)).alias("c"))
+        .select("k", (F.col("k") * PACK).alias("start"), F.transform("c", lambda e: e["x"]).alias("xs"))
     )
-    r = dealt.join(apart(rows.select("i", "x")), "i").groupBy("perm").agg(F.corr("x", "y").alias("r"))
-    hits = r.agg(F.count_if(F.abs("r") >= abs(obs)).alias("c"))
-    return hits.select(F.lit(obs).alias("observed"), ((F.col("c") + 1) / F.lit(float(replicates + 1))).alias("p_value"))
+    got: dict[int, float] = {}
+
+    def job(perms: Sequence[int], words: int) -> list[int]:
+        here = starts.where(F.col("perm").isin(list(perms)))
+        k = F.sequence(F.floor(F.min("start") / PACK), F.floor((F.max(F.col("start") + F.col("n")) - 1) / PACK))
+        wanted = here.groupBy("band").agg(k.alias("k")).select("band", F.explode("k").alias("k")).join(xs.hint("merge"), "k")
+        sent = heads.mapInArrow(_band_rows(list(perms), bands, words), "band int, perm int, keys binary, ys binary")
+        both = sent.unionByName(here.select("band", "perm", "start"), allowMissingColumns=True)
+        both = both.unionByName(wanted.select("band", "start", "xs"), allowMissingColumns=True)
+        sums = both.groupBy("band").applyInArrow(_band_products(words), "perm int, s double, same boolean")
+        with tidy(rows.sparkSession):
+            done = sums.groupBy("perm").agg(F.sum("s").alias("s"), F.max("same").alias("same")).collect()
+        got.update({r["perm"]: r["s"] for r in done})
+        return [r["perm"] for r in done if r["same"]]
+
+    again = [p for lo in range(0, replicates, each) for p in job(range(lo, min(replicates, lo + each)), words)]
+    for lo in range(0, len(again), max(1, each // 2)):
+        job(again[lo: lo + max(1, each // 2)], 4)
+    return got
+
+
+def _band_of(leading: np.ndarray, bands: int) -> np.ndarray:
+    return (leading.astype(np.uint64) * np.uint64(bands)) >> np.uint64(32)
+
+
+def _band_counts(replicates: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((replicates, bands), np.int64)
+        for heads, _ in _packs(batches):
+            for perm in range(replicates):
+                count[perm] += np.bincount(_band_of(heads.digests(b"%d" % perm)[0], bands).astype(np.int64), minlength=bands)
+        perm, band = np.nonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(perm.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(count[perm, band])], ["perm", "band", "n"])
+
+    return run
+
+
+def _band_rows(perms: list[int], bands: int, words: int):
+    """Rows of each (replicate, band) in packs: leading numbers of the digests, and y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for heads, (y,) in _packs(batches):
+            for perm in perms:
+                h = heads.digests(b"%d" % perm)
+                band = _band_of(h[0], bands)
+                order = np.argsort(band, kind="stable")
+                mine, at = np.unique(band[order], return_index=True)
+                ends = [*at[1:], len(order)]
+                keys, ys = np.ascontiguousarray(h[:words, order].T), y[order]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(mine.astype(np.int32)), pa.array(np.full(len(mine), perm, np.int32)),
+                        pa.array([keys[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
+                        pa.array([ys[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
+                    ],
+                    ["band", "perm", "keys", "ys"],
+                )
+
+    return run
+
+
+def _band_products(words: int):
+    """One band of some replicates beside the x of its places: per replicate the sum of products, and whether digests were the same."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        packs, starts, xs = {}, {}, []
+        for band, perm, keys, ys, start, x in zip(*(rows[c] for c in ("band", "perm", "keys", "ys", "start", "xs"))):
+            if keys.is_valid:
+                packs.setdefault(perm.as_py(), []).append((np.frombuffer(keys.as_buffer(), np.uint32).reshape(-1, words), np.frombuffer(ys.as_buffer())))
+            elif perm.is_valid:
+                starts[perm.as_py()] = start.as_py()
+            else:
+                xs.append((start.as_py(), x.values.to_numpy()))
+        xs.sort(key=lambda p: p[0])
+        base, x = xs[0][0], np.concatenate([p[1] for p in xs])
+        out = []
+        for perm, parts in packs.items():
+            keys, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.lexsort((y, *keys.T[::-1]))
+            keys, at = keys[order], starts[perm] - base
+            same = words < 4 and bool((keys[1:] == keys[:-1]).all(axis=1).any())
+            out.append((perm, float(x[at: at + len(y)] @ y[order]), same))
+        return pa.table({"perm": pa.array([o[0] for o in out], pa.int32()), "s": [o[1] for o in out], "same": [o[2] for o in out]})
+
+    return run
 
 
 def experiment_table(df: DataFrame, key: Sequence[str], score: str = "score") -> DataFrame:

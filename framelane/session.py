@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,9 @@ CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Spark then deletes what a job shuffled as soon as the job is done; otherwise files stay until the driver collects garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _CUTS: list[str] = []
 _SHIPPED: set[str] = set()
 
@@ -68,25 +73,47 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here whose plan is not run again leave no shuffle files behind. A Spark without the setting goes on as ever."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
+def cut(df: DataFrame, compression: str | None = None, spent: Sequence[DataFrame] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from there.
 
     Used where a result feeds several branches: the branches then read the
     columns they need instead of repeating the shuffles before this point, and
-    a lost executor costs a re-read, not the whole lineage.
+    a lost executor costs a re-read, not the whole lineage. What the job shuffled is deleted with its end, and so
+    are the ``spent`` cuts: tables that nothing reads from here on.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/framelane-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    with tidy(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     _CUTS.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in spent:
+        _delete(df.sparkSession, _CUTS.pop(_CUTS.index(old.cut_path)))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release_cuts(spark: SparkSession) -> int:
     """Delete the tables written by :func:`cut` in this session; results read from them end here."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
     while _CUTS:
-        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
-        done += bool(path.getFileSystem(conf).delete(path, True))
+        done += bool(_delete(spark, _CUTS.pop()))
     return done

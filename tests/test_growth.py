@@ -195,3 +195,75 @@ def test_spread_rows_do_not_depend_on_files(spark):
     df = spark.range(0, 1000, 1, 1)
     one = parts(df)
     assert len(one) == 1000 and len({at for _, at, _ in one}) == 24 and one == parts(df.repartition(7)) == parts(df.orderBy(F.desc("id")))
+
+
+def test_digests_of_many_strings_at_once():
+    import numpy as np
+
+    from framelane.operators.digests import Heads
+
+    heads = [b"", b"x" * 53, b"y" * 54, b"z" * 70, "\u00e9-".encode()] + [f"{i * i}:{i % 120}-".encode() for i in range(500)]
+    for ending in (b"0", b"17", b"-1", b"1234567"):
+        want = np.array([np.frombuffer(hashlib.md5(h + ending).digest(), ">u4") for h in heads]).T
+        assert (Heads(heads).digests(ending) == want).all()
+
+
+def test_first_sums_draw_in_tasks(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(A, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else float(i)) for i in range(100)] + [(None, 5.0)], "id long, v double")
+    rows = [(digest(i, p), i, p) for p in range(4) for i in range(100)] + [(hashlib.md5(b"%d" % p).hexdigest(), 5, p) for p in range(4)]
+    want = {p: sum(float(i) for h, i, q in sorted(r for r in rows if r[2] == p)[:40] if i % 7) for p in range(4)}
+    assert {r["perm"]: r["sa"] for r in A.first_sums(df, "id", "v", 40, 4).collect()} == want
+    assert plans and not any("Generate" in p for p in plans)
+
+
+@pytest.mark.parametrize("words", [1, 2, 4])
+@pytest.mark.parametrize("pairs", [300, 2_000, 1 << 25])
+def test_products_of_dealt_rows_in_jobs(spark, monkeypatch, pairs, words):
+    """Replicates of several jobs, bands of few rows; leading numbers that two rows share are told apart by the others."""
+    monkeypatch.setattr(A, "JOB_PAIRS", pairs)
+    monkeypatch.setattr(A, "GROUP_PAIRS", 100)
+    monkeypatch.setattr(A, "PACK", 64)
+    rows = [(i, float(i * 7 % 31), float(i * i % 11), (i * 11) % 300) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, i long")
+    x = {i: v for _, v, _, i in rows}
+    want = {p: sum(x[k] * y for k, (_, y) in enumerate(sorted((digest(i, p), y) for i, _, y, _ in rows))) for p in range(5)}
+    assert A.dealt_products(df, "id", 300, 5, words) == want
+
+
+def test_same_leading_numbers_are_told_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    def band(keys):
+        n = len(keys)
+        given = [(0, 3, np.array(keys, np.uint32).tobytes(), np.arange(1.0, n + 1).tobytes(), None, None), (0, 3, None, None, 0, None), (0, None, None, None, 0, [float(10**i) for i in range(n)])]
+        names = ("band int32", "perm int32", "keys binary", "ys binary", "start int64", "xs list")
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float64()))
+        return pa.table({n.split()[0]: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*given))})
+
+    two = A._band_products(2)(band([[5, 9], [5, 8], [4, 1]])).to_pylist()
+    assert two == [{"perm": 3, "s": 3.0 + 20.0 + 100.0, "same": False}]
+    assert A._band_products(2)(band([[5, 9], [5, 9], [4, 1]])).to_pylist()[0]["same"]
+    four = A._band_products(4)(band([[5, 9, 1, 2], [5, 9, 1, 1], [4, 1, 0, 0]])).to_pylist()
+    assert four == [{"perm": 3, "s": 3.0 + 20.0 + 100.0, "same": False}]
+
+
+def test_cuts_leave_no_shuffle_files(spark):
+    import gc
+
+    from framelane import session
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    gc.collect()
+    before = shuffled()
+    one = cut(spark.range(20_000).groupBy((F.col("id") % 999).alias("k")).count())
+    two = session.cut(one.groupBy("count").agg(F.count("*").alias("n")), spent=[one])
+    assert not shuffled() - before and sum(r["n"] for r in two.collect()) == 999
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        one.collect()
+    assert spark.conf.get(session.TIDY) == "false" and one.cut_path not in session._CUTS and two.cut_path in session._CUTS
