@@ -229,14 +229,14 @@ def _dealt(rows: DataFrame, row_id: str, n: int, replicates: int, *cols: Column)
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Heads, list[np.ndarray]]]:
-    """Heads and numbers (missing ones: 0) of ``PACK`` rows (about) at a time."""
+    """Heads and numbers (missing ones: 0; in the order of the digests) of ``PACK`` rows (about) at a time."""
     held: list[pa.RecordBatch] = []
 
     def pack() -> tuple[Heads, list[np.ndarray]]:
         table = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        numbers = [table[c].fill_null(0).to_numpy() for c in table.column_names[1:]]
-        return Heads([x.encode() for x in table["head"].to_pylist()]), numbers
+        heads = Heads([x.encode() for x in table["head"].to_pylist()])
+        return heads, [table[c].fill_null(0).to_numpy()[heads.order] for c in table.column_names[1:]]
 
     for batch in batches:
         held.append(batch)
@@ -295,16 +295,18 @@ def _band_parts(perms: list[int], low: float, high: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, sums = np.zeros(len(perms), np.int64), np.zeros(len(perms))
         for heads, (v,) in _packs(batches):
+            near: list[tuple] = []
             for j, perm in enumerate(perms):
-                h = heads.digests(b"%d" % perm)
-                below = h[0] < first
+                h = heads.digests(b"%d" % perm, leading=True)[0]
+                below = h < first
                 count[j] += np.count_nonzero(below)
                 sums[j] += v[below].sum()
-                at = np.flatnonzero(~below & (h[0] < stop))
-                if len(at):
-                    raw = h[:, at].T.astype(">u4").tobytes()
-                    digests = [raw[i: i + 16] for i in range(0, len(raw), 16)]
-                    yield batch(np.full(len(at), perm), digests, h[0][at] >> 20, np.ones(len(at), np.int64), v[at])
+                at = np.flatnonzero(~below & (h < stop))
+                near.append((np.full(len(at), perm), h[at] >> 20, v[at], [hashlib.md5(heads.heads[k] + b"%d" % perm).digest() for k in at]))
+                if j == len(perms) - 1 or sum(len(x[0]) for x in near) >= PACK:
+                    perm_, hb_, v_ = (np.concatenate(x) for x in list(zip(*near))[:3])
+                    yield batch(perm_, [d for x in near for d in x[3]], hb_, np.ones(len(v_), np.int64), v_)
+                    near = []
         seen = np.flatnonzero(count)
         yield batch(np.array(perms)[seen], [None] * len(seen), np.full(len(seen), -1), count[seen], sums[seen])
 
@@ -406,7 +408,7 @@ def _band_counts(replicates: int, bands: int):
         count = np.zeros((replicates, bands), np.int64)
         for heads, _ in _packs(batches):
             for perm in range(replicates):
-                count[perm] += np.bincount(_band_of(heads.digests(b"%d" % perm)[0], bands).astype(np.int64), minlength=bands)
+                count[perm] += np.bincount(_band_of(heads.digests(b"%d" % perm, leading=True)[0], bands).astype(np.int64), minlength=bands)
         perm, band = np.nonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(perm.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(count[perm, band])], ["perm", "band", "n"])
 
