@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
 from framelane.operators.ranked import percentiles
-from framelane.session import cut
+from framelane.session import cut, shared_folder
 
 ROWS_PER_TASK = 65_536
 
@@ -367,6 +367,9 @@ def fit(df: DataFrame, kind: str, label: str = "label", features: str = "feature
     if balanced and kind in WEIGHTED:
         df = balanced_weights(df, label)
         args["weightCol"] = "weight"
+    sc = df.sparkSession.sparkContext
+    if kind == "boosted_trees" and not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))  # else every round carries the lineage of all before
     if kind == "mlp" and "layers" not in params:
         args["layers"] = [len(df.select(features).first()[0]), 16, 2]
     return CLASSIFIERS[kind](**args).fit(df)

@@ -268,3 +268,18 @@ def test_cuts_leave_no_shuffle_files(spark):
     with pytest.raises(Exception, match="(?i)not.*exist"):
         one.collect()
     assert spark.conf.get(session.TIDY) == "false" and one.cut_path not in session._CUTS and two.cut_path in session._CUTS
+
+
+def test_classifier_kinds_are_fitted_in_full(spark, sf, monkeypatch):
+    from framelane.operators import modelling as M
+    from framelane.plans import catalog
+
+    asked, rounds = {}, M.CLASSIFIERS["boosted_trees"](labelCol="label", featuresCol="features").getMaxIter()
+
+    def noted(kind):
+        return lambda **p: (asked.update({kind: set(p)}), M.DecisionTreeClassifier(maxDepth=1, **{k: v for k, v in p.items() if k != "layers"}))[1]
+
+    monkeypatch.setattr(M, "CLASSIFIERS", {k: noted(k) for k in M.CLASSIFIERS})
+    assert catalog.QUERIES["classifier_kinds"](spark, sf).select("kind").distinct().count() == 7 and rounds == 200
+    assert len(asked) == 7 and all(p <= {"labelCol", "featuresCol", "weightCol", "layers"} for p in asked.values())
+    assert spark.sparkContext.getCheckpointDir()
