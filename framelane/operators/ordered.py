@@ -37,17 +37,23 @@ def is_short(key: Sequence[str]) -> bool:
     return short is not None and short <= set(key)
 
 
-def short_at_once(fn: Callable) -> Callable:
-    """For operators (df, key, ...): write the input once and look whether its frames span a block at most, so that no key has more rows."""
+def short_at_once(fn: Callable | None = None, *, from_zero: bool = False) -> Callable:
+    """For operators (df, key, ...): write the input once and look whether its frames span a block at most, so that no key has more rows.
+
+    ``from_zero``: for operators that make rows of all frames from 0 on.
+    """
+    if fn is None:
+        return functools.partial(short_at_once, from_zero=from_zero)
 
     @functools.wraps(fn)
     def run(df: DataFrame, key: Sequence[str], *args, **more):
-        if is_short(key):
+        if is_short(key) and not from_zero:
             return fn(df, key, *args, **more)
         df = cut(df)
         order = more.get("order", "frame_index")
         lo, hi = df.agg(F.min(order), F.max(order)).first()
-        token = _SHORT.set(frozenset(key) if lo is not None and hi - lo < SPAN else None)
+        fits = lo is not None and (hi < SPAN and lo >= 0 if from_zero else hi - lo < SPAN)
+        token = _SHORT.set(frozenset(key) if fits else None)
         try:
             return fn(df, key, *args, **more)
         finally:

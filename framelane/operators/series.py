@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelane.functions import geometry as G
 from framelane.operators.interpolate import at, fill, pieces
-from framelane.operators.ordered import BLOCK, SPAN, apart, neighbours, scan, total
+from framelane.operators.ordered import BLOCK, SPAN, apart, is_short, neighbours, scan, short_at_once, total
 from framelane.operators.ranked import percentiles_of
 from framelane.operators.smooth import savgol, two_scale_hampel
 from framelane.session import cut
@@ -46,6 +46,34 @@ def _frames_to(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return cells.select(*key, F.explode(F.sequence(lo, hi)).alias(FRAME))
 
 
+def _every_frame(rows: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Short trajectories at frames 0 .. last: each row makes the frames up to the next one from its piece, the first one those before it too.
+
+    Equals :func:`framelane.operators.interpolate.fill` of the dense table, but nothing dense is shuffled.
+    """
+    steps = [total("_knots", F.count(F.lit(1)))]
+    for v in values:
+        steps += [total(f"_lo_{v}", F.min(v), F.min), total(f"_hi_{v}", F.max(v), F.max)]
+    out = scan(pieces(rows, key, values), key, FRAME, *steps)
+    first = F.lag(FRAME).over(Window.partitionBy(*key).orderBy(FRAME)).isNull()
+    start = F.when(first, F.lit(0)).otherwise(F.col(FRAME)).cast("int")
+    stop = F.coalesce(F.col("piece.t1").cast("int") - 1, F.col(FRAME)).cast("int")
+    out = out.withColumns({"_start": start, "_stop": stop}).withColumn("_t", F.explode(F.sequence("_start", "_stop")))
+    own = F.col("_t") == F.col(FRAME)
+
+    def value(c: str) -> Column:
+        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        between = F.least(F.greatest(at(F.col("piece"), c, F.col("_t")), lo), hi)
+        return F.when(own, F.col(c)).when(F.col("_knots") == 1, lo).otherwise(between).alias(c)
+
+    return out.select(*key, F.col("_t").alias(FRAME), *[value(c) for c in values])
+
+
+def _once(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Written once, unless short trajectories let all steps share one shuffle by key."""
+    return df if is_short(key) else cut(df)
+
+
 def timeline(
     df: DataFrame,
     key: Sequence[str],
@@ -64,9 +92,12 @@ def timeline(
         rows = clean.select(*[F.col(f"{c}_clean").alias(c) if c in hampel else F.col(c) for c in rows.columns])
     rows = cut(rows.withColumn("_k", F.lit(True)))
     values = [c for c in rows.columns if c not in (*key, FRAME, "_k")]
-    # written once: filling reads it several times, and a join with exploded frames must not be a broadcast of them
-    dense = cut(_frames_to(rows, key).join(apart(rows), [*key, FRAME], "left"))
-    full = cut(fill(dense, key, values, F.col("_k"), kind=kind).drop("_k", "knots"))
+    if is_short(key) and kind == "pchip":
+        full = _every_frame(rows, key, values)
+    else:
+        # written once: filling reads it several times, and a join with exploded frames must not be a broadcast of them
+        dense = cut(_frames_to(rows, key).join(apart(rows), [*key, FRAME], "left"))
+        full = cut(fill(dense, key, values, F.col("_k"), kind=kind).drop("_k", "knots"))
     if smooth:
         full = savgol(full, key, list(smooth))
     out = neighbours(full, key, FRAME, ["cx", "cy"], back=1)
@@ -74,11 +105,19 @@ def timeline(
     return out.withColumn("speed", F.coalesce(speed, F.lit(0.0))).drop("cx_lag1", "cy_lag1")
 
 
-def derived_channels(full: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Sixteen channels: centre as displacement from its median, plus acceleration, heading, area change, radius, bend."""
-    full = cut(full)
-    med = percentiles_of(full, key, {"cx": {"_mx": 0.5}, "cy": {"_my": 0.5}})
-    rows = neighbours(full, key, FRAME, ["cx", "cy", "speed", "box_area"], back=2).join(med, list(key))
+def derived_channels(full: DataFrame, key: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Sixteen channels: centre as displacement from its median, plus acceleration, heading, area change, radius, bend.
+
+    Columns named in ``keep`` go along.
+    """
+    full = _once(full, key)
+    rows = neighbours(full, key, FRAME, ["cx", "cy", "speed", "box_area"], back=2)
+    if is_short(key):
+        whole = Window.partitionBy(*key)
+        given = {m: F.when(~F.isnan(c), F.col(c)) for m, c in (("_mx", "cx"), ("_my", "cy"))}
+        rows = rows.withColumns({m: F.percentile(c, F.lit(0.5)).over(whole) for m, c in given.items()})
+    else:
+        rows = rows.join(percentiles_of(full, key, {"cx": {"_mx": 0.5}, "cy": {"_my": 0.5}}), list(key))
     vx, vy = F.col("cx") - F.col("cx_lag1"), F.col("cy") - F.col("cy_lag1")
     ux, uy = F.col("cx_lag1") - F.col("cx_lag2"), F.col("cy_lag1") - F.col("cy_lag2")
     mag = F.hypot(vx, vy)
@@ -99,14 +138,17 @@ def derived_channels(full: DataFrame, key: Sequence[str]) -> DataFrame:
         z(F.col("box_area") - F.col("box_area_lag1")).alias("d_area"),
         F.hypot(dx, dy).alias("radial"),
         z(F.abs(ux * vy - uy * vx) / (F.hypot(ux, uy) * mag + 1e-12)).alias("bend"),
+        *keep,
     )
 
 
 def resample(full: DataFrame, key: Sequence[str], channels: Sequence[str], steps: int = 256) -> DataFrame:
     """Long table (key, channel, step, value) at ``steps`` evenly spaced frames, rounded half to even."""
     top = steps - 1
-    ends = full.groupBy(*key).agg(F.max(FRAME).alias("_t"))
-    rows = full.join(ends, list(key))
+    if is_short(key):
+        rows = full.withColumn("_t", F.max(FRAME).over(Window.partitionBy(*key)))
+    else:
+        rows = full.join(full.groupBy(*key).agg(F.max(FRAME).alias("_t")), list(key))
     # A frame names the steps that fall on it: the few about its share of the way, all of them on a single frame.
     gap = F.col("_t").cast("double") / F.lit(float(max(1, top)))
     one = F.col("_t") == 0
@@ -158,25 +200,26 @@ ALL_SIX = ("cx", "cy", "area", "eq_diam", "circularity", "flatness")
 LITE_FOUR = ("cx", "cy", "area", "eq_diam")
 
 
+@short_at_once(from_zero=True)
 def geometry_series(df: DataFrame, key: Sequence[str], steps: int = 256) -> DataFrame:
-    return resample(cut(timeline(df, key)), key, GEOMETRY_SERIES, steps)
+    return resample(_once(timeline(df, key), key), key, GEOMETRY_SERIES, steps)
 
 
+@short_at_once(from_zero=True)
 def derived_series(df: DataFrame, key: Sequence[str], steps: int = 256) -> DataFrame:
-    return resample(cut(derived_channels(timeline(df, key), key)), key, DERIVED_SERIES, steps)
+    return resample(_once(derived_channels(timeline(df, key), key), key), key, DERIVED_SERIES, steps)
 
 
+@short_at_once(from_zero=True)
 def box_series(df: DataFrame, key: Sequence[str], steps: int = 256) -> DataFrame:
     """Ten channels; frames without mask values take them from the box."""
     full = timeline(df, key, True, ALL_SIX, ALL_SIX)
-    return resample(cut(derived_channels(full, key)), key, BOX_SERIES, steps)
+    return resample(_once(derived_channels(full, key), key), key, BOX_SERIES, steps)
 
 
+@short_at_once(from_zero=True)
 def lite_series(df: DataFrame, key: Sequence[str], steps: int = 256) -> DataFrame:
     """Nine channels, and the texture columns among ``glcm_contrast, glcm_homogeneity, gray_mean`` that are given."""
     tex = [c for c in TEXTURE if c in df.columns]
     full = timeline(df, key, False, [*LITE_FOUR, *tex], [*LITE_FOUR, *tex])
-    d = derived_channels(full, key)
-    if tex:
-        d = d.join(full.select(*key, FRAME, *tex), [*key, FRAME])
-    return resample(cut(d), key, [*LITE_SERIES, *tex], steps)
+    return resample(_once(derived_channels(full, key, tex), key), key, [*LITE_SERIES, *tex], steps)

@@ -283,3 +283,22 @@ def test_classifier_kinds_are_fitted_in_full(spark, sf, monkeypatch):
     assert catalog.QUERIES["classifier_kinds"](spark, sf).select("kind").distinct().count() == 7 and rounds == 200
     assert len(asked) == 7 and all(p <= {"labelCol", "featuresCol", "weightCol", "layers"} for p in asked.values())
     assert spark.sparkContext.getCheckpointDir()
+
+
+@pytest.mark.parametrize("name", ["geometry_series", "derived_series", "box_series", "lite_series"])
+def test_series_of_short_trajectories_are_shuffled_once(spark, name):
+    """Frames are made inside the tasks, no dense table is written or shuffled; values are those of the block-wise path."""
+    frames = {1: range(0, 90, 3), 2: [7], 3: [5, 60], 4: [0, 1, 2, 30, 31], 5: range(11, 119)}
+    rows = [
+        (k, f, f * 1.5 + (f * f) % 7 + (200.0 if f == 33 else 0.0), 80.0 - f, 3.0 + f % 5, 4.0 + k, 5.0 if f % 4 else None, 6.0 if f % 4 else None, 7.0, f % 3 * 1.0)
+        for k, fs in frames.items() for f in fs
+    ]
+    schema = "video_id int, frame_index int, cx double, cy double, w double, h double, area double, perimeter double, eq_diam double, gray_mean double"
+    df = spark.createDataFrame(rows, schema)
+    df = df if name == "lite_series" else df.drop("gray_mean")
+    far = df.unionByName(df.where("video_id = 2").withColumns({"video_id": F.lit(9), "frame_index": F.lit(5000)}))
+    short, blocks = (getattr(S, name)(d, ["video_id"], 64) for d in (df, far))
+    assert short._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    a, b = ({(r["video_id"], r["step"], r["channel"]): r["value"] for r in d.collect() if r["video_id"] != 9} for d in (short, blocks))
+    assert a.keys() == b.keys() and len(a) == 5 * 64 * len({c for _, _, c in a})
+    assert [a[k] for k in sorted(a)] == pytest.approx([b[k] for k in sorted(a)], abs=1e-9)
