@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -17,9 +18,17 @@ from framelane.llm.common import bounded_batches
 from framelane.llm.components import components
 
 THRESHOLD = 0.9
-#: Vectors of a block (about) and of a row of tiles inside it.
+#: Vectors of a block (about; more of them if there are more than ``MANY`` blocks, up to ``WIDE`` or ``BLOCK_BYTES``) and of a row of tiles inside it.
 BLOCK = 4096
+MANY = 32
+WIDE = 16384
+BLOCK_BYTES = 16 << 20
 TILE = 1024
+#: What a round of block pairs sends, about; rounds whose results are read as tables of their own.
+ROUND_BYTES = 512 << 20
+ROUNDS = 16
+#: Pairs whose components are settled at once.
+PAIRS = 1 << 20
 #: Dimensions after which residuals are bounded, as shares of all.
 STAGES = (0.25, 0.5)
 #: The basis is fitted on at most this many vectors (and numbers), chosen by digest; it orders
@@ -121,6 +130,7 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
     links, label, order = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.argsort(np.argsort(ids))
     label = order.copy()  # labels are places in the order of ids
     back = np.argsort(ids)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, start or len(ids), TILE):
         hi = min(lo + TILE, start or len(ids))
         for from_ in range(start or lo, len(ids), TILE):
@@ -132,8 +142,10 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
             np.add.at(links, x, copies[y])
             np.add.at(links, y, copies[x])
             if len(x):
-                by_place = _settle(label[back], order[x], order[y])
-                label = by_place[order]
+                held.append((order[x], order[y]))
+            if held and (to == len(ids) or sum(len(x) for x, _ in held) >= PAIRS):
+                by_place = _settle(label[back], *(np.concatenate(e) for e in zip(*held)))
+                label, held = by_place[order], []
     hit = np.flatnonzero(links)
     return pa.table({"id": ids[hit], "links": links[hit], "root": ids[back[label[hit]]]})
 
@@ -168,14 +180,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def block_rows(count: int, size: int) -> int:
+    """Vectors of a block. Each block meets all others, so what is sent grows with their number."""
+    return max(64, min(WIDE, max(BLOCK, math.ceil(count / MANY)), BLOCK_BYTES // (8 * max(1, size))))
+
+
 def _links(reps: DataFrame, size: int, count: int, threshold: float) -> DataFrame:
-    """(id, links, root) inside the vectors of one length."""
+    """(id, links, root) inside the vectors of one length.
+
+    Pairs of blocks go in rounds of about ``ROUND_BYTES`` whose shuffle is deleted with their end: disk grows with the
+    vectors and their links, not with the pairs.
+    """
     spark = reps.sparkSession
     few = max(64, min(SAMPLE, SAMPLE_NUMBERS // max(1, size)))
     sample = reps.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(few).select("v").toArrow()["v"].combine_chunks()
     axes = principal_axes(unit(_matrix(sample)))
     rows = reps.mapInArrow(_project(axes), "id long, copies long, first double, vector binary")
-    blocks = max(1, math.ceil(count / BLOCK))
+    per = block_rows(count, size)
+    blocks = max(1, math.ceil(count / per))
     tiles = session.cut(
         rows.repartitionByRange(blocks, "first", "id").sortWithinPartitions("first", "id")
         .mapInArrow(_pack, "block int, ids binary, copies binary, vectors binary, low array<double>, high array<double>")
@@ -192,10 +214,21 @@ def _links(reps: DataFrame, size: int, count: int, threshold: float) -> DataFram
         for two in names[k:]:
             gap = np.maximum(0, np.maximum(boxes[one][0] - boxes[two][1], boxes[two][0] - boxes[one][1]))
             if (gap * gap).sum() <= 2 - 2 * threshold + _SLACK:  # squared distance of unit vectors at the threshold
-                pairs += {(one, two, one), (one, two, two)}
-    wanted = spark.createDataFrame(pairs, "one int, two int, block int")
-    sent = tiles.drop("low", "high").join(wanted, "block")
-    return sent.groupBy("one", "two").applyInArrow(_compare_blocks, "id long, links long, root long")
+                pairs.append((one, two))
+    each = max(2 * spark.sparkContext.defaultParallelism, ROUND_BYTES // (2 * 8 * size * per))
+    found: list[DataFrame] = []
+    for lo in range(0, len(pairs), each):
+        sides = sorted({(one, two, block) for one, two in pairs[lo: lo + each] for block in (one, two)})
+        sent = tiles.drop("low", "high").join(spark.createDataFrame(sides, "one int, two int, block int"), "block")
+        found.append(session.cut(sent.groupBy("one", "two").applyInArrow(_compare_blocks, "id long, links long, root long")))
+        if len(found) >= ROUNDS:
+            found = [session.cut(functools.reduce(DataFrame.union, found), spent=found)]
+    return session.cut(functools.reduce(DataFrame.union, found), spent=[*found, tiles])
+
+
+def _digest(v):
+    """Of a whole vector; zeros are equal whatever their sign."""
+    return F.unhex(F.sha2(F.array_join(F.transform(v, lambda x: (x + F.lit(0.0)).cast("string")), ","), 256))
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -211,8 +244,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """
     bounded_batches(vectors.sparkSession, rows=TILE * 4)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(T.ArrayType(T.DoubleType())).alias("v"))
-    good = rows.where(valid(F.col("v")))
-    reps = session.cut(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    rows = rows.withColumn("d", F.when(valid(F.col("v")), _digest(F.col("v"))))
+    good = rows.where("d is not null")
+    reps = session.cut(good.groupBy("d").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
     named = reps.where("id is not null")
     sizes = {r["size"]: r["count"] for r in named.groupBy(F.size("v").alias("size")).count().collect()}
     found = None
@@ -221,14 +255,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         found = part if found is None else found.union(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "id long, links long, root long")
-    found = session.cut(found)
     label = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = (
-        reps.join(totals, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        reps.select("d", "id", "copies").join(totals, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left")
+        .select("d", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    out = rows.join(known, "v", "left")
+    out = rows.select("id", "d").join(known, "d", "left")
     return out.select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),

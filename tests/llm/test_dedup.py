@@ -203,3 +203,38 @@ def test_embedding_chains_over_tiles_and_blocks(monkeypatch):
         for r in found:
             joined[place[r["id"]], place[r["root"]]] = joined[place[r["root"]], place[r["id"]]] = True
         assert reachable(ids.tolist(), lambda i, j: joined[i, j]) == want
+
+
+def test_embedding_pairs_go_in_rounds(spark, monkeypatch):
+    """What a job of block pairs sends is bounded, whatever the pairs; its tables are merged and deleted on the way."""
+    from framelane import session
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "ROUND_BYTES", 1)
+    monkeypatch.setattr(embedding_dedup, "ROUNDS", 2)
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(700, 5))
+    m[3] = m[650] = np.abs(m[3])
+    m[650][0] = m[3][0] = 0.0
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(m)]
+    rows[650] = (650, [-0.0, *rows[650][1][1:]])
+    sent, apply = [], embedding_dedup.session.cut
+    monkeypatch.setattr(embedding_dedup.session, "cut", lambda df, **more: (sent.append(df), apply(df, **more))[1])
+    before = len(session._CUTS)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    label = np.arange(len(m))
+    while True:
+        new = np.array([label[x].min() for x in linked])
+        if (new == label).all():
+            break
+        label = new
+    assert got == {i: (int(linked[i].sum()) - 1, int(label[i])) for i in range(len(m))}
+    rounds = [d for d in sent if d.columns == ["id", "links", "root"]]
+    assert len(rounds) > 3 and len(session._CUTS) - before == len(sent) - len(rounds)  # of rounds one table is left, of tiles none
+
+
+def test_block_rows_bound_pairs_and_memory():
+    assert embedding_dedup.block_rows(1_000, 64) == 4096 and embedding_dedup.block_rows(720_000, 64) == 16384
+    assert embedding_dedup.block_rows(250_000, 64) == 7813 and embedding_dedup.block_rows(720_000, 4096) == 512
