@@ -29,8 +29,9 @@ ROUND_BYTES = 512 << 20
 ROUNDS = 16
 #: Pairs whose components are settled at once.
 PAIRS = 1 << 20
-#: Dimensions after which residuals are bounded, as shares of all.
+#: Dimensions after which residuals are bounded, as shares of all; up to ``WHOLE`` dimensions the whole product costs less than the bounds.
 STAGES = (0.25, 0.5)
+WHOLE = 256
 #: The basis is fitted on at most this many vectors (and numbers), chosen by digest; it orders
 #: dimensions and blocks and so decides how much is pruned, never what is linked.
 SAMPLE = 4096
@@ -67,6 +68,8 @@ def compare(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple
     the threshold leave the tile; once few pairs are left they are finished one by one.
     """
     d = a.shape[1]
+    if d <= WHOLE:
+        return np.nonzero(a @ b.T >= threshold)
     i, j = np.arange(len(a)), np.arange(len(b))
     done, sums = 0, np.zeros((len(a), len(b)))
     for stop in [max(1, math.ceil(d * s)) for s in STAGES] + [d]:

@@ -238,3 +238,13 @@ def test_embedding_pairs_go_in_rounds(spark, monkeypatch):
 def test_block_rows_bound_pairs_and_memory():
     assert embedding_dedup.block_rows(1_000, 64) == 4096 and embedding_dedup.block_rows(720_000, 64) == 16384
     assert embedding_dedup.block_rows(250_000, 64) == 7813 and embedding_dedup.block_rows(720_000, 4096) == 512
+
+
+@pytest.mark.parametrize("whole", [0, 256])
+def test_tiles_by_stages_and_whole(monkeypatch, whole):
+    monkeypatch.setattr(embedding_dedup, "WHOLE", whole)
+    rng = np.random.default_rng(9)
+    a, b = embedding_dedup.unit(rng.normal(size=(90, 24))), embedding_dedup.unit(rng.normal(size=(70, 24)))
+    b[:20] = embedding_dedup.unit(a[:20] + 0.05 * rng.normal(size=(20, 24)))
+    x, y = embedding_dedup.compare(a, b)
+    assert set(zip(x.tolist(), y.tolist())) == set(zip(*(e.tolist() for e in np.nonzero(a @ b.T >= 0.9)))) and len(x) >= 20
