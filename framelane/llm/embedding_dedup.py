@@ -206,7 +206,9 @@ def _links(reps: DataFrame, size: int, count: int, threshold: float) -> DataFram
         .mapInArrow(_pack, "block int, ids binary, copies binary, vectors binary, low array<double>, high array<double>")
     )
     boxes: dict[int, list] = {}
-    for r in tiles.select("block", "low", "high").toLocalIterator():
+    weights: dict[int, int] = {}
+    for r in tiles.select("block", "low", "high", F.length("vectors").alias("bytes")).toLocalIterator():
+        weights[r["block"]] = weights.get(r["block"], 0) + r["bytes"]
         low, high = np.array(r["low"]), np.array(r["high"])
         if r["block"] in boxes:
             low, high = np.minimum(low, boxes[r["block"]][0]), np.maximum(high, boxes[r["block"]][1])
@@ -218,10 +220,17 @@ def _links(reps: DataFrame, size: int, count: int, threshold: float) -> DataFram
             gap = np.maximum(0, np.maximum(boxes[one][0] - boxes[two][1], boxes[two][0] - boxes[one][1]))
             if (gap * gap).sum() <= 2 - 2 * threshold + _SLACK:  # squared distance of unit vectors at the threshold
                 pairs.append((one, two))
-    each = max(2 * spark.sparkContext.defaultParallelism, ROUND_BYTES // (2 * 8 * size * per))
+    rounds: list[list[tuple[int, int]]] = [[]]
+    filled, least = 0, 2 * spark.sparkContext.defaultParallelism
+    for one, two in pairs:
+        if filled >= ROUND_BYTES and len(rounds[-1]) >= least:
+            rounds.append([])
+            filled = 0
+        rounds[-1].append((one, two))
+        filled += weights[one] + (weights[two] if two != one else 0)
     found: list[DataFrame] = []
-    for lo in range(0, len(pairs), each):
-        sides = sorted({(one, two, block) for one, two in pairs[lo: lo + each] for block in (one, two)})
+    for now in rounds:
+        sides = sorted({(one, two, block) for one, two in now for block in (one, two)})
         sent = tiles.drop("low", "high").join(spark.createDataFrame(sides, "one int, two int, block int"), "block")
         found.append(session.cut(sent.groupBy("one", "two").applyInArrow(_compare_blocks, "id long, links long, root long")))
         if len(found) >= ROUNDS:
